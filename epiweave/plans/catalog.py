@@ -1,0 +1,1606 @@
+"""Registered queries: each Spark plan next to the SQL that must agree with it.
+
+Every query reads whole test tables through ``sources.testdata``. The SQL is
+written for DuckDB over the same Parquet files.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import uuid
+from collections.abc import Callable
+from types import SimpleNamespace
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from epiweave.functions import scalars as S
+from epiweave.operators import aggregates, anomalies, briefing, features, forecasting, lookups, questions
+from epiweave.operators import scenarios as capacity
+from epiweave.operators import snapshot, trends
+from epiweave.plans import refresh
+from epiweave.plans.dashboard import dashboard_summary
+from epiweave.schemas import TABLES, network_dimension
+from epiweave.session import shared_dir
+from epiweave.sources import landing, tables, testdata
+from epiweave.streaming import refresh as streaming
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+# --- The derived tables, as SQL ----------------------------------------------
+
+CTES = {
+    "hosp": """
+hosp_weekly AS (
+  SELECT CASE l_returnflag WHEN 'A' THEN 'COVID-NET' WHEN 'N' THEN 'FluSurv-NET' WHEN 'R' THEN 'RSV-NET' END
+           AS surveillance_network,
+         CAST(date_trunc('week', l_shipdate) AS DATE) + 5 AS week_ending_date,
+         CASE l_linenumber % 4 WHEN 0 THEN '0-17' WHEN 1 THEN '18-64' WHEN 2 THEN '65+' WHEN 3 THEN 'Overall' END
+           AS age_group,
+         r_name AS site,
+         CASE WHEN l_linestatus = 'F' THEN 'Observed' ELSE 'Estimated' END AS rate_type,
+         sum(l_quantity) AS quantity
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
+  JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+  GROUP BY ALL
+), hosp_seasons AS (
+  SELECT *, CAST(year(week_ending_date) - CASE WHEN month(week_ending_date) < 7 THEN 1 ELSE 0 END AS INTEGER) AS y
+  FROM hosp_weekly
+), hosp AS (
+  SELECT surveillance_network, y || '-' || (y + 1) AS season, week_ending_date,
+         CAST(year(week_ending_date) AS INTEGER) AS mmwr_year,
+         CAST(weekofyear(week_ending_date) AS INTEGER) AS mmwr_week,
+         age_group, 'Overall' AS sex, 'Overall' AS race_ethnicity, site,
+         quantity / CAST(10 AS DOUBLE) AS weekly_rate,
+         sum(quantity) OVER (PARTITION BY surveillance_network, y, age_group, site, rate_type
+                             ORDER BY week_ending_date) / CAST(10 AS DOUBLE) AS cumulative_rate,
+         rate_type
+  FROM hosp_seasons
+), overall AS (
+  SELECT * FROM hosp WHERE age_group = 'Overall' AND sex = 'Overall' AND race_ethnicity = 'Overall'
+    AND rate_type = 'Observed'
+), series AS (
+  SELECT surveillance_network AS virus, week_ending_date AS date, avg(weekly_rate) AS rate
+  FROM overall GROUP BY 1, 2
+), indexed AS (
+  SELECT *, row_number() OVER (PARTITION BY virus ORDER BY date) - 1 AS idx,
+         count(*) OVER (PARTITION BY virus) AS points FROM series
+)""",
+    "ari": """
+ari_keys AS (
+  SELECT CAST(date_trunc('week', o_orderdate) AS DATE) + 5 AS week_end, n_name AS geography,
+         max(o_orderkey) % 7 AS k
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2
+), ari AS (
+  SELECT week_end, geography,
+         CASE k WHEN 0 THEN 'Minimal' WHEN 1 THEN 'Very Low' WHEN 2 THEN 'Low' WHEN 3 THEN 'Moderate'
+                WHEN 4 THEN 'High' WHEN 5 THEN 'Very High' ELSE 'Data Unavailable' END AS label,
+         CAST(k AS VARCHAR) AS buildnumber,
+         CASE k WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 4 WHEN 5 THEN 5 END AS level
+  FROM ari_keys
+), ari_latest AS (SELECT * FROM ari WHERE week_end = (SELECT max(week_end) FROM ari))""",
+    "pos": """
+pos AS (
+  SELECT CAST(ts AS DATE) AS week_end,
+         CASE event_type WHEN 'click' THEN 'COVID-19' WHEN 'view' THEN 'Influenza' WHEN 'purchase' THEN 'RSV'
+                         ELSE event_type END AS pathogen,
+         CAST(100 AS DOUBLE) * count(*) FILTER (value > 50) / count(*) AS percent_test_positivity
+  FROM events GROUP BY 1, 2
+), pos_latest AS (SELECT * FROM pos WHERE week_end = (SELECT max(week_end) FROM pos))""",
+    "ww": """
+ww_months AS (
+  SELECT l_suppkey, CAST(date_trunc('month', l_shipdate) AS DATE) AS date_start, sum(l_quantity) AS quantity,
+         count(*) FILTER (l_discount > CAST(0.02 AS DOUBLE)) AS detected, count(*) AS samples
+  FROM lineitem GROUP BY 1, 2
+), ww AS (
+  SELECT n_name AS wwtp_jurisdiction, CAST(l_suppkey AS VARCHAR) AS wwtp_id,
+         'County_' || (l_suppkey % 20) AS county_names,
+         lpad(CAST(l_suppkey % 20 AS VARCHAR), 5, '0') AS county_fips,
+         CAST(1000 * (l_suppkey + 1) AS INTEGER) AS population_served, date_start,
+         last_day(date_start) AS date_end, quantity - CAST(200 AS DOUBLE) AS ptc_15d,
+         CAST(100 AS DOUBLE) * detected / samples AS detect_prop_15d,
+         CAST(CAST(quantity AS BIGINT) % 101 AS DOUBLE) AS percentile, 'no' AS sampling_prior,
+         min(date_start) OVER (PARTITION BY l_suppkey) AS first_sample_date
+  FROM ww_months JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+), ww_latest AS (SELECT * FROM ww WHERE date_end = (SELECT max(date_end) FROM ww))""",
+    "states": """
+states AS (
+  SELECT n_name AS geography, 'N' || n_nationkey AS code, CAST(n_nationkey + 25 AS DOUBLE) AS lat,
+         CAST(n_nationkey * 2 - 120 AS DOUBLE) AS lng
+  FROM nation WHERE n_nationkey < 20
+)""",
+    "questions": """
+questions AS (
+  SELECT c_custkey AS question_id,
+         CASE c_custkey % 5 WHEN 0 THEN 'What is happening in ' || n_name || '?'
+              WHEN 1 THEN 'Current FLU positivity' WHEN 2 THEN 'Which places are the worst'
+              WHEN 3 THEN 'Show me a summary' ELSE 'Any outbreak near ' || lower(n_name) || ' today' END AS question
+  FROM customer JOIN nation ON c_nationkey = n_nationkey
+)""",
+    "season_rates": """
+season_rates AS (
+  SELECT surveillance_network, season, mmwr_week, avg(weekly_rate) AS avg_rate FROM overall GROUP BY 1, 2, 3
+)""",
+    "heat": """
+heat AS (
+  SELECT surveillance_network, week_ending_date, age_group, avg(weekly_rate) AS rate FROM hosp
+  WHERE rate_type = 'Observed' AND age_group <> 'Overall' GROUP BY 1, 2, 3
+)""",
+    "wow": """
+wow AS (
+  SELECT virus, date, rate, coalesce(lag(rate) OVER (PARTITION BY virus ORDER BY date), 0) AS previous,
+         row_number() OVER (PARTITION BY virus ORDER BY date DESC) AS back FROM series
+)""",
+    "samples": """
+samples AS (
+  SELECT virus, date, idx, lag(rate, 1) OVER s AS lag_1, lag(rate, 2) OVER s AS lag_2, lag(rate, 4) OVER s AS lag_4,
+         lag(rate, 8) OVER s AS lag_8, avg(rate) OVER (s ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS roll_avg_4,
+         avg(rate) OVER (s ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS roll_avg_8,
+         stddev_pop(rate) OVER (s ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS roll_std_4, rate AS target, points
+  FROM indexed WINDOW s AS (PARTITION BY virus ORDER BY date)
+), tabular AS (
+  SELECT *, lag_1 - lag_2 AS diff_1, sin(2 * pi() * idx / 52) AS week_sin, cos(2 * pi() * idx / 52) AS week_cos
+  FROM samples WHERE points >= 12 AND idx >= 8 AND idx < points - 1
+)""",
+    "norm": """
+norm AS (
+  SELECT i.*, m.mean, m.std, (rate - mean) / std AS norm FROM indexed i JOIN (
+    SELECT virus, avg(rate) AS mean, stddev_pop(rate) + CAST(1e-8 AS DOUBLE) AS std FROM series GROUP BY 1) m
+  ON i.virus = m.virus
+)""",
+}
+
+CTES["streamed"] = """
+pos AS (
+  SELECT CAST(ts AS DATE) AS week_end, CASE event_type WHEN 'click' THEN 'COVID-19' WHEN 'view' THEN 'Influenza'
+         WHEN 'purchase' THEN 'RSV' ELSE event_type END AS pathogen, arg_max(value, event_id) AS percent_test_positivity
+  FROM events GROUP BY 1, 2
+), pos_latest AS (SELECT * FROM pos WHERE week_end = (SELECT max(week_end) FROM pos))"""
+
+_SCENARIO_FIELDS = """
+  CAST(10 AS DOUBLE) AS hospitalization_pct, CAST(20 AS DOUBLE) AS icu_pct, CAST(5 AS DOUBLE) AS avg_los_days,
+  CAST(10 AS DOUBLE) AS icu_los_days, CAST(3000 AS DOUBLE) AS cost_per_bed_day,
+  CAST(8000 AS DOUBLE) AS cost_per_icu_day, 8 AS weeks"""
+CTES["scenarios"] = f"""
+scenarios AS (
+  SELECT p_partkey AS scenario_id, CAST(100000 * (p_size + 1) AS BIGINT) AS population,
+         p_size / CAST(2 AS DOUBLE) AS current_rate, 1 + (p_partkey % 5) / CAST(2 AS DOUBLE) AS surge_multiplier,
+         CAST(10 * p_size AS BIGINT) AS beds_available, CAST(p_size AS BIGINT) AS icu_beds_available,
+         {_SCENARIO_FIELDS} FROM part
+)"""
+CTES["hospitals"] = f"""
+hospitals AS (
+  SELECT s_suppkey AS scenario_id, CAST(100000 * (s_suppkey % 40 + 1) AS BIGINT) AS population,
+         (s_suppkey % 30 + 1) / CAST(2 AS DOUBLE) AS current_rate,
+         1 + (s_suppkey % 5) / CAST(2 AS DOUBLE) AS surge_multiplier,
+         CAST(10 * (s_suppkey % 40 + 1) AS BIGINT) AS beds_available,
+         CAST(s_suppkey % 40 + 1 AS BIGINT) AS icu_beds_available,
+         {_SCENARIO_FIELDS} FROM supplier
+), keyed AS (
+  SELECT *, md5('42|' || scenario_id || '|' || week || '|' || draw) AS h
+  FROM hospitals, range(8) AS w(week), range(1000) AS d(draw)
+), uniforms AS (
+  SELECT *, {", ".join(
+    f"(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT) + CAST(0.5 AS DOUBLE)) / 4294967296 AS u{i}"
+    for i in range(4))}
+  FROM keyed
+), noise AS (
+  SELECT *, exp(CAST(0.15 AS DOUBLE) * sqrt(-2 * ln(u0)) * cos(2 * pi() * u1)) AS case_noise,
+         1 + CAST(0.1 AS DOUBLE) * sqrt(-2 * ln(u0)) * sin(2 * pi() * u1) AS hospital_noise,
+         1 + CAST(0.15 AS DOUBLE) * sqrt(-2 * ln(u2)) * cos(2 * pi() * u3) AS icu_noise
+  FROM uniforms
+), admitted AS (
+  SELECT *, greatest(0, current_rate * (1 + (surge_multiplier - 1) * least(1, week / CAST(4 AS DOUBLE))) * case_noise
+                        * (population / CAST(100000 AS DOUBLE)) * (hospitalization_pct / 100 * hospital_noise))
+           AS admissions FROM noise
+), occupied AS (
+  SELECT *, admissions * least(avg_los_days / 7, CAST(1.5 AS DOUBLE)) AS beds,
+         greatest(0, admissions * (icu_pct / 100 * icu_noise)) * least(icu_los_days / 7, CAST(2 AS DOUBLE))
+           AS icu_beds FROM admitted
+), drawn AS (
+  SELECT *, beds * cost_per_bed_day * 7 + icu_beds * cost_per_icu_day * 7 AS cost FROM occupied
+), weekly AS (
+  SELECT scenario_id, CAST(week AS INTEGER) AS week, {", ".join(
+    f"round(round(avg({c}), 8), 1) + 0.0 AS {c}_mean, "
+    f"round(round(quantile_cont({c}, 0.05), 8), 1) + 0.0 AS {c}_p5, "
+    f"round(round(quantile_cont({c}, 0.95), 8), 1) + 0.0 AS {c}_p95, "
+    f"round(round(avg(CASE WHEN {c} > {c}_available THEN 1 ELSE 0 END) * 100, 8), 1) + 0.0 AS {c}_overflow_pct"
+    for c in ("beds", "icu_beds"))}
+  FROM drawn GROUP BY 1, 2
+)"""
+
+
+def _sql(body: str, *ctes: str) -> str:
+    return (f"WITH {','.join(CTES[c] for c in ctes)}\n" if ctes else "") + body
+
+
+def query(name: str, body: str | None = None, *ctes: str) -> Callable[[Callable], Callable]:
+    """Register a query; ``body`` is its SQL on top of the named derived tables."""
+
+    def register(build: Callable[[SimpleNamespace], DataFrame]) -> Callable:
+        QUERIES[name] = lambda spark, folder: build(_sources(spark, folder))
+        if body is not None:
+            ORACLE[name] = _sql(body, *ctes)
+        return build
+
+    return register
+
+
+class _Sources(SimpleNamespace):
+    """Lazily derived tables of one data folder, by attribute."""
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return getattr(testdata, name)(self.spark, self.folder)
+
+    def table(self, name: str) -> DataFrame:
+        return testdata.table(self.spark, self.folder, name)
+
+
+def _sources(spark: SparkSession, folder: str) -> _Sources:
+    return _Sources(spark=spark, folder=folder.rstrip("/"))
+
+
+def _tidied(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: S.tidy(c) for c in columns})
+
+
+def _series(t: _Sources) -> DataFrame:
+    return aggregates.virus_series(t.hosp)
+
+
+def _work_folder(t: _Sources, purpose: str) -> str:
+    """A new folder on the shared storage for tables a query writes."""
+    return f"{shared_dir(t.spark)}/epiweave/{t.spark.sparkContext.applicationId}/{purpose}-{uuid.uuid4().hex[:12]}"
+
+
+# --- Trends and snapshots -----------------------------------------------------
+
+
+@query(
+    "hosp_trends",
+    """SELECT virus, date AS week_ending_date, round(rate, 8) + 0.0 AS avg_rate FROM series""",
+    "hosp",
+)
+def _hosp_trends(t):
+    return _tidied(aggregates.weekly_trends(t.hosp), "avg_rate")
+
+
+@query("risk_distribution", "SELECT label, count(*) AS count FROM ari_latest GROUP BY 1", "ari")
+def _risk_distribution(t):
+    return aggregates.risk_distribution(t.ari)
+
+
+@query("ari_latest", "SELECT week_end, geography, label, buildnumber FROM ari_latest", "ari")
+def _ari_latest(t):
+    return snapshot.ari_activity(t.ari)
+
+
+@query(
+    "ari_week",
+    """SELECT week_end, geography, label, buildnumber FROM ari
+       WHERE week_end = DATE '2000-06-10' AND geography = 'NATION_3'""",
+    "ari",
+)
+def _ari_week(t):
+    return snapshot.ari_activity(t.ari, week_end="2000-06-10", geography="NATION_3")
+
+
+@query(
+    "ari_history",
+    """SELECT * FROM (SELECT week_end, geography, label,
+         CAST(row_number() OVER (PARTITION BY geography ORDER BY week_end DESC) AS INTEGER) AS weeks_back FROM ari)
+       WHERE weeks_back <= 52""",
+    "ari",
+)
+def _ari_history(t):
+    return snapshot.ari_history(t.ari)
+
+
+_HOSP_COLUMNS = (
+    "surveillance_network, season, week_ending_date, mmwr_year, mmwr_week, age_group, site, weekly_rate, "
+    "cumulative_rate"
+)
+
+
+@query(
+    "hosp_recent",
+    f"""SELECT {_HOSP_COLUMNS} FROM overall
+        ORDER BY week_ending_date DESC, surveillance_network, site, age_group LIMIT 200""",
+    "hosp",
+)
+def _hosp_recent(t):
+    return snapshot.hospitalizations(t.hosp)
+
+
+@query(
+    "hosp_filtered",
+    f"""SELECT {_HOSP_COLUMNS} FROM hosp WHERE rate_type = 'Observed' AND age_group = '65+'
+          AND surveillance_network = 'RSV-NET' AND site = 'ASIA'
+        ORDER BY week_ending_date DESC, surveillance_network, site, age_group LIMIT 200""",
+    "hosp",
+)
+def _hosp_filtered(t):
+    return snapshot.hospitalizations(t.hosp, network="RSV-NET", site="ASIA", age_group="65+")
+
+
+@query(
+    "first_50",
+    f"""SELECT {_HOSP_COLUMNS} FROM overall
+        ORDER BY week_ending_date DESC, surveillance_network, site, age_group LIMIT 50""",
+    "hosp",
+)
+def _first_50(t):
+    return snapshot.hospitalizations(t.hosp).limit(50)
+
+
+@query("columns", f"SELECT {_HOSP_COLUMNS} FROM hosp", "hosp")
+def _columns(t):
+    return t.hosp.select(*(c.strip() for c in _HOSP_COLUMNS.split(",")))
+
+
+@query(
+    "positivity_latest",
+    "SELECT pathogen, round(percent_test_positivity, 8) + 0.0 AS percent_test_positivity, week_end FROM pos_latest",
+    "pos",
+)
+def _positivity_latest(t):
+    return _tidied(snapshot.positivity_latest(t.pos), "percent_test_positivity")
+
+
+@query(
+    "positivity_recent",
+    """SELECT week_end, pathogen, round(percent_test_positivity, 8) + 0.0 AS percent_test_positivity FROM pos
+       ORDER BY week_end DESC, pathogen LIMIT 200""",
+    "pos",
+)
+def _positivity_recent(t):
+    return _tidied(snapshot.positivity(t.pos), "percent_test_positivity")
+
+
+@query(
+    "positivity_record",
+    """SELECT round(coalesce(max(CASE WHEN pathogen = 'COVID-19' THEN percent_test_positivity END), 0), 8) + 0.0 AS covid,
+              round(coalesce(max(CASE WHEN pathogen = 'Influenza' THEN percent_test_positivity END), 0), 8) + 0.0 AS flu,
+              round(coalesce(max(CASE WHEN pathogen = 'RSV' THEN percent_test_positivity END), 0), 8) + 0.0 AS rsv
+       FROM pos_latest""",
+    "pos",
+)
+def _positivity_record(t):
+    return _tidied(aggregates.positivity_record(t.pos), "covid", "flu", "rsv")
+
+
+@query(
+    "dominant_pathogen",
+    """SELECT pathogen, round(percent_test_positivity, 8) + 0.0 AS percent_test_positivity FROM pos_latest
+       ORDER BY pos_latest.percent_test_positivity DESC, pathogen LIMIT 1""",
+    "pos",
+)
+def _dominant_pathogen(t):
+    return _tidied(aggregates.dominant_pathogen(t.pos), "percent_test_positivity")
+
+
+_WW_COLUMNS = (
+    "wwtp_jurisdiction, wwtp_id, county_names, county_fips, population_served, date_end, ptc_15d, "
+    "round(detect_prop_15d, 8) + 0.0 AS detect_prop_15d, percentile"
+)
+
+
+@query(
+    "ww_recent_rows",
+    f"SELECT {_WW_COLUMNS} FROM ww ORDER BY date_end DESC, wwtp_id LIMIT 5000",
+    "ww",
+)
+def _ww_recent_rows(t):
+    return _tidied(snapshot.wastewater(t.ww), "detect_prop_15d")
+
+
+@query(
+    "ww_filter",
+    f"""SELECT {_WW_COLUMNS} FROM ww WHERE wwtp_jurisdiction = 'NATION_7' AND county_names LIKE '%ty_1%'
+        ORDER BY date_end DESC, wwtp_id LIMIT 5000""",
+    "ww",
+)
+def _ww_filter(t):
+    return _tidied(snapshot.wastewater(t.ww, state="NATION_7", county="ty_1"), "detect_prop_15d")
+
+
+_SITE_COLUMNS = """wwtp_jurisdiction AS state, county_names AS county, county_fips AS fips, wwtp_id,
+  population_served, percentile, ptc_15d AS pct_change, round(detect_prop_15d, 8) + 0.0 AS detection_rate, date_end"""
+
+
+@query("ww_latest", f"SELECT {_SITE_COLUMNS} FROM ww_latest", "ww")
+def _ww_latest(t):
+    return _tidied(snapshot.wastewater_latest(t.ww), "detection_rate")
+
+
+@query("ww_top20", f"SELECT {_SITE_COLUMNS} FROM ww_latest ORDER BY percentile DESC, wwtp_id LIMIT 20", "ww")
+def _ww_top20(t):
+    return _tidied(snapshot.by_percentile(snapshot.wastewater_latest(t.ww), limit=20), "detection_rate")
+
+
+@query("ww_state_sites", f"SELECT {_SITE_COLUMNS} FROM ww_latest WHERE wwtp_jurisdiction = 'NATION_12'", "ww")
+def _ww_state_sites(t):
+    return _tidied(snapshot.by_percentile(snapshot.wastewater_latest(t.ww), state="NATION_12"), "detection_rate")
+
+
+@query("high_signal", f"SELECT {_SITE_COLUMNS} FROM ww_latest WHERE percentile >= 80", "ww")
+def _high_signal(t):
+    return _tidied(snapshot.high_signal(snapshot.wastewater_latest(t.ww)), "detection_rate")
+
+
+@query(
+    "ww_county",
+    """SELECT date_end, percentile, ptc_15d, round(detect_prop_15d, 8) + 0.0 AS detect_prop_15d, population_served,
+              county_names, wwtp_jurisdiction FROM ww WHERE county_fips = '00007'""",
+    "ww",
+)
+def _ww_county(t):
+    return _tidied(snapshot.wastewater_county(t.ww, "00007"), "detect_prop_15d")
+
+
+@query(
+    "ww_recent",
+    "SELECT wwtp_id, date_end, percentile FROM ww WHERE date_end > CAST(DATE '2001-09-30' - INTERVAL 90 DAY AS DATE)",
+    "ww",
+)
+def _ww_recent(t):
+    return landing.recent_only(t.ww, "2001-09-30", 90).select("wwtp_id", "date_end", "percentile")
+
+
+@query("states", "SELECT DISTINCT geography FROM ari", "ari")
+def _states(t):
+    return snapshot.distinct_values(t.ari, "geography")
+
+
+@query("sites", "SELECT DISTINCT site FROM hosp", "hosp")
+def _sites(t):
+    return snapshot.distinct_values(t.hosp, "site")
+
+
+@query("seasons", "SELECT DISTINCT surveillance_network, season FROM hosp", "hosp")
+def _seasons(t):
+    return snapshot.distinct_values(t.hosp, "surveillance_network", "season")
+
+
+@query("age_groups", "SELECT DISTINCT age_group FROM hosp", "hosp")
+def _age_groups(t):
+    return snapshot.distinct_values(t.hosp, "age_group")
+
+
+@query("weeks", "SELECT DISTINCT week_ending_date FROM hosp", "hosp")
+def _weeks(t):
+    return snapshot.distinct_values(t.hosp, "week_ending_date")
+
+
+@query(
+    "iso_dates",
+    """SELECT wwtp_id, strftime(date_start, '%Y-%m-%d') AS date_start, strftime(date_end, '%Y-%m-%d') AS date_end,
+              strftime(first_sample_date, '%Y-%m-%d') AS first_sample_date FROM ww""",
+    "ww",
+)
+def _iso_dates(t):
+    return snapshot.iso_dates(t.ww).select("wwtp_id", "date_start", "date_end", "first_sample_date")
+
+
+@query(
+    "param_query",
+    """SELECT label, count(*) AS n FROM ari WHERE geography = 'NATION_4' AND week_end >= DATE '2000-01-01'
+       GROUP BY label""",
+    "ari",
+)
+def _param_query(t):
+    return tables.run_query(
+        t.spark,
+        "SELECT label, count(*) AS n FROM ari_activity WHERE geography = ? AND week_end >= CAST(? AS DATE) "
+        "GROUP BY label",
+        ["NATION_4", "2000-01-01"],
+        ari_activity=t.ari,
+    )
+
+
+@query(
+    "high_labels",
+    "SELECT week_end, geography, label, buildnumber FROM ari WHERE label IN ('High', 'Very High')",
+    "ari",
+)
+def _high_labels(t):
+    return aggregates.high_label_rows(t.ari)
+
+
+@query("high_risk", "SELECT geography, label FROM ari_latest WHERE label IN ('High', 'Very High')", "ari")
+def _high_risk(t):
+    return snapshot.high_risk(t.ari).select("geography", "label")
+
+
+@query(
+    "current_label",
+    """SELECT asked.geography, coalesce(label, 'Unknown') AS label, week_end
+       FROM (SELECT n_name AS geography FROM nation UNION ALL SELECT r_name FROM region) asked
+       LEFT JOIN ari_latest ON asked.geography = ari_latest.geography""",
+    "ari",
+)
+def _current_label(t):
+    asked = t.table("nation").select(F.col("n_name").alias("geography"))
+    unknown = t.table("region").select(F.col("r_name").alias("geography"))
+    return snapshot.current_label(t.ari, asked.unionByName(unknown))
+
+
+# --- Aggregates ---------------------------------------------------------------
+
+_DASHBOARD_SQL = """
+SELECT (SELECT string_agg(label || '=' || n, '; ' ORDER BY n DESC, label)
+          FROM (SELECT label, count(*) AS n FROM ari_latest GROUP BY 1)) AS risk_distribution,
+       (SELECT max(week_end) FROM ari) AS latest_ari,
+       (SELECT max(week_ending_date) FROM hosp) AS latest_hospitalization,
+       (SELECT max(week_end) FROM pos) AS latest_positivity_date,
+       (SELECT string_agg(pathogen || '=' || printf('%.4f', percent_test_positivity), '; ' ORDER BY pathogen)
+          FROM pos_latest) AS latest_positivity,
+       (SELECT count(DISTINCT geography) FROM ari) AS total_states_tracked,
+       (SELECT count(*) FROM ari_latest WHERE label IN ('High', 'Very High')) AS high_risk_states,
+       (SELECT count(DISTINCT wwtp_id) FROM ww_latest) AS wastewater_sites,
+       (SELECT count(DISTINCT county_fips) FROM ww_latest) AS wastewater_counties,
+       (SELECT round(avg(percentile), 8) + 0.0 FROM ww_latest) AS wastewater_avg_percentile,
+       (SELECT max(date_end) FROM ww_latest) AS wastewater_latest"""
+
+
+def _flat_dashboard(df: DataFrame) -> DataFrame:
+    """Lists as text, so that the row compares by value."""
+
+    def text(column: str, key: str, value: Callable[[Column], Column]) -> Column:
+        return F.concat_ws("; ", F.transform(column, lambda e: F.concat(e[key], F.lit("="), value(e))))
+
+    return _tidied(df, "wastewater_avg_percentile").withColumns(
+        {
+            "risk_distribution": text("risk_distribution", "label", lambda e: e["count"].cast("string")),
+            "latest_positivity": text(
+                "latest_positivity", "pathogen", lambda e: F.format_string("%.4f", e["percent_test_positivity"])
+            ),
+        }
+    )
+
+
+@query("dashboard_summary", _DASHBOARD_SQL, "ari", "hosp", "pos", "ww")
+def _dashboard_summary(t):
+    return _flat_dashboard(dashboard_summary(t.ari, t.hosp, t.pos, t.ww))
+
+
+@query(
+    "latest_dates",
+    """SELECT (SELECT max(week_end) FROM ari) AS ari_activity, (SELECT max(week_ending_date) FROM hosp)
+       AS hospitalizations, (SELECT max(week_end) FROM pos) AS test_positivity""",
+    "ari",
+    "hosp",
+    "pos",
+)
+def _latest_dates(t):
+    return aggregates.latest_dates(t.ari, t.hosp, t.pos)
+
+
+@query(
+    "state_counts",
+    """SELECT (SELECT count(DISTINCT geography) FROM ari) AS total_states_tracked,
+       (SELECT count(*) FROM ari_latest WHERE label IN ('High', 'Very High')) AS high_risk_states""",
+    "ari",
+)
+def _state_counts(t):
+    return aggregates.state_counts(t.ari)
+
+
+@query(
+    "ww_summary",
+    """SELECT count(DISTINCT wwtp_id) AS sites, count(DISTINCT county_fips) AS counties,
+       round(avg(percentile), 8) + 0.0 AS avg_percentile, max(date_end) AS latest_date, count(*) AS readings
+       FROM ww_latest""",
+    "ww",
+)
+def _ww_summary(t):
+    return _tidied(aggregates.wastewater_summary(t.ww), "avg_percentile")
+
+
+@query(
+    "ww_states",
+    """SELECT wwtp_jurisdiction AS state, count(DISTINCT wwtp_id) AS sites, count(DISTINCT county_fips) AS counties,
+       round(avg(percentile), 8) + 0.0 AS avg_percentile, round(avg(ptc_15d), 8) + 0.0 AS avg_pct_change
+       FROM ww_latest GROUP BY 1""",
+    "ww",
+)
+def _ww_states(t):
+    return _tidied(aggregates.wastewater_states(t.ww), "avg_percentile", "avg_pct_change")
+
+
+@query(
+    "one_series",
+    """SELECT virus, date, round(rate, 8) + 0.0 AS rate FROM indexed WHERE virus = 'COVID-NET' AND points >= 20""",
+    "hosp",
+)
+def _one_series(t):
+    return _tidied(aggregates.virus_series(t.hosp, "COVID-NET", min_points=20), "rate")
+
+
+@query(
+    "age_heatmap",
+    "SELECT surveillance_network, week_ending_date, age_group, round(rate, 8) + 0.0 AS rate FROM heat",
+    "hosp",
+    "heat",
+)
+def _age_heatmap(t):
+    return _tidied(aggregates.age_heatmap(t.hosp), "rate")
+
+
+_AGES = ["0-17", "18-64", "65+"]
+
+
+@query(
+    "heatmap_grid",
+    """SELECT surveillance_network, week_ending_date, round("0-17", 8) + 0.0 AS "0-17",
+              round("18-64", 8) + 0.0 AS "18-64", round("65+", 8) + 0.0 AS "65+" FROM (
+         SELECT surveillance_network, week_ending_date, coalesce(max(CASE WHEN age_group = '0-17' THEN rate END), 0)
+           AS "0-17", coalesce(max(CASE WHEN age_group = '18-64' THEN rate END), 0) AS "18-64",
+           coalesce(max(CASE WHEN age_group = '65+' THEN rate END), 0) AS "65+",
+           row_number() OVER (PARTITION BY surveillance_network ORDER BY week_ending_date DESC) AS back
+         FROM heat GROUP BY 1, 2) WHERE back <= 26""",
+    "hosp",
+    "heat",
+)
+def _heatmap_grid(t):
+    return _tidied(aggregates.heatmap_grid(aggregates.age_heatmap(t.hosp), _AGES, weeks=26), *_AGES)
+
+
+@query(
+    "season_compare",
+    """SELECT surveillance_network, season, mmwr_week, round(avg_rate, 8) + 0.0 AS avg_rate FROM season_rates""",
+    "hosp",
+    "season_rates",
+)
+def _season_compare(t):
+    return _tidied(aggregates.season_comparison(t.hosp), "avg_rate")
+
+
+@query(
+    "current_rates",
+    """SELECT surveillance_network, round(round(avg(weekly_rate), 8), 2) + 0.0 AS rate FROM overall
+       WHERE week_ending_date = (SELECT max(week_ending_date) FROM hosp) GROUP BY 1""",
+    "hosp",
+)
+def _current_rates(t):
+    return aggregates.current_rates(t.hosp)
+
+
+@query(
+    "trailing_28d",
+    """SELECT surveillance_network, round(avg(weekly_rate), 8) + 0.0 AS avg_rate FROM overall
+       WHERE week_ending_date >= (SELECT max(week_ending_date) - 28 FROM hosp) GROUP BY 1""",
+    "hosp",
+)
+def _trailing_28d(t):
+    return _tidied(aggregates.trailing_rates(t.hosp), "avg_rate")
+
+
+@query(
+    "risk_share",
+    """SELECT label, count(*) AS count, round(least(100, CAST(100 AS DOUBLE) * count(*) /
+       greatest((SELECT count(DISTINCT geography) FROM ari), 1)), 8) + 0.0 AS share FROM ari_latest GROUP BY 1""",
+    "ari",
+)
+def _risk_share(t):
+    return aggregates.risk_share(t.ari)
+
+
+@query(
+    "detection_avg",
+    """SELECT round(avg(coalesce(nullif(detect_prop_15d, 100), 0)), 8) + 0.0 AS avg_detection FROM ww_latest""",
+    "ww",
+)
+def _detection_avg(t):
+    # Readings of exactly 100 are taken as missing here, so that the default is met.
+    sites = snapshot.wastewater_latest(t.ww)
+    missing = sites.withColumn("detection_rate", F.nullif("detection_rate", F.lit(100.0)))
+    return _tidied(aggregates.detection_average(missing), "avg_detection")
+
+
+@query(
+    "series_lists",
+    """SELECT virus, count(*) AS n, string_agg(strftime(date, '%Y-%m-%d') || '=' || printf('%.6f', rate), ';'
+       ORDER BY date) AS points FROM series GROUP BY 1""",
+    "hosp",
+)
+def _series_lists(t):
+    lists = aggregates.series_lists(_series(t), "virus", "date", "rate")
+    point = lambda p: F.concat(
+        F.date_format(p["date"], "yyyy-MM-dd"), F.lit("="), F.format_string("%.6f", p["rate"])
+    )
+    return lists.select(
+        "virus", F.size("points").cast("long").alias("n"), F.concat_ws(";", F.transform("points", point)).alias("points")
+    )
+
+
+@query(
+    "season_lists",
+    """SELECT surveillance_network, season, count(*) AS n, string_agg(mmwr_week || '=' || printf('%.6f', avg_rate), ';'
+       ORDER BY mmwr_week) AS points FROM season_rates GROUP BY 1, 2""",
+    "hosp",
+    "season_rates",
+)
+def _season_lists(t):
+    keys = ["surveillance_network", "season"]
+    lists = aggregates.series_lists(aggregates.season_comparison(t.hosp), keys, "mmwr_week", "avg_rate")
+    point = lambda p: F.concat(
+        p["mmwr_week"].cast("string"), F.lit("="), F.format_string("%.6f", p["avg_rate"])
+    )
+    return lists.select(
+        *keys, F.size("points").cast("long").alias("n"), F.concat_ws(";", F.transform("points", point)).alias("points")
+    )
+
+
+@query(
+    "state_stats",
+    """SELECT geography, count(*) AS weeks, count(*) FILTER (coalesce(level, 1) >= 4) AS high_weeks,
+       round(avg(coalesce(level, 1)), 8) + 0.0 AS avg_level FROM (
+         SELECT *, row_number() OVER (PARTITION BY geography ORDER BY week_end DESC) AS back FROM ari)
+       WHERE back <= 52 GROUP BY 1""",
+    "ari",
+)
+def _state_stats(t):
+    return _tidied(aggregates.state_stats(t.ari), "avg_level")
+
+
+@query("load_stats", "SELECT count(*) AS row_count, count(DISTINCT county_fips) AS counties FROM ww", "ww")
+def _load_stats(t):
+    return tables.load_stats(t.ww, {"counties": "county_fips"})
+
+
+@query(
+    "series_stats",
+    """SELECT virus, round(avg(rate), 8) + 0.0 AS mean, round(stddev_pop(rate) + 1e-8, 8) + 0.0 AS std,
+       count(*) AS points FROM series GROUP BY 1""",
+    "hosp",
+)
+def _series_stats(t):
+    return _tidied(aggregates.series_stats(_series(t)), "mean", "std")
+
+
+# --- Look-ups and scalar functions --------------------------------------------
+
+
+@query(
+    "map_points",
+    """SELECT geography AS name, label, coalesce(level, 1) AS level, lat, lng,
+       round(CASE WHEN level = 0 THEN CAST(0.3 AS DOUBLE) ELSE CAST(0.4 AS DOUBLE) + coalesce(level, 1) *
+         CAST(0.15 AS DOUBLE) END, 8) + 0.0 AS size, coalesce(level, 1) >= 4 AS ring
+       FROM ari_latest JOIN states USING (geography)""",
+    "ari",
+    "states",
+)
+def _map_points(t):
+    return _tidied(lookups.map_points(snapshot.latest(t.ari, "week_end"), t.state_dim), "size")
+
+
+@query(
+    "state_codes",
+    "SELECT geography, label, code FROM ari_latest JOIN states USING (geography)",
+    "ari",
+    "states",
+)
+def _state_codes(t):
+    return lookups.with_state_code(snapshot.latest(t.ari, "week_end").select("geography", "label"), t.state_dim)
+
+
+@query(
+    "state_fallback",
+    """SELECT wwtp_jurisdiction AS state, wwtp_id, date_end, coalesce(code, wwtp_jurisdiction) AS code
+       FROM ww LEFT JOIN states ON wwtp_jurisdiction = geography""",
+    "ww",
+    "states",
+)
+def _state_fallback(t):
+    sites = t.ww.select(F.col("wwtp_jurisdiction").alias("state"), "wwtp_id", "date_end")
+    return lookups.with_code_or_name(sites, t.state_dim)
+
+
+@query(
+    "state_reverse",
+    """SELECT code, wwtp_id, date_end, geography FROM ww JOIN states ON wwtp_jurisdiction = geography""",
+    "ww",
+    "states",
+)
+def _state_reverse(t):
+    sites = t.ww.select(F.col("wwtp_jurisdiction").alias("state"), "wwtp_id", "date_end")
+    coded = lookups.with_code_or_name(sites, t.state_dim).drop("state")
+    return lookups.state_of_code(coded, t.state_dim)
+
+
+@query(
+    "label_rank",
+    """SELECT geography, label, coalesce(level, 0) AS level,
+       CAST(row_number() OVER (ORDER BY coalesce(level, 0) DESC, geography) AS INTEGER) AS place
+       FROM ari_latest WHERE label <> 'Data Unavailable'""",
+    "ari",
+)
+def _label_rank(t):
+    ranked = lookups.rank_by_level(snapshot.latest(t.ari, "week_end"))
+    # The latest snapshot has one row per geography, so a global order is small.
+    place = F.row_number().over(Window.orderBy(F.col("level").desc(), "geography"))
+    return ranked.select("geography", "label", "level", place.alias("place"))
+
+
+@query(
+    "bands",
+    """SELECT wwtp_id, date_end, CASE WHEN percentile >= 80 THEN 'Very High' WHEN percentile >= 60 THEN 'High'
+         WHEN percentile >= 40 THEN 'Moderate' WHEN percentile >= 20 THEN 'Low' ELSE 'Minimal' END AS band,
+       CASE WHEN ptc_15d > 0 THEN 'up' ELSE 'down' END AS direction, round(round(abs(ptc_15d), 8), 0) + 0.0 AS magnitude,
+       CASE WHEN percentile > 50 THEN 'high' WHEN percentile > 20 THEN 'moderate' ELSE 'safe' END AS overflow
+       FROM ww""",
+    "ww",
+)
+def _bands(t):
+    return t.ww.select(
+        "wwtp_id",
+        "date_end",
+        S.percentile_band("percentile").alias("band"),
+        S.trend_direction("ptc_15d").alias("direction"),
+        S.trend_magnitude("ptc_15d").alias("magnitude"),
+        S.overflow_band("percentile").alias("overflow"),
+    )
+
+
+@query(
+    "banners",
+    """SELECT week_end, high, CASE WHEN high >= 5 THEN 'danger' WHEN high > 0 THEN 'warning' ELSE 'none' END AS banner,
+       CASE WHEN high > 3 THEN 'elevated' ELSE 'low' END AS status FROM (
+         SELECT week_end, count(*) FILTER (label IN ('High', 'Very High')) AS high FROM ari GROUP BY 1)""",
+    "ari",
+)
+def _banners(t):
+    weekly = t.ari.groupBy("week_end").agg(F.count_if(F.col("label").isin("High", "Very High")).alias("high"))
+    return weekly.select(
+        "week_end", "high", S.banner_band("high").alias("banner"), S.overall_status("high").alias("status")
+    )
+
+
+@query(
+    "short_names",
+    """SELECT surveillance_network, replace(replace(surveillance_network, '-NET', ''), 'Surv', '') AS short_name,
+       lower(replace(replace(surveillance_network, '-', '_'), ' ', '_')) AS safe_name,
+       CASE surveillance_network WHEN 'COVID-NET' THEN 'COVID-19' WHEN 'FluSurv-NET' THEN 'Influenza' ELSE 'RSV' END
+         AS virus, count(*) AS n FROM hosp GROUP BY 1""",
+    "hosp",
+)
+def _short_names(t):
+    counted = t.hosp.groupBy("surveillance_network").agg(F.count("*").alias("n"))
+    return lookups.with_virus_name(counted, network_dimension(t.spark)).select(
+        "surveillance_network",
+        S.short_network("surveillance_network").alias("short_name"),
+        S.safe_name("surveillance_network").alias("safe_name"),
+        "virus",
+        "n",
+    )
+
+
+@query(
+    "label_slugs",
+    """SELECT label, replace(lower(label), ' ', '-') AS slug, count(*) AS n FROM ari GROUP BY 1""",
+    "ari",
+)
+def _label_slugs(t):
+    return t.ari.groupBy("label").agg(F.count("*").alias("n")).select("label", S.label_slug("label").alias("slug"), "n")
+
+
+@query(
+    "null_defaults",
+    """SELECT wwtp_id, date_end, coalesce(nullif(county_names, 'County_3'), 'Unknown County') AS county,
+       coalesce(nullif(percentile, 7), 0) AS percentile FROM ww""",
+    "ww",
+)
+def _null_defaults(t):
+    # One county and one percentile are blanked first, so that the defaults are met.
+    sites = t.ww.select(
+        "wwtp_id",
+        "date_end",
+        F.nullif("county_names", F.lit("County_3")).alias("county"),
+        F.nullif("percentile", F.lit(7.0)).alias("percentile"),
+    )
+    return snapshot.with_display_defaults(sites)
+
+
+# --- Ordered series -----------------------------------------------------------
+
+_WOW_COLUMNS = """virus, date, round(rate, 8) + 0.0 AS rate, round(previous, 8) + 0.0 AS previous,
+  CASE WHEN previous > 0 THEN round(round((rate - previous) / previous * 100, 8), 1) + 0.0 ELSE 0 END AS change_pct"""
+
+
+@query("wow_change", f"SELECT {_WOW_COLUMNS} FROM wow WHERE back = 1", "hosp", "wow")
+def _wow_change(t):
+    return _tidied(trends.week_over_week(_series(t)), "rate", "previous")
+
+
+@query("wow_history", f"SELECT {_WOW_COLUMNS} FROM wow", "hosp", "wow")
+def _wow_history(t):
+    return _tidied(trends.week_over_week(_series(t), latest_only=False), "rate", "previous")
+
+
+@query(
+    "last_two_seasons",
+    """SELECT surveillance_network, season, mmwr_week, round(avg_rate, 8) + 0.0 AS avg_rate, season_rank FROM (
+         SELECT *, CAST(dense_rank() OVER (PARTITION BY surveillance_network ORDER BY season DESC) AS INTEGER)
+           AS season_rank FROM season_rates) WHERE season_rank <= 2""",
+    "hosp",
+    "season_rates",
+)
+def _last_two_seasons(t):
+    return _tidied(trends.last_seasons(aggregates.season_comparison(t.hosp)), "avg_rate")
+
+
+@query(
+    "season_alignment",
+    """SELECT surveillance_network, season, mmwr_week, round(avg_rate, 8) + 0.0 AS avg_rate,
+       lag(season) OVER w AS previous_season, round(lag(avg_rate) OVER w, 8) + 0.0 AS previous_rate
+       FROM season_rates WINDOW w AS (PARTITION BY surveillance_network, mmwr_week ORDER BY season)""",
+    "hosp",
+    "season_rates",
+)
+def _season_alignment(t):
+    return _tidied(trends.season_alignment(aggregates.season_comparison(t.hosp)), "avg_rate", "previous_rate")
+
+
+def _anomaly_sql(z_min: float, recent: str) -> str:
+    return f"""
+SELECT detected_date, geography, metric, round(round(latest, 8), 2) + 0.0 AS value,
+       round(round(z, 8), 2) + 0.0 AS z_score, CASE WHEN abs(z) > 3 THEN 'Critical' ELSE 'Warning' END AS severity,
+       printf('%s %s rate %.1f is %.1f deviations %s its average of %.1f', geography,
+              replace(replace(metric, '-NET', ''), 'Surv', ''), round(round(latest, 8), 1),
+              round(round(abs(z), 8), 1), CASE WHEN z > 0 THEN 'above' ELSE 'below' END,
+              round(round(mean, 8), 1)) AS description
+FROM (SELECT *, (latest - mean) / (std + 1e-8) AS z FROM (
+  SELECT site AS geography, surveillance_network AS metric, count(*) AS points,
+         max(week_ending_date) FILTER (back = 1) AS detected_date, max(weekly_rate) FILTER (back = 1) AS latest,
+         avg(weekly_rate) FILTER (back > 1) AS mean, stddev_pop(weekly_rate) FILTER (back > 1) AS std
+  FROM (SELECT *, row_number() OVER (PARTITION BY site, surveillance_network ORDER BY week_ending_date DESC) AS back
+        FROM {recent}) GROUP BY 1, 2) WHERE points >= 8)
+WHERE abs(z) > {z_min} ORDER BY abs(round(round(z, 8), 2)) DESC, geography, metric LIMIT 20"""
+
+
+_RECENT_ROWS = """(SELECT * FROM overall ORDER BY week_ending_date DESC, site, surveillance_network, weekly_rate
+  LIMIT 2000)"""
+_RECENT_WEEKS = """(SELECT * FROM overall QUALIFY row_number() OVER (PARTITION BY site, surveillance_network
+  ORDER BY week_ending_date DESC) <= 104)"""
+
+
+@query("anomalies", _anomaly_sql(2.0, _RECENT_ROWS), "hosp")
+def _anomalies(t):
+    return anomalies.detect_anomalies(t.hosp)
+
+
+@query("anomalies_low", _anomaly_sql(0.5, _RECENT_ROWS), "hosp")
+def _anomalies_low(t):
+    return anomalies.detect_anomalies(t.hosp, z_min=0.5)
+
+
+@query("anomalies_by_weeks", _anomaly_sql(0.5, _RECENT_WEEKS), "hosp")
+def _anomalies_by_weeks(t):
+    return anomalies.detect_anomalies(t.hosp, z_min=0.5, recent_weeks=104)
+
+
+@query(
+    "missing_weeks",
+    """SELECT g.virus, g.date, s.rate IS NULL AS interpolated,
+       round(coalesce(s.rate, b.rate + (a.rate - b.rate) * (g.date - b.date) / (a.date - b.date)), 8) + 0.0 AS rate
+       FROM (SELECT virus, CAST(unnest(generate_series(min(date), max(date), INTERVAL 7 DAY)) AS DATE) AS date
+             FROM series GROUP BY virus) g
+       LEFT JOIN series s ON g.virus = s.virus AND g.date = s.date
+       ASOF LEFT JOIN series b ON g.virus = b.virus AND g.date >= b.date
+       ASOF LEFT JOIN series a ON g.virus = a.virus AND g.date <= a.date""",
+    "hosp",
+)
+def _missing_weeks(t):
+    return _tidied(trends.fill_missing_weeks(_series(t)), "rate")
+
+
+@query(
+    "ww_rolling",
+    """SELECT wwtp_id, date_end, percentile, round(avg(percentile) OVER (PARTITION BY wwtp_id ORDER BY date_end
+       RANGE BETWEEN INTERVAL 89 DAYS PRECEDING AND CURRENT ROW), 8) + 0.0 AS rolling_percentile FROM ww""",
+    "ww",
+)
+def _ww_rolling(t):
+    return _tidied(trends.wastewater_rolling(t.ww), "rolling_percentile")
+
+
+@query(
+    "ww_lead",
+    """SELECT virus, CAST(k AS INTEGER) AS lead, round(corr(s, rate), 8) + 0.0 AS corr FROM (
+         SELECT r.virus, r.rate, r.period, k, lag(w.signal, k) OVER (PARTITION BY virus, k ORDER BY r.period) AS s
+         FROM (SELECT surveillance_network AS virus, last_day(week_ending_date) AS period, avg(weekly_rate) AS rate
+               FROM overall GROUP BY 1, 2) r
+         JOIN (SELECT date_end AS period, avg(percentile) AS signal FROM ww GROUP BY 1) w ON r.period = w.period,
+         range(5) AS leads(k)) GROUP BY 1, 2""",
+    "hosp",
+    "ww",
+)
+def _ww_lead(t):
+    signal = t.ww.groupBy(F.col("date_end").alias("period")).agg(F.avg("percentile").alias("signal"))
+    rates = (
+        t.hosp.filter(S.is_overall_observed())
+        .groupBy(F.col("surveillance_network").alias("virus"), F.last_day("week_ending_date").alias("period"))
+        .agg(F.avg("weekly_rate").alias("rate"))
+    )
+    return _tidied(trends.lead_correlation(signal, rates), "corr")
+
+
+# --- Ingest -------------------------------------------------------------------
+
+
+@query(
+    "dedup_last",
+    """SELECT l_orderkey, l_linenumber, l_shipdate, l_extendedprice, l_partkey, l_suppkey FROM lineitem
+       QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+         ORDER BY l_shipdate DESC, l_extendedprice DESC, l_partkey DESC, l_suppkey DESC) = 1""",
+)
+def _dedup_last(t):
+    columns = ["l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice", "l_partkey", "l_suppkey"]
+    newest = [F.col(c).desc() for c in columns[2:]]
+    return tables.keep_last(t.table("lineitem").select(*columns), columns[:2], *newest)
+
+
+_HOSP_ALL = _HOSP_COLUMNS + ", sex, race_ethnicity, rate_type"
+
+
+@query(
+    "upsert_hosp",
+    f"""SELECT {_HOSP_ALL} FROM hosp QUALIFY row_number() OVER (
+          PARTITION BY surveillance_network, week_ending_date, age_group, sex, race_ethnicity, site
+          ORDER BY rate_type) = 1""",
+    "hosp",
+)
+def _upsert_hosp(t):
+    # 'Estimated' rows arrive as the batch and replace the stored 'Observed' ones.
+    numbered = t.hosp.withColumn("_seq", F.lit(0).cast("long"))
+    stored = numbered.filter(F.col("rate_type") == "Observed")
+    batch = numbered.filter(F.col("rate_type") == "Estimated")
+    key = TABLES["hospitalization_rates"].key
+    return tables.merge_latest(stored, batch, key).drop("_seq")
+
+
+@query(
+    "upsert_ari",
+    """SELECT week_end, geography, arg_max(label, rank) AS label, arg_max(buildnumber, rank) AS buildnumber FROM (
+         SELECT week_end, geography, label, buildnumber, 0 AS rank FROM ari UNION ALL
+         SELECT week_end + 7, geography, label, buildnumber, 1 FROM ari) GROUP BY 1, 2""",
+    "ari",
+)
+def _upsert_ari(t):
+    # The same rows a week later arrive as a batch: most keys are corrections, some are new.
+    stored = t.ari.withColumn("_seq", F.lit(0).cast("long"))
+    batch = stored.withColumn("week_end", F.date_add("week_end", 7))
+    return tables.merge_latest(stored, batch, TABLES["ari_activity"].key).drop("_seq")
+
+
+@query(
+    "upsert_pos",
+    """SELECT week_end, pathogen, round(max(percent_test_positivity), 8) + 0.0 AS percent_test_positivity FROM (
+         SELECT week_end, pathogen, arg_max(percent_test_positivity, seq) AS percent_test_positivity FROM (
+           SELECT CAST(ts AS DATE) AS week_end, CASE event_type WHEN 'click' THEN 'COVID-19' WHEN 'view' THEN
+             'Influenza' WHEN 'purchase' THEN 'RSV' ELSE event_type END AS pathogen,
+             value AS percent_test_positivity, event_id AS seq FROM events
+           UNION ALL SELECT week_end, pathogen, percent_test_positivity, -1 FROM pos) GROUP BY 1, 2)
+       GROUP BY 1, 2""",
+    "pos",
+)
+def _upsert_pos(t):
+    # The stored rows carry the lowest sequence number, every event is a later correction.
+    stored = t.pos.withColumn("_seq", F.lit(-1).cast("long"))
+    batch = _raw_positivity(t.table("events"))
+    cleaned = landing.accepted(landing.clean_positivity(batch))
+    merged = tables.merge_latest(stored, cleaned, TABLES["test_positivity"].key, by_sequence=True)
+    return _tidied(merged.drop("_seq"), "percent_test_positivity")
+
+
+def _raw_positivity(events: DataFrame) -> DataFrame:
+    """Events as raw text records of the positivity table."""
+    return events.select(
+        F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit("T00:00:00.000")).alias("week_end"),
+        testdata.pathogen("event_type").alias("pathogen"),
+        F.col("value").cast("string").alias("percent_test_positivity"),
+        F.col("event_id").alias("_seq"),
+    )
+
+
+@query(
+    "clean_numbers",
+    """SELECT l_orderkey AS record, l_linenumber AS line, CAST(l_shipdate AS DATE) AS week_ending_date,
+         CAST(CASE WHEN l_tax = 0 THEN NULL WHEN l_tax < CAST(0.03 AS DOUBLE) THEN 0 ELSE 27 END AS INTEGER) AS mmwr_week,
+         CASE WHEN l_returnflag = 'A' THEN 'Overall' ELSE l_returnflag END AS age_group,
+         CAST(CASE l_linenumber WHEN 1 THEN CAST(l_quantity AS INTEGER) WHEN 2 THEN 0 WHEN 3 THEN 0 WHEN 4 THEN NULL
+              WHEN 5 THEN NULL WHEN 6 THEN 1000 ELSE 125 END AS DOUBLE) AS weekly_rate,
+         CASE WHEN l_tax = 0 THEN 'mmwr_week unreadable' WHEN l_linenumber IN (4, 5) THEN 'weekly_rate unreadable' END
+           AS reject_reason FROM lineitem""",
+)
+def _clean_numbers(t):
+    line, tax = F.col("l_linenumber"), F.col("l_tax")
+    rate = (
+        F.when(line == 1, F.col("l_quantity").cast("int").cast("string"))
+        .when(line == 2, "")
+        .when(line == 3, F.lit(None))
+        .when(line == 4, "abc")
+        .when(line == 5, "1.5d")
+        .when(line == 6, "1_000")
+        .otherwise(" 12.5e1 ")
+    )
+    raw = t.table("lineitem").select(
+        F.lit("RSV-NET").alias("surveillance_network"),
+        F.lit("2000-2001").alias("season"),
+        F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("week_ending_date"),
+        F.lit("2001").alias("mmwr_year"),
+        F.when(tax == 0, "1.0").when(tax < 0.03, F.lit(None)).otherwise("27").alias("mmwr_week"),
+        F.when(F.col("l_returnflag") != "A", F.col("l_returnflag")).alias("age_group"),
+        *(F.lit(None).cast("string").alias(c) for c in ("sex", "race_ethnicity", "site", "cumulative_rate", "rate_type")),
+        rate.alias("weekly_rate"),
+        # The record id rides in the sequence column: cleaning keeps nothing else of the source.
+        (F.col("l_orderkey") * 10 + line).alias("_seq"),
+    )
+    return landing.clean_hospitalization(raw).select(
+        F.expr("_seq div 10").alias("record"),
+        (F.col("_seq") % 10).cast("int").alias("line"),
+        "week_ending_date",
+        "mmwr_week",
+        "age_group",
+        "weekly_rate",
+        "reject_reason",
+    )
+
+
+def _as_landing(df: DataFrame, table: str, sequence: Column) -> DataFrame:
+    """Typed rows as the text records a landing folder holds."""
+    raw = TABLES[table].raw_schema.names[:-1]
+    return df.select(*(F.col(c).cast("string").alias(c) for c in raw), sequence.cast("long").alias("_seq"))
+
+
+def _stage_landing(t: _Sources, folder: str) -> None:
+    last = F.when(F.col("rate_type") == "Estimated", 1).otherwise(0)
+    zero = F.lit(0)
+    for table, df, sequence in (
+        ("ari_activity", t.ari, zero),
+        ("hospitalization_rates", t.hosp, last),
+        ("test_positivity", t.pos, zero),
+        ("wastewater_sites", t.ww, zero),
+    ):
+        _as_landing(df, table, sequence).write.json(f"{folder}/{table}")
+
+
+@query(
+    "refresh_counts",
+    """SELECT 'ari_activity' AS table_name, count(*) AS row_count FROM ari UNION ALL
+       SELECT 'hospitalization_rates', count(*) FROM (SELECT DISTINCT surveillance_network, week_ending_date, age_group,
+         sex, race_ethnicity, site FROM hosp) UNION ALL
+       SELECT 'test_positivity', count(*) FROM pos UNION ALL
+       SELECT 'wastewater_sites', count(*) FROM ww
+         WHERE date_end > CAST(DATE '2001-12-01' - INTERVAL 365 DAY AS DATE)""",
+    "ari",
+    "hosp",
+    "pos",
+    "ww",
+)
+def _refresh_counts(t):
+    folder = _work_folder(t, "refresh")
+    _stage_landing(t, f"{folder}/landing")
+    tables.declare_tables(t.spark, f"{folder}/tables")
+    if not refresh.refresh_all(t.spark, f"{folder}/landing", f"{folder}/tables", as_of="2001-12-01"):
+        raise RuntimeError("refresh failed")
+    return refresh.table_counts(t.spark, f"{folder}/tables")
+
+
+# --- Features -----------------------------------------------------------------
+
+_TABULAR = ", ".join(f"round({c}, 8) + 0.0 AS {c}" for c in [*features.TABULAR_FEATURES, "target"])
+
+
+@query("tabular_features", f"SELECT virus, date, CAST(idx AS INTEGER) AS idx, {_TABULAR} FROM tabular", "hosp", "samples")
+def _tabular_features(t):
+    return _tidied(features.tabular_samples(_series(t)), *features.TABULAR_FEATURES, "target")
+
+
+@query(
+    "sequence_features",
+    """SELECT s.virus, s.date, CAST(step AS INTEGER) AS step, round(value, 8) + 0.0 AS value,
+         round(lag1, 8) + 0.0 AS lag1, round(lag2, 8) + 0.0 AS lag2, round(roll_avg, 8) + 0.0 AS roll_avg,
+         round(sin(2 * pi() * (s.idx - 12 + step) / 52), 8) + 0.0 AS week_sin,
+         round(t0, 8) + 0.0 AS t0, round(t1, 8) + 0.0 AS t1, round(t2, 8) + 0.0 AS t2, round(t3, 8) + 0.0 AS t3
+       FROM (
+         SELECT a.virus, a.date, a.idx, a.t0, a.t1, a.t2, a.t3, b.idx - a.idx + 12 AS step, b.norm AS value,
+           coalesce(lag(b.norm, 1) OVER w, b.norm) AS lag1, coalesce(lag(b.norm, 2) OVER w, b.norm) AS lag2,
+           avg(b.norm) OVER (w ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS roll_avg
+         FROM (SELECT *, norm AS t0, lead(norm, 1) OVER v AS t1, lead(norm, 2) OVER v AS t2, lead(norm, 3) OVER v AS t3
+               FROM norm WINDOW v AS (PARTITION BY virus ORDER BY date)) a
+         JOIN norm b ON a.virus = b.virus AND b.idx BETWEEN a.idx - 12 AND a.idx - 1
+         WHERE a.points >= 16 AND a.idx >= 12 AND a.idx < a.points - 4
+         WINDOW w AS (PARTITION BY a.virus, a.idx ORDER BY b.idx)) s""",
+    "hosp",
+    "norm",
+)
+def _sequence_features(t):
+    samples = features.sequence_samples(features.normalised(_series(t)), "norm")
+    targets = [F.get(F.col("targets"), F.lit(h)).alias(f"t{h}") for h in range(features.HORIZON)]
+    rows = samples.select("virus", "date", F.explode("steps").alias("s"), *targets)
+    flat = rows.select("virus", "date", "s.*", *(f"t{h}" for h in range(features.HORIZON)))
+    return _tidied(flat, "value", "lag1", "lag2", "roll_avg", "week_sin", "t0", "t1", "t2", "t3")
+
+
+@query(
+    "normalised",
+    """SELECT virus, date, round(rate, 8) + 0.0 AS rate, round(mean, 8) + 0.0 AS mean, round(std, 8) + 0.0 AS std,
+       round(norm, 8) + 0.0 AS norm FROM norm""",
+    "hosp",
+    "norm",
+)
+def _normalised(t):
+    return _tidied(features.normalised(_series(t)), "rate", "mean", "std", "norm")
+
+
+@query("denormalised", "SELECT virus, date, round(rate, 6) + 0.0 AS rate FROM series", "hosp")
+def _denormalised(t):
+    series = _series(t)
+    scaled = features.normalised(series).select("virus", "date", F.col("norm").alias("rate"))
+    back = features.denormalise(scaled, aggregates.series_stats(series), "rate")
+    return back.withColumn("rate", S.tidy("rate", 6))
+
+
+@query(
+    "split",
+    """SELECT virus, date, row_number() OVER (PARTITION BY virus ORDER BY date) <=
+       floor(CAST(0.8 AS DOUBLE) * count(*) OVER (PARTITION BY virus)) AS is_train FROM tabular""",
+    "hosp",
+    "samples",
+)
+def _split(t):
+    return features.time_split(features.tabular_samples(_series(t))).select("virus", "date", "is_train")
+
+
+@query(
+    "recent8",
+    """SELECT virus, date, 'Week -' || back AS label, round(round(rate, 8), 2) + 0.0 AS rate FROM wow WHERE back <= 8""",
+    "hosp",
+    "wow",
+)
+def _recent8(t):
+    return features.recent_rates(_series(t))
+
+
+_STATUS = ", ".join(
+    f"CASE WHEN count(*) >= {n} THEN 'ok' ELSE 'insufficient_data' END AS {c}"
+    for n, c in ((30, "training"), (12, "direct_forecast"), (8, "recursive_forecast"))
+)
+
+
+@query("series_status", f"SELECT virus, count(*) AS points, {_STATUS} FROM series GROUP BY 1", "hosp")
+def _series_status(t):
+    return features.series_status(_series(t))
+
+
+# --- Scenarios ----------------------------------------------------------------
+
+_EXPECTED = """
+  CAST(week AS INTEGER) AS week, round(1 + (surge_multiplier - 1) * least(1, week / CAST(4 AS DOUBLE)), 8) + 0.0
+    AS week_multiplier, round(adm, 8) + 0.0 AS admissions, round(adm * icu_pct / 100, 8) + 0.0 AS icu_admissions,
+  round(adm * least(avg_los_days / 7, CAST(1.5 AS DOUBLE)), 8) + 0.0 AS beds,
+  round(adm * icu_pct / 100 * least(icu_los_days / 7, CAST(2 AS DOUBLE)), 8) + 0.0 AS icu_beds,
+  round(round(adm * least(avg_los_days / 7, CAST(1.5 AS DOUBLE)) * cost_per_bed_day * 7 + adm * icu_pct / 100 *
+    least(icu_los_days / 7, CAST(2 AS DOUBLE)) * cost_per_icu_day * 7, 6), 4) + 0.0 AS cost"""
+_ADMISSIONS = """current_rate * (1 + (surge_multiplier - 1) * least(1, week / CAST(4 AS DOUBLE))) *
+  (population / CAST(100000 AS DOUBLE)) * (hospitalization_pct / 100) AS adm"""
+_EXPECTED_COLUMNS = ["week", "week_multiplier", "admissions", "icu_admissions", "beds", "icu_beds", "cost"]
+
+
+def _expected(df: DataFrame, *keys: str) -> DataFrame:
+    rounded = _tidied(df, *_EXPECTED_COLUMNS[1:-1])
+    return rounded.withColumn("cost", F.round(F.round("cost", 6), 4) + F.lit(0.0)).select(*keys, *_EXPECTED_COLUMNS)
+
+
+@query(
+    "scenario_expected",
+    f"SELECT scenario_id, {_EXPECTED} FROM (SELECT *, {_ADMISSIONS} FROM scenarios, range(8) AS w(week))",
+    "scenarios",
+)
+def _scenario_expected(t):
+    return _expected(capacity.expected_demand(t.scenarios), "scenario_id")
+
+
+@query(
+    "scenario_seeded",
+    f"""SELECT scenario_id, surveillance_network, {_EXPECTED} FROM (SELECT *, {_ADMISSIONS} FROM (
+          SELECT s.* EXCLUDE (current_rate), surveillance_network, r.rate AS current_rate FROM scenarios s,
+            (SELECT surveillance_network, round(round(avg(weekly_rate), 8), 2) + 0.0 AS rate FROM overall
+             WHERE week_ending_date = (SELECT max(week_ending_date) FROM hosp) GROUP BY 1) r), range(8) AS w(week))""",
+    "scenarios",
+    "hosp",
+)
+def _scenario_seeded(t):
+    seeded = capacity.seeded(capacity.with_defaults(t.scenarios), aggregates.current_rates(t.hosp))
+    return _expected(capacity.expected_demand(seeded, "surveillance_network"), "scenario_id", "surveillance_network")
+
+
+@query("scenario_draws", "SELECT * FROM weekly", "hospitals")
+def _scenario_draws(t):
+    return capacity.weekly_summary(capacity.draw_demand(t.hospitals))
+
+
+@query(
+    "scenario_cost",
+    """SELECT scenario_id, round(round(avg(cost) * 8, 8), 0) + 0.0 AS total_cost_mean,
+       round(round(quantile_cont(cost, 0.95) * 8, 8), 0) + 0.0 AS total_cost_p95 FROM drawn GROUP BY 1""",
+    "hospitals",
+)
+def _scenario_cost(t):
+    return capacity.total_cost(capacity.draw_demand(t.hospitals))
+
+
+@query(
+    "scenario_cost_text",
+    """SELECT scenario_id, CASE WHEN c >= 1e9 THEN printf('$%.1fB', round(round(c / 1e9, 8), 1))
+         WHEN c >= 1e6 THEN printf('$%.1fM', round(round(c / 1e6, 8), 1))
+         WHEN c >= 1e3 THEN printf('$%.0fK', round(round(c / 1e3, 8), 0)) ELSE printf('$%.0f', round(c, 0)) END AS cost
+       FROM (SELECT scenario_id, CAST(population AS DOUBLE) * current_rate AS c FROM scenarios)""",
+    "scenarios",
+)
+def _scenario_cost_text(t):
+    amount = F.col("population").cast("double") * F.col("current_rate")
+    return t.scenarios.select("scenario_id", S.currency_text(amount).alias("cost"))
+
+
+@query(
+    "scenario_peaks",
+    """SELECT scenario_id, peak_beds, peak_icu_beds, peak_overflow_pct, peak_beds > beds_available AS beds_exceeded,
+       peak_icu_beds > icu_beds_available AS icu_exceeded, CASE WHEN peak_overflow_pct > 50 THEN 'high'
+       WHEN peak_overflow_pct > 20 THEN 'moderate' ELSE 'safe' END AS overflow_band
+       FROM (SELECT scenario_id, max(beds_mean) AS peak_beds, max(icu_beds_mean) AS peak_icu_beds,
+                    max(beds_overflow_pct) AS peak_overflow_pct FROM weekly GROUP BY 1)
+       JOIN hospitals USING (scenario_id)""",
+    "hospitals",
+)
+def _scenario_peaks(t):
+    return capacity.peaks(capacity.weekly_summary(capacity.draw_demand(t.hospitals)), t.hospitals)
+
+
+# --- Questions and briefs -----------------------------------------------------
+
+_ROUTED = """
+routed AS (
+  SELECT question_id, geography, CASE WHEN geography IS NOT NULL THEN 'geography'
+    WHEN regexp_matches(lower(question), 'covid|positivity|test|flu|rsv|influenza') THEN 'positivity'
+    WHEN regexp_matches(lower(question), 'risk|high|outbreak|danger|worst|concern') THEN 'risk' ELSE 'summary' END AS route
+  FROM (SELECT q.question_id, q.question, arg_min(p.geography, (-length(p.geography), p.geography)) AS geography
+        FROM questions q LEFT JOIN (SELECT DISTINCT geography FROM ari) p
+          ON contains(lower(q.question), lower(p.geography)) GROUP BY 1, 2)
+)"""
+CTES["routed"] = _ROUTED
+CTES["turns"] = """
+questions AS (
+  SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS question_id, text AS question FROM conversations
+)"""
+
+
+def _places(t: _Sources) -> DataFrame:
+    return t.ari.select("geography").distinct()
+
+
+@query("route_questions", "SELECT question_id, geography, route FROM routed", "questions", "ari", "routed")
+def _route_questions(t):
+    return questions.route_questions(t.questions, _places(t)).select("question_id", "geography", "route")
+
+
+@query("route_questions_join", "SELECT question_id, geography, route FROM routed", "questions", "ari", "routed")
+def _route_questions_join(t):
+    # The way taken beyond the checked size of the place list.
+    return questions.route_questions(t.questions, _places(t), inline_names=0).select("question_id", "geography", "route")
+
+
+@query(
+    "route_conversations",
+    "SELECT question_id, geography, route FROM routed",
+    "turns",
+    "ari",
+    "routed",
+)
+def _route_conversations(t):
+    turns = t.table("conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.col("text").alias("question")
+    )
+    return questions.route_questions(turns, _places(t)).select("question_id", "geography", "route")
+
+
+_BRIEF_FIELDS = """
+SELECT (SELECT max(week_end) FROM ari) AS week_end, (SELECT count(*) FROM ari_latest) AS total_states,
+  (SELECT count(*) FROM ari_latest WHERE label IN ('High', 'Very High')) AS high_count,
+  (SELECT CASE WHEN count(*) > 3 THEN 'elevated' ELSE 'low' END FROM ari_latest WHERE label IN ('High', 'Very High'))
+    AS status,
+  coalesce((SELECT string_agg(geography, ', ' ORDER BY geography) FROM ari_latest WHERE label IN ('High', 'Very High')),
+    '') AS high_risk_states,
+  (SELECT pathogen FROM pos_latest ORDER BY percent_test_positivity DESC, pathogen LIMIT 1) AS dominant_pathogen,
+  (SELECT round(round(max(percent_test_positivity), 8), 1) + 0.0 FROM pos_latest) AS dominant_positivity,
+  (SELECT string_agg(pathogen || ': ' || printf('%.1f', round(round(percent_test_positivity, 8), 1)) || '%', '; '
+     ORDER BY pathogen) FROM pos_latest WHERE pathogen <> (SELECT pathogen FROM pos_latest
+     ORDER BY percent_test_positivity DESC, pathogen LIMIT 1)) AS other_positivity,
+  (SELECT string_agg(label || ': ' || n, '; ' ORDER BY level DESC) FROM (SELECT label, level, count(*) AS n
+     FROM ari_latest WHERE level IS NOT NULL GROUP BY 1, 2)) AS risk_distribution"""
+
+
+@query("weekly_brief", _BRIEF_FIELDS, "ari", "pos")
+def _weekly_brief(t):
+    return briefing.weekly_brief(t.ari, t.pos)
+
+
+CTES["brief"] = f"brief AS ({_BRIEF_FIELDS})"
+_POSITIVITY_TEXT = """(SELECT string_agg(pathogen || ': ' || printf('%.1f', round(round(percent_test_positivity, 8), 1))
+  || '%', '; ' ORDER BY pathogen) FROM pos_latest)"""
+
+
+@query(
+    "answers",
+    f"""SELECT question_id, route, r.geography, CASE route
+         WHEN 'geography' THEN r.geography || ' has an activity level of ' || coalesce(label, 'Unknown')
+         WHEN 'positivity' THEN {_POSITIVITY_TEXT}
+         WHEN 'risk' THEN (SELECT CASE WHEN high_count = 0 THEN 'No place is at a High or Very High activity level.'
+           ELSE high_count || ' place(s) at a High or Very High activity level: ' || high_risk_states END FROM brief)
+         ELSE (SELECT 'Week ending ' || strftime(week_end, '%Y-%m-%d') || chr(10) || 'Overall activity: ' || status ||
+           ' in ' || total_states || ' places' || chr(10) || CASE WHEN high_count > 0 THEN 'High or Very High: ' ||
+           high_risk_states ELSE 'High or Very High: none' END || chr(10) || 'Highest positivity: ' ||
+           dominant_pathogen || ' at ' || printf('%.1f', dominant_positivity) || '%' || chr(10) ||
+           'Other positivity: ' || other_positivity || chr(10) || 'Levels: ' || risk_distribution FROM brief) END AS answer
+       FROM routed r LEFT JOIN ari_latest a ON r.geography = a.geography""",
+    "questions",
+    "ari",
+    "pos",
+    "routed",
+    "brief",
+)
+def _answers(t):
+    return questions.answer_questions(t.questions, t.ari, t.pos)
+
+
+@query(
+    "context",
+    f"""SELECT (SELECT string_agg(geography || ': ' || label, '; ' ORDER BY geography) FROM ari_latest
+           WHERE label <> 'Data Unavailable') AS activity,
+         coalesce((SELECT string_agg(geography, ', ' ORDER BY geography) FROM ari_latest
+           WHERE label IN ('High', 'Very High')), 'None') AS high_risk, {_POSITIVITY_TEXT} AS positivity,
+         (SELECT string_agg(n || ': ' || printf('%.1f', round(round(r, 8), 1)), '; ' ORDER BY n) FROM (
+           SELECT surveillance_network AS n, avg(weekly_rate) AS r FROM overall
+           WHERE week_ending_date >= (SELECT max(week_ending_date) - 28 FROM hosp) GROUP BY 1)) AS hospitalization,
+         (SELECT printf('%d sites in %d counties, average percentile %.0f', count(*), count(DISTINCT county_fips),
+           round(round(avg(percentile), 8), 0)) FROM ww_latest) AS wastewater""",
+    "ari",
+    "pos",
+    "hosp",
+    "ww",
+)
+def _context(t):
+    return briefing.data_context(t.ari, t.pos, t.hosp, t.ww)
+
+
+# --- Forecasts ----------------------------------------------------------------
+
+BENCH_TREES = 20
+
+
+def _trained(t: _Sources) -> forecasting.Trained:
+    """The boosted trees of this folder, trained once per application and stored."""
+    name = hashlib.sha256(t.folder.encode()).hexdigest()[:16]
+    path = f"{shared_dir(t.spark)}/epiweave/{t.spark.sparkContext.applicationId}/models/{name}"
+    return forecasting.fit_or_load(_series(t), path, max_iter=BENCH_TREES)
+
+
+@query("forecast_gbt")
+def _forecast_gbt(t):
+    return forecasting.gbt_forecast(_series(t), _trained(t))
+
+
+@query("forecast_direct")
+def _forecast_direct(t):
+    return forecasting.direct_forecast(_series(t))
+
+
+@query("forecast_compare")
+def _forecast_compare(t):
+    series = _series(t)
+    return forecasting.compare_forecasts(
+        forecasting.gbt_forecast(series, _trained(t)), forecasting.direct_forecast(series)
+    )
+
+
+@query("forecast_stacked")
+def _forecast_stacked(t):
+    series = _series(t)
+    return forecasting.stacked(
+        series, forecasting.gbt_forecast(series, _trained(t)), forecasting.direct_forecast(series)
+    )
+
+
+@query("forecast_eval")
+def _forecast_eval(t):
+    return _trained(t).metrics
+
+
+@query("importances")
+def _importances(t):
+    return forecasting.importances(_trained(t).model, t.spark)
+
+
+@query(
+    "bands_math",
+    """SELECT virus, date AS forecast_date, CAST(date + CAST(7 * (idx % 4 + 1) AS INTEGER) AS DATE) AS target_date, 'All' AS geography,
+         round(round(rate, 8), 2) + 0.0 AS predicted_rate,
+         round(round(greatest(0, rate - m * (1 + CAST(0.25 AS DOUBLE) * (idx % 4))), 8), 2) + 0.0 AS lower_bound,
+         round(round(rate + m * (1 + CAST(0.25 AS DOUBLE) * (idx % 4)), 8), 2) + 0.0 AS upper_bound,
+         'given' AS model_version FROM (SELECT *, CAST(7 AS DOUBLE) AS m FROM indexed)""",
+    "hosp",
+)
+def _bands_math(t):
+    # Every observed week stands in for a prediction, its position for the step.
+    given = features.indexed(_series(t)).select("virus", "date", (F.col("idx") % 4).alias("step"), "rate")
+    metrics = _series(t).select("virus").distinct().withColumn("mae", F.lit(7.0))
+    return forecasting.forecast_table(given.withColumnRenamed("rate", "value"), metrics, 0.25, "given")
+
+
+@query(
+    "holdout_error",
+    """SELECT virus, round(avg(CASE WHEN NOT is_train THEN abs(lag_1 - target) END), 8) + 0.0 AS mae,
+         count(*) FILTER (is_train) AS train_samples, count(*) FILTER (NOT is_train) AS val_samples
+       FROM (SELECT *, row_number() OVER (PARTITION BY virus ORDER BY date) <=
+               floor(CAST(0.8 AS DOUBLE) * count(*) OVER (PARTITION BY virus)) AS is_train FROM tabular) GROUP BY 1""",
+    "hosp",
+    "samples",
+)
+def _holdout_error(t):
+    # The naive forecast, last week's rate, measured on the same hold-out.
+    samples = features.time_split(features.tabular_samples(_series(t)))
+    return _tidied(forecasting.holdout_metrics(samples, "target", "lag_1"), "mae")
+
+
+# --- Streaming ----------------------------------------------------------------
+
+
+def _event_stream(t: _Sources) -> DataFrame:
+    """The events table as a stream of raw records, one batch per file."""
+    source = t.table("events")
+    # The bracket makes the path a pattern, which matches a single file as well as a folder.
+    return (
+        t.spark.readStream.schema(source.schema)
+        .option("maxFilesPerTrigger", 1)
+        .parquet(f"{t.folder}/events.parque[t]")
+    )
+
+
+@query(
+    "stream_upsert",
+    """SELECT CAST(ts AS DATE) AS week_end, CASE event_type WHEN 'click' THEN 'COVID-19' WHEN 'view' THEN 'Influenza'
+         WHEN 'purchase' THEN 'RSV' ELSE event_type END AS pathogen, arg_max(value, event_id) AS percent_test_positivity
+       FROM events GROUP BY 1, 2""",
+)
+def _stream_upsert(t):
+    folder = _work_folder(t, "stream")
+    tables.declare_tables(t.spark, folder, ("test_positivity",))
+    raw = _raw_positivity(_event_stream(t))
+    streaming.stream_upsert(raw, "test_positivity", folder, f"{folder}/checkpoint").awaitTermination()
+    return tables.read_table(t.spark, folder, "test_positivity").select(
+        "week_end", "pathogen", "percent_test_positivity"
+    )
+
+
+@query(
+    "stream_summary",
+    _DASHBOARD_SQL,
+    "ari",
+    "hosp",
+    "streamed",
+    "ww",
+)
+def _stream_summary(t):
+    folder = _work_folder(t, "summary")
+    tables.declare_tables(t.spark, folder)
+    zero = F.lit(0).cast("long")
+    for name, df in (("ari_activity", t.ari), ("hospitalization_rates", t.hosp), ("wastewater_sites", t.ww)):
+        tables.upsert(t.spark, folder, name, df.withColumn("_seq", zero))
+    raw = _raw_positivity(_event_stream(t))
+    streaming.stream_summary(raw, "test_positivity", folder, f"{folder}/checkpoint").awaitTermination()
+    return _flat_dashboard(t.spark.read.parquet(f"{folder}/dashboard_summary"))
