@@ -204,10 +204,10 @@ hospitals AS (
   SELECT *, beds * cost_per_bed_day * 7 + icu_beds * cost_per_icu_day * 7 AS cost FROM occupied
 ), weekly AS (
   SELECT scenario_id, CAST(week AS INTEGER) AS week, {", ".join(
-    f"round(round(avg({c}), 8), 1) + 0.0 AS {c}_mean, "
-    f"round(round(quantile_cont({c}, 0.05), 8), 1) + 0.0 AS {c}_p5, "
-    f"round(round(quantile_cont({c}, 0.95), 8), 1) + 0.0 AS {c}_p95, "
-    f"round(round(avg(CASE WHEN {c} > {c}_available THEN 1 ELSE 0 END) * 100, 8), 1) + 0.0 AS {c}_overflow_pct"
+    f"CAST(round(CAST(round(avg({c}), 8) AS DECIMAL(28, 8)), 1) AS DOUBLE) + 0.0 AS {c}_mean, "
+    f"CAST(round(CAST(round(quantile_cont({c}, 0.05), 8) AS DECIMAL(28, 8)), 1) AS DOUBLE) + 0.0 AS {c}_p5, "
+    f"CAST(round(CAST(round(quantile_cont({c}, 0.95), 8) AS DECIMAL(28, 8)), 1) AS DOUBLE) + 0.0 AS {c}_p95, "
+    f"CAST(round(CAST(round(avg(CASE WHEN {c} > {c}_available THEN 1 ELSE 0 END) * 100, 8) AS DECIMAL(28, 8)), 1) AS DOUBLE) + 0.0 AS {c}_overflow_pct"
     for c in ("beds", "icu_beds"))}
   FROM drawn GROUP BY 1, 2
 )"""
@@ -661,7 +661,7 @@ def _season_compare(t):
 
 @query(
     "current_rates",
-    """SELECT surveillance_network, round(round(avg(weekly_rate), 8), 2) + 0.0 AS rate FROM overall
+    """SELECT surveillance_network, CAST(round(CAST(round(avg(weekly_rate), 8) AS DECIMAL(28, 8)), 2) AS DOUBLE) + 0.0 AS rate FROM overall
        WHERE week_ending_date = (SELECT max(week_ending_date) FROM hosp) GROUP BY 1""",
     "hosp",
 )
@@ -830,7 +830,7 @@ def _label_rank(t):
     "bands",
     """SELECT wwtp_id, date_end, CASE WHEN percentile >= 80 THEN 'Very High' WHEN percentile >= 60 THEN 'High'
          WHEN percentile >= 40 THEN 'Moderate' WHEN percentile >= 20 THEN 'Low' ELSE 'Minimal' END AS band,
-       CASE WHEN ptc_15d > 0 THEN 'up' ELSE 'down' END AS direction, round(round(abs(ptc_15d), 8), 0) + 0.0 AS magnitude,
+       CASE WHEN ptc_15d > 0 THEN 'up' ELSE 'down' END AS direction, CAST(round(CAST(round(abs(ptc_15d), 8) AS DECIMAL(28, 8)), 0) AS DOUBLE) + 0.0 AS magnitude,
        CASE WHEN percentile > 50 THEN 'high' WHEN percentile > 20 THEN 'moderate' ELSE 'safe' END AS overflow
        FROM ww""",
     "ww",
@@ -908,7 +908,7 @@ def _null_defaults(t):
 # --- Ordered series -----------------------------------------------------------
 
 _WOW_COLUMNS = """virus, date, round(rate, 8) + 0.0 AS rate, round(previous, 8) + 0.0 AS previous,
-  CASE WHEN previous > 0 THEN round(round((rate - previous) / previous * 100, 8), 1) + 0.0 ELSE 0 END AS change_pct"""
+  CASE WHEN previous > 0 THEN CAST(round(CAST(round((rate - previous) / previous * 100, 8) AS DECIMAL(28, 8)), 1) AS DOUBLE) + 0.0 ELSE 0 END AS change_pct"""
 
 
 @query("wow_change", f"SELECT {_WOW_COLUMNS} FROM wow WHERE back = 1", "hosp", "wow")
@@ -947,19 +947,19 @@ def _season_alignment(t):
 
 def _anomaly_sql(z_min: float, recent: str) -> str:
     return f"""
-SELECT detected_date, geography, metric, round(round(latest, 8), 2) + 0.0 AS value,
-       round(round(z, 8), 2) + 0.0 AS z_score, CASE WHEN abs(z) > 3 THEN 'Critical' ELSE 'Warning' END AS severity,
+SELECT detected_date, geography, metric, CAST(round(CAST(round(latest, 8) AS DECIMAL(28, 8)), 2) AS DOUBLE) + 0.0 AS value,
+       CAST(round(CAST(round(z, 8) AS DECIMAL(28, 8)), 2) AS DOUBLE) + 0.0 AS z_score, CASE WHEN abs(z) > 3 THEN 'Critical' ELSE 'Warning' END AS severity,
        printf('%s %s rate %.1f is %.1f deviations %s its average of %.1f', geography,
-              replace(replace(metric, '-NET', ''), 'Surv', ''), round(round(latest, 8), 1),
-              round(round(abs(z), 8), 1), CASE WHEN z > 0 THEN 'above' ELSE 'below' END,
-              round(round(mean, 8), 1)) AS description
+              replace(replace(metric, '-NET', ''), 'Surv', ''), CAST(round(CAST(round(latest, 8) AS DECIMAL(28, 8)), 1) AS DOUBLE),
+              CAST(round(CAST(round(abs(z), 8) AS DECIMAL(28, 8)), 1) AS DOUBLE), CASE WHEN z > 0 THEN 'above' ELSE 'below' END,
+              CAST(round(CAST(round(mean, 8) AS DECIMAL(28, 8)), 1) AS DOUBLE)) AS description
 FROM (SELECT *, (latest - mean) / (std + 1e-8) AS z FROM (
   SELECT site AS geography, surveillance_network AS metric, count(*) AS points,
          max(week_ending_date) FILTER (back = 1) AS detected_date, max(weekly_rate) FILTER (back = 1) AS latest,
          avg(weekly_rate) FILTER (back > 1) AS mean, stddev_pop(weekly_rate) FILTER (back > 1) AS std
   FROM (SELECT *, row_number() OVER (PARTITION BY site, surveillance_network ORDER BY week_ending_date DESC) AS back
         FROM {recent}) GROUP BY 1, 2) WHERE points >= 8)
-WHERE abs(z) > {z_min} ORDER BY abs(round(round(z, 8), 2)) DESC, geography, metric LIMIT 20"""
+WHERE abs(z) > {z_min} ORDER BY abs(CAST(round(CAST(round(z, 8) AS DECIMAL(28, 8)), 2) AS DOUBLE)) DESC, geography, metric LIMIT 20"""
 
 
 _RECENT_ROWS = """(SELECT * FROM overall ORDER BY week_ending_date DESC, site, surveillance_network, weekly_rate
@@ -1259,7 +1259,7 @@ def _split(t):
 
 @query(
     "recent8",
-    """SELECT virus, date, 'Week -' || back AS label, round(round(rate, 8), 2) + 0.0 AS rate FROM wow WHERE back <= 8""",
+    """SELECT virus, date, 'Week -' || back AS label, CAST(round(CAST(round(rate, 8) AS DECIMAL(28, 8)), 2) AS DOUBLE) + 0.0 AS rate FROM wow WHERE back <= 8""",
     "hosp",
     "wow",
 )
@@ -1310,7 +1310,7 @@ def _scenario_expected(t):
     "scenario_seeded",
     f"""SELECT scenario_id, surveillance_network, {_EXPECTED} FROM (SELECT *, {_ADMISSIONS} FROM (
           SELECT s.* EXCLUDE (current_rate), surveillance_network, r.rate AS current_rate FROM scenarios s,
-            (SELECT surveillance_network, round(round(avg(weekly_rate), 8), 2) + 0.0 AS rate FROM overall
+            (SELECT surveillance_network, CAST(round(CAST(round(avg(weekly_rate), 8) AS DECIMAL(28, 8)), 2) AS DOUBLE) + 0.0 AS rate FROM overall
              WHERE week_ending_date = (SELECT max(week_ending_date) FROM hosp) GROUP BY 1) r), range(8) AS w(week))""",
     "scenarios",
     "hosp",
@@ -1327,8 +1327,8 @@ def _scenario_draws(t):
 
 @query(
     "scenario_cost",
-    """SELECT scenario_id, round(round(avg(cost) * 8, 8), 0) + 0.0 AS total_cost_mean,
-       round(round(quantile_cont(cost, 0.95) * 8, 8), 0) + 0.0 AS total_cost_p95 FROM drawn GROUP BY 1""",
+    """SELECT scenario_id, CAST(round(CAST(round(avg(cost) * 8, 8) AS DECIMAL(28, 8)), 0) AS DOUBLE) + 0.0 AS total_cost_mean,
+       CAST(round(CAST(round(quantile_cont(cost, 0.95) * 8, 8) AS DECIMAL(28, 8)), 0) AS DOUBLE) + 0.0 AS total_cost_p95 FROM drawn GROUP BY 1""",
     "hospitals",
 )
 def _scenario_cost(t):
@@ -1337,9 +1337,9 @@ def _scenario_cost(t):
 
 @query(
     "scenario_cost_text",
-    """SELECT scenario_id, CASE WHEN c >= 1e9 THEN printf('$%.1fB', round(round(c / 1e9, 8), 1))
-         WHEN c >= 1e6 THEN printf('$%.1fM', round(round(c / 1e6, 8), 1))
-         WHEN c >= 1e3 THEN printf('$%.0fK', round(round(c / 1e3, 8), 0)) ELSE printf('$%.0f', round(c, 0)) END AS cost
+    """SELECT scenario_id, CASE WHEN c >= 1e9 THEN printf('$%.1fB', CAST(round(CAST(round(c / 1e9, 8) AS DECIMAL(28, 8)), 1) AS DOUBLE))
+         WHEN c >= 1e6 THEN printf('$%.1fM', CAST(round(CAST(round(c / 1e6, 8) AS DECIMAL(28, 8)), 1) AS DOUBLE))
+         WHEN c >= 1e3 THEN printf('$%.0fK', CAST(round(CAST(round(c / 1e3, 8) AS DECIMAL(28, 8)), 0) AS DOUBLE)) ELSE printf('$%.0f', round(c, 0)) END AS cost
        FROM (SELECT scenario_id, CAST(population AS DOUBLE) * current_rate AS c FROM scenarios)""",
     "scenarios",
 )
@@ -1417,8 +1417,8 @@ SELECT (SELECT max(week_end) FROM ari) AS week_end, (SELECT count(*) FROM ari_la
   coalesce((SELECT string_agg(geography, ', ' ORDER BY geography) FROM ari_latest WHERE label IN ('High', 'Very High')),
     '') AS high_risk_states,
   (SELECT pathogen FROM pos_latest ORDER BY percent_test_positivity DESC, pathogen LIMIT 1) AS dominant_pathogen,
-  (SELECT round(round(max(percent_test_positivity), 8), 1) + 0.0 FROM pos_latest) AS dominant_positivity,
-  (SELECT string_agg(pathogen || ': ' || printf('%.1f', round(round(percent_test_positivity, 8), 1)) || '%', '; '
+  (SELECT CAST(round(CAST(round(max(percent_test_positivity), 8) AS DECIMAL(28, 8)), 1) AS DOUBLE) + 0.0 FROM pos_latest) AS dominant_positivity,
+  (SELECT string_agg(pathogen || ': ' || printf('%.1f', CAST(round(CAST(round(percent_test_positivity, 8) AS DECIMAL(28, 8)), 1) AS DOUBLE)) || '%', '; '
      ORDER BY pathogen) FROM pos_latest WHERE pathogen <> (SELECT pathogen FROM pos_latest
      ORDER BY percent_test_positivity DESC, pathogen LIMIT 1)) AS other_positivity,
   (SELECT string_agg(label || ': ' || n, '; ' ORDER BY level DESC) FROM (SELECT label, level, count(*) AS n
@@ -1431,7 +1431,7 @@ def _weekly_brief(t):
 
 
 CTES["brief"] = f"brief AS ({_BRIEF_FIELDS})"
-_POSITIVITY_TEXT = """(SELECT string_agg(pathogen || ': ' || printf('%.1f', round(round(percent_test_positivity, 8), 1))
+_POSITIVITY_TEXT = """(SELECT string_agg(pathogen || ': ' || printf('%.1f', CAST(round(CAST(round(percent_test_positivity, 8) AS DECIMAL(28, 8)), 1) AS DOUBLE))
   || '%', '; ' ORDER BY pathogen) FROM pos_latest)"""
 
 
@@ -1464,11 +1464,11 @@ def _answers(t):
            WHERE label <> 'Data Unavailable') AS activity,
          coalesce((SELECT string_agg(geography, ', ' ORDER BY geography) FROM ari_latest
            WHERE label IN ('High', 'Very High')), 'None') AS high_risk, {_POSITIVITY_TEXT} AS positivity,
-         (SELECT string_agg(n || ': ' || printf('%.1f', round(round(r, 8), 1)), '; ' ORDER BY n) FROM (
+         (SELECT string_agg(n || ': ' || printf('%.1f', CAST(round(CAST(round(r, 8) AS DECIMAL(28, 8)), 1) AS DOUBLE)), '; ' ORDER BY n) FROM (
            SELECT surveillance_network AS n, avg(weekly_rate) AS r FROM overall
            WHERE week_ending_date >= (SELECT max(week_ending_date) - 28 FROM hosp) GROUP BY 1)) AS hospitalization,
          (SELECT printf('%d sites in %d counties, average percentile %.0f', count(*), count(DISTINCT county_fips),
-           round(round(avg(percentile), 8), 0)) FROM ww_latest) AS wastewater""",
+           CAST(round(CAST(round(avg(percentile), 8) AS DECIMAL(28, 8)), 0) AS DOUBLE)) FROM ww_latest) AS wastewater""",
     "ari",
     "pos",
     "hosp",
@@ -1529,9 +1529,9 @@ def _importances(t):
 @query(
     "bands_math",
     """SELECT virus, date AS forecast_date, CAST(date + CAST(7 * (idx % 4 + 1) AS INTEGER) AS DATE) AS target_date, 'All' AS geography,
-         round(round(rate, 8), 2) + 0.0 AS predicted_rate,
-         round(round(greatest(0, rate - m * (1 + CAST(0.25 AS DOUBLE) * (idx % 4))), 8), 2) + 0.0 AS lower_bound,
-         round(round(rate + m * (1 + CAST(0.25 AS DOUBLE) * (idx % 4)), 8), 2) + 0.0 AS upper_bound,
+         CAST(round(CAST(round(rate, 8) AS DECIMAL(28, 8)), 2) AS DOUBLE) + 0.0 AS predicted_rate,
+         CAST(round(CAST(round(greatest(0, rate - m * (1 + CAST(0.25 AS DOUBLE) * (idx % 4))), 8) AS DECIMAL(28, 8)), 2) AS DOUBLE) + 0.0 AS lower_bound,
+         CAST(round(CAST(round(rate + m * (1 + CAST(0.25 AS DOUBLE) * (idx % 4)), 8) AS DECIMAL(28, 8)), 2) AS DOUBLE) + 0.0 AS upper_bound,
          'given' AS model_version FROM (SELECT *, CAST(7 AS DOUBLE) AS m FROM indexed)""",
     "hosp",
 )
