@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -117,11 +118,7 @@ def add_weeks(day: Column | str, weeks: Column | int) -> Column:
 
 def mentions(text: Column | str, words: tuple[str, ...]) -> Column:
     """True when any word occurs in the text, ignoring case, as plain substring."""
-    lowered = F.lower(_col(text))
-    hit = F.lit(False)
-    for word in words:
-        hit = hit | F.contains(lowered, F.lit(word))
-    return hit
+    return F.lower(_col(text)).rlike("|".join(re.escape(word) for word in words))
 
 
 def is_overall_observed(overall_age: bool = True) -> Column:

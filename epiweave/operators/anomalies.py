@@ -21,9 +21,10 @@ def detect_anomalies(
 ) -> DataFrame:
     """The latest rate against the earlier mean and population deviation.
 
-    The base is the ``recent_rows`` newest rows overall, a top-N. With many
-    sites that leaves each of them few points: ``recent_weeks`` takes the newest
-    weeks of every series instead and needs no global order.
+    The base is the ``recent_rows`` newest rows overall, a top-N; fewer than
+    ``min_rows`` give no result. With many sites that leaves each of them few
+    points: ``recent_weeks`` takes the newest weeks of every series instead and
+    needs no global order.
     """
     rows = hosp.filter(is_overall_observed()).select(
         "site", "surveillance_network", "week_ending_date", "weekly_rate"
@@ -32,7 +33,9 @@ def detect_anomalies(
     newest = Window.partitionBy(*series).orderBy(F.col("week_ending_date").desc())
     if recent_weeks is None:
         rows = rows.orderBy(F.col("week_ending_date").desc(), *series, "weekly_rate").limit(recent_rows)
-        ranked = rows.withColumn("back", F.row_number().over(newest))
+        # The limit leaves at most ``recent_rows`` rows, so counting them all in one task is safe.
+        counted = rows.withColumn("_total", F.count("*").over(Window.partitionBy()))
+        ranked = counted.filter(F.col("_total") >= min_rows).withColumn("back", F.row_number().over(newest))
     else:
         ranked = rows.withColumn("back", F.row_number().over(newest)).filter(F.col("back") <= recent_weeks)
 
@@ -44,10 +47,9 @@ def detect_anomalies(
         F.avg(F.when(earlier, F.col("weekly_rate"))).alias("mean"),
         F.stddev_pop(F.when(earlier, F.col("weekly_rate"))).alias("std"),
     )
-    total = stats.agg(F.coalesce(F.sum("points"), F.lit(0))).scalar()
     z = F.col("z")
     return (
-        stats.filter((total >= min_rows) & (F.col("points") >= min_points))
+        stats.filter(F.col("points") >= min_points)
         .withColumn("z", (F.col("latest") - F.col("mean")) / (F.col("std") + F.lit(1e-8)))
         .filter(F.abs(z) > z_min)
         .select(

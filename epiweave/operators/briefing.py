@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from epiweave.functions.scalars import is_available, overall_status, round_to
 from epiweave.operators.aggregates import (
-    dominant_pathogen,
     high_risk_list,
     risk_distribution,
     trailing_rates,
@@ -46,25 +45,45 @@ def distribution_lines(ari: DataFrame) -> DataFrame:
 def weekly_brief(ari: DataFrame, pos: DataFrame) -> DataFrame:
     """The brief's fields in one row.
 
-    Each field is a scalar subquery over an aggregate, so no rows are joined.
+    Each snapshot is aggregated into one struct, read as a scalar subquery; the
+    lists in it are bounded by the number of places and pathogens.
     """
     spark = ari.sparkSession
-    counts = risk_distribution(ari)
-    high = counts.agg(F.coalesce(F.sum(F.when(F.col("label").isin(*HIGH_LABELS), F.col("count"))), F.lit(0)))
-    top = dominant_pathogen(pos)
-    others = latest(pos, "week_end").join(top.select("pathogen"), "pathogen", "left_anti")
-    other_text = F.concat("pathogen", F.lit(": "), one_place("percent_test_positivity"), F.lit("%"))
-    return spark.range(1).select(
-        ari.agg(F.max("week_end")).scalar().alias("week_end"),
-        counts.agg(F.coalesce(F.sum("count"), F.lit(0))).scalar().alias("total_states"),
-        high.scalar().alias("high_count"),
-        overall_status(high.scalar()).alias("status"),
-        high_risk_list(ari).select(F.concat_ws(", ", "high_risk_states")).scalar().alias("high_risk_states"),
-        top.select("pathogen").scalar().alias("dominant_pathogen"),
-        top.select(round_to("percent_test_positivity", 1)).scalar().alias("dominant_positivity"),
-        _joined(others, [F.col("pathogen")], other_text, "; ").scalar().alias("other_positivity"),
+    is_high = F.col("label").isin(*HIGH_LABELS)
+    activity = latest(ari, "week_end").agg(
+        F.struct(
+            F.max("week_end").alias("week_end"),
+            F.count("*").alias("total"),
+            F.count_if(is_high).alias("high"),
+            F.sort_array(F.collect_list(F.when(is_high, F.col("geography")))).alias("places"),
+        )
+    )
+    percent = F.col("percent_test_positivity")
+    ranked = latest(pos, "week_end").agg(
+        F.sort_array(F.collect_list(F.struct((-percent).alias("order"), "pathogen", percent.alias("percent"))))
+    )
+
+    def line(entry: Column) -> Column:
+        return F.concat(entry["pathogen"], F.lit(": "), one_place(entry["percent"]), F.lit("%"))
+
+    row = spark.range(1).select(
+        activity.scalar().alias("a"),
+        ranked.scalar().alias("p"),
         distribution_lines(ari).scalar().alias("risk_distribution"),
     )
+    top = F.get("p", F.lit(0))
+    others = F.transform(F.slice("p", 2, 1_000_000), lambda e: F.struct(e["pathogen"], line(e).alias("line")))
+    return row.select(
+        "a.week_end",
+        F.col("a.total").alias("total_states"),
+        F.col("a.high").alias("high_count"),
+        overall_status("a.high").alias("status"),
+        F.concat_ws(", ", "a.places").alias("high_risk_states"),
+        top["pathogen"].alias("dominant_pathogen"),
+        round_to(top["percent"], 1).alias("dominant_positivity"),
+        F.concat_ws("; ", F.transform(F.sort_array(others), lambda e: e["line"])).alias("other_positivity"),
+        "risk_distribution",
+    )
 
 
 def brief_text(ari: DataFrame, pos: DataFrame) -> DataFrame:

@@ -33,6 +33,7 @@ from epiweave.operators.features import (
     tabular_samples,
     time_split,
 )
+from epiweave.session import materialise
 
 MIN_TRAIN_POINTS = 30
 RECENT = 8
@@ -55,7 +56,7 @@ def long_enough(series: DataFrame, points: int = MIN_TRAIN_POINTS) -> DataFrame:
 
 
 def train_recursive(series: DataFrame, max_iter: int = 200, seed: int = 42) -> Trained:
-    samples = time_split(tabular_samples(long_enough(series))).cache()
+    samples = materialise(time_split(tabular_samples(long_enough(series))))
     stages = [
         VectorAssembler(inputCols=TABULAR_FEATURES, outputCol="features"),
         GBTRegressor(
@@ -69,7 +70,7 @@ def train_recursive(series: DataFrame, max_iter: int = 200, seed: int = 42) -> T
         ),
     ]
     model = Pipeline(stages=stages).fit(samples.filter("is_train"))
-    return Trained(model, holdout_metrics(model.transform(samples), "target", "prediction"))
+    return Trained(model, materialise(holdout_metrics(model.transform(samples), "target", "prediction")))
 
 
 def holdout_metrics(predicted: DataFrame, target: str, prediction: str) -> DataFrame:
@@ -169,11 +170,11 @@ def _regressor(horizon: int, kind: str, max_iter: int):
 
 
 def train_direct(series: DataFrame, kind: str = "linear", max_iter: int = 20) -> Trained:
-    usable = long_enough(series)
+    usable = materialise(long_enough(series))
     stats = series_stats(usable)
     samples = time_split(sequence_samples(normalised(usable), "norm"), order="date")
     targets = {f"target_{h}": F.get(F.col("targets"), F.lit(h)) for h in range(HORIZON)}
-    samples = _with_vector(samples.withColumns(targets)).drop("mean", "std").cache()
+    samples = _with_vector(materialise(samples.withColumns(targets).drop("mean", "std")))
     training = samples.filter("is_train")
     models = [_regressor(h, kind, max_iter).fit(training) for h in range(HORIZON)]
     scored = reduce(lambda df, m: m.transform(df), models, samples)
@@ -188,7 +189,7 @@ def train_direct(series: DataFrame, kind: str = "linear", max_iter: int = 20) ->
         (F.count_if(F.col("is_train")) / HORIZON).cast("long").alias("train_samples"),
         (F.count_if(held_out) / HORIZON).cast("long").alias("val_samples"),
     )
-    return Trained(models, metrics)
+    return Trained(models, materialise(metrics))
 
 
 def forecast_direct(trained: Trained, series: DataFrame) -> DataFrame:
@@ -231,13 +232,13 @@ def forecast_table(forecast: DataFrame, metrics: DataFrame, step_growth: float,
 
 
 def gbt_forecast(series: DataFrame, trained: Trained | None = None, max_iter: int = 200) -> DataFrame:
-    series = long_enough(series)
+    series = materialise(long_enough(series))
     trained = trained or train_recursive(series, max_iter)
     return forecast_table(forecast_recursive(trained, series), trained.metrics, 0.25, "gbt")
 
 
 def direct_forecast(series: DataFrame, trained: Trained | None = None) -> DataFrame:
-    series = long_enough(series)
+    series = materialise(long_enough(series))
     trained = trained or train_direct(series)
     return forecast_table(forecast_direct(trained, series), trained.metrics, 0.3, "direct")
 

@@ -37,9 +37,13 @@ def _match_inline(questions: DataFrame, places: DataFrame) -> DataFrame:
     carried = [c for c in places.columns if c != "geography"]
     candidate = F.struct(longest_first, "geography", F.lower("geography").alias("needle"), *carried)
     candidates = places.agg(F.sort_array(F.collect_list(candidate))).scalar()
-    text = F.lower("question")
-    best = F.get(F.filter("_places", lambda c: F.contains(text, c["needle"])), F.lit(0))
-    matched = questions.withColumn("_places", candidates).withColumn("_best", best)
+
+    def best(text: Column) -> Column:
+        return F.get(F.filter("_places", lambda c: F.contains(text, c["needle"])), F.lit(0))
+
+    # The one-element array binds the lower-case text once for all candidates.
+    bound = F.transform(F.array(F.lower("question")), best)
+    matched = questions.withColumn("_places", candidates).withColumn("_best", F.get(bound, F.lit(0)))
     return matched.select(*questions.columns, *(F.col("_best")[c].alias(c) for c in places.columns))
 
 

@@ -43,7 +43,8 @@ def fill_missing_weeks(series: DataFrame) -> DataFrame:
     """Every week between a series' ends; missing rates on a straight line."""
     weekly = Window.partitionBy("virus").orderBy("date")
     before = weekly.rowsBetween(Window.unboundedPreceding, 0)
-    after = weekly.rowsBetween(0, Window.unboundedFollowing)
+    # The later neighbour is read from a descending order, whose frame only grows.
+    after = Window.partitionBy("virus").orderBy(F.col("date").desc()).rowsBetween(Window.unboundedPreceding, 0)
     grid = (
         series.groupBy("virus")
         .agg(F.min("date").alias("first"), F.max("date").alias("last"))
@@ -54,8 +55,8 @@ def fill_missing_weeks(series: DataFrame) -> DataFrame:
         grid.join(series, ["virus", "date"], "left")
         .withColumn("_d0", F.last(known, ignorenulls=True).over(before))
         .withColumn("_r0", F.last("rate", ignorenulls=True).over(before))
-        .withColumn("_d1", F.first(known, ignorenulls=True).over(after))
-        .withColumn("_r1", F.first("rate", ignorenulls=True).over(after))
+        .withColumn("_d1", F.last(known, ignorenulls=True).over(after))
+        .withColumn("_r1", F.last("rate", ignorenulls=True).over(after))
     )
     span = F.nullif(F.date_diff("_d1", "_d0"), F.lit(0))
     line = F.col("_r0") + (F.col("_r1") - F.col("_r0")) * F.date_diff("date", "_d0") / span

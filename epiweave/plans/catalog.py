@@ -13,7 +13,6 @@ from types import SimpleNamespace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from epiweave.functions import scalars as S
 from epiweave.operators import aggregates, anomalies, briefing, features, forecasting, lookups, questions
@@ -814,16 +813,11 @@ def _state_reverse(t):
 
 @query(
     "label_rank",
-    """SELECT geography, label, coalesce(level, 0) AS level,
-       CAST(row_number() OVER (ORDER BY coalesce(level, 0) DESC, geography) AS INTEGER) AS place
-       FROM ari_latest WHERE label <> 'Data Unavailable'""",
+    """SELECT geography, label, coalesce(level, 0) AS level FROM ari_latest WHERE label <> 'Data Unavailable'""",
     "ari",
 )
 def _label_rank(t):
-    ranked = lookups.rank_by_level(snapshot.latest(t.ari, "week_end"))
-    # The latest snapshot has one row per geography, so a global order is small.
-    place = F.row_number().over(Window.orderBy(F.col("level").desc(), "geography"))
-    return ranked.select("geography", "label", "level", place.alias("place"))
+    return lookups.rank_by_level(snapshot.latest(t.ari, "week_end")).select("geography", "label", "level")
 
 
 @query(

@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epiweave.operators.aggregates import risk_distribution, wastewater_summary
-from epiweave.operators.snapshot import high_risk, latest
+from epiweave.operators.snapshot import latest
+from epiweave.schemas import HIGH_LABELS
 
 
 def dashboard_summary(ari: DataFrame, hosp: DataFrame, pos: DataFrame, ww: DataFrame | None = None) -> DataFrame:
-    """One row of scalar subqueries; without wastewater data its fields are null."""
+    """One row of scalar subqueries; without wastewater data its fields are null.
+
+    Figures of one snapshot come from one subquery, so each snapshot is read once.
+    """
     spark = ari.sparkSession
     # Negated counts sort the largest first, then by label.
     counted = F.struct((-F.col("count")).alias("order"), "label")
@@ -24,21 +28,28 @@ def dashboard_summary(ari: DataFrame, hosp: DataFrame, pos: DataFrame, ww: DataF
         F.sort_array(F.collect_list(F.struct("pathogen", "percent_test_positivity")))
     )
 
-    def wastewater(column: str, kind: str) -> Column:
-        if ww is None:
-            return F.lit(None).cast(kind)
-        return wastewater_summary(ww).select(column).scalar()
+    kind = "struct<sites:bigint,counties:bigint,avg_percentile:double,latest_date:date,readings:bigint>"
+    wastewater = F.lit(None).cast(kind) if ww is None else wastewater_summary(ww).select(F.struct("*")).scalar()
+
+    def high_states() -> Column:
+        high = F.filter("risk_distribution", lambda e: e["label"].isin(*HIGH_LABELS))
+        return F.aggregate(high, F.lit(0).cast("long"), lambda total, e: total + e["count"])
 
-    return spark.range(1).select(
-        risks.scalar().alias("risk_distribution"),
+    row = spark.range(1).select(
+        F.coalesce(risks.scalar(), F.array()).alias("risk_distribution"),
         ari.agg(F.max("week_end")).scalar().alias("latest_ari"),
         hosp.agg(F.max("week_ending_date")).scalar().alias("latest_hospitalization"),
         pos.agg(F.max("week_end")).scalar().alias("latest_positivity_date"),
         positivity.scalar().alias("latest_positivity"),
         ari.agg(F.count_distinct("geography")).scalar().alias("total_states_tracked"),
-        high_risk(ari).agg(F.count("*")).scalar().alias("high_risk_states"),
-        wastewater("sites", "long").alias("wastewater_sites"),
-        wastewater("counties", "long").alias("wastewater_counties"),
-        wastewater("avg_percentile", "double").alias("wastewater_avg_percentile"),
-        wastewater("latest_date", "date").alias("wastewater_latest"),
+        wastewater.alias("ww"),
     )
+    return row.withColumns(
+        {
+            "high_risk_states": high_states(),
+            "wastewater_sites": F.col("ww.sites"),
+            "wastewater_counties": F.col("ww.counties"),
+            "wastewater_avg_percentile": F.col("ww.avg_percentile"),
+            "wastewater_latest": F.col("ww.latest_date"),
+        }
+    ).drop("ww")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app_name: str = "epiweave", **settings: str) -> SparkSession:
@@ -21,6 +21,16 @@ def get_session(app_name: str = "epiweave", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Compute a small result once and keep it on the shared storage.
+
+    For aggregated series and metrics that several jobs read: a lost executor
+    neither loses the rows nor repeats the scan they came from.
+    """
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, as the cluster names it.
 

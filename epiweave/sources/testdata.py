@@ -38,15 +38,13 @@ def hosp(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("l_linestatus") == "F", "Observed").otherwise("Estimated").alias("rate_type"),
         "l_quantity",
     )
-    sites = (
-        table(spark, folder, "supplier")
-        .join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select("s_suppkey", F.col("r_name").alias("site"))
-    )
     week = F.col("week_ending_date")
+    # One table at a time, so that each joined side has a known size of its own.
     weekly = (
-        lines.join(sites, F.col("l_suppkey") == F.col("s_suppkey"))
+        lines.join(table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .withColumnRenamed("r_name", "site")
         .groupBy("surveillance_network", "week_ending_date", "age_group", "site", "rate_type")
         .agg(F.sum("l_quantity").alias("quantity"))
         .withColumn("season_start", F.year(week) - F.when(F.month(week) < 7, 1).otherwise(0))
@@ -70,18 +68,14 @@ def hosp(spark: SparkSession, folder: str) -> DataFrame:
 
 def ari(spark: SparkSession, folder: str) -> DataFrame:
     """Activity label by nation and week."""
-    places = (
-        table(spark, folder, "customer")
-        .join(table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        .select("c_custkey", F.col("n_name").alias("geography"))
-    )
     labels = ["Minimal", "Very Low", "Low", "Moderate", "High", "Very High", "Data Unavailable"]
     code = F.col("newest") % 7
     return (
         table(spark, folder, "orders")
         .select("o_custkey", "o_orderkey", saturday("o_orderdate").alias("week_end"))
-        .join(places, F.col("o_custkey") == F.col("c_custkey"))
-        .groupBy("week_end", "geography")
+        .join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .groupBy("week_end", F.col("n_name").alias("geography"))
         .agg(F.max("o_orderkey").alias("newest"))
         .select(
             "week_end",
@@ -127,14 +121,12 @@ def ww(spark: SparkSession, folder: str) -> DataFrame:
             F.count("*").alias("samples"),
         )
     )
-    plants = (
-        table(spark, folder, "supplier")
-        .join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-        .select("s_suppkey", F.col("n_name").alias("wwtp_jurisdiction"))
-    )
     county = F.col("l_suppkey") % 20
-    return monthly.join(plants, F.col("l_suppkey") == F.col("s_suppkey")).select(
-        "wwtp_jurisdiction",
+    plants = monthly.join(table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(
+        table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
+    )
+    return plants.select(
+        F.col("n_name").alias("wwtp_jurisdiction"),
         F.col("l_suppkey").cast("string").alias("wwtp_id"),
         F.concat(F.lit("County_"), county.cast("string")).alias("county_names"),
         F.lpad(county.cast("string"), 5, "0").alias("county_fips"),
