@@ -92,7 +92,7 @@ def importances(model: PipelineModel, spark: SparkSession) -> DataFrame:
     )
 
 
-def _last_values(series: DataFrame) -> DataFrame:
+def last_values(series: DataFrame) -> DataFrame:
     """(virus, date, points, recent): the last eight rates of each series, oldest first."""
     back = Window.partitionBy("virus").orderBy(F.col("date").desc())
     count = F.count("*").over(Window.partitionBy("virus"))
@@ -137,7 +137,7 @@ def next_week_features(state: DataFrame) -> DataFrame:
 
 def forecast_recursive(trained: Trained, series: DataFrame, horizon: int = HORIZON) -> DataFrame:
     """(virus, date, step, value) for the weeks after each series' end."""
-    state = _last_values(series).withColumn("values", F.array().cast("array<double>"))
+    state = last_values(series).withColumn("values", F.array().cast("array<double>"))
     for _ in range(horizon):
         scored = trained.model.transform(next_week_features(state))
         value = clip_zero("prediction")

@@ -93,12 +93,14 @@ def keyed_normals(*key: Column) -> tuple[Column, Column, Column]:
     """
     digest = F.md5(F.concat_ws("|", *(k.cast("string") for k in key)))
 
-    def uniform(part: int) -> Column:
-        number = F.conv(F.substring(digest, 1 + 8 * part, 8), 16, 10).cast("long")
-        return (number + F.lit(0.5)) / F.lit(4294967296.0)
+    # Fifteen hex digits hold two 30-bit numbers.
+    halves = [F.conv(F.substring(digest, start, 15), 16, 10).cast("long") for start in (1, 16)]
 
-    radius_a, radius_b = (F.sqrt(F.lit(-2.0) * F.ln(uniform(part))) for part in (0, 2))
-    turn_a, turn_b = (F.lit(2 * math.pi) * uniform(part) for part in (1, 3))
+    def uniform(number: Column) -> Column:
+        return (number + F.lit(0.5)) / F.lit(float(2**30))
+
+    radius_a, radius_b = (F.sqrt(F.lit(-2.0) * F.ln(uniform(F.shiftright(h, 30)))) for h in halves)
+    turn_a, turn_b = (F.lit(2 * math.pi) * uniform(h.bitwiseAND(F.lit(2**30 - 1))) for h in halves)
     return radius_a * F.cos(turn_a), radius_a * F.sin(turn_a), radius_b * F.cos(turn_b)
 
 
@@ -122,26 +124,40 @@ def draw_demand(scenarios: DataFrame, draws: int = DRAWS, seed: int = 42) -> Dat
     ).drop("_case", "_hospital", "_icu")
 
 
+def sorted_percentile(values: Column, share: float) -> Column:
+    """Linearly interpolated percentile of an already sorted array."""
+    position = (F.size(values) - 1) * F.lit(share)
+    below = F.floor(position).cast("int")
+    low, high = F.get(values, below), F.get(values, F.ceil(position).cast("int"))
+    return low + (high - low) * (position - below)
+
+
 def weekly_summary(drawn: DataFrame) -> DataFrame:
     """Mean, 5th and 95th percentile and overflow share of beds and ICU beds.
 
     A group holds as many rows as there are draws, a parameter that does not
-    grow with the data, so exact percentiles are affordable.
+    grow with the data. One sorted array per group serves both percentiles, at
+    a fraction of the cost of two ``percentile`` aggregates.
     """
-
-    def stats(column: str, capacity: str) -> list[Column]:
-        p5, p95 = (F.percentile(column, p) for p in (0.05, 0.95))
-        over = F.avg((F.col(column) > F.col(capacity)).cast("int")) * 100
-        return [
-            round_to(F.avg(column), 1).alias(f"{column}_mean"),
-            round_to(p5, 1).alias(f"{column}_p5"),
-            round_to(p95, 1).alias(f"{column}_p95"),
-            round_to(over, 1).alias(f"{column}_overflow_pct"),
+    demand = {"beds": "beds_available", "icu_beds": "icu_beds_available"}
+    measures = []
+    for column, capacity in demand.items():
+        measures += [
+            F.avg(column).alias(f"{column}_avg"),
+            F.sort_array(F.collect_list(column)).alias(f"{column}_sorted"),
+            (F.avg((F.col(column) > F.col(capacity)).cast("int")) * 100).alias(f"{column}_over"),
         ]
-
-    return drawn.groupBy("scenario_id", "week").agg(
-        *stats("beds", "beds_available"), *stats("icu_beds", "icu_beds_available")
-    )
+    grouped = drawn.groupBy("scenario_id", "week").agg(*measures)
+    outputs = []
+    for column in demand:
+        values = F.col(f"{column}_sorted")
+        outputs += [
+            round_to(f"{column}_avg", 1).alias(f"{column}_mean"),
+            round_to(sorted_percentile(values, 0.05), 1).alias(f"{column}_p5"),
+            round_to(sorted_percentile(values, 0.95), 1).alias(f"{column}_p95"),
+            round_to(f"{column}_over", 1).alias(f"{column}_overflow_pct"),
+        ]
+    return grouped.select("scenario_id", "week", *outputs)
 
 
 def total_cost(drawn: DataFrame) -> DataFrame:
@@ -149,9 +165,14 @@ def total_cost(drawn: DataFrame) -> DataFrame:
 
     The percentile is taken over weekly costs, not over the totals of each draw.
     """
-    return drawn.groupBy("scenario_id").agg(
-        round_to(F.avg("cost") * F.max("weeks"), 0).alias("total_cost_mean"),
-        round_to(F.percentile("cost", 0.95) * F.max("weeks"), 0).alias("total_cost_p95"),
+    grouped = drawn.groupBy("scenario_id").agg(
+        F.avg("cost").alias("mean"), F.sort_array(F.collect_list("cost")).alias("costs"), F.max("weeks").alias("weeks")
+    )
+    p95 = sorted_percentile(F.col("costs"), 0.95)
+    return grouped.select(
+        "scenario_id",
+        round_to(F.col("mean") * F.col("weeks"), 0).alias("total_cost_mean"),
+        round_to(p95 * F.col("weeks"), 0).alias("total_cost_p95"),
     )
 
 

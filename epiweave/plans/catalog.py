@@ -182,10 +182,9 @@ hospitals AS (
   SELECT *, md5('42|' || scenario_id || '|' || week || '|' || draw) AS h
   FROM hospitals, range(8) AS w(week), range(1000) AS d(draw)
 ), uniforms AS (
-  SELECT *, {", ".join(
-    f"(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT) + CAST(0.5 AS DOUBLE)) / 4294967296 AS u{i}"
-    for i in range(4))}
-  FROM keyed
+  SELECT *, ((a >> 30) + CAST(0.5 AS DOUBLE)) / 1073741824 AS u0, ((a & 1073741823) + CAST(0.5 AS DOUBLE)) / 1073741824 AS u1,
+         ((b >> 30) + CAST(0.5 AS DOUBLE)) / 1073741824 AS u2, ((b & 1073741823) + CAST(0.5 AS DOUBLE)) / 1073741824 AS u3
+  FROM (SELECT *, CAST('0x' || substr(h, 1, 15) AS BIGINT) AS a, CAST('0x' || substr(h, 16, 15) AS BIGINT) AS b FROM keyed)
 ), noise AS (
   SELECT *, exp(CAST(0.15 AS DOUBLE) * sqrt(-2 * ln(u0)) * cos(2 * pi() * u1)) AS case_noise,
          1 + CAST(0.1 AS DOUBLE) * sqrt(-2 * ln(u0)) * sin(2 * pi() * u1) AS hospital_noise,
@@ -1108,7 +1107,7 @@ def _raw_positivity(events: DataFrame) -> DataFrame:
          CASE WHEN l_returnflag = 'A' THEN 'Overall' ELSE l_returnflag END AS age_group,
          CAST(CASE l_linenumber WHEN 1 THEN CAST(l_quantity AS INTEGER) WHEN 2 THEN 0 WHEN 3 THEN 0 WHEN 4 THEN NULL
               WHEN 5 THEN NULL WHEN 6 THEN 1000 ELSE 125 END AS DOUBLE) AS weekly_rate,
-         CASE WHEN l_tax = 0 THEN 'mmwr_week unreadable' WHEN l_linenumber IN (4, 5) THEN 'weekly_rate unreadable' END
+         CASE WHEN l_tax = 0 THEN 'mmwr_week missing or unreadable' WHEN l_linenumber IN (4, 5) THEN 'weekly_rate missing or unreadable' END
            AS reject_reason FROM lineitem""",
 )
 def _clean_numbers(t):
@@ -1221,6 +1220,22 @@ def _sequence_features(t):
     return _tidied(flat, "value", "lag1", "lag2", "roll_avg", "week_sin", "t0", "t1", "t2", "t3")
 
 
+@query(
+    "next_week_features",
+    """SELECT virus, date, points, round(r[8], 8) + 0.0 AS lag_1, round(r[7], 8) + 0.0 AS lag_2,
+         round(r[5], 8) + 0.0 AS lag_4, round(r[1], 8) + 0.0 AS lag_8, round(list_avg(r[5:8]), 8) + 0.0 AS roll_avg_4,
+         round(list_avg(r), 8) + 0.0 AS roll_avg_8, round(list_stddev_pop(r[5:8]), 8) + 0.0 AS roll_std_4,
+         round(r[8] - r[7], 8) + 0.0 AS diff_1, round(sin(2 * pi() * points / 52), 8) + 0.0 AS week_sin,
+         round(cos(2 * pi() * points / 52), 8) + 0.0 AS week_cos FROM (
+           SELECT virus, max(date) AS date, any_value(points) AS points, list(rate ORDER BY date) AS r
+           FROM indexed WHERE idx >= points - 8 GROUP BY 1)""",
+    "hosp",
+)
+def _next_week_features(t):
+    state = forecasting.next_week_features(forecasting.last_values(_series(t))).drop("recent")
+    return _tidied(state, *features.TABULAR_FEATURES)
+
+
 @query(
     "normalised",
     """SELECT virus, date, round(rate, 8) + 0.0 AS rate, round(mean, 8) + 0.0 AS mean, round(std, 8) + 0.0 AS std,
@@ -1314,6 +1329,21 @@ def _scenario_seeded(t):
     return _expected(capacity.expected_demand(seeded, "surveillance_network"), "scenario_id", "surveillance_network")
 
 
+@query(
+    "scenario_defaults",
+    """SELECT p_partkey AS scenario_id, CAST(CASE WHEN p_size = 1 THEN 1000000 ELSE 100000 * (p_size + 1) END AS BIGINT)
+         AS population, p_size / CAST(2 AS DOUBLE) AS current_rate, CAST(2 AS DOUBLE) AS surge_multiplier,
+         CAST(10 AS DOUBLE) AS hospitalization_pct, CAST(20 AS DOUBLE) AS icu_pct, CAST(5 AS DOUBLE) AS avg_los_days,
+         CAST(10 AS DOUBLE) AS icu_los_days, CAST(10 * p_size AS BIGINT) AS beds_available,
+         CAST(p_size AS BIGINT) AS icu_beds_available, CAST(3000 AS DOUBLE) AS cost_per_bed_day,
+         CAST(8000 AS DOUBLE) AS cost_per_icu_day, CAST(8 AS BIGINT) AS weeks FROM part""",
+)
+def _scenario_defaults(t):
+    # One column is left out and one population blanked, so that both defaults are met.
+    given = t.scenarios.drop("surge_multiplier")
+    return capacity.with_defaults(given.withColumn("population", F.nullif("population", F.lit(200000))))
+
+
 @query("scenario_draws", "SELECT * FROM weekly", "hospitals")
 def _scenario_draws(t):
     return capacity.weekly_summary(capacity.draw_demand(t.hospitals))

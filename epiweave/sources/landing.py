@@ -60,115 +60,84 @@ def zero_filled(column: Column, parse: Callable[[Column], Column]) -> Column:
     return F.when(blank(column), F.lit(0).cast("int")).otherwise(parse(column))
 
 
-def _first_reason(*checks: tuple[Column, str]) -> Column:
-    return F.coalesce(*(F.when(condition, F.lit(reason)) for condition, reason in checks), F.lit(None).cast("string"))
+def _text(name: str, default: str = "") -> Column:
+    return F.coalesce(F.col(name), F.lit(default)).alias(name)
+
+
+def _day(name: str) -> Column:
+    return iso_date(F.col(name)).alias(name)
+
+
+def _decimal(name: str) -> Column:
+    return zero_filled(F.col(name), parse_decimal).cast("double").alias(name)
+
+
+def _judged(typed: DataFrame, *required: str) -> DataFrame:
+    """Adds the first required column a row lacks, as the reason to refuse it.
+
+    Values are parsed once, in the projection below this one.
+    """
+    kinds = dict(typed.dtypes)
+
+    def lacking(name: str) -> Column:
+        return blank(F.col(name)) if kinds[name] == "string" else F.col(name).isNull()
+
+    reasons = (F.when(lacking(name), F.lit(f"{name} missing or unreadable")) for name in required)
+    return typed.withColumn("reject_reason", F.coalesce(*reasons))
 
 
 def clean_ari(raw: DataFrame) -> DataFrame:
-    return raw.select(
-        iso_date(F.col("week_end")).alias("week_end"),
-        "geography",
-        "label",
-        F.coalesce("buildnumber", F.lit("")).alias("buildnumber"),
-        "_seq",
-        _first_reason(
-            (blank(F.col("week_end")), "week_end missing"),
-            (iso_date(F.col("week_end")).isNull(), "week_end unreadable"),
-            (blank(F.col("geography")), "geography missing"),
-            (blank(F.col("label")), "label missing"),
-        ).alias("reject_reason"),
-    )
+    typed = raw.select(_day("week_end"), "geography", "label", _text("buildnumber"), "_seq")
+    return _judged(typed, "week_end", "geography", "label")
 
 
 def clean_hospitalization(raw: DataFrame) -> DataFrame:
     def required_integer(name: str) -> Column:
         # Only a missing value defaults to 0 here; an empty text is unreadable.
-        return F.when(F.col(name).isNull(), F.lit(0)).otherwise(parse_integer(F.col(name)))
-
-    def rate(name: str) -> Column:
-        return zero_filled(F.col(name), parse_decimal).cast("double")
-
-    def stratum(name: str) -> Column:
-        return F.coalesce(F.col(name), F.lit("Overall")).alias(name)
-
-    def text(name: str) -> Column:
-        return F.coalesce(F.col(name), F.lit("")).alias(name)
-
-    return raw.select(
-        text("surveillance_network"),
-        text("season"),
-        iso_date(F.col("week_ending_date")).alias("week_ending_date"),
-        required_integer("mmwr_year").alias("mmwr_year"),
-        required_integer("mmwr_week").alias("mmwr_week"),
-        stratum("age_group"),
-        stratum("sex"),
-        stratum("race_ethnicity"),
-        text("site"),
-        rate("weekly_rate").alias("weekly_rate"),
-        rate("cumulative_rate").alias("cumulative_rate"),
-        text("rate_type"),
+        return F.when(F.col(name).isNull(), F.lit(0)).otherwise(parse_integer(F.col(name))).alias(name)
+
+    typed = raw.select(
+        _text("surveillance_network"),
+        _text("season"),
+        _day("week_ending_date"),
+        required_integer("mmwr_year"),
+        required_integer("mmwr_week"),
+        _text("age_group", "Overall"),
+        _text("sex", "Overall"),
+        _text("race_ethnicity", "Overall"),
+        _text("site"),
+        _decimal("weekly_rate"),
+        _decimal("cumulative_rate"),
+        _text("rate_type"),
         "_seq",
-        _first_reason(
-            (iso_date(F.col("week_ending_date")).isNull(), "week_ending_date unreadable"),
-            (required_integer("mmwr_year").isNull(), "mmwr_year unreadable"),
-            (required_integer("mmwr_week").isNull(), "mmwr_week unreadable"),
-            (rate("weekly_rate").isNull(), "weekly_rate unreadable"),
-            (rate("cumulative_rate").isNull(), "cumulative_rate unreadable"),
-        ).alias("reject_reason"),
     )
+    return _judged(typed, "week_ending_date", "mmwr_year", "mmwr_week", "weekly_rate", "cumulative_rate")
 
 
 def clean_positivity(raw: DataFrame) -> DataFrame:
-    percent = parse_decimal(F.col("percent_test_positivity"))
-    return raw.select(
-        iso_date(F.col("week_end")).alias("week_end"),
-        "pathogen",
-        percent.alias("percent_test_positivity"),
-        "_seq",
-        _first_reason(
-            (blank(F.col("week_end")), "week_end missing"),
-            (iso_date(F.col("week_end")).isNull(), "week_end unreadable"),
-            (blank(F.col("pathogen")), "pathogen missing"),
-            (F.col("percent_test_positivity").isNull(), "percent_test_positivity missing"),
-            (percent.isNull(), "percent_test_positivity unreadable"),
-        ).alias("reject_reason"),
-    )
+    percent = parse_decimal(F.col("percent_test_positivity")).alias("percent_test_positivity")
+    typed = raw.select(_day("week_end"), "pathogen", percent, "_seq")
+    return _judged(typed, "week_end", "pathogen", "percent_test_positivity")
 
 
 def clean_wastewater(raw: DataFrame) -> DataFrame:
-    def text(name: str) -> Column:
-        return F.coalesce(F.col(name), F.lit("")).alias(name)
-
-    def decimal(name: str) -> Column:
-        return zero_filled(F.col(name), parse_decimal).cast("double")
-
-    def day(name: str) -> Column:
-        return iso_date(F.col(name)).alias(name)
-
-    population = zero_filled(F.col("population_served"), parse_integer)
-    return raw.select(
-        text("wwtp_jurisdiction"),
+    typed = raw.select(
+        _text("wwtp_jurisdiction"),
         "wwtp_id",
-        text("county_names"),
-        text("county_fips"),
-        population.alias("population_served"),
-        day("date_start"),
-        day("date_end"),
-        decimal("ptc_15d").alias("ptc_15d"),
-        decimal("detect_prop_15d").alias("detect_prop_15d"),
-        decimal("percentile").alias("percentile"),
-        text("sampling_prior"),
-        day("first_sample_date"),
+        _text("county_names"),
+        _text("county_fips"),
+        zero_filled(F.col("population_served"), parse_integer).alias("population_served"),
+        _day("date_start"),
+        _day("date_end"),
+        _decimal("ptc_15d"),
+        _decimal("detect_prop_15d"),
+        _decimal("percentile"),
+        _text("sampling_prior"),
+        _day("first_sample_date"),
         "_seq",
-        _first_reason(
-            (blank(F.col("date_end")), "date_end missing"),
-            (iso_date(F.col("date_end")).isNull(), "date_end unreadable"),
-            (blank(F.col("wwtp_id")), "wwtp_id missing"),
-            (population.isNull(), "population_served unreadable"),
-            (decimal("ptc_15d").isNull(), "ptc_15d unreadable"),
-            (decimal("detect_prop_15d").isNull(), "detect_prop_15d unreadable"),
-            (decimal("percentile").isNull(), "percentile unreadable"),
-        ).alias("reject_reason"),
+    )
+    return _judged(
+        typed, "date_end", "wwtp_id", "population_served", "ptc_15d", "detect_prop_15d", "percentile"
     )
 
 
