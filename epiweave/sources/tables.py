@@ -80,10 +80,16 @@ def upsert(spark: SparkSession, root: str, name: str, batch: DataFrame, by_seque
     current = read_stored(spark, root, name).filter(F.array_contains(touched, F.col(table.partition)))
     merged = merge_latest(current, batch, table.key, by_sequence)
 
-    path = table_path(root, name)
-    staging = f"{shared_dir(spark)}/epiweave-staging/{name}-{hashlib.sha256(path.encode()).hexdigest()[:16]}"
-    merged.write.mode("overwrite").parquet(staging)
-    _write_partitions(spark.read.schema(_stored_schema(table)).parquet(staging), table, path)
+    _write_partitions(_staged(merged, root, table), table, table_path(root, name))
+
+
+def _staged(df: DataFrame, root: str, table: Table) -> DataFrame:
+    """The rows written to, and read back from, the table's staging folder."""
+    spark = df.sparkSession
+    path = table_path(root, table.name)
+    staging = f"{shared_dir(spark)}/epiweave-staging/{table.name}-{hashlib.sha256(path.encode()).hexdigest()[:16]}"
+    df.write.mode("overwrite").parquet(staging)
+    return spark.read.schema(_stored_schema(table)).parquet(staging)
 
 
 def _write_partitions(df: DataFrame, table: Table, path: str, mode: str = "dynamic") -> None:
@@ -100,10 +106,12 @@ def _write_partitions(df: DataFrame, table: Table, path: str, mode: str = "dynam
 def replace_snapshot(spark: SparkSession, root: str, name: str, batch: DataFrame) -> bool:
     """Replace the whole table by the batch, last record per key.
 
-    An empty batch leaves the table alone and returns False.
+    An empty batch leaves the table alone and returns False. The batch is staged
+    first: a bad record must fail before the old rows are gone.
     """
     table = TABLES[name]
-    rows = keep_last(batch.select(*_stored_schema(table).names), table.key, F.col("_seq").desc())
+    last = keep_last(batch.select(*_stored_schema(table).names), table.key, F.col("_seq").desc())
+    rows = _staged(last, root, table)
     if rows.isEmpty():
         return False
     _write_partitions(rows, table, table_path(root, name), mode="static")

@@ -142,21 +142,29 @@ def ww(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def state_dim(spark: SparkSession, folder: str) -> DataFrame:
-    """Geography, code and coordinates for the nations below key 20.
+    """Geography, code and coordinates of every nation; regions are unknown to it."""
+    key = F.col("n_nationkey")
+    return table(spark, folder, "nation").select(
+        F.col("n_name").alias("geography"),
+        F.concat(F.lit("N"), key.cast("string")).alias("code"),
+        (key + 25.0).alias("lat"),
+        (key * 2 - 120.0).alias("lng"),
+    )
+
 
-    The cut belongs to the dimension: look-ups must meet places it lacks.
+def labelled_places(spark: SparkSession, folder: str) -> DataFrame:
+    """Activity rows by nation and, under the region's name, by region.
+
+    The region rows are places the state dimension lacks.
     """
-    key = F.col("n_nationkey")
-    return (
-        table(spark, folder, "nation")
-        .filter(key < 20)
-        .select(
-            F.col("n_name").alias("geography"),
-            F.concat(F.lit("N"), key.cast("string")).alias("code"),
-            (key + 25.0).alias("lat"),
-            (key * 2 - 120.0).alias("lng"),
-        )
+    nations = ari(spark, folder).select("week_end", "geography", "label")
+    regions = (
+        nations.join(table(spark, folder, "nation"), F.col("geography") == F.col("n_name"))
+        .join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .groupBy("week_end", F.col("r_name").alias("geography"))
+        .agg(F.max("label").alias("label"))
     )
+    return nations.unionByName(regions)
 
 
 def questions(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from epiweave.operators import snapshot
-from epiweave.plans import catalog
+from epiweave.plans import registry
 from epiweave.session import shared_dir
 from epiweave.sources import tables
 
@@ -77,5 +77,5 @@ def test_shared_folder_is_the_configured_one(spark):
 
 
 def test_each_run_writes_into_a_folder_of_its_own(spark):
-    sources = catalog._sources(spark, SMALL)
-    assert catalog._work_folder(sources, "x") != catalog._work_folder(sources, "x")
+    sources = registry.sources_of(spark, SMALL)
+    assert registry.work_folder(sources, "x") != registry.work_folder(sources, "x")
