@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from conftest import rows
@@ -127,3 +128,29 @@ def test_landing_reads_text_and_missing_keys(spark, tmp_path):
         ("Iowa", None, None, 1),
         ("Ohio", "3", "2024-01-06", 0),
     ]
+
+
+def _python_float(text):
+    try:
+        return float(text)
+    except ValueError:
+        return None
+
+
+def _python_int(text):
+    try:
+        value = int(text)
+    except ValueError:
+        return None
+    return value if -(2**31) <= value < 2**31 else None
+
+
+def test_number_texts_read_as_python_reads_them(spark):
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(" +-0123456789._eE") for _ in range(rng.randint(1, 7))) for _ in range(3000)]
+    texts += ["inf", "-Infinity", "1e400", "0x10", "1,5", "\t7\n", "1d", "1f", "12_34.5_6e1_0"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        "t", landing.parse_decimal(F.col("t")).alias("d"), landing.parse_integer(F.col("t")).alias("i")
+    )
+    got = {r.t: (r.d, r.i) for r in frame.collect()}
+    assert got == {t: (_python_float(t), _python_int(t)) for t in texts}
