@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from epiweave.functions.scalars import is_overall_observed, round_to, short_network
+from epiweave.functions.scalars import is_overall_observed, round_to
+
+# --- Fixed value: site, network, |z|, direction, latest rate, mean rate -------
+DESCRIPTION = "%s %s rate is %.1fσ %s average (%.1f vs avg %.1f)"
 
 
 def detect_anomalies(
@@ -60,12 +63,12 @@ def detect_anomalies(
             round_to(z, 2).alias("z_score"),
             F.when(F.abs(z) > z_crit, "Critical").otherwise("Warning").alias("severity"),
             F.format_string(
-                "%s %s rate %.1f is %.1f deviations %s its average of %.1f",
+                DESCRIPTION,
                 "site",
-                short_network("surveillance_network"),
-                round_to("latest", 1),
+                F.replace("surveillance_network", F.lit("-NET"), F.lit("")),
                 round_to(F.abs(z), 1),
                 F.when(z > 0, "above").otherwise("below"),
+                round_to("latest", 1),
                 round_to("mean", 1),
             ).alias("description"),
         )

@@ -6,7 +6,7 @@ series and its size is bounded by the calendar.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -91,7 +91,7 @@ def denormalise(df: DataFrame, stats: DataFrame, column: str) -> DataFrame:
     return joined.withColumn(column, F.col(column) * F.col("std") + F.col("mean")).drop("mean", "std")
 
 
-def step_features(window_column: str, start: F.Column | str, steps: int = STEPS) -> F.Column:
+def step_features(window_column: str, start: Column | str, steps: int = STEPS) -> Column:
     """Array of (value, lag1, lag2, roll_avg, week_sin) per step of a window array.
 
     Lags that would leave the window take the step's own value, and the mean

@@ -9,14 +9,14 @@ of its own.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, LinearRegression, LinearRegressionModel
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,7 +43,7 @@ RECENT = 8
 class Trained:
     """A fitted model and its hold-out metrics, one row per virus."""
 
-    model: PipelineModel | list[LinearRegressionModel]
+    model: PipelineModel
     metrics: DataFrame
 
 
@@ -176,8 +176,8 @@ def train_direct(series: DataFrame, kind: str = "linear", max_iter: int = 20) ->
     targets = {f"target_{h}": F.get(F.col("targets"), F.lit(h)) for h in range(HORIZON)}
     samples = _with_vector(materialise(samples.withColumns(targets).drop("mean", "std")))
     training = samples.filter("is_train")
-    models = [_regressor(h, kind, max_iter).fit(training) for h in range(HORIZON)]
-    scored = reduce(lambda df, m: m.transform(df), models, samples)
+    model = PipelineModel([_regressor(h, kind, max_iter).fit(training) for h in range(HORIZON)])
+    scored = model.transform(samples)
     pairs = F.explode(
         F.array(*(F.struct(F.col(f"pred_{h}").alias("p"), F.col(f"target_{h}").alias("y")) for h in range(HORIZON)))
     )
@@ -189,13 +189,13 @@ def train_direct(series: DataFrame, kind: str = "linear", max_iter: int = 20) ->
         (F.count_if(F.col("is_train")) / HORIZON).cast("long").alias("train_samples"),
         (F.count_if(held_out) / HORIZON).cast("long").alias("val_samples"),
     )
-    return Trained(models, materialise(metrics))
+    return Trained(model, materialise(metrics))
 
 
 def forecast_direct(trained: Trained, series: DataFrame) -> DataFrame:
     """(virus, date, step, value) from the last twelve weeks of each series."""
     window = latest_window(normalised(series), "norm")
-    scored = reduce(lambda df, m: m.transform(df), trained.model, _with_vector(window))
+    scored = trained.model.transform(_with_vector(window))
     stats = series_stats(series).select("virus", "mean", "std")
     values = F.array(*(clip_zero(F.col(f"pred_{h}") * F.col("std") + F.col("mean")) for h in range(HORIZON)))
     return scored.join(stats, "virus").select("virus", "date", F.posexplode(values).alias("step", "value"))
@@ -272,7 +272,7 @@ def stacked(series: DataFrame, gbt: DataFrame, direct: DataFrame) -> DataFrame:
 
 
 def save(trained: Trained, path: str) -> None:
-    """Model and metrics under one folder; needs a pipeline model."""
+    """Model and metrics under one folder."""
     trained.model.write().overwrite().save(f"{path}/model")
     trained.metrics.write.mode("overwrite").parquet(f"{path}/metrics")
 
@@ -288,11 +288,13 @@ def load(spark: SparkSession, path: str) -> Trained | None:
     return Trained(PipelineModel.load(f"{path}/model"), metrics)
 
 
-def fit_or_load(series: DataFrame, path: str, max_iter: int = 200, retrain: bool = False) -> Trained:
-    """Train when asked to or when nothing is stored, else load."""
+def fit_or_load(
+    series: DataFrame, path: str, train: Callable[..., Trained] = train_recursive, retrain: bool = False, **options
+) -> Trained:
+    """Train and store when asked to or when nothing is stored, else load."""
     stored = None if retrain else load(series.sparkSession, path)
     if stored is not None:
         return stored
-    trained = train_recursive(series, max_iter)
+    trained = train(series, **options)
     save(trained, path)
     return trained

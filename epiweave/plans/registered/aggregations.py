@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from epiweave.operators import aggregates, snapshot
 from epiweave.plans.dashboard import dashboard_summary
-from epiweave.plans.registry import query, tidied, weekly_series
+from epiweave.plans.registry import half_up, query, tidied, weekly_series
 from epiweave.sources import tables
 
 
@@ -144,7 +144,7 @@ def _season_compare(t):
 
 @query(
     "current_rates",
-    """SELECT surveillance_network, CAST(round(CAST(round(avg(weekly_rate), 8) AS DECIMAL(28, 8)), 2) AS DOUBLE) + 0.0 AS rate FROM overall
+    f"""SELECT surveillance_network, {half_up("avg(weekly_rate)", 2)} AS rate FROM overall
        WHERE week_ending_date = (SELECT max(week_ending_date) FROM hosp) GROUP BY 1""",
     "hosp",
 )

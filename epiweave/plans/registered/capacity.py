@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from epiweave.functions import scalars as S
 from epiweave.operators import aggregates
 from epiweave.operators import scenarios as capacity
-from epiweave.plans.registry import query, tidied
+from epiweave.plans.registry import half_up, query, tidied
 
 _EXPECTED = """
   CAST(week AS INTEGER) AS week, round(1 + (surge_multiplier - 1) * least(1, week / CAST(4 AS DOUBLE)), 8) + 0.0
@@ -40,7 +40,7 @@ def _scenario_expected(t):
     "scenario_seeded",
     f"""SELECT scenario_id, surveillance_network, {_EXPECTED} FROM (SELECT *, {_ADMISSIONS} FROM (
           SELECT s.* EXCLUDE (current_rate), surveillance_network, r.rate AS current_rate FROM scenarios s,
-            (SELECT surveillance_network, CAST(round(CAST(round(avg(weekly_rate), 8) AS DECIMAL(28, 8)), 2) AS DOUBLE) + 0.0 AS rate FROM overall
+            (SELECT surveillance_network, {half_up("avg(weekly_rate)", 2)} AS rate FROM overall
              WHERE week_ending_date = (SELECT max(week_ending_date) FROM hosp) GROUP BY 1) r), range(8) AS w(week))""",
     "scenarios",
     "hosp",
@@ -72,8 +72,8 @@ def _scenario_draws(t):
 
 @query(
     "scenario_cost",
-    """SELECT scenario_id, CAST(round(CAST(round(avg(cost) * 8, 8) AS DECIMAL(28, 8)), 0) AS DOUBLE) + 0.0 AS total_cost_mean,
-       CAST(round(CAST(round(quantile_cont(cost, 0.95) * 8, 8) AS DECIMAL(28, 8)), 0) AS DOUBLE) + 0.0 AS total_cost_p95 FROM drawn GROUP BY 1""",
+    f"""SELECT scenario_id, {half_up("avg(cost) * 8", 0)} AS total_cost_mean,
+       {half_up("quantile_cont(cost, 0.95) * 8", 0)} AS total_cost_p95 FROM drawn GROUP BY 1""",
     "hospitals",
 )
 def _scenario_cost(t):
@@ -82,9 +82,9 @@ def _scenario_cost(t):
 
 @query(
     "scenario_cost_text",
-    """SELECT scenario_id, CASE WHEN c >= 1e9 THEN printf('$%.1fB', CAST(round(CAST(round(c / 1e9, 8) AS DECIMAL(28, 8)), 1) AS DOUBLE))
-         WHEN c >= 1e6 THEN printf('$%.1fM', CAST(round(CAST(round(c / 1e6, 8) AS DECIMAL(28, 8)), 1) AS DOUBLE))
-         WHEN c >= 1e3 THEN printf('$%.0fK', CAST(round(CAST(round(c / 1e3, 8) AS DECIMAL(28, 8)), 0) AS DOUBLE)) ELSE printf('$%.0f', round(c, 0)) END AS cost
+    f"""SELECT scenario_id, CASE WHEN c >= 1e9 THEN printf('$%.1fB', {half_up("c / 1e9", 1)})
+         WHEN c >= 1e6 THEN printf('$%.1fM', {half_up("c / 1e6", 1)})
+         WHEN c >= 1e3 THEN printf('$%.0fK', {half_up("c / 1e3", 0)}) ELSE printf('$%.0f', round(c, 0)) END AS cost
        FROM (SELECT scenario_id, CAST(population AS DOUBLE) * current_rate AS c FROM scenarios)""",
     "scenarios",
 )

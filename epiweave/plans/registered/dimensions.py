@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from epiweave.functions import scalars as S
 from epiweave.operators import lookups, snapshot
-from epiweave.plans.registry import query, tidied
+from epiweave.plans.registry import half_up, query, tidied
 from epiweave.schemas import network_dimension
 
 
@@ -70,9 +70,9 @@ def _label_rank(t):
 
 @query(
     "bands",
-    """SELECT wwtp_id, date_end, CASE WHEN percentile >= 80 THEN 'Very High' WHEN percentile >= 60 THEN 'High'
+    f"""SELECT wwtp_id, date_end, CASE WHEN percentile >= 80 THEN 'Very High' WHEN percentile >= 60 THEN 'High'
          WHEN percentile >= 40 THEN 'Moderate' WHEN percentile >= 20 THEN 'Low' ELSE 'Minimal' END AS band,
-       CASE WHEN ptc_15d > 0 THEN 'up' ELSE 'down' END AS direction, CAST(round(CAST(round(abs(ptc_15d), 8) AS DECIMAL(28, 8)), 0) AS DOUBLE) + 0.0 AS magnitude,
+       CASE WHEN ptc_15d > 0 THEN 'up' ELSE 'down' END AS direction, {half_up("abs(ptc_15d)", 0)} AS magnitude,
        CASE WHEN percentile > 50 THEN 'high' WHEN percentile > 20 THEN 'moderate' ELSE 'safe' END AS overflow
        FROM ww""",
     "ww",

@@ -4,64 +4,67 @@ from __future__ import annotations
 
 import hashlib
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epiweave.operators import features, forecasting
-from epiweave.plans.registry import Sources, query, tidied, weekly_series
-from epiweave.session import shared_dir
+from epiweave.plans.registry import Sources, half_up, query, tidied, weekly_series
+from epiweave.session import materialise, shared_dir
 
 BENCH_TREES = 20
 
 
-def _trained(t: Sources) -> forecasting.Trained:
-    """The boosted trees of this folder, trained once per application and stored."""
+def _trained(t: Sources, kind: str) -> forecasting.Trained:
+    """A model of this folder's series, trained once per application and stored."""
     name = hashlib.sha256(t.folder.encode()).hexdigest()[:16]
-    path = f"{shared_dir(t.spark)}/epiweave/{t.spark.sparkContext.applicationId}/models/{name}"
-    return forecasting.fit_or_load(weekly_series(t), path, max_iter=BENCH_TREES)
+    path = f"{shared_dir(t.spark)}/epiweave/{t.spark.sparkContext.applicationId}/models/{kind}-{name}"
+    if kind == "gbt":
+        return forecasting.fit_or_load(weekly_series(t), path, max_iter=BENCH_TREES)
+    return forecasting.fit_or_load(weekly_series(t), path, forecasting.train_direct)
+
+
+def _forecasts(t: Sources, series: DataFrame) -> tuple[DataFrame, DataFrame]:
+    gbt, direct = _trained(t, "gbt"), _trained(t, "direct")
+    return forecasting.gbt_forecast(series, gbt), forecasting.direct_forecast(series, direct)
 
 
 @query("forecast_gbt")
 def _forecast_gbt(t):
-    return forecasting.gbt_forecast(weekly_series(t), _trained(t))
+    return forecasting.gbt_forecast(weekly_series(t), _trained(t, "gbt"))
 
 
 @query("forecast_direct")
 def _forecast_direct(t):
-    return forecasting.direct_forecast(weekly_series(t))
+    return forecasting.direct_forecast(weekly_series(t), _trained(t, "direct"))
 
 
 @query("forecast_compare")
 def _forecast_compare(t):
-    series = weekly_series(t)
-    return forecasting.compare_forecasts(
-        forecasting.gbt_forecast(series, _trained(t)), forecasting.direct_forecast(series)
-    )
+    return forecasting.compare_forecasts(*_forecasts(t, weekly_series(t)))
 
 
 @query("forecast_stacked")
 def _forecast_stacked(t):
-    series = weekly_series(t)
-    return forecasting.stacked(
-        series, forecasting.gbt_forecast(series, _trained(t)), forecasting.direct_forecast(series)
-    )
+    series = materialise(weekly_series(t))
+    return forecasting.stacked(series, *_forecasts(t, series))
 
 
 @query("forecast_eval")
 def _forecast_eval(t):
-    return _trained(t).metrics
+    return _trained(t, "gbt").metrics
 
 
 @query("importances")
 def _importances(t):
-    return forecasting.importances(_trained(t).model, t.spark)
+    return forecasting.importances(_trained(t, "gbt").model, t.spark)
 
 
 @query(
     "bands_math",
-    """SELECT virus, date AS forecast_date, CAST(date + CAST(7 * (idx % 4 + 1) AS INTEGER) AS DATE) AS target_date, 'All' AS geography,
-         CAST(round(CAST(round(rate, 8) AS DECIMAL(28, 8)), 2) AS DOUBLE) + 0.0 AS predicted_rate,
-         CAST(round(CAST(round(greatest(0, rate - m * (1 + CAST(0.25 AS DOUBLE) * (idx % 4))), 8) AS DECIMAL(28, 8)), 2) AS DOUBLE) + 0.0 AS lower_bound,
-         CAST(round(CAST(round(rate + m * (1 + CAST(0.25 AS DOUBLE) * (idx % 4)), 8) AS DECIMAL(28, 8)), 2) AS DOUBLE) + 0.0 AS upper_bound,
+    f"""SELECT virus, date AS forecast_date, CAST(date + CAST(7 * (idx % 4 + 1) AS INTEGER) AS DATE) AS target_date, 'All' AS geography,
+         {half_up("rate", 2)} AS predicted_rate,
+         {half_up("greatest(0, rate - m * (1 + CAST(0.25 AS DOUBLE) * (idx % 4)))", 2)} AS lower_bound,
+         {half_up("rate + m * (1 + CAST(0.25 AS DOUBLE) * (idx % 4))", 2)} AS upper_bound,
          'given' AS model_version FROM (SELECT *, CAST(7 AS DOUBLE) AS m FROM indexed)""",
     "hosp",
 )

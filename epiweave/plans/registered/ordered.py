@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from epiweave.functions import scalars as S
 from epiweave.operators import aggregates, anomalies, trends
-from epiweave.plans.registry import query, tidied, weekly_series
+from epiweave.plans.registry import half_up, query, tidied, weekly_series
 
-_WOW_COLUMNS = """virus, date, round(rate, 8) + 0.0 AS rate, round(previous, 8) + 0.0 AS previous,
-  CASE WHEN previous > 0 THEN CAST(round(CAST(round((rate - previous) / previous * 100, 8) AS DECIMAL(28, 8)), 1) AS DOUBLE) + 0.0 ELSE 0 END AS change_pct"""
+_WOW_COLUMNS = f"""virus, date, round(rate, 8) + 0.0 AS rate, round(previous, 8) + 0.0 AS previous,
+  CASE WHEN previous > 0 THEN {half_up("(rate - previous) / previous * 100", 1)} ELSE 0 END AS change_pct"""
 
 
 @query("wow_change", f"SELECT {_WOW_COLUMNS} FROM wow WHERE back = 1", "hosp", "wow")
@@ -48,19 +48,18 @@ def _season_alignment(t):
 
 def _anomaly_sql(z_min: float, recent: str) -> str:
     return f"""
-SELECT detected_date, geography, metric, CAST(round(CAST(round(latest, 8) AS DECIMAL(28, 8)), 2) AS DOUBLE) + 0.0 AS value,
-       CAST(round(CAST(round(z, 8) AS DECIMAL(28, 8)), 2) AS DOUBLE) + 0.0 AS z_score, CASE WHEN abs(z) > 3 THEN 'Critical' ELSE 'Warning' END AS severity,
-       printf('%s %s rate %.1f is %.1f deviations %s its average of %.1f', geography,
-              replace(replace(metric, '-NET', ''), 'Surv', ''), CAST(round(CAST(round(latest, 8) AS DECIMAL(28, 8)), 1) AS DOUBLE),
-              CAST(round(CAST(round(abs(z), 8) AS DECIMAL(28, 8)), 1) AS DOUBLE), CASE WHEN z > 0 THEN 'above' ELSE 'below' END,
-              CAST(round(CAST(round(mean, 8) AS DECIMAL(28, 8)), 1) AS DOUBLE)) AS description
+SELECT detected_date, geography, metric, {half_up("latest", 2)} AS value,
+       {half_up("z", 2)} AS z_score, CASE WHEN abs(z) > 3 THEN 'Critical' ELSE 'Warning' END AS severity,
+       printf('%s %s rate is %.1fσ %s average (%.1f vs avg %.1f)', geography, replace(metric, '-NET', ''),
+              {half_up("abs(z)", 1)}, CASE WHEN z > 0 THEN 'above' ELSE 'below' END, {half_up("latest", 1)},
+              {half_up("mean", 1)}) AS description
 FROM (SELECT *, (latest - mean) / (std + 1e-8) AS z FROM (
   SELECT site AS geography, surveillance_network AS metric, count(*) AS points,
          max(week_ending_date) FILTER (back = 1) AS detected_date, max(weekly_rate) FILTER (back = 1) AS latest,
          avg(weekly_rate) FILTER (back > 1) AS mean, stddev_pop(weekly_rate) FILTER (back > 1) AS std
   FROM (SELECT *, row_number() OVER (PARTITION BY site, surveillance_network ORDER BY week_ending_date DESC) AS back
         FROM {recent}) GROUP BY 1, 2) WHERE points >= 8)
-WHERE abs(z) > {z_min} ORDER BY abs(CAST(round(CAST(round(z, 8) AS DECIMAL(28, 8)), 2) AS DOUBLE)) DESC, geography, metric LIMIT 20"""
+WHERE abs(z) > {z_min} ORDER BY abs({half_up("z", 2)}) DESC, geography, metric LIMIT 20"""
 
 
 _RECENT_ROWS = """(SELECT * FROM overall ORDER BY week_ending_date DESC, site, surveillance_network, weekly_rate

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from epiweave.functions import scalars as S
 from epiweave.operators import aggregates, features, forecasting
-from epiweave.plans.registry import query, tidied, weekly_series
+from epiweave.plans.registry import half_up, query, tidied, weekly_series
 
 _TABULAR = ", ".join(f"round({c}, 8) + 0.0 AS {c}" for c in [*features.TABULAR_FEATURES, "target"])
 
@@ -90,7 +90,7 @@ def _split(t):
 
 @query(
     "recent8",
-    """SELECT virus, date, 'Week -' || back AS label, CAST(round(CAST(round(rate, 8) AS DECIMAL(28, 8)), 2) AS DOUBLE) + 0.0 AS rate FROM wow WHERE back <= 8""",
+    f"""SELECT virus, date, 'Week -' || back AS label, {half_up("rate", 2)} AS rate FROM wow WHERE back <= 8""",
     "hosp",
     "wow",
 )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epiweave.operators import briefing, questions
-from epiweave.plans.registry import CTES, Sources, query
+from epiweave.plans.registry import CTES, Sources, half_up, query
 
 _ROUTED = """
 routed AS (
@@ -53,7 +53,7 @@ def _route_conversations(t):
     return questions.route_questions(turns, _places(t)).select("question_id", "geography", "route")
 
 
-_BRIEF_FIELDS = """
+_BRIEF_FIELDS = f"""
 SELECT (SELECT max(week_end) FROM ari) AS week_end, (SELECT count(*) FROM ari_latest) AS total_states,
   (SELECT count(*) FROM ari_latest WHERE label IN ('High', 'Very High')) AS high_count,
   (SELECT CASE WHEN count(*) > 3 THEN 'elevated' ELSE 'low' END FROM ari_latest WHERE label IN ('High', 'Very High'))
@@ -61,8 +61,8 @@ SELECT (SELECT max(week_end) FROM ari) AS week_end, (SELECT count(*) FROM ari_la
   coalesce((SELECT string_agg(geography, ', ' ORDER BY geography) FROM ari_latest WHERE label IN ('High', 'Very High')),
     '') AS high_risk_states,
   (SELECT pathogen FROM pos_latest ORDER BY percent_test_positivity DESC, pathogen LIMIT 1) AS dominant_pathogen,
-  (SELECT CAST(round(CAST(round(max(percent_test_positivity), 8) AS DECIMAL(28, 8)), 1) AS DOUBLE) + 0.0 FROM pos_latest) AS dominant_positivity,
-  (SELECT string_agg(pathogen || ': ' || printf('%.1f', CAST(round(CAST(round(percent_test_positivity, 8) AS DECIMAL(28, 8)), 1) AS DOUBLE)) || '%', '; '
+  (SELECT {half_up("max(percent_test_positivity)", 1)} FROM pos_latest) AS dominant_positivity,
+  (SELECT string_agg(pathogen || ': ' || printf('%.1f', {half_up("percent_test_positivity", 1)}) || '%', '; '
      ORDER BY pathogen) FROM pos_latest WHERE pathogen <> (SELECT pathogen FROM pos_latest
      ORDER BY percent_test_positivity DESC, pathogen LIMIT 1)) AS other_positivity,
   (SELECT string_agg(label || ': ' || n, '; ' ORDER BY level DESC) FROM (SELECT label, level, count(*) AS n
@@ -75,7 +75,7 @@ def _weekly_brief(t):
 
 
 CTES["brief"] = f"brief AS ({_BRIEF_FIELDS})"
-_POSITIVITY_TEXT = """(SELECT string_agg(pathogen || ': ' || printf('%.1f', CAST(round(CAST(round(percent_test_positivity, 8) AS DECIMAL(28, 8)), 1) AS DOUBLE))
+_POSITIVITY_TEXT = f"""(SELECT string_agg(pathogen || ': ' || printf('%.1f', {half_up("percent_test_positivity", 1)})
   || '%', '; ' ORDER BY pathogen) FROM pos_latest)"""
 
 
@@ -108,11 +108,11 @@ def _answers(t):
            WHERE label <> 'Data Unavailable') AS activity,
          coalesce((SELECT string_agg(geography, ', ' ORDER BY geography) FROM ari_latest
            WHERE label IN ('High', 'Very High')), 'None') AS high_risk, {_POSITIVITY_TEXT} AS positivity,
-         (SELECT string_agg(n || ': ' || printf('%.1f', CAST(round(CAST(round(r, 8) AS DECIMAL(28, 8)), 1) AS DOUBLE)), '; ' ORDER BY n) FROM (
+         (SELECT string_agg(n || ': ' || printf('%.1f', {half_up("r", 1)}), '; ' ORDER BY n) FROM (
            SELECT surveillance_network AS n, avg(weekly_rate) AS r FROM overall
            WHERE week_ending_date >= (SELECT max(week_ending_date) - 28 FROM hosp) GROUP BY 1)) AS hospitalization,
          (SELECT printf('%d sites in %d counties, average percentile %.0f', count(*), count(DISTINCT county_fips),
-           CAST(round(CAST(round(avg(percentile), 8) AS DECIMAL(28, 8)), 0) AS DOUBLE)) FROM ww_latest) AS wastewater""",
+           {half_up("avg(percentile)", 0)}) FROM ww_latest) AS wastewater""",
     "ari",
     "pos",
     "hosp",

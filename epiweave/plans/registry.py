@@ -23,6 +23,19 @@ ORACLE: dict[str, str] = {}
 
 # --- The derived tables, as SQL ----------------------------------------------
 
+def half_up(expression: str, places: int) -> str:
+    """Half-up rounding of a value first rounded to 8 places, as in ``scalars.round_to``."""
+    return f"CAST(round(CAST(round({expression}, 8) AS DECIMAL(28, 8)), {places}) AS DOUBLE) + 0.0"
+
+
+def _demand_measures(column: str) -> str:
+    share = f"avg(CASE WHEN {column} > {column}_available THEN 1 ELSE 0 END) * 100"
+    return f"""{half_up(f"avg({column})", 1)} AS {column}_mean,
+         {half_up(f"quantile_cont({column}, 0.05)", 1)} AS {column}_p5,
+         {half_up(f"quantile_cont({column}, 0.95)", 1)} AS {column}_p95,
+         {half_up(share, 1)} AS {column}_overflow_pct"""
+
+
 CTES = {
     "hosp": """
 hosp_weekly AS (
@@ -201,12 +214,8 @@ hospitals AS (
 ), drawn AS (
   SELECT *, beds * cost_per_bed_day * 7 + icu_beds * cost_per_icu_day * 7 AS cost FROM occupied
 ), weekly AS (
-  SELECT scenario_id, CAST(week AS INTEGER) AS week, {", ".join(
-    f"CAST(round(CAST(round(avg({c}), 8) AS DECIMAL(28, 8)), 1) AS DOUBLE) + 0.0 AS {c}_mean, "
-    f"CAST(round(CAST(round(quantile_cont({c}, 0.05), 8) AS DECIMAL(28, 8)), 1) AS DOUBLE) + 0.0 AS {c}_p5, "
-    f"CAST(round(CAST(round(quantile_cont({c}, 0.95), 8) AS DECIMAL(28, 8)), 1) AS DOUBLE) + 0.0 AS {c}_p95, "
-    f"CAST(round(CAST(round(avg(CASE WHEN {c} > {c}_available THEN 1 ELSE 0 END) * 100, 8) AS DECIMAL(28, 8)), 1) AS DOUBLE) + 0.0 AS {c}_overflow_pct"
-    for c in ("beds", "icu_beds"))}
+  SELECT scenario_id, CAST(week AS INTEGER) AS week,
+         {_demand_measures("beds")}, {_demand_measures("icu_beds")}
   FROM drawn GROUP BY 1, 2
 )"""
 

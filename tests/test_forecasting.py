@@ -77,6 +77,9 @@ def test_fit_or_load(spark, panel, tmp_path):
     assert again.model.stages[-1].getNumTrees == first.model.stages[-1].getNumTrees == 2
     a, b = (rows(forecasting.gbt_forecast(panel, t)) for t in (first, again))
     assert a == b
+    direct_path = str(tmp_path / "direct")
+    stored, loaded = (forecasting.fit_or_load(panel, direct_path, forecasting.train_direct) for _ in range(2))
+    assert rows(forecasting.direct_forecast(panel, stored)) == rows(forecasting.direct_forecast(panel, loaded))
     retrained = forecasting.fit_or_load(panel, path, max_iter=3, retrain=True)
     assert retrained.model.stages[-1].getNumTrees == 3
 

@@ -202,7 +202,8 @@ def test_anomalies_need_enough_rows_and_points(spark):
     got = anomalies.detect_anomalies(hosp(spark, *spike, *filler)).collect()
     assert [r.geography for r in got] == ["A"]
     assert got[0].severity == "Critical"
-    assert got[0].description.startswith("A RSV rate 50.0 is")
+    assert got[0].description.startswith("A RSV rate is ")
+    assert got[0].description.endswith("σ above average (50.0 vs avg 1.1)")
     short = [("C", "RSV-NET", i, 1.0 if i < 6 else 99.0) for i in range(7)]
     assert anomalies.detect_anomalies(hosp(spark, *short, *filler, *filler[:1])).isEmpty()
 
