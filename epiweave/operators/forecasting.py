@@ -33,6 +33,7 @@ from epiweave.operators.features import (
     tabular_samples,
     time_split,
 )
+from epiweave.schemas import TABLES
 from epiweave.session import materialise
 
 MIN_TRAIN_POINTS = 30
@@ -231,14 +232,24 @@ def forecast_table(forecast: DataFrame, metrics: DataFrame, step_growth: float,
     )
 
 
+def _none(series: DataFrame) -> DataFrame:
+    return series.sparkSession.createDataFrame([], TABLES["forecasts"].schema)
+
+
 def gbt_forecast(series: DataFrame, trained: Trained | None = None, max_iter: int = 200) -> DataFrame:
+    """Forecast rows of every series that is long enough; the others have none."""
     series = materialise(long_enough(series))
+    if series.isEmpty():
+        return _none(series)
     trained = trained or train_recursive(series, max_iter)
     return forecast_table(forecast_recursive(trained, series), trained.metrics, 0.25, "gbt")
 
 
 def direct_forecast(series: DataFrame, trained: Trained | None = None) -> DataFrame:
+    """As ``gbt_forecast``, from the direct model."""
     series = materialise(long_enough(series))
+    if series.isEmpty():
+        return _none(series)
     trained = trained or train_direct(series)
     return forecast_table(forecast_direct(trained, series), trained.metrics, 0.3, "direct")
 

@@ -54,6 +54,46 @@ def _forecast_eval(t):
     return _trained(t, "gbt").metrics
 
 
+@query(
+    "forecast_checks",
+    """SELECT model_version, virus, CAST(4 AS BIGINT) AS weeks, max(date) AS forecast_date,
+         max(date) + 7 AS first_target, max(date) + 28 AS last_target, true AS bounds_hold, true AS bounds_grow
+       FROM indexed, (VALUES ('gbt'), ('direct')) AS m(model_version) WHERE points >= 30 GROUP BY 1, 2""",
+    "hosp",
+)
+def _forecast_checks(t):
+    # What must hold for any model: horizon, dates, bounds around the value and never below zero.
+    gbt, direct = _forecasts(t, weekly_series(t))
+    inside = (F.col("lower_bound") >= 0) & F.col("predicted_rate").between(F.col("lower_bound"), F.col("upper_bound"))
+    width = F.round(F.col("upper_bound") - F.col("predicted_rate"), 2)
+    widths = F.transform(F.sort_array(F.collect_list(F.struct("target_date", width.alias("w")))), lambda e: e["w"])
+    return (
+        gbt.unionByName(direct)
+        .groupBy("model_version", "virus")
+        .agg(
+            F.count("*").alias("weeks"),
+            F.max("forecast_date").alias("forecast_date"),
+            F.min("target_date").alias("first_target"),
+            F.max("target_date").alias("last_target"),
+            F.bool_and(inside).alias("bounds_hold"),
+            (widths == F.sort_array(widths)).alias("bounds_grow"),
+        )
+    )
+
+
+@query(
+    "forecast_samples",
+    """SELECT virus, CAST(floor(CAST(0.8 AS DOUBLE) * count(*)) AS BIGINT) AS train_samples,
+         count(*) - CAST(floor(CAST(0.8 AS DOUBLE) * count(*)) AS BIGINT) AS val_samples, true AS has_error
+       FROM tabular WHERE points >= 30 GROUP BY 1""",
+    "hosp",
+    "samples",
+)
+def _forecast_samples(t):
+    metrics = _trained(t, "gbt").metrics
+    return metrics.select("virus", "train_samples", "val_samples", (F.col("mae") >= 0).alias("has_error"))
+
+
 @query("importances")
 def _importances(t):
     return forecasting.importances(_trained(t, "gbt").model, t.spark)

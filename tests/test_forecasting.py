@@ -85,7 +85,14 @@ def test_fit_or_load(spark, panel, tmp_path):
 
 
 def test_too_short_series_give_no_forecast(spark, trained):
-    assert forecasting.gbt_forecast(series(spark, tiny=wave(20)), trained).isEmpty()
+    tiny = series(spark, tiny=wave(20))
+    for forecast in (
+        forecasting.gbt_forecast(tiny, trained),
+        forecasting.gbt_forecast(tiny),
+        forecasting.direct_forecast(tiny),
+    ):
+        assert forecast.isEmpty()
+        assert forecast.columns == TABLES["forecasts"].schema.names
 
 
 def test_tree_option_of_the_direct_forecast(spark):
