@@ -16,7 +16,7 @@ def latest(df: DataFrame, column: str, at: str | None = None) -> DataFrame:
     The maximum is a scalar subquery over the whole frame, so on a table stored
     by this column only one partition is read for the rows.
     """
-    if at is not None:
+    if at:
         return df.filter(F.col(column) == F.lit(at).cast("date"))
     return df.filter(F.col(column) == df.agg(F.max(column)).scalar())
 
@@ -27,9 +27,9 @@ def trailing(df: DataFrame, column: str, days: int = 28) -> DataFrame:
 
 
 def where_equal(df: DataFrame, **values) -> DataFrame:
-    """Equality filters for the given values; None means no filter."""
+    """Equality filters for the given values; None or an empty text means no filter."""
     for column, value in values.items():
-        if value is not None:
+        if value not in (None, ""):
             df = df.filter(F.col(column) == value)
     return df
 
@@ -89,7 +89,7 @@ def positivity_latest(pos: DataFrame) -> DataFrame:
 def wastewater(ww: DataFrame, state: str | None = None, county: str | None = None, limit: int = 5000) -> DataFrame:
     """Site readings, newest first; ``county`` is a LIKE fragment, wildcards kept."""
     rows = where_equal(ww, wwtp_jurisdiction=state)
-    if county is not None:
+    if county:
         rows = rows.filter(F.col("county_names").like(f"%{county}%"))
     rows = rows.select(
         "wwtp_jurisdiction",
