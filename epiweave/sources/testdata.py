@@ -8,80 +8,79 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import StructType
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+_schemas: dict[tuple[str, str], StructType] = {}
 
 
-def saturday(column: str) -> Column:
-    return F.date_add(F.trunc(F.col(column).cast("date"), "week"), 5)
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """One test table; its schema is read from the files once per application."""
+    path = f"{folder}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _schemas:
+        _schemas[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[key]).parquet(path)
 
 
-def _choice(column: Column, values: dict) -> Column:
-    result = F.lit(None).cast("string")
-    for key, value in reversed(list(values.items())):
-        result = F.when(column == key, value).otherwise(result)
-    return result
+def _saturday(column: str) -> str:
+    return f"date_add(trunc(CAST({column} AS DATE), 'week'), 5)"
 
 
 def hosp(spark: SparkSession, folder: str) -> DataFrame:
     """Rates by network, week, age group, region and rate type."""
-    lines = table(spark, folder, "lineitem").select(
+    lines = table(spark, folder, "lineitem").selectExpr(
         "l_suppkey",
-        _choice(F.col("l_returnflag"), {"A": "COVID-NET", "N": "FluSurv-NET", "R": "RSV-NET"}).alias(
-            "surveillance_network"
-        ),
-        saturday("l_shipdate").alias("week_ending_date"),
-        _choice(F.col("l_linenumber") % 4, {0: "0-17", 1: "18-64", 2: "65+", 3: "Overall"}).alias("age_group"),
-        F.when(F.col("l_linestatus") == "F", "Observed").otherwise("Estimated").alias("rate_type"),
+        "CASE l_returnflag WHEN 'A' THEN 'COVID-NET' WHEN 'N' THEN 'FluSurv-NET' WHEN 'R' THEN 'RSV-NET' END "
+        "AS surveillance_network",
+        f"{_saturday('l_shipdate')} AS week_ending_date",
+        "CASE l_linenumber % 4 WHEN 0 THEN '0-17' WHEN 1 THEN '18-64' WHEN 2 THEN '65+' ELSE 'Overall' END "
+        "AS age_group",
+        "IF(l_linestatus = 'F', 'Observed', 'Estimated') AS rate_type",
         "l_quantity",
     )
-    week = F.col("week_ending_date")
     # One table at a time, so that each joined side has a known size of its own.
     weekly = (
-        lines.join(table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        lines.join(table(spark, folder, "supplier"), F.expr("l_suppkey = s_suppkey"))
+        .join(table(spark, folder, "nation"), F.expr("s_nationkey = n_nationkey"))
+        .join(table(spark, folder, "region"), F.expr("n_regionkey = r_regionkey"))
         .withColumnRenamed("r_name", "site")
         .groupBy("surveillance_network", "week_ending_date", "age_group", "site", "rate_type")
         .agg(F.sum("l_quantity").alias("quantity"))
-        .withColumn("season_start", F.year(week) - F.when(F.month(week) < 7, 1).otherwise(0))
+        .selectExpr("*", "year(week_ending_date) - IF(month(week_ending_date) < 7, 1, 0) AS start")
     )
-    season = Window.partitionBy("surveillance_network", "season_start", "age_group", "site", "rate_type").orderBy(week)
-    return weekly.select(
+    return weekly.selectExpr(
         "surveillance_network",
-        F.concat_ws("-", F.col("season_start"), F.col("season_start") + 1).alias("season"),
+        "concat_ws('-', start, start + 1) AS season",
         "week_ending_date",
-        F.year(week).alias("mmwr_year"),
-        F.weekofyear(week).alias("mmwr_week"),
+        "year(week_ending_date) AS mmwr_year",
+        "weekofyear(week_ending_date) AS mmwr_week",
         "age_group",
-        F.lit("Overall").alias("sex"),
-        F.lit("Overall").alias("race_ethnicity"),
+        "'Overall' AS sex",
+        "'Overall' AS race_ethnicity",
         "site",
-        (F.col("quantity") / 10.0).alias("weekly_rate"),
-        (F.sum("quantity").over(season) / 10.0).alias("cumulative_rate"),
+        "quantity / 10D AS weekly_rate",
+        "sum(quantity) OVER (PARTITION BY surveillance_network, start, age_group, site, rate_type "
+        "ORDER BY week_ending_date) / 10D AS cumulative_rate",
         "rate_type",
     )
 
 
 def ari(spark: SparkSession, folder: str) -> DataFrame:
     """Activity label by nation and week."""
-    labels = ["Minimal", "Very Low", "Low", "Moderate", "High", "Very High", "Data Unavailable"]
-    code = F.col("newest") % 7
     return (
         table(spark, folder, "orders")
-        .select("o_custkey", "o_orderkey", saturday("o_orderdate").alias("week_end"))
-        .join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .selectExpr("o_custkey", "o_orderkey", f"{_saturday('o_orderdate')} AS week_end")
+        .join(table(spark, folder, "customer"), F.expr("o_custkey = c_custkey"))
+        .join(table(spark, folder, "nation"), F.expr("c_nationkey = n_nationkey"))
         .groupBy("week_end", F.col("n_name").alias("geography"))
         .agg(F.max("o_orderkey").alias("newest"))
-        .select(
+        .selectExpr(
             "week_end",
             "geography",
-            _choice(code, dict(enumerate(labels))).alias("label"),
-            code.cast("string").alias("buildnumber"),
+            "CASE newest % 7 WHEN 0 THEN 'Minimal' WHEN 1 THEN 'Very Low' WHEN 2 THEN 'Low' WHEN 3 THEN 'Moderate' "
+            "WHEN 4 THEN 'High' WHEN 5 THEN 'Very High' ELSE 'Data Unavailable' END AS label",
+            "CAST(newest % 7 AS STRING) AS buildnumber",
         )
     )
 
@@ -92,63 +91,58 @@ def pos(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "events")
         .select(F.col("ts").cast("date").alias("week_end"), pathogen("event_type").alias("pathogen"), "value")
         .groupBy("week_end", "pathogen")
-        .agg(F.count_if(F.col("value") > 50).alias("large"), F.count("*").alias("total"))
-        .select(
-            "week_end",
-            "pathogen",
-            (F.lit(100.0) * F.col("large") / F.col("total")).alias("percent_test_positivity"),
-        )
+        .agg(F.expr("100D * count_if(value > 50) / count(*)").alias("percent_test_positivity"))
     )
 
 
 def pathogen(column: str) -> Column:
     """Three event types carry the pathogen names; the others keep their own."""
-    kind = F.col(column)
-    named = _choice(kind, {"click": "COVID-19", "view": "Influenza", "purchase": "RSV"})
-    return F.coalesce(named, kind)
+    return F.expr(
+        f"CASE {column} WHEN 'click' THEN 'COVID-19' WHEN 'view' THEN 'Influenza' WHEN 'purchase' THEN 'RSV' "
+        f"ELSE {column} END"
+    )
 
 
 def ww(spark: SparkSession, folder: str) -> DataFrame:
     """One row per supplier and month, aggregated before any join."""
-    day = F.col("l_shipdate").cast("date")
     monthly = (
         table(spark, folder, "lineitem")
-        .select("l_suppkey", F.trunc(day, "month").alias("date_start"), "l_quantity", "l_discount")
+        .selectExpr(
+            "l_suppkey", "trunc(CAST(l_shipdate AS DATE), 'month') AS date_start", "l_quantity", "l_discount"
+        )
         .groupBy("l_suppkey", "date_start")
         .agg(
             F.sum("l_quantity").alias("quantity"),
-            F.count_if(F.col("l_discount") > 0.02).alias("detected"),
+            F.expr("count_if(l_discount > 0.02D)").alias("detected"),
             F.count("*").alias("samples"),
         )
     )
-    county = F.col("l_suppkey") % 20
-    plants = monthly.join(table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(
-        table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
+    plants = monthly.join(table(spark, folder, "supplier"), F.expr("l_suppkey = s_suppkey")).join(
+        table(spark, folder, "nation"), F.expr("s_nationkey = n_nationkey")
     )
-    return plants.select(
-        F.col("n_name").alias("wwtp_jurisdiction"),
-        F.col("l_suppkey").cast("string").alias("wwtp_id"),
-        F.concat(F.lit("County_"), county.cast("string")).alias("county_names"),
-        F.lpad(county.cast("string"), 5, "0").alias("county_fips"),
-        (1000 * (F.col("l_suppkey") + 1)).cast("int").alias("population_served"),
+    return plants.selectExpr(
+        "n_name AS wwtp_jurisdiction",
+        "CAST(l_suppkey AS STRING) AS wwtp_id",
+        "concat('County_', l_suppkey % 20) AS county_names",
+        "lpad(CAST(l_suppkey % 20 AS STRING), 5, '0') AS county_fips",
+        "CAST(1000 * (l_suppkey + 1) AS INT) AS population_served",
         "date_start",
-        F.last_day("date_start").alias("date_end"),
-        (F.col("quantity") - 200.0).alias("ptc_15d"),
-        (F.lit(100.0) * F.col("detected") / F.col("samples")).alias("detect_prop_15d"),
-        (F.col("quantity").cast("long") % 101).cast("double").alias("percentile"),
-        F.lit("no").alias("sampling_prior"),
-        F.min("date_start").over(Window.partitionBy("l_suppkey")).alias("first_sample_date"),
+        "last_day(date_start) AS date_end",
+        "quantity - 200D AS ptc_15d",
+        "100D * detected / samples AS detect_prop_15d",
+        "CAST(CAST(quantity AS BIGINT) % 101 AS DOUBLE) AS percentile",
+        "'no' AS sampling_prior",
+        "min(date_start) OVER (PARTITION BY l_suppkey) AS first_sample_date",
     )
 
 
 def state_dim(spark: SparkSession, folder: str) -> DataFrame:
     """Geography, code and coordinates of every nation; regions are unknown to it."""
-    key = F.col("n_nationkey")
-    return table(spark, folder, "nation").select(
-        F.col("n_name").alias("geography"),
-        F.concat(F.lit("N"), key.cast("string")).alias("code"),
-        (key + 25.0).alias("lat"),
-        (key * 2 - 120.0).alias("lng"),
+    return table(spark, folder, "nation").selectExpr(
+        "n_name AS geography",
+        "concat('N', n_nationkey) AS code",
+        "n_nationkey + 25D AS lat",
+        "n_nationkey * 2 - 120D AS lng",
     )
 
 
@@ -159,8 +153,8 @@ def labelled_places(spark: SparkSession, folder: str) -> DataFrame:
     """
     nations = ari(spark, folder).select("week_end", "geography", "label")
     regions = (
-        nations.join(table(spark, folder, "nation"), F.col("geography") == F.col("n_name"))
-        .join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        nations.join(table(spark, folder, "nation"), F.expr("geography = n_name"))
+        .join(table(spark, folder, "region"), F.expr("n_regionkey = r_regionkey"))
         .groupBy("week_end", F.col("r_name").alias("geography"))
         .agg(F.max("label").alias("label"))
     )
@@ -169,43 +163,37 @@ def labelled_places(spark: SparkSession, folder: str) -> DataFrame:
 
 def questions(spark: SparkSession, folder: str) -> DataFrame:
     """One question per customer, five wordings in turn."""
-    name, kind = F.col("n_name"), F.col("c_custkey") % 5
     return (
         table(spark, folder, "customer")
-        .join(table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        .select(
-            F.col("c_custkey").alias("question_id"),
-            F.when(kind == 0, F.concat(F.lit("What is happening in "), name, F.lit("?")))
-            .when(kind == 1, F.lit("Current FLU positivity"))
-            .when(kind == 2, F.lit("Which places are the worst"))
-            .when(kind == 3, F.lit("Show me a summary"))
-            .otherwise(F.concat(F.lit("Any outbreak near "), F.lower(name), F.lit(" today")))
-            .alias("question"),
+        .join(table(spark, folder, "nation"), F.expr("c_nationkey = n_nationkey"))
+        .selectExpr(
+            "c_custkey AS question_id",
+            "CASE c_custkey % 5 WHEN 0 THEN concat('What is happening in ', n_name, '?') "
+            "WHEN 1 THEN 'Current FLU positivity' WHEN 2 THEN 'Which places are the worst' "
+            "WHEN 3 THEN 'Show me a summary' ELSE concat('Any outbreak near ', lower(n_name), ' today') END AS question",
         )
     )
 
 
 def scenarios(spark: SparkSession, folder: str) -> DataFrame:
     """One capacity scenario per part; missing fields take the defaults."""
-    size = F.col("p_size")
-    return table(spark, folder, "part").select(
-        F.col("p_partkey").alias("scenario_id"),
-        (100000 * (size + 1)).cast("long").alias("population"),
-        (size / 2.0).alias("current_rate"),
-        (1.0 + (F.col("p_partkey") % 5) / 2.0).alias("surge_multiplier"),
-        (10 * size).cast("long").alias("beds_available"),
-        size.cast("long").alias("icu_beds_available"),
+    return table(spark, folder, "part").selectExpr(
+        "p_partkey AS scenario_id",
+        "CAST(100000 * (p_size + 1) AS BIGINT) AS population",
+        "p_size / 2D AS current_rate",
+        "1 + (p_partkey % 5) / 2D AS surge_multiplier",
+        "CAST(10 * p_size AS BIGINT) AS beds_available",
+        "CAST(p_size AS BIGINT) AS icu_beds_available",
     )
 
 
 def hospitals(spark: SparkSession, folder: str) -> DataFrame:
     """One capacity scenario per supplier, for the draw-based queries."""
-    key = F.col("s_suppkey")
-    return table(spark, folder, "supplier").select(
-        key.alias("scenario_id"),
-        (100000 * (key % 40 + 1)).cast("long").alias("population"),
-        ((key % 30 + 1) / 2.0).alias("current_rate"),
-        (1.0 + (key % 5) / 2.0).alias("surge_multiplier"),
-        (10 * (key % 40 + 1)).cast("long").alias("beds_available"),
-        (key % 40 + 1).cast("long").alias("icu_beds_available"),
+    return table(spark, folder, "supplier").selectExpr(
+        "s_suppkey AS scenario_id",
+        "100000 * (s_suppkey % 40 + 1) AS population",
+        "(s_suppkey % 30 + 1) / 2D AS current_rate",
+        "1 + (s_suppkey % 5) / 2D AS surge_multiplier",
+        "10 * (s_suppkey % 40 + 1) AS beds_available",
+        "s_suppkey % 40 + 1 AS icu_beds_available",
     )
