@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from epiweave.functions.scalars import mentions
 from epiweave.operators.aggregates import high_risk_list
 from epiweave.operators.briefing import brief_text, positivity_lines
-from epiweave.operators.snapshot import current_label
+from epiweave.operators.snapshot import place_labels
 from epiweave.sources.tables import keep_last
 
 # --- Fixed values: words that select a route, in order of precedence ----------
@@ -81,8 +81,7 @@ def answer_questions(questions: DataFrame, ari: DataFrame, pos: DataFrame) -> Da
     The label of a place travels with its name and the other answers are scalar
     subqueries, so the questions themselves are never exchanged.
     """
-    places = current_label(ari, ari.select("geography").distinct()).select("geography", "label")
-    routed = route_questions(questions, places)
+    routed = route_questions(questions, place_labels(ari))
     high = high_risk_list(ari).select(
         F.when(F.size("high_risk_states") == 0, F.lit("No place is at a High or Very High activity level."))
         .otherwise(

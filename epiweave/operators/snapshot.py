@@ -165,6 +165,13 @@ def current_label(ari: DataFrame, asked: DataFrame) -> DataFrame:
     )
 
 
+def place_labels(ari: DataFrame) -> DataFrame:
+    """Every known geography with its label in the newest week, else 'Unknown'."""
+    newest = ari.agg(F.max("week_end")).scalar()
+    label = F.max(F.when(F.col("week_end") == newest, F.col("label")))
+    return ari.groupBy("geography").agg(F.coalesce(label, F.lit("Unknown")).alias("label"))
+
+
 def distinct_values(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns).distinct().orderBy(*columns)
 

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epiweave.operators import features, forecasting
-from epiweave.plans.registry import Sources, half_up, query, tidied, weekly_series
+from epiweave.plans.registry import Sources, half_up, query, tidied, weekly_series, work_folder
 from epiweave.session import materialise, shared_dir
+from epiweave.sources import tables
 
 BENCH_TREES = 20
 
@@ -94,6 +95,24 @@ def _forecast_samples(t):
     return metrics.select("virus", "train_samples", "val_samples", (F.col("mae") >= 0).alias("has_error"))
 
 
+@query(
+    "stored_forecasts",
+    """SELECT virus, max(date) AS forecast_date, CAST(date + 7 * step AS DATE) AS target_date, 'All' AS geography,
+         'direct' AS model_version FROM indexed, (VALUES (1), (2), (3), (4)) AS s(step)
+       WHERE points >= 30 AND idx = points - 1 GROUP BY 1, 3""",
+    "hosp",
+)
+def _stored_forecasts(t):
+    # Only the keys: the values come out of a trained model.
+    folder = work_folder(t, "forecasts")
+    tables.declare_tables(t.spark, folder, ("forecasts",))
+    found = forecasting.direct_forecast(weekly_series(t), _trained(t, "direct"))
+    for _ in range(2):
+        tables.append_results(t.spark, folder, "forecasts", found)
+    stored = tables.read_table(t.spark, folder, "forecasts")
+    return stored.select("virus", "forecast_date", "target_date", "geography", "model_version")
+
+
 @query("importances")
 def _importances(t):
     return forecasting.importances(_trained(t, "gbt").model, t.spark)

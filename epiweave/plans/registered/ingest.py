@@ -131,6 +131,90 @@ def _clean_numbers(t):
     )
 
 
+@query(
+    "clean_ari",
+    """SELECT record, CASE WHEN kind IN (0, 1, 2) THEN NULL ELSE day END AS week_end, geography, label, buildnumber,
+         CASE WHEN kind IN (0, 1, 2) THEN 'week_end missing or unreadable'
+              WHEN geography IS NULL THEN 'geography missing or unreadable'
+              WHEN label = '' THEN 'label missing or unreadable' END AS reject_reason
+       FROM (SELECT o_orderkey AS record, o_orderkey % 10 AS kind, CAST(o_orderdate AS DATE) AS day,
+               CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS geography,
+               CASE WHEN o_orderpriority = '5-LOW' THEN '' ELSE o_orderpriority END AS label, '' AS buildnumber
+             FROM orders)""",
+)
+def _clean_ari(t):
+    # Missing, empty and malformed dates, a missing place and an empty label, each on a share of the orders.
+    raw = t.table("orders").selectExpr(
+        "CASE o_orderkey % 10 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '2024-13-45' "
+        "WHEN 3 THEN date_format(o_orderdate, 'yyyy-MM-dd') "
+        "ELSE date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss\") END AS week_end",
+        "nullif(o_orderstatus, 'P') AS geography",
+        "IF(o_orderpriority = '5-LOW', '', o_orderpriority) AS label",
+        "CAST(NULL AS STRING) AS buildnumber",
+        "o_orderkey AS _seq",
+    )
+    return landing.clean_ari(raw).withColumnRenamed("_seq", "record")
+
+
+@query(
+    "clean_positivity",
+    """SELECT event_id AS record, CAST(ts AS DATE) AS week_end, event_type AS pathogen,
+         CASE WHEN kind IN (0, 1, 2) THEN NULL WHEN kind = 3 THEN 1500 ELSE value END AS percent_test_positivity,
+         CASE WHEN kind IN (0, 1, 2) THEN 'percent_test_positivity missing or unreadable' END AS reject_reason
+       FROM (SELECT *, event_id % 10 AS kind FROM events)""",
+)
+def _clean_positivity(t):
+    raw = t.table("events").selectExpr(
+        "date_format(ts, 'yyyy-MM-dd') AS week_end",
+        "event_type AS pathogen",
+        "CASE event_id % 10 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '12%' WHEN 3 THEN '1.5e+3' "
+        "ELSE CAST(value AS STRING) END AS percent_test_positivity",
+        "event_id AS _seq",
+    )
+    return landing.clean_positivity(raw).withColumnRenamed("_seq", "record")
+
+
+@query(
+    "clean_wastewater",
+    """SELECT record, CASE WHEN kind = 0 THEN '' ELSE plant END AS wwtp_id, day AS date_end,
+         CAST(CASE WHEN kind = 1 THEN 0 WHEN kind = 2 THEN NULL ELSE quantity END AS INTEGER) AS population_served,
+         CASE WHEN kind IN (3, 4) THEN 0 WHEN kind = 5 THEN NULL ELSE price END AS percentile,
+         CASE WHEN kind = 0 THEN 'wwtp_id missing or unreadable' WHEN kind = 2 THEN 'population_served missing or unreadable'
+              WHEN kind = 5 THEN 'percentile missing or unreadable' END AS reject_reason
+       FROM (SELECT l_orderkey AS record, l_partkey % 11 AS kind, CAST(l_suppkey AS VARCHAR) AS plant,
+               CAST(l_shipdate AS DATE) AS day, CAST(l_quantity AS INTEGER) AS quantity, l_extendedprice AS price
+             FROM lineitem)""",
+)
+def _clean_wastewater(t):
+    blank = ("wwtp_jurisdiction", "county_names", "county_fips", "date_start", "ptc_15d", "detect_prop_15d")
+    raw = t.table("lineitem").selectExpr(
+        "IF(l_partkey % 11 = 0, '', CAST(l_suppkey AS STRING)) AS wwtp_id",
+        "date_format(l_shipdate, \"yyyy-MM-dd'T'HH:mm:ss.SSS\") AS date_end",
+        "CASE l_partkey % 11 WHEN 1 THEN '' WHEN 2 THEN '12.0' ELSE CAST(CAST(l_quantity AS INT) AS STRING) END "
+        "AS population_served",
+        "CASE l_partkey % 11 WHEN 3 THEN '' WHEN 4 THEN NULL WHEN 5 THEN 'n/a' ELSE CAST(l_extendedprice AS STRING) END "
+        "AS percentile",
+        *(f"CAST(NULL AS STRING) AS {c}" for c in (*blank, "sampling_prior", "first_sample_date")),
+        "l_orderkey AS _seq",
+    )
+    cleaned = landing.clean_wastewater(raw).withColumnRenamed("_seq", "record")
+    return cleaned.select("record", "wwtp_id", "date_end", "population_served", "percentile", "reject_reason")
+
+
+@query(
+    "pages",
+    """SELECT strftime(ts, '%Y-%m-%dT00:00:00.000') AS week_end, CAST(value AS VARCHAR) IS NOT NULL AS has_value,
+         count(*) AS n FROM events GROUP BY 1, 2
+       UNION ALL SELECT strftime(ts, '%Y-%m-%dT00:00:00.000'), false, count(*) FROM events GROUP BY 1""",
+)
+def _pages(t):
+    # The second page lacks a key, as landing records may.
+    first = raw_positivity(t.table("events"))
+    both = landing.concat_pages([first, first.drop("percent_test_positivity")])
+    has_value = F.col("percent_test_positivity").isNotNull().alias("has_value")
+    return both.groupBy("week_end", has_value).agg(F.count("*").alias("n"))
+
+
 def _as_landing(df: DataFrame, table: str, sequence: Column) -> DataFrame:
     """Typed rows as the text records a landing folder holds."""
     raw = TABLES[table].raw_schema.names[:-1]

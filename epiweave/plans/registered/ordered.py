@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from epiweave.functions import scalars as S
 from epiweave.operators import aggregates, anomalies, trends
-from epiweave.plans.registry import half_up, query, tidied, weekly_series
+from epiweave.plans.registry import half_up, query, tidied, weekly_series, work_folder
+from epiweave.sources import tables
 
 _WOW_COLUMNS = f"""virus, date, round(rate, 8) + 0.0 AS rate, round(previous, 8) + 0.0 AS previous,
   CASE WHEN previous > 0 THEN {half_up("(rate - previous) / previous * 100", 1)} ELSE 0 END AS change_pct"""
@@ -83,6 +84,17 @@ def _anomalies_by_weeks(t):
     return anomalies.detect_anomalies(t.hosp, z_min=0.5, recent_weeks=104)
 
 
+@query("stored_anomalies", _anomaly_sql(0.5, _RECENT_ROWS), "hosp")
+def _stored_anomalies(t):
+    # Stored twice: the second run replaces the rows of the first.
+    folder = work_folder(t, "anomalies")
+    tables.declare_tables(t.spark, folder, ("anomalies",))
+    found = anomalies.detect_anomalies(t.hosp, z_min=0.5)
+    for _ in range(2):
+        tables.append_results(t.spark, folder, "anomalies", found)
+    return tables.read_table(t.spark, folder, "anomalies")
+
+
 @query(
     "missing_weeks",
     """SELECT g.virus, g.date, s.rate IS NULL AS interpolated,

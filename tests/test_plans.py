@@ -13,7 +13,7 @@ from epiweave.plans import registry
 from epiweave.session import shared_dir
 from epiweave.sources import tables
 
-WRITING = {n for n in entry.queries() if n.startswith(("forecast", "importances", "stream", "refresh"))}
+WRITING = {n for n in entry.queries() if n.startswith(("forecast", "importances", "stream", "refresh", "stored"))}
 
 
 def plan(df):

@@ -4,6 +4,7 @@ import datetime as dt
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import rows
 
@@ -45,40 +46,44 @@ def test_sequence_samples_of_short_series(spark, length, samples):
     assert features.sequence_samples(series(spark, a=wave(length))).count() == samples
 
 
-def test_tabular_features_by_hand(spark):
-    a, b = wave(30), wave(25, 7)
-    got = features.tabular_samples(series(spark, a=a, b=b)).collect()
-    assert len(got) == 21 + 16
-    for row in got:
-        rates, i = (a if row.virus == "a" else b), row.idx
-        want = {
-            "lag_1": rates[i - 1],
-            "lag_2": rates[i - 2],
-            "lag_4": rates[i - 4],
-            "lag_8": rates[i - 8],
-            "roll_avg_4": np.mean(rates[i - 4 : i]),
-            "roll_avg_8": np.mean(rates[i - 8 : i]),
-            "roll_std_4": np.std(rates[i - 4 : i]),
-            "diff_1": rates[i - 1] - rates[i - 2],
-            "week_sin": math.sin(2 * math.pi * i / 52),
-            "week_cos": math.cos(2 * math.pi * i / 52),
-            "target": rates[i],
-        }
-        assert {k: row[k] for k in want} == pytest.approx(want, abs=1e-9)
-
-
-def test_sequence_features_by_hand(spark):
+def test_tabular_features_against_pandas(spark):
+    inputs = {"a": wave(30), "b": wave(25, 7)}
+    got = features.tabular_samples(series(spark, **inputs)).toPandas().set_index(["virus", "idx"]).sort_index()
+    for name, values in inputs.items():
+        rate = pd.Series(values)
+        before, angle = rate.shift(1), 2 * math.pi * rate.index.to_numpy() / 52
+        want = pd.DataFrame(
+            {
+                **{f"lag_{k}": rate.shift(k) for k in (1, 2, 4, 8)},
+                **{f"roll_avg_{k}": before.rolling(k).mean() for k in (4, 8)},
+                "roll_std_4": before.rolling(4).std(ddof=0),
+                "diff_1": before.diff(),
+                "week_sin": np.sin(angle),
+                "week_cos": np.cos(angle),
+                "target": rate,
+            }
+        ).iloc[8:-1]
+        mine = got.loc[name]
+        assert list(mine.index) == list(want.index)
+        np.testing.assert_allclose(mine[want.columns], want, atol=1e-9)
+
+
+def test_sequence_features_against_pandas(spark):
     values = wave(24)
     for row in features.sequence_samples(series(spark, a=values)).collect():
-        window = values[row.idx - 12 : row.idx]
+        past = pd.Series(values[row.idx - 12 : row.idx])
+        want = pd.DataFrame(
+            {
+                "step": past.index,
+                "value": past,
+                "lag1": past.shift(1).fillna(past),
+                "lag2": past.shift(2).fillna(past),
+                "roll_avg": past.rolling(4, min_periods=1).mean(),
+                "week_sin": np.sin(2 * math.pi * (past.index + row.idx - 12) / 52),
+            }
+        )
+        np.testing.assert_allclose([list(step) for step in row.steps], want.to_numpy(), atol=1e-9)
         assert row.targets == pytest.approx(values[row.idx : row.idx + 4])
-        for j, step in enumerate(row.steps):
-            assert step.step == j
-            assert step.value == pytest.approx(window[j])
-            assert step.lag1 == pytest.approx(window[max(j - 1, 0)])
-            assert step.lag2 == pytest.approx(window[j - 2] if j > 1 else window[j])
-            assert step.roll_avg == pytest.approx(np.mean(window[max(0, j - 3) : j + 1]))
-            assert step.week_sin == pytest.approx(math.sin(2 * math.pi * (row.idx - 12 + j) / 52))
 
 
 def test_latest_window_continues_the_samples(spark):
@@ -161,21 +166,17 @@ def test_heatmap_grid_fills_and_cuts(spark):
 
 
 def expected_anomalies(records, recent_rows=2000, z_min=2.0):
-    newest = sorted(records, key=lambda r: (-r[2], r[0], r[1]))[:recent_rows]
-    if len(newest) < 20:
-        return []
-    groups = {}
-    for site, network, i, rate in sorted(newest, key=lambda r: r[2]):
-        groups.setdefault((site, network), []).append((i, rate))
+    """(site, network, z, severity) by pandas, for frames of at least twenty rows."""
+    frame = pd.DataFrame(records, columns=["site", "network", "week", "rate"])
+    frame = frame.sort_values(["week", "site", "network"], ascending=[False, True, True]).head(recent_rows)
     found = []
-    for (site, network), points in groups.items():
-        rates = [r for _, r in points]
-        if len(rates) < 8:
-            continue
-        z = (rates[-1] - np.mean(rates[:-1])) / (np.std(rates[:-1]) + 1e-8)
-        if abs(z) > z_min:
-            found.append((site, network, round(z, 2), "Critical" if abs(z) > 3 else "Warning"))
-    return sorted(found, key=lambda f: (-abs(f[2]), f[0], f[1]))[:20]
+    for key, group in frame.groupby(["site", "network"]):
+        if len(group) >= 8:
+            latest, earlier = group.rate.iloc[0], group.rate.iloc[1:]
+            score = (latest - earlier.mean()) / (earlier.std(ddof=0) + 1e-8)
+            found.append((*key, round(score, 2), "Critical" if abs(score) > 3 else "Warning"))
+    large = [f for f in found if abs(f[2]) > z_min]
+    return sorted(large, key=lambda f: (-abs(f[2]), f[0], f[1]))[:20]
 
 
 def test_anomalies_by_hand(spark):
