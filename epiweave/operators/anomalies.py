@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from epiweave.functions.scalars import is_overall_observed, round_to
+from epiweave.operators.snapshot import newest_first
 
 # --- Fixed value: site, network, |z|, direction, latest rate, mean rate -------
 DESCRIPTION = "%s %s rate is %.1fσ %s average (%.1f vs avg %.1f)"
@@ -35,7 +36,7 @@ def detect_anomalies(
     series = ["site", "surveillance_network"]
     newest = Window.partitionBy(*series).orderBy(F.col("week_ending_date").desc())
     if recent_weeks is None:
-        rows = rows.orderBy(F.col("week_ending_date").desc(), *series, "weekly_rate").limit(recent_rows)
+        rows = newest_first(rows, "week_ending_date", recent_rows, *series, "weekly_rate")
         # The limit leaves at most ``recent_rows`` rows, so counting them all in one task is safe.
         counted = rows.withColumn("_total", F.count("*").over(Window.partitionBy()))
         ranked = counted.filter(F.col("_total") >= min_rows).withColumn("back", F.row_number().over(newest))

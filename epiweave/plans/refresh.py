@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import logging
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epiweave.schemas import LANDING_TABLES, TABLES
+from epiweave.schemas import LANDING_TABLES
 from epiweave.sources.landing import CLEANERS, accepted, iso_date, read_landing, recent_only, rejected
 from epiweave.sources.tables import read_stored, replace_snapshot, upsert
 
@@ -54,9 +55,5 @@ def table_counts(spark: SparkSession, root: str) -> DataFrame:
     counts = [
         read_stored(spark, root, name).agg(F.lit(name).alias("table_name"), F.count("*").alias("row_count"))
         for name in LANDING_TABLES
-        if name in TABLES
     ]
-    out = counts[0]
-    for part in counts[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, counts)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -73,14 +74,18 @@ def upsert(spark: SparkSession, root: str, name: str, batch: DataFrame, by_seque
     retry of the copy, not of the merge.
     """
     table = TABLES[name]
-    batch = batch.select(*_stored_schema(table).names)
+    # Read twice below: kept on executor disks so that raw records are parsed once,
+    # and parsed again only where an executor was lost.
+    batch = batch.select(*_stored_schema(table).names).persist(StorageLevel.DISK_ONLY)
     # At most one entry per calendar week; as a subquery in a partition filter it
     # keeps the scan to the partitions the batch touches.
     touched = batch.agg(F.collect_set(table.partition)).scalar()
     current = read_stored(spark, root, name).filter(F.array_contains(touched, F.col(table.partition)))
     merged = merge_latest(current, batch, table.key, by_sequence)
 
-    _write_partitions(_staged(merged, root, table), table, table_path(root, name))
+    staged = _staged(merged, root, table)
+    batch.unpersist()
+    _write_partitions(staged, table, table_path(root, name))
 
 
 def _staged(df: DataFrame, root: str, table: Table) -> DataFrame:

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -71,6 +72,29 @@ def test_trailing_includes_both_ends(spark):
     assert kept.count() == 29
 
 
+@pytest.mark.parametrize("limit", [1, 7, 30, 31, 200, 5000])
+def test_newest_first_against_a_full_sort(spark, limit):
+    # A third of the rows fall on one date, and some dates are missing.
+    day = F.when(F.col("id") % 3 == 0, F.lit(40)).otherwise((F.col("id") * 7) % 90).cast("int")
+    frame = spark.range(300).select(F.date_add(F.lit("2024-01-01").cast("date"), day).alias("d"), "id")
+    frame = frame.unionByName(spark.range(300, 305).select(F.lit(None).cast("date").alias("d"), "id"))
+    got = [tuple(r) for r in snapshot.newest_first(frame, "d", limit, "id").collect()]
+    dated = sorted((r for r in map(tuple, frame.collect()) if r[0]), key=lambda r: (-r[0].toordinal(), r[1]))
+    undated = sorted((r for r in map(tuple, frame.collect()) if not r[0]), key=lambda r: r[1])
+    assert got == (dated + undated)[:limit]
+
+
+def test_newest_first_reads_only_the_dates_it_needs(spark, tmp_path):
+    path = str(tmp_path / "by_day")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 20).cast("int"))
+    spark.range(200).select("id", day.alias("d")).write.partitionBy("d").parquet(path)
+    top = snapshot.newest_first(spark.read.parquet(path), "d", 15, "id")
+    assert len(top.collect()) == 15
+    files = snapshot.newest_dates(spark.read.parquet(path), "d", 15).select(F.input_file_name().alias("f"))
+    assert {r.f.split("/d=")[1][:10] for r in files.distinct().collect()} == {"2024-01-19", "2024-01-20"}
+    assert "PartitionFilters: [(isnull(Subquery" in top._jdf.queryExecution().executedPlan().toString()
+
+
 def test_positivity_record_fills_absent_pathogens(spark):
     frame = spark.createDataFrame(
         [(WEEKS[1], "RSV", 3.0), (WEEKS[0], "COVID-19", 9.0)], "week_end date, pathogen string, percent_test_positivity double"
