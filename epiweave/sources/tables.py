@@ -83,8 +83,10 @@ def upsert(spark: SparkSession, root: str, name: str, batch: DataFrame, by_seque
     current = read_stored(spark, root, name).filter(F.array_contains(touched, F.col(table.partition)))
     merged = merge_latest(current, batch, table.key, by_sequence)
 
-    staged = _staged(merged, root, table)
-    batch.unpersist()
+    try:
+        staged = _staged(merged, root, table)
+    finally:
+        batch.unpersist()
     _write_partitions(staged, table, table_path(root, name))
 
 
