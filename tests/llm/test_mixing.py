@@ -1,0 +1,90 @@
+import re
+from collections import Counter, defaultdict
+
+import pytest
+
+from epiweave.llm import mixing as M
+
+SCHEMA = "doc_id long, text string, source string, size string, h string, target string"
+
+
+def targets(sizes, epochs=3):
+    """Clamp and share again until nothing is above its cap."""
+    names = sorted(sizes, key=lambda s: (s is None, s))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    total, capped = sum(sizes.values()), {}
+    while True:
+        free = [s for s in names if s not in capped]
+        rest = total - sum(capped.values())
+        share = {s: rest * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > epochs * sizes[s]]
+        if not over:
+            return capped | share
+        capped |= {s: epochs * sizes[s] for s in over}
+
+
+def corpus(spark, n=400):
+    rows = []
+    for i in range(n):
+        source = None if i % 17 == 0 else "big" if i % 3 == 0 else f"s{i % 5}" if i % 7 else "tiny" if i < 30 else "é"
+        text = None if i % 41 == 0 else "" if i % 43 == 0 else "w \t" * (i % 90 + 1) + "\x1fend\n"
+        rows.append((i, text, source, "a", "b", "c"))
+    rows += [(7, "same row twice", "s1", "a", "b", "c")] * 2
+    return rows, spark.createDataFrame(rows, SCHEMA)
+
+
+def size(text):
+    return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+
+
+def test_targets_and_taken(spark):
+    rows, docs = corpus(spark)
+    sizes = Counter()
+    for _, text, source, *_ in rows:
+        sizes[source] += size(text)
+    got = M.mix(docs).collect()
+    assert sorted((r.doc_id, r.size) for r in got) == sorted((r[0], size(r[1])) for r in rows)
+    wanted = targets(sizes)
+    taken, largest = defaultdict(int), defaultdict(int)
+    for r in got:
+        assert r.source_size == sizes[r.source]
+        assert r.target == pytest.approx(wanted[r.source])
+        assert 0 <= r.taken <= 3 * r.size and r.taken == r.copies * r.size
+        taken[r.source] += r.taken
+        largest[r.source] = max(largest[r.source], r.size)
+    for s in sizes:
+        assert abs(taken[s] - wanted[s]) <= largest[s], s
+    assert sum(wanted.values()) == pytest.approx(sum(sizes.values()))
+
+
+def test_reruns_agree_in_any_partitioning(spark):
+    _, docs = corpus(spark)
+    once, again = (sorted(map(tuple, M.mix(d).collect()), key=str) for d in (docs, docs.repartition(13)))
+    assert once == again
+
+
+@pytest.mark.parametrize("sizes", [{"a": 10, "b": 10, "c": 1000}, {"a": 0, "b": 5}, {"a": 0}, {None: 4, "z": 4000, "y": 1, "x": 90}])
+def test_water_filling(spark, sizes):
+    names = sorted(sizes, key=lambda s: (s is None, s))
+    rows = [(s, sizes[s], (5, 2, 1)[i % 3]) for i, s in enumerate(names)]
+    got = M.capped_targets(spark.createDataFrame(rows, "source string, source_size long, weight int"), 3)
+    assert {r.source: r.target for r in got.collect()} == pytest.approx(targets(sizes))
+
+
+def test_empty_and_wordless(spark):
+    assert M.mix(spark.createDataFrame([], SCHEMA)).collect() == []
+    docs = spark.createDataFrame([(1, " ", "a", "", "", ""), (None, None, None, "", "", "")], SCHEMA)
+    assert {(r.doc_id, r.size, r.target, r.taken) for r in M.mix(docs).collect()} == {(1, 0, 0.0, 0), (None, 0, 0.0, 0)}
+
+
+def test_mixed_documents_keep_their_columns(spark):
+    _, docs = corpus(spark)
+    out = M.mixed_documents(docs)
+    assert out.columns == [*docs.columns, "copies"]
+    taken = sum(size(r.text) * r.copies for r in out.collect())
+    assert taken == sum(r.taken for r in M.mix(docs).collect())
+
+
+def test_no_python_in_the_plan(spark):
+    plan = M.mix(corpus(spark)[1])._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
