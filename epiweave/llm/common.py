@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,22 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_shipped: dict[str, tempfile.TemporaryDirectory] = {}
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's code to the Python workers, once per application.
+
+    They need it for the functions that run in tasks where it is not installed. The driver
+    serves the archive from a folder of its own as long as it lives.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        root = Path(__file__).resolve().parents[2]
+        folder = _shipped[context.applicationId] = tempfile.TemporaryDirectory()
+        context.addPyFile(shutil.make_archive(f"{folder.name}/epiweave", "zip", root, "epiweave"))
+
+
 @contextmanager
 def freeing_shuffles(spark: SparkSession) -> Iterator[None]:
     """Inside, the shuffle files of an action are removed as soon as it has ended."""

@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epiweave.llm import line_dedup, mixing, simhash, url_filter
+from epiweave.llm import (
+    decontamination,
+    fingerprints,
+    language,
+    line_dedup,
+    mixing,
+    simhash,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+    url_filter,
+)
+from epiweave.llm.common import ship_package
 from epiweave.sources.testdata import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,12 +37,18 @@ URL_RULES = [
 ]
 # Host labels whose pages the url query lists as blocked.
 LISTED_LABELS = ["spam-farm", "casino-win"]
+#: Where the vocabulary of the token counts lies on the driver.
+VOCABULARY = os.environ.get("EPIWEAVE_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
 _UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
 def registered(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(build: Query) -> Query:
-        QUERIES[name] = lambda spark, folder: build(spark, folder.rstrip("/"))
+        def query(spark: SparkSession, folder: str) -> DataFrame:
+            ship_package(spark)
+            return build(spark, folder.rstrip("/"))
+
+        QUERIES[name] = query
         if sql is not None:
             ORACLE[name] = sql
         return build
@@ -37,6 +56,12 @@ def registered(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@registered("op1_token_counts")
+def _token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    counts = token_counts.token_counts(table(spark, folder, "documents"), token_counts.load_pieces(VOCABULARY))
+    return counts.select("doc_id", "n_words", "n_tokens")
+
+
 @registered(
     "op2_url_filters",
     f"""
@@ -76,6 +101,13 @@ def _simhash(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@registered("op4_decontamination")
+def _decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    judged = decontamination.contamination(docs, table(spark, folder, "benchmark"))
+    return judged.select("doc_id", "contaminated", "n_items")
+
+
 @registered(
     "op5_line_dedup",
     f"""
@@ -100,7 +132,42 @@ def _line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", "deduped.n_lines", "deduped.n_dropped", F.sha2("deduped.text", 256).alias("kept_sha256"))
 
 
+@registered("op6_language_id")
+def _language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = language.identify_languages(table(spark, folder, "documents").select("doc_id", "text", "lang"))
+    return docs.select("doc_id", language.held_out().alias("held_out"), "language.lang_pred", "language.score")
+
+
+@registered("op7_toxicity")
+def _toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    labels = table(spark, folder, "labels").selectExpr(
+        "doc_id", "toxic", "1 - quality AS poor", "toxic * (1 - quality) AS toxic_and_poor"
+    )
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    judged = toxicity.toxicity(docs, labels, ["toxic", "poor", "toxic_and_poor"])
+    return judged.select(
+        "doc_id",
+        (F.col("toxicity.toxic") >= 0.5).alias("toxic"),
+        F.col("toxicity.toxic").alias("p_toxic"),
+        F.col("toxicity.poor").alias("p_poor"),
+        F.col("toxicity.toxic_and_poor").alias("p_toxic_and_poor"),
+    )
+
+
+@registered("op8_suffix_dedup")
+def _suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = suffix_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return docs.select(
+        "doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", F.sha2("cut.kept", 256).alias("kept_sha256")
+    )
+
+
 @registered("op9_mixing")
 def _mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@registered("op10_fingerprints")
+def _fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, folder, "documents"))
