@@ -15,56 +15,32 @@ from epiweave.sources.tables import keep_last
 POSITIVITY_WORDS = ("covid", "positivity", "test", "flu", "rsv", "influenza")
 RISK_WORDS = ("risk", "high", "outbreak", "danger", "worst", "concern")
 
-INLINE_NAMES = 1000
-
-
-def match_geography(questions: DataFrame, places: DataFrame, inline_names: int = INLINE_NAMES) -> DataFrame:
+def match_geography(questions: DataFrame, places: DataFrame) -> DataFrame:
     """Adds the columns of the longest place named in the question, ignoring case.
 
     ``places`` has one row per geography and may carry further columns. Equally
     long matches resolve alphabetically; without a match the columns are null.
-    Up to ``inline_names`` places (checked) travel as one constant array that
-    each row tests its text against, with no exchange. Beyond that, matching is
-    a join by equality on the pieces of the text that are as long as some name.
+    Every distinct text is matched once, by equality of its pieces that are as long as
+    some name, and joined back to the questions that ask it: their ids may repeat or be null.
     """
-    if places.limit(inline_names + 1).count() <= inline_names:
-        return _match_inline(questions, places)
-    return _match_by_join(questions, places)
-
-
-def _match_inline(questions: DataFrame, places: DataFrame) -> DataFrame:
-    longest_first = (-F.length("geography")).alias("order")
-    carried = [c for c in places.columns if c != "geography"]
-    candidate = F.struct(longest_first, "geography", F.lower("geography").alias("needle"), *carried)
-    candidates = places.agg(F.sort_array(F.collect_list(candidate))).scalar()
-
-    def best(text: Column) -> Column:
-        return F.get(F.filter("_places", lambda c: F.contains(text, c["needle"])), F.lit(0))
-
-    # The one-element array binds the lower-case text once for all candidates.
-    bound = F.transform(F.array(F.lower("question")), best)
-    matched = questions.withColumn("_places", candidates).withColumn("_best", F.get(bound, F.lit(0)))
-    return matched.select(*questions.columns, *(F.col("_best")[c].alias(c) for c in places.columns))
-
-
-def _match_by_join(questions: DataFrame, places: DataFrame) -> DataFrame:
     needles = places.withColumn("piece", F.lower("geography"))
     lengths = needles.agg(F.collect_set(F.length("piece"))).scalar()
-    text = F.lower("question")
+    text = F.col("_text")
 
     def pieces(size: Column) -> Column:
         starts = F.sequence(F.lit(1), F.length(text) - size + 1)
-        return F.transform(starts, lambda p: F.substring(text, p, size))
+        return F.array_distinct(F.transform(starts, lambda p: F.substring(text, p, size)))
 
-    sizes = questions.withColumn("_size", F.explode(lengths)).filter(F.col("_size") <= F.length(text))
-    exploded = sizes.select("question_id", F.explode(pieces(F.col("_size"))).alias("piece"))
+    asked = questions.withColumn("_text", F.lower("question"))
+    sizes = asked.select("_text").distinct().withColumn("_size", F.explode(lengths))
+    exploded = sizes.filter(F.col("_size") <= F.length(text)).select("_text", F.explode(pieces(F.col("_size"))).alias("piece"))
     found = keep_last(
-        exploded.join(needles, "piece"), ["question_id"], F.length("geography").desc(), F.col("geography")
+        exploded.join(needles, "piece"), ["_text"], F.length("geography").desc(), F.col("geography")
     )
-    return questions.join(found.drop("piece"), "question_id", "left")
+    return asked.join(found.drop("piece"), "_text", "left").select(*questions.columns, *places.columns)
 
 
-def route_questions(questions: DataFrame, places: DataFrame, inline_names: int = INLINE_NAMES) -> DataFrame:
+def route_questions(questions: DataFrame, places: DataFrame) -> DataFrame:
     """Route of each question: geography, positivity, risk or summary."""
     route = (
         F.when(F.col("geography").isNotNull(), "geography")
@@ -72,14 +48,13 @@ def route_questions(questions: DataFrame, places: DataFrame, inline_names: int =
         .when(mentions("question", RISK_WORDS), "risk")
         .otherwise("summary")
     )
-    return match_geography(questions, places, inline_names).withColumn("route", route)
+    return match_geography(questions, places).withColumn("route", route)
 
 
 def answer_questions(questions: DataFrame, ari: DataFrame, pos: DataFrame) -> DataFrame:
     """One answer text per question, from the latest snapshots.
 
-    The label of a place travels with its name and the other answers are scalar
-    subqueries, so the questions themselves are never exchanged.
+    The label of a place travels with its name; the other answers are scalar subqueries.
     """
     routed = route_questions(questions, place_labels(ari))
     high = high_risk_list(ari).select(

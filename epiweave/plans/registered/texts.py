@@ -35,8 +35,22 @@ def _route_questions(t):
 
 @query("route_questions_join", "SELECT question_id, geography, route FROM routed", "questions", "ari", "routed")
 def _route_questions_join(t):
-    # The way taken beyond the checked size of the place list.
-    return questions.route_questions(t.questions, _places(t), inline_names=0).select("question_id", "geography", "route")
+    # The texts are matched as a table of their own, spread over tasks beforehand.
+    asked = t.questions.repartition("question_id")
+    return questions.route_questions(asked, _places(t)).select("question_id", "geography", "route")
+
+
+@query(
+    "route_duplicates",
+    "SELECT nullif(question_id % 7, 0) AS question_id, geography, route FROM routed",
+    "questions",
+    "ari",
+    "routed",
+)
+def _route_duplicates(t):
+    # Ids that repeat and ids that are missing.
+    asked = t.questions.withColumn("question_id", F.nullif(F.col("question_id") % 7, F.lit(0)))
+    return questions.route_questions(asked, _places(t)).select("question_id", "geography", "route")
 
 
 @query(

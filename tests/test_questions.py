@@ -39,14 +39,13 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("inline", [1000, 0])
-def test_routes(spark, inline):
+def test_routes(spark):
     names = places(spark, "Kansas", "Arkansas", "New York", "Iowa", "Ohio")
-    got = questions.route_questions(asked(spark, *CASES), names, inline_names=inline)
+    got = questions.route_questions(asked(spark, *CASES), names)
     assert {r.question: (r.geography, r.route) for r in got.collect()} == CASES
 
 
-def test_both_ways_agree_when_one_place_is_in_a_third_of_the_texts(spark):
+def test_one_place_in_a_third_of_the_texts(spark):
     rng = random.Random(2)
     names = [f"Place{i}" for i in range(30)]
     texts = []
@@ -57,9 +56,18 @@ def test_both_ways_agree_when_one_place_is_in_a_third_of_the_texts(spark):
     for i, text in enumerate(texts):
         hits = [n for n in names if n.lower() in text.lower()]
         want[i] = min(hits, key=lambda n: (-len(n), n)) if hits else None
-    for inline in (1000, 0):
-        got = questions.match_geography(asked(spark, *texts), places(spark, *names), inline)
-        assert {r.question_id: r.geography for r in got.collect()} == want
+    got = questions.match_geography(asked(spark, *texts), places(spark, *names))
+    assert {r.question_id: r.geography for r in got.collect()} == want
+
+
+def test_repeated_and_missing_ids(spark):
+    given = [(1, "hello"), (1, "Ohio?"), (None, "in iowa"), (None, "in iowa"), (2, None)]
+    frame = spark.createDataFrame(given, "question_id long, question string")
+    got = questions.match_geography(frame, places(spark, "Ohio", "Iowa"))
+    assert sorted((str(r.question_id), str(r.question), str(r.geography)) for r in got.collect()) == [
+        ("1", "Ohio?", "Ohio"), ("1", "hello", "None"), ("2", "None", "None"),
+        ("None", "in iowa", "Iowa"), ("None", "in iowa", "Iowa"),
+    ]
 
 
 def test_answers(spark):
@@ -117,5 +125,5 @@ def test_summary_of_empty_tables(spark):
 
 def test_no_rows_lost(spark):
     texts = [f"question {i}" for i in range(200)]
-    got = questions.route_questions(asked(spark, *texts), places(spark, "X Y Z"), inline_names=0)
+    got = questions.route_questions(asked(spark, *texts), places(spark, "X Y Z"))
     assert rows(got, "question_id") == [(i,) for i in range(200)]
