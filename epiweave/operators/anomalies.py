@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from epiweave.functions.scalars import is_overall_observed, round_to
-from epiweave.operators.snapshot import newest_first
 
 # --- Fixed value: site, network, |z|, direction, latest rate, mean rate -------
 DESCRIPTION = "%s %s rate is %.1fσ %s average (%.1f vs avg %.1f)"
@@ -15,33 +14,22 @@ DESCRIPTION = "%s %s rate is %.1fσ %s average (%.1f vs avg %.1f)"
 
 def detect_anomalies(
     hosp: DataFrame,
-    recent_rows: int = 2000,
-    min_rows: int = 20,
+    top: int,
     min_points: int = 8,
     z_min: float = 2.0,
     z_crit: float = 3.0,
-    top: int = 20,
-    recent_weeks: int | None = None,
+    recent_weeks: int = 104,
 ) -> DataFrame:
-    """The latest rate against the earlier mean and population deviation.
+    """The ``top`` strongest deviations of a latest rate from the earlier mean and population deviation.
 
-    The base is the ``recent_rows`` newest rows overall, a top-N; fewer than
-    ``min_rows`` give no result. With many sites that leaves each of them few
-    points: ``recent_weeks`` takes the newest weeks of every series instead and
-    needs no global order.
+    The base is the newest ``recent_weeks`` rows of every series, however many series there are.
     """
     rows = hosp.filter(is_overall_observed()).select(
         "site", "surveillance_network", "week_ending_date", "weekly_rate"
     )
     series = ["site", "surveillance_network"]
     newest = Window.partitionBy(*series).orderBy(F.col("week_ending_date").desc())
-    if recent_weeks is None:
-        rows = newest_first(rows, "week_ending_date", recent_rows, *series, "weekly_rate")
-        # The limit leaves at most ``recent_rows`` rows, so counting them all in one task is safe.
-        counted = rows.withColumn("_total", F.count("*").over(Window.partitionBy()))
-        ranked = counted.filter(F.col("_total") >= min_rows).withColumn("back", F.row_number().over(newest))
-    else:
-        ranked = rows.withColumn("back", F.row_number().over(newest)).filter(F.col("back") <= recent_weeks)
+    ranked = rows.withColumn("back", F.row_number().over(newest)).filter(F.col("back") <= recent_weeks)
 
     earlier, last = F.col("back") > 1, F.col("back") == 1
     stats = ranked.groupBy(*series).agg(

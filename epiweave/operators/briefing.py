@@ -72,7 +72,7 @@ def weekly_brief(ari: DataFrame, pos: DataFrame) -> DataFrame:
         distribution_lines(ari).scalar().alias("risk_distribution"),
     )
     top = F.get("p", F.lit(0))
-    others = F.transform(F.slice("p", 2, 1_000_000), lambda e: F.struct(e["pathogen"], line(e).alias("line")))
+    others = F.transform(F.slice(F.col("p"), F.lit(2), F.greatest(F.size("p"), F.lit(1))), lambda e: F.struct(e["pathogen"], line(e).alias("line")))
     return row.select(
         "a.week_end",
         F.col("a.total").alias("total_states"),

@@ -63,33 +63,31 @@ FROM (SELECT *, (latest - mean) / (std + 1e-8) AS z FROM (
 WHERE abs(z) > {z_min} ORDER BY abs({half_up("z", 2)}) DESC, geography, metric LIMIT 20"""
 
 
-_RECENT_ROWS = """(SELECT * FROM overall ORDER BY week_ending_date DESC, site, surveillance_network, weekly_rate
-  LIMIT 2000)"""
 _RECENT_WEEKS = """(SELECT * FROM overall QUALIFY row_number() OVER (PARTITION BY site, surveillance_network
   ORDER BY week_ending_date DESC) <= 104)"""
 
 
-@query("anomalies", _anomaly_sql(2.0, _RECENT_ROWS), "hosp")
+@query("anomalies", _anomaly_sql(2.0, _RECENT_WEEKS), "hosp")
 def _anomalies(t):
-    return anomalies.detect_anomalies(t.hosp)
+    return anomalies.detect_anomalies(t.hosp, 20)
 
 
-@query("anomalies_low", _anomaly_sql(0.5, _RECENT_ROWS), "hosp")
+@query("anomalies_low", _anomaly_sql(0.5, _RECENT_WEEKS), "hosp")
 def _anomalies_low(t):
-    return anomalies.detect_anomalies(t.hosp, z_min=0.5)
+    return anomalies.detect_anomalies(t.hosp, 20, z_min=0.5)
 
 
 @query("anomalies_by_weeks", _anomaly_sql(0.5, _RECENT_WEEKS), "hosp")
 def _anomalies_by_weeks(t):
-    return anomalies.detect_anomalies(t.hosp, z_min=0.5, recent_weeks=104)
+    return anomalies.detect_anomalies(t.hosp, 20, z_min=0.5, recent_weeks=104)
 
 
-@query("stored_anomalies", _anomaly_sql(0.5, _RECENT_ROWS), "hosp")
+@query("stored_anomalies", _anomaly_sql(0.5, _RECENT_WEEKS), "hosp")
 def _stored_anomalies(t):
     # Stored twice: the second run replaces the rows of the first.
     folder = work_folder(t, "anomalies")
     tables.declare_tables(t.spark, folder, ("anomalies",))
-    found = anomalies.detect_anomalies(t.hosp, z_min=0.5)
+    found = anomalies.detect_anomalies(t.hosp, 20, z_min=0.5)
     for _ in range(2):
         tables.append_results(t.spark, folder, "anomalies", found)
     return tables.read_table(t.spark, folder, "anomalies")

@@ -165,10 +165,11 @@ def test_heatmap_grid_fills_and_cuts(spark):
 # --- Anomalies ----------------------------------------------------------------
 
 
-def expected_anomalies(records, recent_rows=2000, z_min=2.0):
-    """(site, network, z, severity) by pandas, for frames of at least twenty rows."""
+def expected_anomalies(records, recent_weeks=104, z_min=2.0):
+    """(site, network, z, severity) by pandas."""
     frame = pd.DataFrame(records, columns=["site", "network", "week", "rate"])
-    frame = frame.sort_values(["week", "site", "network"], ascending=[False, True, True]).head(recent_rows)
+    frame = frame.sort_values(["week", "site", "network"], ascending=[False, True, True])
+    frame = frame.groupby(["site", "network"]).head(recent_weeks)
     found = []
     for key, group in frame.groupby(["site", "network"]):
         if len(group) >= 8:
@@ -190,26 +191,25 @@ def test_anomalies_by_hand(spark):
     want = expected_anomalies(records)
     assert want
     frame = hosp(spark, *records)
-    got = [(r.geography, r.metric, r.z_score, r.severity) for r in anomalies.detect_anomalies(frame).collect()]
+    got = [(r.geography, r.metric, r.z_score, r.severity) for r in anomalies.detect_anomalies(frame, 20).collect()]
     assert got == want
-    fewer = [(r.geography, r.metric, r.z_score, r.severity) for r in anomalies.detect_anomalies(frame, recent_rows=300).collect()]
-    assert fewer == expected_anomalies(records, 300)
+    fewer = [(r.geography, r.metric, r.z_score, r.severity) for r in anomalies.detect_anomalies(frame, 20, recent_weeks=12).collect()]
+    assert fewer == expected_anomalies(records, 12)
 
 
-def test_anomalies_need_enough_rows_and_points(spark):
+def test_anomalies_need_enough_points(spark):
     spike = [("A", "RSV-NET", i, 1 + (i % 2) / 10) for i in range(12)] + [("A", "RSV-NET", 12, 50)]
-    assert anomalies.detect_anomalies(hosp(spark, *spike)).isEmpty()
     filler = [("B", "RSV-NET", i, 1 + (i % 2) / 10) for i in range(12)]
-    got = anomalies.detect_anomalies(hosp(spark, *spike, *filler)).collect()
+    got = anomalies.detect_anomalies(hosp(spark, *spike, *filler), 20).collect()
     assert [r.geography for r in got] == ["A"]
     assert got[0].severity == "Critical"
     assert got[0].description.startswith("A RSV rate is ")
     assert got[0].description.endswith("σ above average (50.0 vs avg 1.1)")
     short = [("C", "RSV-NET", i, 1.0 if i < 6 else 99.0) for i in range(7)]
-    assert anomalies.detect_anomalies(hosp(spark, *short, *filler, *filler[:1])).isEmpty()
+    assert anomalies.detect_anomalies(hosp(spark, *short, *filler, *filler[:1]), 20).isEmpty()
 
 
 def test_constant_series_uses_the_small_floor(spark):
     flat = [("A", "RSV-NET", i, 2.0) for i in range(20)]
-    assert anomalies.detect_anomalies(hosp(spark, *flat)).isEmpty()
-    assert anomalies.detect_anomalies(hosp(spark, *flat, ("A", "RSV-NET", 20, 2.1))).first().severity == "Critical"
+    assert anomalies.detect_anomalies(hosp(spark, *flat), 20).isEmpty()
+    assert anomalies.detect_anomalies(hosp(spark, *flat, ("A", "RSV-NET", 20, 2.1)), 20).first().severity == "Critical"
