@@ -12,7 +12,11 @@ from epiweave.schemas import HIGH_LABELS
 
 
 def weekly_trends(hosp: DataFrame) -> DataFrame:
-    """Average rate over all sites by network and week."""
+    """Average rate over all sites by network and week, oldest week first."""
+    return _weekly_rates(hosp).orderBy("week_ending_date", "virus")
+
+
+def _weekly_rates(hosp: DataFrame) -> DataFrame:
     return (
         hosp.filter(is_overall_observed())
         .groupBy(F.col("surveillance_network").alias("virus"), "week_ending_date")
@@ -22,7 +26,7 @@ def weekly_trends(hosp: DataFrame) -> DataFrame:
 
 def virus_series(hosp: DataFrame, network: str | None = None, min_points: int = 0) -> DataFrame:
     """The weekly series (virus, date, rate); series below ``min_points`` drop out."""
-    series = weekly_trends(hosp).select(
+    series = _weekly_rates(hosp).select(
         "virus", F.col("week_ending_date").alias("date"), F.col("avg_rate").alias("rate")
     )
     if network is not None:
@@ -34,7 +38,9 @@ def virus_series(hosp: DataFrame, network: str | None = None, min_points: int =
 
 
 def risk_distribution(ari: DataFrame) -> DataFrame:
-    return latest(ari, "week_end").groupBy("label").agg(F.count("*").alias("count"))
+    """Places of the latest week by label, the most frequent label first."""
+    counted = latest(ari, "week_end").groupBy("label").agg(F.count("*").alias("count"))
+    return counted.orderBy(F.col("count").desc(), "label")
 
 
 def risk_share(ari: DataFrame) -> DataFrame:
@@ -73,6 +79,7 @@ def wastewater_summary(ww: DataFrame) -> DataFrame:
 
 
 def wastewater_states(ww: DataFrame) -> DataFrame:
+    """Latest readings by state, the highest average percentile first."""
     return (
         latest(ww, "date_end")
         .groupBy(F.col("wwtp_jurisdiction").alias("state"))
@@ -82,6 +89,7 @@ def wastewater_states(ww: DataFrame) -> DataFrame:
             F.avg("percentile").alias("avg_percentile"),
             F.avg("ptc_15d").alias("avg_pct_change"),
         )
+        .orderBy(F.col("avg_percentile").desc_nulls_last(), "state")
     )
 
 
@@ -91,13 +99,12 @@ def detection_average(sites: DataFrame) -> DataFrame:
 
 
 def age_heatmap(hosp: DataFrame, network: str | None = None) -> DataFrame:
-    """Average rate by week and age group, the all-ages stratum left out."""
+    """Average rate by week and age group, the all-ages stratum left out; oldest week first."""
     rows = hosp.filter(is_overall_observed(overall_age=False) & (F.col("age_group") != "Overall"))
     if network is not None:
         rows = rows.filter(F.col("surveillance_network") == network)
-    return rows.groupBy("surveillance_network", "week_ending_date", "age_group").agg(
-        F.avg("weekly_rate").alias("rate")
-    )
+    rates = rows.groupBy("surveillance_network", "week_ending_date", "age_group").agg(F.avg("weekly_rate").alias("rate"))
+    return rates.orderBy("week_ending_date", "age_group", "surveillance_network")
 
 
 def heatmap_grid(heatmap: DataFrame, age_groups: list[str], weeks: int | None = None) -> DataFrame:
@@ -115,10 +122,12 @@ def heatmap_grid(heatmap: DataFrame, age_groups: list[str], weeks: int | None =
 
 
 def season_comparison(hosp: DataFrame) -> DataFrame:
+    """Average rate by network, season and week of the season's years, in that order."""
     return (
         hosp.filter(is_overall_observed())
         .groupBy("surveillance_network", "season", "mmwr_week")
         .agg(F.avg("weekly_rate").alias("avg_rate"))
+        .orderBy("surveillance_network", "season", "mmwr_week")
     )
 
 

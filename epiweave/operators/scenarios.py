@@ -55,10 +55,10 @@ def seeded(scenarios: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def by_week(scenarios: DataFrame) -> DataFrame:
-    """One row per scenario and 0-based week, with the surge ramp."""
+    """One row per scenario and 0-based week, with the surge ramp; none for scenarios without weeks."""
     ramp = F.lit(1.0) + (F.col("surge_multiplier") - 1) * F.least(F.lit(1.0), F.col("week") / 4)
     weeks = F.sequence(F.lit(0), F.col("weeks").cast("int") - 1)
-    return scenarios.withColumn("week", F.explode(weeks)).withColumn("week_multiplier", ramp)
+    return scenarios.filter("weeks > 0").withColumn("week", F.explode(weeks)).withColumn("week_multiplier", ramp)
 
 
 def _demand(df: DataFrame, case_noise: Column, hospital_noise: Column, icu_noise: Column) -> DataFrame:

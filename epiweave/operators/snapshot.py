@@ -59,12 +59,13 @@ def ari_activity(ari: DataFrame, week_end: str | None = None, geography: str | N
 
 
 def ari_history(ari: DataFrame, geography: str | None = None, weeks: int = 52) -> DataFrame:
-    """The last ``weeks`` weeks of one geography, or of each."""
+    """The last ``weeks`` weeks of one geography, or of each, newest first."""
     order = Window.partitionBy("geography").orderBy(F.col("week_end").desc())
     return (
         where_equal(ari, geography=geography)
         .select("week_end", "geography", "label", F.row_number().over(order).alias("weeks_back"))
         .filter(F.col("weeks_back") <= weeks)
+        .orderBy(F.col("week_end").desc(), "geography")
     )
 
 

@@ -36,6 +36,18 @@ def _scenario_expected(t):
     return _expected(capacity.expected_demand(t.scenarios), "scenario_id")
 
 
+@query(
+    "scenario_weeks",
+    """SELECT scenario_id, CAST(week AS INTEGER) AS week FROM scenarios, range(8) AS w(week)
+       WHERE week < CASE scenario_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 8 END""",
+    "scenarios",
+)
+def _scenario_weeks(t):
+    # Scenarios over no, one and eight weeks.
+    given = t.scenarios.withColumn("weeks", F.expr("CASE scenario_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 8 END"))
+    return capacity.expected_demand(given).select("scenario_id", "week")
+
+
 @query(
     "scenario_seeded",
     f"""SELECT scenario_id, surveillance_network, {_EXPECTED} FROM (SELECT *, {_ADMISSIONS} FROM (

@@ -41,6 +41,12 @@ def test_expected_demand(spark, given):
         assert (row.beds, row.icu_beds, row.cost) == pytest.approx(expected(row.week, **given))
 
 
+def test_no_weeks_give_no_rows(spark):
+    frame = spark.createDataFrame([(1, 0), (2, 1), (3, 8)], "scenario_id int, weeks int")
+    got = rows(capacity.expected_demand(frame), "scenario_id", "week")
+    assert got == [(2, 0), *((3, w) for w in range(8))]
+
+
 def test_draws_are_the_same_at_any_partitioning(spark):
     many = spark.range(20).withColumnRenamed("id", "scenario_id")
     a = capacity.draw_demand(many, draws=10).select("scenario_id", "week", "draw", "beds")
