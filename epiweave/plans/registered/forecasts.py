@@ -12,15 +12,13 @@ from epiweave.plans.registry import Sources, half_up, query, tidied, weekly_seri
 from epiweave.session import materialise, shared_dir
 from epiweave.sources import tables
 
-BENCH_TREES = 20
-
 
 def _trained(t: Sources, kind: str) -> forecasting.Trained:
     """A model of this folder's series, trained once per application and stored."""
     name = hashlib.sha256(t.folder.encode()).hexdigest()[:16]
     path = f"{shared_dir(t.spark)}/epiweave/{t.spark.sparkContext.applicationId}/models/{kind}-{name}"
     if kind == "gbt":
-        return forecasting.fit_or_load(weekly_series(t), path, max_iter=BENCH_TREES)
+        return forecasting.fit_or_load(weekly_series(t), path)
     return forecasting.fit_or_load(weekly_series(t), path, forecasting.train_direct)
 
 
