@@ -16,8 +16,13 @@ log = logging.getLogger(__name__)
 
 
 def load_batch(spark: SparkSession, root: str, name: str, raw: DataFrame) -> None:
-    """Clean one raw batch and merge it: wastewater replaces, the others upsert."""
-    rows = accepted(CLEANERS[name](raw))
+    """Clean one raw batch and merge it: wastewater replaces, the others upsert.
+
+    Refused records are kept beside the tables, under ``rejected``.
+    """
+    cleaned = CLEANERS[name](raw)
+    quarantine(cleaned, rejected_path(root, name))
+    rows = accepted(cleaned)
     if name == "wastewater_sites":
         replace_snapshot(spark, root, name, rows)
     else:
@@ -45,6 +50,10 @@ def refresh_all(spark: SparkSession, landing: str, root: str, as_of: str, wastew
     return True
 
 
+def rejected_path(root: str, name: str) -> str:
+    return f"{root.rstrip('/')}/rejected/{name}"
+
+
 def quarantine(cleaned: DataFrame, path: str) -> None:
     """Keep refused records, with their reason, for inspection."""
     rejected(cleaned).write.mode("append").partitionBy("reject_reason").parquet(path)

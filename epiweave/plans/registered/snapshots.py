@@ -244,7 +244,7 @@ def _iso_dates(t):
 def _param_query(t):
     return tables.run_query(
         t.spark,
-        "SELECT label, count(*) AS n FROM ari_activity WHERE geography = ? AND week_end >= CAST(? AS DATE) "
+        "SELECT label, count(*) AS n FROM {ari_activity} WHERE geography = ? AND week_end >= CAST(? AS DATE) "
         "GROUP BY label",
         ["NATION_4", "2000-01-01"],
         ari_activity=t.ari,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,19 +84,26 @@ def upsert(spark: SparkSession, root: str, name: str, batch: DataFrame, by_seque
     merged = merge_latest(current, batch, table.key, by_sequence)
 
     try:
-        staged = _staged(merged, root, table)
+        staged, folder = _staged(merged, table)
     finally:
         batch.unpersist()
-    _write_partitions(staged, table, table_path(root, name))
+    try:
+        _write_partitions(staged, table, table_path(root, name))
+    finally:
+        _drop_folder(spark, folder)
 
 
-def _staged(df: DataFrame, root: str, table: Table) -> DataFrame:
-    """The rows written to, and read back from, the table's staging folder."""
+def _staged(df: DataFrame, table: Table) -> tuple[DataFrame, str]:
+    """The rows written to, and read back from, a staging folder of this call's own, and its path."""
     spark = df.sparkSession
-    path = table_path(root, table.name)
-    staging = f"{shared_dir(spark)}/epiweave-staging/{table.name}-{hashlib.sha256(path.encode()).hexdigest()[:16]}"
-    df.write.mode("overwrite").parquet(staging)
-    return spark.read.schema(_stored_schema(table)).parquet(staging)
+    staging = f"{shared_dir(spark)}/epiweave-staging/{table.name}-{uuid.uuid4().hex}"
+    df.write.parquet(staging)
+    return spark.read.schema(_stored_schema(table)).parquet(staging), staging
+
+
+def _drop_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def _write_partitions(df: DataFrame, table: Table, path: str, mode: str = "dynamic") -> None:
@@ -118,11 +125,14 @@ def replace_snapshot(spark: SparkSession, root: str, name: str, batch: DataFrame
     """
     table = TABLES[name]
     last = keep_last(batch.select(*_stored_schema(table).names), table.key, F.col("_seq").desc())
-    rows = _staged(last, root, table)
-    if rows.isEmpty():
-        return False
-    _write_partitions(rows, table, table_path(root, name), mode="static")
-    return True
+    rows, folder = _staged(last, table)
+    try:
+        if rows.isEmpty():
+            return False
+        _write_partitions(rows, table, table_path(root, name), mode="static")
+        return True
+    finally:
+        _drop_folder(spark, folder)
 
 
 def append_results(spark: SparkSession, root: str, name: str, rows: DataFrame) -> None:
@@ -138,9 +148,7 @@ def load_stats(df: DataFrame, distinct: dict[str, str] | None = None) -> DataFra
 
 def run_query(spark: SparkSession, sql: str, params: list | None = None, **tables: DataFrame) -> DataFrame:
     """Parameterised SQL: '?' marks are bound, {name} marks are DataFrames."""
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(sql, args=params) if params else spark.sql(sql)
+    return spark.sql(sql, args=params, **tables) if params else spark.sql(sql, **tables)
 
 
 def execute(spark: SparkSession, sql: str, params: list | None = None) -> None:

@@ -11,7 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from epiweave.plans.dashboard import dashboard_summary
 from epiweave.schemas import TABLES
-from epiweave.sources.landing import CLEANERS, accepted
+from epiweave.plans.refresh import rejected_path
+from epiweave.sources.landing import CLEANERS, accepted, rejected
 from epiweave.sources.tables import read_table, upsert
 
 
@@ -33,12 +34,14 @@ def stream_upsert(
     """Clean and merge every micro-batch; the highest ``_seq`` of a key wins.
 
     The merge gives the same table when a batch is replayed or arrives out of
-    order. Without an interval the query takes what is there and stops.
+    order, and so do the refused records, which each batch keeps under ``rejected``. Without an interval the query takes what is there and stops.
     """
 
-    def merge(batch: DataFrame, _batch_id: int) -> None:
+    def merge(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        upsert(session, root, name, accepted(CLEANERS[name](batch)), by_sequence=True)
+        cleaned = CLEANERS[name](batch)
+        rejected(cleaned).write.mode("overwrite").parquet(f"{rejected_path(root, name)}/batch={batch_id}")
+        upsert(session, root, name, accepted(cleaned), by_sequence=True)
         if after_batch is not None:
             after_batch(session)
 
