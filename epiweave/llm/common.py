@@ -57,6 +57,16 @@ def stored(df: DataFrame) -> DataFrame:
         return df.checkpoint()
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Have Spark hand texts to Python at most ``rows`` at a time, in this session from now on.
+
+    Texts are long rows: the default of 10,000 holds some 30 MB of them twice per task.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

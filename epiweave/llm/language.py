@@ -9,14 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from epiweave.llm.common import text_key
+from epiweave.llm.common import small_batches, text_key
 
 UNDETERMINED = "und"
 HIDDEN = 8
 #: Bytes the network reads at a stretch; every byte of a text is in one stretch.
 STRETCH = 128
 #: Stretches read side by side; bounds the memory of a task.
-ROWS = 4096
+ROWS = 1024
 # Bounds of the training sample.
 DOCS_PER_LANGUAGE = 400
 WINDOWS_PER_DOC = 2
@@ -236,6 +236,7 @@ def identify_languages(docs: DataFrame) -> DataFrame:
     ``und`` with score 0, as is everything where no document can be learnt from. Repeated
     rows are judged alike.
     """
+    small_batches(docs.sparkSession)
     return docs.withColumn("language", language_column(train(training_windows(docs)), "text"))
 
 

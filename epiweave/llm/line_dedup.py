@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epiweave.llm.common import SPACE_CHARS, ascii_lower, stored, text_key, text_or_empty, with_decision
+from epiweave.llm.common import SPACE_CHARS, ascii_lower, small_batches, stored, text_key, text_or_empty, with_decision
 
 DROPPED, OPEN, EVIDENCE = 0, 1, 2
 _MARKS = "h1 long, h2 long, doc_id long, text_key long, pos int, kind int"
@@ -196,5 +196,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
         found = [apply_kept(t, b) for t, b in zip(texts, bitmaps, strict=True)]
         return pd.DataFrame(found, columns=["text", "n_lines", "n_dropped"])
 
-    marked = with_decision(docs, keep_bitmaps(docs, min_chars, min_docs), [F.col("bitmap").alias("_bitmap")])
+    bitmaps = keep_bitmaps(docs, min_chars, min_docs)
+    small_batches(docs.sparkSession)
+    marked = with_decision(docs, bitmaps, [F.col("bitmap").alias("_bitmap")])
     return marked.withColumn("deduped", applied("text", "_bitmap")).drop("_bitmap")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epiweave.llm.common import byte_words, stored, text_key, with_decision
+from epiweave.llm.common import byte_words, small_batches, stored, text_key, with_decision
 from epiweave.llm.components import connected_components
 
 SEED = 42
@@ -123,6 +123,7 @@ def near_duplicate_groups(docs: DataFrame, length: int = 3, distance: int = 3) -
     A null or empty text, or one without words, has fingerprint zero and is linked
     like any other. Repeated rows are documents of their own. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     marked = stored(docs.select("doc_id", text_key().alias("text_key"), simhash_column("text", length).alias("fp")))
     nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     labels = connected_components(near_links(nodes.select("fp"), distance))

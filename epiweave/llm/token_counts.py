@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epiweave.llm.common import text_key
+from epiweave.llm.common import small_batches, text_key
 
 #: Mark before pieces that start a word.
 START = "▁"
@@ -123,6 +123,7 @@ def token_counts(docs: DataFrame, pieces: list[str]) -> DataFrame:
     into the longest pieces from left to right. Null, empty and blank texts have 0 of both.
     Repeated rows are counted alike.
     """
+    small_batches(docs.sparkSession)
     counted = docs.select(
         "doc_id", text_key().alias("text_key"), token_count_column(docs.sparkSession, "text", pieces).alias("n")
     )

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epiweave.llm.common import text_key
+from epiweave.llm.common import small_batches, text_key
 
 #: Labelled rows that are learnt from, the first by a hash of their id.
 SAMPLE_ROWS = 4000
@@ -168,6 +168,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], rows: in
     those; with no labelled documents at all every probability is that of no information.
     Repeated rows are judged alike.
     """
+    small_batches(docs.sparkSession)
     chain = train(*labelled_sample(docs, labels, categories, rows), categories)
     return docs.withColumn("toxicity", toxicity_column(chain, "text"))
 
