@@ -11,14 +11,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epiweave.llm.common import stored, text_key
+from epiweave.llm.common import small_batches, stored, text_key
 
 #: Positions that count in a seed (1) and that it ignores (0). Together they hit every run of
 #: 13 tokens with up to two substitutions, wherever those are (a test goes through all of them).
 MASKS = ("100110111", "111100011", "1000101111")
 WINDOW = 13
 #: Bits of the map of test hashes that is sent to the tasks; its size does not grow with the benchmark.
-MAP_BITS = 1 << 22
+MAP_BITS = 1 << 24
 MIN_TOKENS = 5
 _CACHE = 1 << 18
 _TOKENS = re.compile(r"\w+")
@@ -82,6 +82,7 @@ def seeds(texts: DataFrame, masks: tuple[str, ...] | None, window: int, known: n
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = None if sent is None else sent.value
         for batch in batches:
+            found: list[tuple] = []
             for doc_id, key, text in zip(batch["doc_id"], batch["text_key"], batch["text"], strict=True):
                 tokens = token_hashes(text)
                 if len(tokens) < MIN_TOKENS:
@@ -90,30 +91,36 @@ def seeds(texts: DataFrame, masks: tuple[str, ...] | None, window: int, known: n
                     hashes = seed_hashes(tokens, mask)
                     places = np.arange(len(hashes))
                     if bits is not None:
-                        slot = hashes & np.uint64(MAP_BITS - 1)
-                        hit = bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))
-                        places = np.flatnonzero(hit & np.uint64(1))
+                        places = np.flatnonzero(in_map(bits, hashes))
                     if len(places):
                         near = contexts(tokens, places, window, outside)
-                        yield pd.DataFrame(
-                            {
-                                "hash": hashes[places].view(np.int64),
-                                "doc_id": pd.array([doc_id] * len(places), dtype="Int64"),
-                                "text_key": key,
-                                "place": places.astype(np.int32),
-                                "tokens": np.int32(len(tokens)),
-                                "context": [row.tobytes() for row in near],
-                            }
-                        )
+                        doc = None if pd.isna(doc_id) else int(doc_id)
+                        found += [
+                            (h, doc, key, place, len(tokens), row.tobytes())
+                            for h, place, row in zip(hashes[places].view(np.int64), places, near, strict=True)
+                        ]
+            if found:
+                frame = pd.DataFrame(found, columns=["hash", "doc_id", "text_key", "place", "tokens", "context"])
+                yield frame.astype({"doc_id": "Int64", "place": "int32", "tokens": "int32"})
 
     return texts.mapInPandas(find, _SEEDS)
 
 
+def in_map(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether both bits of a hash are set."""
+    hit = np.uint64(1)
+    for shift in (0, 32):
+        slot = (hashes >> np.uint64(shift)) & np.uint64(MAP_BITS - 1)
+        hit = hit & (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)))
+    return hit.astype(bool)
+
+
 def hash_map(hashes: DataFrame) -> np.ndarray:
-    """Bits of the hashes present, as MAP_BITS / 64 words; an overfull map only lets more hits pass."""
-    slot = F.col("hash").bitwiseAND(MAP_BITS - 1)
+    """Two bits of each hash present, as MAP_BITS / 64 words; an overfull map only lets more hits pass."""
+    slots = F.array(*(F.shiftrightunsigned("hash", shift).bitwiseAND(MAP_BITS - 1) for shift in (0, 32)))
+    slot = F.col("slot")
     words = (
-        hashes.select(F.shiftright(slot, 6).cast("int").alias("word"), slot.bitwiseAND(63).cast("int").alias("bit"))
+        hashes.select(F.explode(slots).alias("slot")).select(F.shiftright(slot, 6).cast("int").alias("word"), slot.bitwiseAND(63).cast("int").alias("bit"))
         .groupBy("word")
         .agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
         .collect()
@@ -142,6 +149,7 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, simi
     no test item has are mostly dropped where they are made, by a bit map of fixed size;
     the join is exact. Items of fewer than MIN_TOKENS tokens, null or empty ones, cannot be found.
     """
+    small_batches(docs.sparkSession)
     tests = items.where("item_id IS NOT NULL").select(
         F.col("item_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text"
     )
