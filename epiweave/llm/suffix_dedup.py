@@ -12,11 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epiweave.llm.common import freeing_shuffles, stored, text_key, with_decision
+from epiweave.llm.common import freeing_shuffles, small_batches, stored, text_key, with_decision
 from epiweave.session import shared_dir
 
 #: Suffixes handled at once; bounds the memory a very long text takes.
 CHUNK = 1 << 18
+#: Suffixes grouped at once in the second pass.
+CELL = 12
 _POSITION = np.uint64(21)
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -43,7 +45,7 @@ class Digits:
         return self.stride - 1
 
 
-@lru_cache(2)
+@lru_cache(4)
 def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(base, -1, 1 << 64)
     up, down = (np.cumprod(np.full(size, b, np.uint64)) for b in (base, inverse))
@@ -51,6 +53,11 @@ def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([one, up]), np.concatenate([one, down])
 
 
+@lru_cache(2)
+def _values(which: int) -> np.ndarray:
+    return np.random.default_rng(which).integers(0, 1 << 64, 256, np.uint64)
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -61,7 +68,7 @@ class Hashes:
     """Hashes of any byte range of a text, from sums of byte values times powers (modulo 2**64)."""
 
     def __init__(self, data: np.ndarray, which: int, most: int):
-        values = np.random.default_rng(which).integers(0, 1 << 64, 256, np.uint64)
+        values = _values(which)
         up, self.down = _powers(_BASES[which], most)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(values[data] * up[: len(data)], out=self.sums[1:])
@@ -90,105 +97,109 @@ def _anchors(hashes: Hashes, d: Digits) -> np.ndarray:
     return suffix + (place - suffix) % d.stride
 
 
-def _chunks(data: np.ndarray, d: Digits, margin: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(first suffix, offset of the slice, slice) for up to CHUNK suffixes at a time."""
-    for first in range(0, len(data) - d.length + 1, CHUNK):
-        low = max(0, first - margin)
-        yield first, low, data[low : first + CHUNK + d.length - 1 + margin]
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int, d: Digits) -> np.ndarray:
+    """Hashes of byte ranges, each shorter than twice the threshold; texts are read in chunks."""
+    out = np.empty(len(start), np.uint64)
+    for first in range(0, len(data), CHUNK):
+        here = (start >= first) & (start < first + CHUNK) if len(data) > CHUNK else slice(None)
+        piece = data[first : first + CHUNK + 2 * d.length]
+        out[here] = Hashes(piece, which, CHUNK + 2 * d.length).of(start[here] - first, end[here] - first)
+    return out
 
 
-def anchor_rows(text: bytes, d: Digits) -> pd.DataFrame:
-    """core, full, at, first, last: the anchors of a text and the suffixes each stands for.
+def _rows(data: np.ndarray, core: tuple, full: tuple, first: np.ndarray, last: np.ndarray, salt: int, d: Digits):
+    """(core, full, first, last) with hashes of the ranges; where ``full`` leaves the text it is a value of its own."""
+    low, high = full
+    inside = (low >= 0) & (high <= len(data))
+    own = _mixed(first.astype(np.uint64) ^ np.uint64(salt))
+    whole = np.where(inside, range_hashes(data, np.maximum(low, 0), np.where(inside, high, np.maximum(low, 0)), 0, d), own)
+    return range_hashes(data, *core, 0, d).view(np.int64), whole.view(np.int64), first, last
+
+
+def anchor_rows(data: np.ndarray, salt: int, d: Digits) -> tuple[np.ndarray, ...]:
+    """(core, full, first, last, at): the anchors of a text and the suffixes each stands for.
 
     ``full`` hashes all bytes that suffixes of the anchor can reach; equal ``full`` means that all
-    their suffixes agree. Where they would leave the text it is a value of its own.
+    their suffixes agree.
     """
-    data = np.frombuffer(text, np.uint8)
-    parts = []
-    for first, _, piece in _chunks(data, d, 0):
-        hashes = Hashes(piece, 0, CHUNK + 2 * d.length)
-        anchors = _anchors(hashes, d)[:CHUNK]
+    parts = [(np.empty(0, np.int64),) * 3]
+    for begin in range(0, len(data) - d.length + 1, CHUNK):
+        piece = data[begin : begin + CHUNK + d.length - 1]
+        anchors = _anchors(Hashes(piece, 0, CHUNK + 2 * d.length), d)
         starts = np.flatnonzero(np.append(True, anchors[1:] != anchors[:-1]))
         ends = np.append(starts[1:], len(anchors)) - 1
-        at = anchors[starts]
-        low, high = at - d.reach(), at + d.length
-        inside = (low >= 0) & (high <= len(piece))
-        full = hashes.of(np.maximum(low, 0), np.minimum(high, len(piece)))
-        core = hashes.of(at, at + d.core).view(np.int64)
-        parts.append((core, np.where(inside, full.view(np.int64), 0), inside, at + first, starts + first, ends + first))
-    if not parts:
-        return pd.DataFrame({n: np.empty(0, np.int64) for n in ("core", "full", "inside", "at", "first", "last")})
-    columns = map(np.concatenate, zip(*parts, strict=True))
-    return pd.DataFrame(dict(zip(("core", "full", "inside", "at", "first", "last"), columns, strict=True)))
-
-
-def suffix_hashes(text: bytes, first: np.ndarray, last: np.ndarray, d: Digits) -> tuple[np.ndarray, ...]:
-    """(places, h1, h2) of the first ``length`` bytes of the suffixes in the given ranges."""
-    data = np.frombuffer(text, np.uint8)
+        parts.append((starts + begin, ends + begin, anchors[starts] + begin))
+    first, last, at = map(np.concatenate, zip(*parts, strict=True))
+    new = np.flatnonzero(np.diff(at, prepend=-1))  # an anchor whose suffixes lie in two chunks is one row
+    first, last, at = first[new], last[np.append(new[1:], len(at)) - 1] if len(at) else last, at[new]
+    return *_rows(data, (at, at + d.core), (at - d.reach(), at + d.length), first, last, salt, d), at
+
+
+def cell_rows(data: np.ndarray, asked: list[np.ndarray], salt: int, d: Digits) -> tuple[np.ndarray, ...]:
+    """(core, full, first, last) of CELL suffixes at a time, by their distance from the anchor."""
+    first, last, at = asked
+    low, high = (at - last) // CELL, (at - first) // CELL
+    each = high - low + 1
+    owner = np.repeat(np.arange(len(at)), each)
+    cell = np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each) + low[owner]
+    begin = at[owner] - np.minimum((cell + 1) * CELL - 1, d.reach())
+    end = at[owner] - cell * CELL
+    mine = np.maximum(begin, first[owner]), np.minimum(end, last[owner])
+    return _rows(data, (end, begin + d.length), (begin, end + d.length), *mine, salt, d)
+
+
+def suffix_rows(data: np.ndarray, asked: list[np.ndarray], salt: int, d: Digits) -> tuple[np.ndarray, ...]:
+    """(h1, h2, place) of every suffix in the ranges asked for."""
+    first, last = asked
     wanted = np.zeros(len(data) + 1, np.int32)
     np.add.at(wanted, first, 1)
     np.add.at(wanted, last + 1, -1)
     places = np.flatnonzero(np.cumsum(wanted[:-1]) > 0)
-    found = [(np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64))]
-    for begin, low, piece in _chunks(data, d, 0):
-        here = places[(places >= begin) & (places < begin + CHUNK)]
-        if len(here):
-            pair = [Hashes(piece, k, CHUNK + 2 * d.length).of(here - low, here - low + d.length) for k in (0, 1)]
-            found.append((here, *pair))
-    return tuple(map(np.concatenate, zip(*found, strict=True)))
+    one, two = (range_hashes(data, places, places + d.length, k, d).view(np.int64) for k in (0, 1))
+    return one, two, places
+
 
+def _scanned(docs: DataFrame, names: list[str], rows, asked: list[str] | None, d: Digits) -> DataFrame:
+    """Rows (names, doc_id, text_key) that ``rows`` makes of every text and what is asked of it."""
+    schema = pa.schema([(n, pa.int64()) for n in [*names, "doc_id", "text_key"]])
 
-def _first_digit(docs: DataFrame, d: Digits) -> DataFrame:
-    """One row per anchor of every document."""
-    fields = ["core", "full", "doc_id", "text_key", "at", "first", "last"]
-    schema = pa.schema([(n, pa.int64()) for n in fields])
+    def batch(parts: list[tuple], ids: list, keys: list) -> pa.RecordBatch:
+        sizes = [len(part[0]) for part in parts]
+        columns = [pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)]
+        none = np.repeat([i is None for i in ids], sizes)
+        columns.append(pa.array(np.repeat(np.array([i or 0 for i in ids], np.int64), sizes), mask=none))
+        columns.append(pa.array(np.repeat(np.array(keys, np.int64), sizes)))
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc_id, key, text in zip(*(batch.column(i) for i in range(3)), strict=True):
-                text = text.as_buffer().to_pybytes() if text.is_valid else b""
-                if len(text) < d.length:
+        parts, ids, keys, held = [], [], [], 0
+        for given in batches:
+            for doc_id, key, text, *lists in zip(*given.columns, strict=True):
+                doc_id, key = doc_id.as_py(), key.as_py()
+                data = np.frombuffer(text.as_buffer(), np.uint8) if text.is_valid else np.empty(0, np.uint8)
+                if len(data) < d.length:
                     continue
-                rows = anchor_rows(text, d)
-                rows["text_key"] = key.as_py()
-                # An anchor at the edge of a text or chunk shares its context with no other.
-                salt = (key.as_py() + (doc_id.as_py() or 0) * _BASES[1]) & (1 << 64) - 1
-                own = _mixed(rows["first"].to_numpy().astype(np.uint64) ^ np.uint64(salt))
-                rows["full"] = np.where(rows["inside"].to_numpy(bool), rows["full"], own.view(np.int64))
-                rows["doc_id"] = pd.array([doc_id.as_py()] * len(rows), dtype="Int64")
-                for start in range(0, len(rows), 1 << 16):
-                    part = rows.iloc[start : start + (1 << 16)]
-                    yield pa.RecordBatch.from_pandas(part[fields], schema=schema, preserve_index=False)
-
-    return docs.select("doc_id", "text_key", F.col("text").cast("binary")).mapInArrow(
-        scan, ", ".join(f"{n} long" for n in fields)
-    )
+                salt = (key + (doc_id or 0) * _BASES[1]) & (1 << 64) - 1
+                spans = [[v.to_numpy(zero_copy_only=False) for v in x.values.flatten()] for x in lists]
+                found = rows(data, *spans, salt, d)
+                parts.append(found[: len(names)])
+                ids.append(doc_id)
+                keys.append(key)
+                held += len(found[0])
+                if held >= 1 << 16:
+                    yield batch(parts, ids, keys)
+                    parts, ids, keys, held = [], [], [], 0
+        if held:
+            yield batch(parts, ids, keys)
 
+    columns = ["doc_id", "text_key", F.col("text").cast("binary"), *(["ranges"] if asked else [])]
+    return docs.select(columns).mapInArrow(scan, ", ".join(f"{n} long" for n in schema.names))
 
-def _last_digit(docs: DataFrame, asked: DataFrame, d: Digits) -> DataFrame:
-    """(h1, h2, doc_id, text_key, place) of the suffixes asked for."""
-    ranges = asked.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    texts = with_decision(docs.select("doc_id", "text"), ranges, ["ranges", F.col("text_key").alias("key")], "inner")
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()),
-                        ("place", pa.int64())])
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc_id, key, text, ranges in zip(*(batch.column(i) for i in range(4)), strict=True):
-                spans = ranges.values.flatten()
-                bounds = [s.to_numpy(zero_copy_only=False) for s in spans]
-                places, h1, h2 = suffix_hashes(text.as_buffer().to_pybytes(), *bounds, d)
-                for start in range(0, len(places), 1 << 16):
-                    part = slice(start, start + (1 << 16))
-                    size = len(places[part])
-                    columns = [h1[part].view(np.int64), (h2[part] >> np.uint64(32)).astype(np.uint32).view(np.int32)]
-                    arrays = [*map(pa.array, columns), pa.array([doc_id.as_py()] * size, pa.int64()),
-                              pa.array(np.full(size, key.as_py())), pa.array(places[part])]
-                    yield pa.RecordBatch.from_arrays(arrays, schema=schema)
-
-    return texts.select("doc_id", "key", F.col("text").cast("binary"), "ranges").mapInArrow(
-        scan, "h1 long, h2 int, doc_id long, key long, place long"
-    )
+def _asked_of(docs: DataFrame, asked: DataFrame, fields: list[str]) -> DataFrame:
+    """The texts something is asked of, with the list of that."""
+    ranges = asked.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct(*fields)).alias("ranges"))
+    return with_decision(docs.select("doc_id", "text"), ranges, ["ranges", F.col("text_key").alias("text_key")], "inner")
 
 
 def _written(df: DataFrame) -> tuple[DataFrame, str]:
@@ -205,42 +216,58 @@ def _removed(df: DataFrame, path: str) -> None:
     target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def repeated_suffixes(docs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, text_key, first, last): ranges of suffixes whose first ``length`` bytes start elsewhere too.
+def _digit_pass(rows: DataFrame, more: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Suffix ranges known to be repeated, and those of which the next digit must tell.
 
-    Most-significant-digit passes. The first groups anchors, one row for some 60 suffixes, by their
-    core; a core that occurs once ends all its suffixes. In a group whose full contexts are all
-    equal, all suffixes are repeated. In the others, contexts held twice are repeated as well,
-    and one of each goes on, with those held once, to the last pass, which groups suffix by
-    suffix. Groups are only counted, combined before the shuffle, and never gathered.
+    A core that occurs once ends all its suffixes. In a group whose full contexts are all equal,
+    all suffixes are repeated. In the others, contexts held twice are repeated as well; one of
+    each goes on, with those held once. Groups are only counted, combined before the shuffle.
     """
-    d = Digits(length)
     fields = ["doc_id", "text_key", "first", "last"]
-    # Rows that agree in doc_id and text are documents of their own: they count as many times over.
-    keyed = docs.select("doc_id", text_key().alias("text_key"), "text")
-    rows = _first_digit(keyed, d)
     cores = rows.groupBy("core").agg(F.count("*").alias("n"), F.min("full").alias("low"), F.max("full").alias("high"))
     cores = stored(cores.where("n > 1").select("core", (F.col("low") == F.col("high")).alias("alike")))
-    grouped, grouped_path = _written(rows.join(cores, "core").select("core", "full", *fields, "at", "alike"))
+    grouped, path = _written(rows.join(cores, "core"))
     mixed = grouped.where("NOT alike")
     classes = mixed.groupBy(F.col("core").alias("_core"), F.col("full").alias("_full")).agg(
-        F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "at")).alias("one")
+        F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "first")).alias("one")
     )
     same = (mixed["core"] == classes["_core"]) & (mixed["full"] == classes["_full"])
-    first_one = F.struct("doc_id", "text_key", "at").eqNullSafe(F.col("one"))
-    judged = stored(
-        mixed.join(classes, same).select(*fields, (F.col("n") > 1).alias("known"), first_one.alias("goes_on"))
-    )
+    first_one = F.struct("doc_id", "text_key", "first").eqNullSafe(F.col("one"))
+    judged = mixed.join(classes, same).select(*fields, *more, (F.col("n") > 1).alias("known"), first_one.alias("next"))
+    judged, judged_path = _written(judged)
     known = stored(grouped.where("alike").select(fields).unionByName(judged.where("known").select(fields)))
-    _removed(docs, grouped_path)
-    suffixes, path = _written(_last_digit(docs, judged.where("goes_on").distinct(), d))
+    going_on = stored(judged.where("next").select(*fields, *more).distinct())
+    _removed(rows, path)
+    _removed(rows, judged_path)
+    return known, going_on
+
+
+def repeated_suffixes(docs: DataFrame, length: int) -> DataFrame:
+    """(doc_id, text_key, first, last): ranges of suffixes whose first ``length`` bytes start elsewhere too.
+
+    Most-significant-digit passes: the first groups anchors, one row for some 60 suffixes; the
+    second, in the groups the first leaves open, CELL suffixes at a time; the last groups what
+    is still open suffix by suffix, by all its ``length`` bytes. Groups are counted and never gathered.
+    """
+    d = Digits(length)
+    small_batches(docs.sparkSession)
+    # Rows that agree in doc_id and text are documents of their own: they count as many times over.
+    keyed = docs.select("doc_id", text_key().alias("text_key"), "text")
+    anchors = _scanned(keyed, ["core", "full", "first", "last", "at"], anchor_rows, None, d)
+    known, going_on = _digit_pass(anchors, ["at"])
+    texts = _asked_of(docs, going_on, ["first", "last", "at"])
+    cells, path = _written(_scanned(texts, ["core", "full", "first", "last"], cell_rows, ["ranges"], d))
+    more, going_on = _digit_pass(cells, [])
+    _removed(docs, path)
+    texts = _asked_of(docs, going_on, ["first", "last"])
+    suffixes, path = _written(_scanned(texts, ["h1", "h2", "place"], suffix_rows, ["ranges"], d))
     groups = stored(suffixes.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"))
     late = suffixes.join(groups, ["h1", "h2"]).select(
-        "doc_id", F.col("key").alias("text_key"), F.col("place").alias("first"), F.col("place").alias("last")
+        "doc_id", "text_key", F.col("place").alias("first"), F.col("place").alias("last")
     )
     late = stored(late)
     _removed(docs, path)
-    return known.unionByName(late)
+    return known.unionByName(more).unionByName(late)
 
 
 def covered(size: int, first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, int]:

@@ -57,25 +57,26 @@ def test_equals_brute_force(spark, length):
     assert found(df) == [(i, *row) for i, row in enumerate(brute(texts, length))]
 
 
-def test_small_chunks_change_nothing():
+def test_anchors_stand_for_every_suffix_once():
     d, rng = S.Digits(200), random.Random(4)
-    text = "".join(rng.choice("abc") for _ in range(3000)).encode()
-    whole = S.anchor_rows(text, d)
-    assert list(whole["first"]) == [0, *(whole["last"][:-1] + 1)] and whole["last"].iloc[-1] == len(text) - 200
-    assert whole["at"].is_monotonic_increasing and whole["at"].is_unique
-    assert ((whole["at"] >= whole["last"]) & (whole["at"] <= whole["first"] + d.reach())).all()
-
-
-def test_chunked_long_text(spark, monkeypatch):
+    text = np.frombuffer("".join(rng.choice("abc") for _ in range(3000)).encode(), np.uint8)
+    _, _, first, last, at = S.anchor_rows(text, 0, d)
+    assert list(first) == [0, *(last[:-1] + 1)] and last[-1] == len(text) - 200
+    assert (np.diff(at) > 0).all() and ((at >= last) & (at <= first + d.reach())).all()
+    _, _, begin, end = S.cell_rows(text, [first, last, at], 0, d)
+    assert sorted(i for a, b in zip(begin, end, strict=True) for i in range(a, b + 1)) == list(range(len(text) - 199))
+
+
+def test_small_chunks_change_nothing(monkeypatch):
+    d, texts = S.Digits(24), corpus(24, 5)
+    data = np.frombuffer("".join(t or "" for t in texts[:90]).encode(), np.uint8)
+    whole = S.suffix_rows(data, [np.array([3]), np.array([len(data) - 24])], 0, d)
+    assert len(set(whole[0])) == len({bytes(data[i : i + 24]) for i in whole[2]})
     monkeypatch.setattr(S, "CHUNK", 300)
-    texts = corpus(24, 5)
-    rows = [S.anchor_rows((t or "").encode(), S.Digits(24)) for t in texts]
-    for t, r in zip(texts, rows, strict=True):
-        assert (r["last"] - r["first"] + 1).sum() == max(0, len((t or "").encode()) - 23)
-    text = ("".join(t or "" for t in texts)).encode()
-    places, h1, _ = S.suffix_hashes(text, np.array([0]), np.array([len(text) - 24]), S.Digits(24))
-    assert len(places) == len(text) - 23
-    assert len(set(h1)) == len({text[i : i + 24] for i in places})
+    again = S.suffix_rows(data, [np.array([3]), np.array([len(data) - 24])], 0, d)
+    assert all((a == b).all() for a, b in zip(whole, again, strict=True))
+    _, _, first, last, _ = S.anchor_rows(data, 0, d)
+    assert (last - first + 1).sum() == len(data) - 23
 
 
 def test_null_and_repeated_ids(spark):
