@@ -13,14 +13,14 @@ from epiweave.plans import registry
 from epiweave.session import shared_dir
 from epiweave.sources import tables
 
-WRITING = {n for n in entry.queries() if n.startswith(("forecast", "importances", "stream", "refresh", "stored"))}
+WRITING = {n for n in registry.QUERIES if n.startswith(("forecast", "importances", "stream", "refresh", "stored"))}
 
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - WRITING))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - WRITING))
 def test_no_python_rows_and_no_cross_joins(spark, name):
     text = plan(entry.queries()[name](spark, SMALL))
     for unwanted in ("PythonUDF", "BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
