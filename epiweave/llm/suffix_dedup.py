@@ -228,12 +228,15 @@ def _digit_pass(rows: DataFrame, more: list[str]) -> tuple[DataFrame, DataFrame]
     cores = stored(cores.where("n > 1").select("core", (F.col("low") == F.col("high")).alias("alike")))
     grouped, path = _written(rows.join(cores, "core"))
     mixed = grouped.where("NOT alike")
+    # Stored, so that the join splits a context that many rows share; contexts held once need no row.
     classes = mixed.groupBy(F.col("core").alias("_core"), F.col("full").alias("_full")).agg(
         F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "first")).alias("one")
     )
+    classes = stored(classes.where("n > 1").drop("n"))
     same = (mixed["core"] == classes["_core"]) & (mixed["full"] == classes["_full"])
+    known = F.col("_full").isNotNull()
     first_one = F.struct("doc_id", "text_key", "first").eqNullSafe(F.col("one"))
-    judged = mixed.join(classes, same).select(*fields, *more, (F.col("n") > 1).alias("known"), first_one.alias("next"))
+    judged = mixed.join(classes, same, "left").select(*fields, *more, known.alias("known"), (~known | first_one).alias("next"))
     judged, judged_path = _written(judged)
     known = stored(grouped.where("alike").select(fields).unionByName(judged.where("known").select(fields)))
     going_on = stored(judged.where("next").select(*fields, *more).distinct())
