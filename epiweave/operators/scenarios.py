@@ -1,15 +1,13 @@
-"""Hospital capacity scenarios: expected demand, random draws, summaries."""
+"""Hospital capacity scenarios: expected demand and its summaries."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epiweave.functions.scalars import clip_zero, overflow_band, round_to
 
-# --- Fixed values: scenario defaults and noise spreads ------------------------
+# --- Fixed values: scenario defaults ------------------------------------------
 DEFAULTS = {
     "population": 1_000_000,
     "current_rate": 5.0,
@@ -24,8 +22,6 @@ DEFAULTS = {
     "cost_per_icu_day": 8000.0,
     "weeks": 8,
 }
-DRAWS = 1000
-CASE_SIGMA, HOSPITAL_SIGMA, ICU_SIGMA = 0.15, 0.10, 0.15
 
 
 def with_defaults(scenarios: DataFrame, *extra_keys: str) -> DataFrame:
@@ -61,15 +57,14 @@ def by_week(scenarios: DataFrame) -> DataFrame:
     return scenarios.filter("weeks > 0").withColumn("week", F.explode(weeks)).withColumn("week_multiplier", ramp)
 
 
-def _demand(df: DataFrame, case_noise: Column, hospital_noise: Column, icu_noise: Column) -> DataFrame:
-    """Cases to admissions to occupied beds and weekly cost; negatives clip to 0."""
-    cases = (
-        F.col("current_rate") * F.col("week_multiplier") * case_noise * (F.col("population") / F.lit(100_000.0))
-    )
+def expected_demand(scenarios: DataFrame, *extra_keys: str) -> DataFrame:
+    """Expected cases to admissions to occupied beds and cost, per scenario and week; negatives clip to 0."""
+    cases = F.col("current_rate") * F.col("week_multiplier") * (F.col("population") / F.lit(100_000.0))
     return (
-        df.withColumn("new_cases", cases)
-        .withColumn("admissions", clip_zero(F.col("new_cases") * (F.col("hospitalization_pct") / 100 * hospital_noise)))
-        .withColumn("icu_admissions", clip_zero(F.col("admissions") * (F.col("icu_pct") / 100 * icu_noise)))
+        by_week(with_defaults(scenarios, *extra_keys))
+        .withColumn("new_cases", cases)
+        .withColumn("admissions", clip_zero(F.col("new_cases") * (F.col("hospitalization_pct") / 100)))
+        .withColumn("icu_admissions", clip_zero(F.col("admissions") * (F.col("icu_pct") / 100)))
         .withColumn("beds", F.col("admissions") * F.least(F.col("avg_los_days") / 7, F.lit(1.5)))
         .withColumn("icu_beds", F.col("icu_admissions") * F.least(F.col("icu_los_days") / 7, F.lit(2.0)))
         .withColumn(
@@ -79,117 +74,27 @@ def _demand(df: DataFrame, case_noise: Column, hospital_noise: Column, icu_noise
     )
 
 
-def expected_demand(scenarios: DataFrame, *extra_keys: str) -> DataFrame:
-    """Demand per scenario and week with all noise at its centre."""
-    one = F.lit(1.0)
-    return _demand(by_week(with_defaults(scenarios, *extra_keys)), one, one, one)
-
-
-def keyed_normals(*key: Column) -> tuple[Column, Column, Column]:
-    """Three standard normals from a row's key.
-
-    The key's digest gives four uniforms and Box–Muller turns them into normals:
-    a row gets the same draw on every run, retry and partitioning.
-    """
-    digest = F.md5(F.concat_ws("|", *(k.cast("string") for k in key)))
-
-    # Fifteen hex digits hold two 30-bit numbers.
-    halves = [F.conv(F.substring(digest, start, 15), 16, 10).cast("long") for start in (1, 16)]
-
-    def uniform(number: Column) -> Column:
-        return (number + F.lit(0.5)) / F.lit(float(2**30))
-
-    radius_a, radius_b = (F.sqrt(F.lit(-2.0) * F.ln(uniform(F.shiftright(h, 30)))) for h in halves)
-    turn_a, turn_b = (F.lit(2 * math.pi) * uniform(h.bitwiseAND(F.lit(2**30 - 1))) for h in halves)
-    return radius_a * F.cos(turn_a), radius_a * F.sin(turn_a), radius_b * F.cos(turn_b)
-
-
-def draw_demand(scenarios: DataFrame, draws: int = DRAWS, seed: int = 42) -> DataFrame:
-    """Demand per scenario, week and draw.
-
-    Scenarios are spread by id before they expand, so the expansion is parallel
-    and the summaries by scenario need no further exchange.
-    """
-    spark = scenarios.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    spread = with_defaults(scenarios).repartition(tasks, "scenario_id")
-    rows = by_week(spread).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    case, hospital, icu = keyed_normals(F.lit(seed), F.col("scenario_id"), F.col("week"), F.col("draw"))
-    rows = rows.withColumns({"_case": case, "_hospital": hospital, "_icu": icu})
-    return _demand(
-        rows,
-        F.exp(F.lit(CASE_SIGMA) * F.col("_case")),
-        F.lit(1.0) + F.lit(HOSPITAL_SIGMA) * F.col("_hospital"),
-        F.lit(1.0) + F.lit(ICU_SIGMA) * F.col("_icu"),
-    ).drop("_case", "_hospital", "_icu")
-
-
-def sorted_percentile(values: Column, share: float) -> Column:
-    """Linearly interpolated percentile of an already sorted array."""
-    position = (F.size(values) - 1) * F.lit(share)
-    below = F.floor(position).cast("int")
-    low, high = F.get(values, below), F.get(values, F.ceil(position).cast("int"))
-    return low + (high - low) * (position - below)
-
-
-def weekly_summary(drawn: DataFrame) -> DataFrame:
-    """Mean, 5th and 95th percentile and overflow share of beds and ICU beds.
-
-    A group holds as many rows as there are draws, a parameter that does not
-    grow with the data. One sorted array per group serves both percentiles, at
-    a fraction of the cost of two ``percentile`` aggregates.
-    """
-    demand = {"beds": "beds_available", "icu_beds": "icu_beds_available"}
-    measures = []
-    for column, capacity in demand.items():
-        measures += [
-            F.avg(column).alias(f"{column}_avg"),
-            F.sort_array(F.collect_list(column)).alias(f"{column}_sorted"),
-            (F.avg((F.col(column) > F.col(capacity)).cast("int")) * 100).alias(f"{column}_over"),
-        ]
-    grouped = drawn.groupBy("scenario_id", "week").agg(*measures)
-    outputs = []
-    for column in demand:
-        values = F.col(f"{column}_sorted")
-        outputs += [
-            round_to(f"{column}_avg", 1).alias(f"{column}_mean"),
-            round_to(sorted_percentile(values, 0.05), 1).alias(f"{column}_p5"),
-            round_to(sorted_percentile(values, 0.95), 1).alias(f"{column}_p95"),
-            round_to(f"{column}_over", 1).alias(f"{column}_overflow_pct"),
-        ]
-    return grouped.select("scenario_id", "week", *outputs)
-
-
-def total_cost(drawn: DataFrame) -> DataFrame:
-    """Mean and 95th percentile weekly cost over all draws and weeks, times the weeks.
-
-    The percentile is taken over weekly costs, not over the totals of each draw.
-    """
-    grouped = drawn.groupBy("scenario_id").agg(
-        F.avg("cost").alias("mean"), F.sort_array(F.collect_list("cost")).alias("costs"), F.max("weeks").alias("weeks")
-    )
-    p95 = sorted_percentile(F.col("costs"), 0.95)
-    return grouped.select(
-        "scenario_id",
-        round_to(F.col("mean") * F.col("weeks"), 0).alias("total_cost_mean"),
-        round_to(p95 * F.col("weeks"), 0).alias("total_cost_p95"),
-    )
+def total_cost(expected: DataFrame) -> DataFrame:
+    """Expected cost of all weeks of a scenario."""
+    return expected.groupBy("scenario_id").agg(round_to(F.sum("cost"), 0).alias("total_cost"))
 
 
-def peaks(summary: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """Highest weekly means and overflow share per scenario, with capacity flags."""
-    capacity = with_defaults(scenarios).select("scenario_id", "beds_available", "icu_beds_available")
-    top = summary.groupBy("scenario_id").agg(
-        F.max("beds_mean").alias("peak_beds"),
-        F.max("icu_beds_mean").alias("peak_icu_beds"),
-        F.max("beds_overflow_pct").alias("peak_overflow_pct"),
+def peaks(expected: DataFrame) -> DataFrame:
+    """Highest expected weekly demand per scenario, with capacity flags and the share of weeks over capacity."""
+    over = (F.col("beds") > F.col("beds_available")).cast("int")
+    top = expected.groupBy("scenario_id").agg(
+        round_to(F.max("beds"), 1).alias("peak_beds"),
+        round_to(F.max("icu_beds"), 1).alias("peak_icu_beds"),
+        F.max("beds_available").alias("_beds"),
+        F.max("icu_beds_available").alias("_icu_beds"),
+        round_to(F.avg(over) * 100, 1).alias("weeks_over_pct"),
     )
-    return top.join(capacity, "scenario_id").select(
+    return top.select(
         "scenario_id",
         "peak_beds",
         "peak_icu_beds",
-        "peak_overflow_pct",
-        (F.col("peak_beds") > F.col("beds_available")).alias("beds_exceeded"),
-        (F.col("peak_icu_beds") > F.col("icu_beds_available")).alias("icu_exceeded"),
-        overflow_band("peak_overflow_pct").alias("overflow_band"),
+        "weeks_over_pct",
+        (F.col("peak_beds") > F.col("_beds")).alias("beds_exceeded"),
+        (F.col("peak_icu_beds") > F.col("_icu_beds")).alias("icu_exceeded"),
+        overflow_band("weeks_over_pct").alias("overflow_band"),
     )

@@ -1,4 +1,4 @@
-"""Capacity scenarios: expected demand and draws."""
+"""Capacity scenarios: expected demand, its cost and peaks."""
 
 from __future__ import annotations
 
@@ -77,19 +77,15 @@ def _scenario_defaults(t):
     return capacity.with_defaults(given.withColumn("population", F.nullif("population", F.lit(200000))))
 
 
-@query("scenario_draws", "SELECT * FROM weekly", "hospitals")
-def _scenario_draws(t):
-    return capacity.weekly_summary(capacity.draw_demand(t.hospitals))
-
-
 @query(
     "scenario_cost",
-    f"""SELECT scenario_id, {half_up("avg(cost) * 8", 0)} AS total_cost_mean,
-       {half_up("quantile_cont(cost, 0.95) * 8", 0)} AS total_cost_p95 FROM drawn GROUP BY 1""",
+    f"""SELECT scenario_id, {half_up("sum(cost)", 0)} AS total_cost FROM (
+          SELECT scenario_id, {_EXPECTED} FROM (SELECT *, {_ADMISSIONS} FROM hospitals, range(8) AS w(week)))
+        GROUP BY 1""",
     "hospitals",
 )
 def _scenario_cost(t):
-    return capacity.total_cost(capacity.draw_demand(t.hospitals))
+    return capacity.total_cost(capacity.expected_demand(t.hospitals))
 
 
 @query(
@@ -107,13 +103,15 @@ def _scenario_cost_text(t):
 
 @query(
     "scenario_peaks",
-    """SELECT scenario_id, peak_beds, peak_icu_beds, peak_overflow_pct, peak_beds > beds_available AS beds_exceeded,
-       peak_icu_beds > icu_beds_available AS icu_exceeded, CASE WHEN peak_overflow_pct > 50 THEN 'high'
-       WHEN peak_overflow_pct > 20 THEN 'moderate' ELSE 'safe' END AS overflow_band
-       FROM (SELECT scenario_id, max(beds_mean) AS peak_beds, max(icu_beds_mean) AS peak_icu_beds,
-                    max(beds_overflow_pct) AS peak_overflow_pct FROM weekly GROUP BY 1)
+    f"""SELECT scenario_id, peak_beds, peak_icu_beds, weeks_over_pct, peak_beds > beds_available AS beds_exceeded,
+       peak_icu_beds > icu_beds_available AS icu_exceeded, CASE WHEN weeks_over_pct > 50 THEN 'high'
+       WHEN weeks_over_pct > 20 THEN 'moderate' ELSE 'safe' END AS overflow_band
+       FROM (SELECT scenario_id, {half_up("max(beds)", 1)} AS peak_beds, {half_up("max(icu_beds)", 1)} AS peak_icu_beds,
+                    {half_up("avg(CASE WHEN beds > beds_available THEN 1 ELSE 0 END) * 100", 1)} AS weeks_over_pct
+             FROM (SELECT scenario_id, beds_available, {_EXPECTED}
+                   FROM (SELECT *, {_ADMISSIONS} FROM hospitals, range(8) AS w(week))) GROUP BY 1)
        JOIN hospitals USING (scenario_id)""",
     "hospitals",
 )
 def _scenario_peaks(t):
-    return capacity.peaks(capacity.weekly_summary(capacity.draw_demand(t.hospitals)), t.hospitals)
+    return capacity.peaks(capacity.expected_demand(t.hospitals))

@@ -28,14 +28,6 @@ def half_up(expression: str, places: int) -> str:
     return f"CAST(round(CAST(round({expression}, 8) AS DECIMAL(28, 8)), {places}) AS DOUBLE) + 0.0"
 
 
-def _demand_measures(column: str) -> str:
-    share = f"avg(CASE WHEN {column} > {column}_available THEN 1 ELSE 0 END) * 100"
-    return f"""{half_up(f"avg({column})", 1)} AS {column}_mean,
-         {half_up(f"quantile_cont({column}, 0.05)", 1)} AS {column}_p5,
-         {half_up(f"quantile_cont({column}, 0.95)", 1)} AS {column}_p95,
-         {half_up(share, 1)} AS {column}_overflow_pct"""
-
-
 CTES = {
     "hosp": """
 hosp_weekly AS (
@@ -191,32 +183,6 @@ hospitals AS (
          CAST(10 * (s_suppkey % 40 + 1) AS BIGINT) AS beds_available,
          CAST(s_suppkey % 40 + 1 AS BIGINT) AS icu_beds_available,
          {_SCENARIO_FIELDS} FROM supplier
-), keyed AS (
-  SELECT *, md5('42|' || scenario_id || '|' || week || '|' || draw) AS h
-  FROM hospitals, range(8) AS w(week), range(1000) AS d(draw)
-), uniforms AS (
-  SELECT *, ((a >> 30) + CAST(0.5 AS DOUBLE)) / 1073741824 AS u0, ((a & 1073741823) + CAST(0.5 AS DOUBLE)) / 1073741824 AS u1,
-         ((b >> 30) + CAST(0.5 AS DOUBLE)) / 1073741824 AS u2, ((b & 1073741823) + CAST(0.5 AS DOUBLE)) / 1073741824 AS u3
-  FROM (SELECT *, CAST('0x' || substr(h, 1, 15) AS BIGINT) AS a, CAST('0x' || substr(h, 16, 15) AS BIGINT) AS b FROM keyed)
-), noise AS (
-  SELECT *, exp(CAST(0.15 AS DOUBLE) * sqrt(-2 * ln(u0)) * cos(2 * pi() * u1)) AS case_noise,
-         1 + CAST(0.1 AS DOUBLE) * sqrt(-2 * ln(u0)) * sin(2 * pi() * u1) AS hospital_noise,
-         1 + CAST(0.15 AS DOUBLE) * sqrt(-2 * ln(u2)) * cos(2 * pi() * u3) AS icu_noise
-  FROM uniforms
-), admitted AS (
-  SELECT *, greatest(0, current_rate * (1 + (surge_multiplier - 1) * least(1, week / CAST(4 AS DOUBLE))) * case_noise
-                        * (population / CAST(100000 AS DOUBLE)) * (hospitalization_pct / 100 * hospital_noise))
-           AS admissions FROM noise
-), occupied AS (
-  SELECT *, admissions * least(avg_los_days / 7, CAST(1.5 AS DOUBLE)) AS beds,
-         greatest(0, admissions * (icu_pct / 100 * icu_noise)) * least(icu_los_days / 7, CAST(2 AS DOUBLE))
-           AS icu_beds FROM admitted
-), drawn AS (
-  SELECT *, beds * cost_per_bed_day * 7 + icu_beds * cost_per_icu_day * 7 AS cost FROM occupied
-), weekly AS (
-  SELECT scenario_id, CAST(week AS INTEGER) AS week,
-         {_demand_measures("beds")}, {_demand_measures("icu_beds")}
-  FROM drawn GROUP BY 1, 2
 )"""
 
 

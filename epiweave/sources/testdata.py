@@ -188,7 +188,7 @@ def scenarios(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def hospitals(spark: SparkSession, folder: str) -> DataFrame:
-    """One capacity scenario per supplier, for the draw-based queries."""
+    """One capacity scenario per supplier, for the cost and peak queries."""
     return table(spark, folder, "supplier").selectExpr(
         "s_suppkey AS scenario_id",
         "100000 * (s_suppkey % 40 + 1) AS population",
