@@ -34,15 +34,16 @@ def where_equal(df: DataFrame, **values) -> DataFrame:
     return df
 
 
-def newest_dates(df: DataFrame, date: str, rows: int) -> DataFrame:
+def newest_dates(df: DataFrame, date: str, rows: int, per_date: DataFrame | None = None) -> DataFrame:
     """Rows of the newest dates that together hold at least ``rows`` rows.
 
-    The oldest date needed comes from the row counts per date, which read only
-    the filter columns. On a table stored by date the scan of the rows is then
+    The oldest date needed comes from the row counts per date (date, n): those given,
+    or else counted here, which reads only the filter columns. On a table stored by date the scan of the rows is then
     cut to those dates, and a following top-n merges candidates of a few dates
     instead of n from every task of the whole table.
     """
-    per_date = df.groupBy(date).agg(F.count("*").alias("n"))
+    if per_date is None:
+        per_date = df.groupBy(date).agg(F.count("*").alias("n"))
     # One row per date, so the running total is small.
     running = F.sum("n").over(Window.orderBy(F.col(date).desc()))
     enough = per_date.select(date, running.alias("total")).filter(F.col("total") >= rows)

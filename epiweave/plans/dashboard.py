@@ -10,10 +10,14 @@ from epiweave.operators.snapshot import latest
 from epiweave.schemas import HIGH_LABELS
 
 
-def dashboard_summary(ari: DataFrame, hosp: DataFrame, pos: DataFrame, ww: DataFrame | None = None) -> DataFrame:
+def dashboard_summary(
+    ari: DataFrame, hosp: DataFrame, pos: DataFrame, ww: DataFrame | None = None, history: DataFrame | None = None
+) -> DataFrame:
     """One row of scalar subqueries; without wastewater data its fields are null.
 
     Figures of one snapshot come from one subquery, so each snapshot is read once.
+    Given ``history`` (all weeks of ``ari``) for the places ever tracked, the other frames
+    may be cut to their newest date.
     """
     spark = ari.sparkSession
     # Negated counts sort the largest first, then by label.
@@ -41,7 +45,7 @@ def dashboard_summary(ari: DataFrame, hosp: DataFrame, pos: DataFrame, ww: DataF
         hosp.agg(F.max("week_ending_date")).scalar().alias("latest_hospitalization"),
         pos.agg(F.max("week_end")).scalar().alias("latest_positivity_date"),
         positivity.scalar().alias("latest_positivity"),
-        ari.agg(F.count_distinct("geography")).scalar().alias("total_states_tracked"),
+        (ari if history is None else history).agg(F.count_distinct("geography")).scalar().alias("total_states_tracked"),
         wastewater.alias("ww"),
     )
     return row.withColumns(

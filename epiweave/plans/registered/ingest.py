@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epiweave.plans import refresh
+from epiweave.operators import aggregates, snapshot
+from epiweave.plans import refresh, stored
 from epiweave.plans.registered.snapshots import HOSP_COLUMNS
 from epiweave.plans.registry import Sources, query, tidied, work_folder
 from epiweave.schemas import TABLES
@@ -221,7 +222,7 @@ def _as_landing(df: DataFrame, table: str, sequence: Column) -> DataFrame:
     return df.select(*(F.col(c).cast("string").alias(c) for c in raw), sequence.cast("long").alias("_seq"))
 
 
-def _stage_landing(t: Sources, folder: str) -> None:
+def stage_landing(t: Sources, folder: str) -> None:
     last = F.when(F.col("rate_type") == "Estimated", 1).otherwise(0)
     zero = F.lit(0)
     for table, df, sequence in (
@@ -248,8 +249,53 @@ def _stage_landing(t: Sources, folder: str) -> None:
 )
 def _refresh_counts(t):
     folder = work_folder(t, "refresh")
-    _stage_landing(t, f"{folder}/landing")
+    stage_landing(t, f"{folder}/landing")
     tables.declare_tables(t.spark, f"{folder}/tables")
     if not refresh.refresh_all(t.spark, f"{folder}/landing", f"{folder}/tables", as_of="2001-12-01"):
         raise RuntimeError("refresh failed")
     return refresh.table_counts(t.spark, f"{folder}/tables")
+
+
+@query(
+    "quarantined",
+    """SELECT 'percent_test_positivity missing or unreadable' AS reject_reason, count(*) AS n,
+         CAST(min(event_id) AS BIGINT) AS first_seq, CAST(max(event_id) AS BIGINT) AS last_seq FROM events WHERE value > 50
+       HAVING count(*) > 0""",
+)
+def _quarantined(t):
+    # Large values arrive as unreadable text.
+    folder = work_folder(t, "quarantined")
+    tables.declare_tables(t.spark, folder, ("test_positivity",))
+    unreadable = F.when(F.col("value") > 50, "n/a").otherwise(F.col("value").cast("string"))
+    raw = raw_positivity(t.table("events").withColumn("value", unreadable))
+    refresh.load_batch(t.spark, folder, "test_positivity", raw)
+    kept = t.spark.read.parquet(refresh.rejected_path(folder, "test_positivity"))
+    return kept.groupBy("reject_reason").agg(
+        F.count("*").alias("n"), F.min("_seq").alias("first_seq"), F.max("_seq").alias("last_seq")
+    )
+
+
+def _stored(t: Sources, purpose: str, name: str, df: DataFrame) -> str:
+    """Folder of a table that holds the given rows."""
+    folder = work_folder(t, purpose)
+    tables.declare_tables(t.spark, folder, (name,))
+    tables.upsert(t.spark, folder, name, df.withColumn("_seq", F.lit(0).cast("long")))
+    return folder
+
+
+@query("stored_latest", "SELECT label, count(*) AS count FROM ari_latest GROUP BY 1", "ari")
+def _stored_latest(t):
+    folder = _stored(t, "latest", "ari_activity", t.ari)
+    return aggregates.risk_distribution(stored.newest(t.spark, folder, "ari_activity"))
+
+
+@query(
+    "stored_recent",
+    """SELECT week_end, pathogen, round(percent_test_positivity, 8) + 0.0 AS percent_test_positivity FROM pos
+       ORDER BY week_end DESC, pathogen LIMIT 200""",
+    "pos",
+)
+def _stored_recent(t):
+    folder = _stored(t, "recent", "test_positivity", t.pos)
+    rows = stored.newest_rows(t.spark, folder, "test_positivity", 200)
+    return tidied(snapshot.positivity(rows), "percent_test_positivity")

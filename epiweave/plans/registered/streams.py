@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epiweave.plans.registered.aggregations import DASHBOARD_SQL, flat_dashboard
-from epiweave.plans.registered.ingest import raw_positivity
+from epiweave.plans import stored
+from epiweave.plans.registered.ingest import raw_positivity, stage_landing
 from epiweave.plans.registry import Sources, query, work_folder
 from epiweave.sources import tables
 from epiweave.streaming import refresh as streaming
@@ -56,3 +57,24 @@ def _stream_summary(t):
     raw = raw_positivity(_event_stream(t))
     streaming.stream_summary(raw, "test_positivity", folder, f"{folder}/checkpoint").awaitTermination()
     return flat_dashboard(t.spark.read.parquet(f"{folder}/dashboard_summary"))
+
+
+@query(
+    "stream_refresh",
+    """SELECT 'ari_activity' AS table_name, CAST(count(*) AS BIGINT) AS row_count, max(week_end) AS newest FROM ari UNION ALL
+       SELECT 'hospitalization_rates', count(*), max(week_ending_date) FROM (SELECT DISTINCT surveillance_network,
+         week_ending_date, age_group, sex, race_ethnicity, site FROM hosp) UNION ALL
+       SELECT 'test_positivity', count(*), max(week_end) FROM pos UNION ALL
+       SELECT 'wastewater_sites', count(*), max(date_end) FROM ww""",
+    "ari",
+    "hosp",
+    "pos",
+    "ww",
+)
+def _stream_refresh(t):
+    folder = work_folder(t, "stream-all")
+    stage_landing(t, f"{folder}/landing")
+    tables.declare_tables(t.spark, f"{folder}/tables")
+    for running in streaming.stream_all(t.spark, f"{folder}/landing", f"{folder}/tables", f"{folder}/checkpoints"):
+        running.awaitTermination()
+    return stored.calendar_totals(t.spark, f"{folder}/tables")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark import StorageLevel
@@ -11,13 +12,17 @@ from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from epiweave.schemas import TABLES, Table
-from epiweave.session import shared_dir
+from epiweave.session import materialise, shared_dir
 
 
 def table_path(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/{name}"
 
 
+def calendar_path(root: str, name: str) -> str:
+    return f"{root.rstrip('/')}/calendar/{name}"
+
+
 def _stored_schema(table: Table) -> StructType:
     return StructType([*table.schema.fields, StructField("_seq", LongType())])
 
@@ -28,6 +33,7 @@ def declare_tables(spark: SparkSession, root: str, names: tuple[str, ...] = tupl
         table = TABLES[name]
         empty = spark.createDataFrame([], _stored_schema(table))
         empty.write.mode("ignore").partitionBy(table.partition).parquet(table_path(root, name))
+        _write_calendar(_count_dates(read_stored(spark, root, name), table), table, root, "ignore")
 
 
 def read_stored(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -39,6 +45,38 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return read_stored(spark, root, name).select(*TABLES[name].schema.names)
 
 
+def _calendar_schema(table: Table) -> StructType:
+    return StructType([table.schema[table.partition], StructField("n", LongType()), StructField("version", LongType())])
+
+
+def read_calendar(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """Rows per date of a table: (its partition column, n).
+
+    Every load appends the counts of the dates it wrote, in one small file, so finding the
+    newest dates reads no rows of the table. They are written after the rows: between
+    the two the calendar is as old as the load before.
+    """
+    table = TABLES[name]
+    counts = spark.read.schema(_calendar_schema(table)).parquet(calendar_path(root, name))
+    return counts.groupBy(table.partition).agg(F.max_by("n", "version").alias("n"))
+
+
+def compact_calendar(spark: SparkSession, root: str, name: str) -> None:
+    """Put the calendar's files together; for tables loaded many times a day."""
+    table = TABLES[name]
+    counts = materialise(read_calendar(spark, root, name))
+    _write_calendar(counts, table, root, "overwrite")
+
+
+def _write_calendar(counts: DataFrame, table: Table, root: str, mode: str) -> None:
+    versioned = counts.select(table.partition, "n", F.lit(time.time_ns()).alias("version"))
+    versioned.coalesce(1).write.mode(mode).parquet(calendar_path(root, table.name))
+
+
+def _count_dates(rows: DataFrame, table: Table) -> DataFrame:
+    return rows.groupBy(table.partition).agg(F.count("*").alias("n"))
+
+
 def keep_last(df: DataFrame, keys: tuple[str, ...] | list[str], *newest_first: Column) -> DataFrame:
     """One row per key: the first in the given order.
 
@@ -89,6 +127,7 @@ def upsert(spark: SparkSession, root: str, name: str, batch: DataFrame, by_seque
         batch.unpersist()
     try:
         _write_partitions(staged, table, table_path(root, name))
+        _write_calendar(_count_dates(staged, table), table, root, "append")
     finally:
         _drop_folder(spark, folder)
 
@@ -130,6 +169,7 @@ def replace_snapshot(spark: SparkSession, root: str, name: str, batch: DataFrame
         if rows.isEmpty():
             return False
         _write_partitions(rows, table, table_path(root, name), mode="static")
+        _write_calendar(_count_dates(rows, table), table, root, "overwrite")
         return True
     finally:
         _drop_folder(spark, folder)

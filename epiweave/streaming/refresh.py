@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from epiweave.plans.dashboard import dashboard_summary
-from epiweave.schemas import TABLES
 from epiweave.plans.refresh import rejected_path
+from epiweave.plans.stored import stored_summary
+from epiweave.schemas import LANDING_TABLES, TABLES
 from epiweave.sources.landing import CLEANERS, accepted, rejected
-from epiweave.sources.tables import read_table, upsert
+from epiweave.sources.tables import replace_snapshot, upsert
 
 
 def landing_stream(spark: SparkSession, landing: str, name: str, files_per_batch: int | None = None) -> DataFrame:
@@ -34,14 +34,19 @@ def stream_upsert(
     """Clean and merge every micro-batch; the highest ``_seq`` of a key wins.
 
     The merge gives the same table when a batch is replayed or arrives out of
-    order, and so do the refused records, which each batch keeps under ``rejected``. Without an interval the query takes what is there and stops.
+    order, and so do the refused records, which each batch keeps under ``rejected``. A
+    wastewater batch is a whole snapshot and replaces the table. Without an interval the
+    query takes what is there and stops.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         cleaned = CLEANERS[name](batch)
         rejected(cleaned).write.mode("overwrite").parquet(f"{rejected_path(root, name)}/batch={batch_id}")
-        upsert(session, root, name, accepted(cleaned), by_sequence=True)
+        if name == "wastewater_sites":
+            replace_snapshot(session, root, name, accepted(cleaned))
+        else:
+            upsert(session, root, name, accepted(cleaned), by_sequence=True)
         if after_batch is not None:
             after_batch(session)
 
@@ -51,11 +56,19 @@ def stream_upsert(
 
 def refresh_summary(spark: SparkSession, root: str) -> None:
     """Recompute the one-row summary from the tables as they are now."""
-    tables = (read_table(spark, root, n) for n in ("ari_activity", "hospitalization_rates", "test_positivity"))
-    summary = dashboard_summary(*tables, read_table(spark, root, "wastewater_sites"))
-    summary.write.mode("overwrite").parquet(f"{root.rstrip('/')}/dashboard_summary")
+    stored_summary(spark, root).write.mode("overwrite").parquet(f"{root.rstrip('/')}/dashboard_summary")
 
 
 def stream_summary(raw: DataFrame, name: str, root: str, checkpoint: str, interval: str | None = None):
     """Merge every micro-batch, then refresh the summary."""
     return stream_upsert(raw, name, root, checkpoint, interval, lambda session: refresh_summary(session, root))
+
+
+def stream_all(
+    spark: SparkSession, landing: str, root: str, checkpoints: str, interval: str | None = None
+) -> list[StreamingQuery]:
+    """A stream for each landing folder; wait for or stop the queries returned."""
+    return [
+        stream_upsert(landing_stream(spark, landing, name), name, root, f"{checkpoints.rstrip('/')}/{name}", interval)
+        for name in LANDING_TABLES
+    ]

@@ -6,6 +6,7 @@ import random
 from conftest import rows
 from pyspark.sql import functions as F
 
+from epiweave.plans import stored as stored_reads
 from epiweave.schemas import LANDING_TABLES, TABLES
 from epiweave.sources import tables
 
@@ -144,3 +145,31 @@ def test_statements_and_queries_with_parameters(spark, tmp_path):
 
 def test_landing_tables_are_declared():
     assert set(LANDING_TABLES) < set(TABLES)
+
+
+def test_calendar_follows_loads_and_prunes_reads(spark, tmp_path):
+    root = str(tmp_path)
+    tables.declare_tables(spark, root, ("ari_activity",))
+    assert stored_reads.newest(spark, root, "ari_activity").count() == 0
+    schema = tables._stored_schema(TABLES["ari_activity"])
+
+    def load(rows):
+        frame = [(dt.date.fromisoformat(d), place, "High", None, i) for i, (d, place) in enumerate(rows)]
+        tables.upsert(spark, root, "ari_activity", spark.createDataFrame(frame, schema))
+
+    def calendar():
+        return {str(d): n for d, n in tables.read_calendar(spark, root, "ari_activity").collect()}
+
+    load([("2024-01-06", "Ohio"), ("2024-01-13", "Ohio"), ("2024-01-13", "Iowa")])
+    load([("2024-01-06", "Iowa"), ("2024-01-06", "Ohio"), ("2023-12-30", "Ohio")])
+    want = {"2023-12-30": 1, "2024-01-06": 2, "2024-01-13": 2}
+    assert calendar() == want
+    tables.compact_calendar(spark, root, "ari_activity")
+    assert calendar() == want
+    newest = stored_reads.newest(spark, root, "ari_activity")
+    assert {r.geography for r in newest.collect()} == {"Ohio", "Iowa"}
+    assert stored_reads.newest(spark, root, "ari_activity", days=7).count() == 4
+    assert stored_reads.newest_rows(spark, root, "ari_activity", 3).count() == 4
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line and "geography" in line]
+    assert scans and all("PartitionFilters: []" not in line for line in scans)
