@@ -7,8 +7,9 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from epiweave.functions.scalars import round_to
 from epiweave.operators import features, forecasting
-from epiweave.plans.registry import Sources, half_up, query, tidied, weekly_series, work_folder
+from epiweave.plans.registry import CTES, Sources, half_up, query, tidied, weekly_series, work_folder
 from epiweave.session import materialise, shared_dir
 from epiweave.sources import tables
 
@@ -145,3 +146,56 @@ def _holdout_error(t):
     # The naive forecast, last week's rate, measured on the same hold-out.
     samples = features.time_split(features.tabular_samples(weekly_series(t)))
     return tidied(forecasting.holdout_metrics(samples, "target", "lag_1"), "mae")
+
+
+CTES["given"] = f"""
+given AS (
+  SELECT virus, date AS target_date, {half_up("rate", 2)} AS p, {half_up("rate", 2)} - 1 AS l, {half_up("rate", 2)} + 1 AS u
+  FROM series
+)"""
+
+
+def _given(t: Sources) -> tuple[DataFrame, DataFrame]:
+    """Observed weeks in place of both predictions, those of the second a week later."""
+    rate = round_to("rate", 2)
+    first = weekly_series(t).select(
+        "virus",
+        F.col("date").alias("target_date"),
+        rate.alias("predicted_rate"),
+        (rate - 1).alias("lower_bound"),
+        (rate + 1).alias("upper_bound"),
+    )
+    return first, first.withColumn("target_date", F.date_add("target_date", 7))
+
+
+def _side(prefix: str, table: str) -> str:
+    names = (("p", "predicted_rate"), ("l", "lower_bound"), ("u", "upper_bound"))
+    return ", ".join(f"round({table}.{c}, 8) + 0.0 AS {prefix}_{name}" for c, name in names)
+
+
+@query(
+    "compare_given",
+    f"""SELECT coalesce(g.virus, d.virus) AS virus, coalesce(g.target_date, d.target_date) AS target_date,
+         {_side("gbt", "g")}, {_side("direct", "d")}
+       FROM (SELECT virus, target_date, p, l, u FROM given) g
+       FULL JOIN (SELECT virus, target_date + 7 AS target_date, p, l, u FROM given) d
+       ON g.virus = d.virus AND g.target_date = d.target_date""",
+    "hosp",
+    "given",
+)
+def _compare_given(t):
+    sides = [f"{s}_{v}" for s in ("gbt", "direct") for v in ("predicted_rate", "lower_bound", "upper_bound")]
+    return tidied(forecasting.compare_forecasts(*_given(t)), *sides)
+
+
+@query(
+    "stacked_given",
+    f"""SELECT virus, date, {half_up("rate", 2)} AS rate, 'actual' AS source FROM wow WHERE back <= 8
+       UNION ALL SELECT virus, target_date, p, 'gbt' FROM given
+       UNION ALL SELECT virus, target_date + 7, p, 'direct' FROM given""",
+    "hosp",
+    "wow",
+    "given",
+)
+def _stacked_given(t):
+    return forecasting.stacked(weekly_series(t), *_given(t))
