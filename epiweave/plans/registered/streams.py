@@ -56,7 +56,7 @@ def _stream_summary(t):
         tables.upsert(t.spark, folder, name, df.withColumn("_seq", zero))
     raw = raw_positivity(_event_stream(t))
     streaming.stream_summary(raw, "test_positivity", folder, f"{folder}/checkpoint").awaitTermination()
-    return flat_dashboard(t.spark.read.parquet(f"{folder}/dashboard_summary"))
+    return flat_dashboard(streaming.read_summary(t.spark, folder))
 
 
 @query(

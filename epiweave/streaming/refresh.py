@@ -6,7 +6,10 @@ no watermark: a correction of an old week must still land.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from epiweave.plans.refresh import rejected_path
@@ -55,8 +58,18 @@ def stream_upsert(
 
 
 def refresh_summary(spark: SparkSession, root: str) -> None:
-    """Recompute the one-row summary from the tables as they are now."""
-    stored_summary(spark, root).write.mode("overwrite").parquet(f"{root.rstrip('/')}/dashboard_summary")
+    """Recompute the one-row summary from the tables as they are now.
+
+    It is appended under a version, so that readers find a whole summary at any time; folders
+    of old versions may be removed.
+    """
+    stored_summary(spark, root).write.parquet(f"{root.rstrip('/')}/dashboard_summary/version={time.time_ns()}")
+
+
+def read_summary(spark: SparkSession, root: str) -> DataFrame:
+    """The latest summary."""
+    versions = spark.read.parquet(f"{root.rstrip('/')}/dashboard_summary")
+    return versions.filter(F.col("version") == versions.agg(F.max("version")).scalar()).drop("version")
 
 
 def stream_summary(raw: DataFrame, name: str, root: str, checkpoint: str, interval: str | None = None):

@@ -107,7 +107,27 @@ def test_streamed_summary_equals_the_batch_summary(spark, tmp_path):
     write_pages(folder, "test_positivity", [records(30)])
     raw = streaming.landing_stream(spark, str(folder), "test_positivity")
     streaming.stream_summary(raw, "test_positivity", root, str(tmp_path / "checkpoint")).awaitTermination()
-    streamed = spark.read.parquet(f"{root}/dashboard_summary").collect()
+    streamed = streaming.read_summary(spark, root).collect()
     batch = dashboard_summary(*(tables.read_table(spark, root, n) for n in ("ari_activity", "hospitalization_rates", "test_positivity", "wastewater_sites")))
     assert streamed == batch.collect()
     assert streamed[0].total_states_tracked == 2
+    streaming.refresh_summary(spark, root)
+    assert streaming.read_summary(spark, root).collect() == streamed
+
+
+def test_all_tables_as_streams_replace_wastewater(spark, tmp_path):
+    root, folder, checkpoints = str(tmp_path / "tables"), tmp_path / "landing", str(tmp_path / "checkpoints")
+    tables.declare_tables(spark, root)
+    other_tables(folder)
+    write_pages(folder, "test_positivity", [records(30)])
+
+    def run_all():
+        for query in streaming.stream_all(spark, str(folder), root, checkpoints):
+            query.awaitTermination()
+        return {r.table_name: r.row_count for r in refresh.table_counts(spark, root).collect()}
+
+    want = {"ari_activity": 2, "hospitalization_rates": 1, "test_positivity": len(newest(records(30))), "wastewater_sites": 2}
+    assert run_all() == want
+    site = {"wwtp_id": "2", "date_end": "2024-01-13", "county_fips": "1", "percentile": "50", "_seq": 9}
+    write_pages(folder, "wastewater_sites", [[site]])
+    assert run_all() == want | {"wastewater_sites": 1}
