@@ -1,5 +1,6 @@
 import pytest
 
+from epiweave.llm import queries
 from epiweave.llm import url_filter as U
 
 URLS = [
@@ -73,3 +74,13 @@ def test_empty_tables(spark):
     listed = spark.createDataFrame([], "url string")
     assert {(r.rule, r.verdict) for r in U.judge_urls(urls, rules, listed).collect()} == {(None, "allow")}
     assert U.judge_urls(urls.limit(0), rules, listed).count() == 0
+
+
+def test_pages_of_every_planted_label_are_listed(spark, tmp_path):
+    labels = ["spam-farm", "casino-win", "ads-track", "free-bets", "cheap-pills", "adult-x"]
+    pages = [(i, f"http://www.{label}.example.org/en/{i}", "") for i, label in enumerate([*labels, "blog", "not-adult-x"])]
+    pages += [(i + 10, f"http://{label}.example.com/x", "") for i, label in enumerate(labels)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = {r.page_id: r for r in queries.QUERIES["op2_url_filters_planted"](spark, str(tmp_path)).collect()}
+    assert {i for i, r in found.items() if r.rule is None and r.verdict == "block"} == set(range(6))
+    assert all(r.verdict == "allow" for i, r in found.items() if i >= 6)
