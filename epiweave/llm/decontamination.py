@@ -148,11 +148,11 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, simi
     documents, and the tokens around each joint hit are compared. Hashes of documents that
     no test item has are mostly dropped where they are made, by a bit map of fixed size;
     the join is exact. Items of fewer than MIN_TOKENS tokens, null or empty ones, cannot be found.
+    An item without an id goes by the key of its text, here and in the result.
     """
     small_batches(docs.sparkSession)
-    tests = items.where("item_id IS NOT NULL").select(
-        F.col("item_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text"
-    )
+    item = F.coalesce(F.col("item_id").cast("long"), text_key())
+    tests = items.select(item.alias("doc_id"), text_key().alias("text_key"), "text")
     tests = stored(seeds(tests, None, window, None))
     short = sorted(r[0] for r in tests.where(F.col("tokens") < window).select("tokens").distinct().collect())
     masks = (*MASKS, *("1" * n for n in short))  # fewer than ``window`` further ones

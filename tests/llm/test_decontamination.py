@@ -86,3 +86,12 @@ def test_null_and_repeated_ids_and_empty_tables(spark):
     assert [r.text for r in D.clean_documents(docs, items).collect()] == ["clean"]
     assert D.clean_documents(docs, items.limit(0)).count() == 4
     assert D.contamination(docs.limit(0), items).count() == 0
+
+
+def test_items_without_id_are_searched(spark):
+    passages = [" ".join(f"{a}{i}" for i in range(15)) for a in "abc"]
+    items = spark.createDataFrame([(None, passages[0]), (None, passages[1]), (7, passages[2])], "item_id long, text string")
+    texts = {1: passages[0], 2: f"{passages[1]} {passages[0]}", 3: passages[2], 4: "clean"}
+    docs = spark.createDataFrame([(i, f"x y {t} z", "", "") for i, t in texts.items()], SCHEMA)
+    assert {r.doc_id: r.n_items for r in D.contamination(docs, items).collect()} == {1: 1, 2: 2, 3: 1, 4: 0}
+    assert [r.doc_id for r in D.clean_documents(docs, items).collect()] == [4]
