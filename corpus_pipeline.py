@@ -35,7 +35,8 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
-    return decontamination.clean_documents(docs, table(spark, sf_dir.rstrip("/"), "benchmark"))
+    items = table(spark, sf_dir.rstrip("/"), "benchmark")
+    return decontamination.clean_documents(docs, items, short_similarity=decontamination.SHORT_SIMILARITY)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,9 +17,23 @@ from epiweave.llm.common import small_batches, stored, text_key
 #: 13 tokens with up to two substitutions, wherever those are (a test goes through all of them).
 MASKS = ("100110111", "111100011", "1000101111")
 WINDOW = 13
+#: The same for items of fewer tokens: each hits every run of its length with up to a fifth of the
+#: tokens (rounded down) substituted. Under 5 tokens that is none.
+SHORT_MASKS = {
+    5: ("111", "11011"),
+    6: ("1111", "110011"),
+    7: ("1111", "1110111"),
+    8: ("11111", "11100111"),
+    9: ("111111", "111000111"),
+    10: ("111011", "1101011", "1110011"),
+    11: ("1111011", "110001111", "1101100011"),
+    12: ("11101011", "11010111", "1110010011"),
+}
+#: Share of a shorter item's tokens that must agree in the registered query and the pipeline.
+SHORT_SIMILARITY = 0.8
 #: Bits of the map of test hashes that is sent to the tasks; its size does not grow with the benchmark.
 MAP_BITS = 1 << 24
-MIN_TOKENS = 5
+MIN_TOKENS = 1
 _CACHE = 1 << 18
 _TOKENS = re.compile(r"\w+")
 _SEEDS = "hash long, doc_id long, text_key long, place int, tokens int, context binary"
@@ -66,15 +80,29 @@ def contexts(tokens: np.ndarray, places: np.ndarray, window: int, outside: int)
     return padded[places[:, None] + np.arange(2 * window)]
 
 
-def masks_for(tokens: int, window: int) -> tuple[str, ...]:
-    """Items shorter than a window are searched whole, without substitutions."""
-    return MASKS if tokens >= window else ("1" * tokens,)
+def needed_tokens(tokens: int, similarity: float) -> int:
+    """How many of so many aligned tokens must agree."""
+    return int(np.ceil(similarity * tokens - 1e-9))
 
 
-def seeds(texts: DataFrame, masks: tuple[str, ...] | None, window: int, known: np.ndarray | None) -> DataFrame:
+def masks_for(tokens: int, window: int, similarity: float) -> tuple[str, ...]:
+    """Masks that find an item; one shorter than a window must agree whole in a share of ``similarity``."""
+    if tokens >= window:
+        return MASKS
+    wrong = tokens - needed_tokens(tokens, similarity)
+    if wrong and wrong <= tokens // 5 and tokens in SHORT_MASKS:
+        return SHORT_MASKS[tokens]
+    return ("1" * max(1, tokens // (wrong + 1)),)  # one of wrong + 1 parts has no substitution
+
+
+def seeds(
+    texts: DataFrame, masks_of: Callable[[int], Iterable[str]], window: int, known: np.ndarray | None,
+    once: frozenset[str] = frozenset(),
+) -> DataFrame:
     """Seed hits of (doc_id, text_key, text); ``known``: only those whose bit is set in the map.
 
-    Without ``masks`` every text gets those for its length (test items).
+    ``masks_of`` gives the masks for a text's number of tokens. Of the equal hashes of a mask
+    in ``once`` a text keeps the first.
     """
     outside = 1 if known is None else 0  # so that places beyond two ends never agree
     sent = None if known is None else texts.sparkSession.sparkContext.broadcast(known)
@@ -87,11 +115,13 @@ def seeds(texts: DataFrame, masks: tuple[str, ...] | None, window: int, known: n
                 tokens = token_hashes(text)
                 if len(tokens) < MIN_TOKENS:
                     continue
-                for mask in masks or masks_for(len(tokens), window):
+                for mask in masks_of(len(tokens)):
                     hashes = seed_hashes(tokens, mask)
                     places = np.arange(len(hashes))
                     if bits is not None:
                         places = np.flatnonzero(in_map(bits, hashes))
+                    if mask in once:
+                        places = places[np.unique(hashes[places], return_index=True)[1]]
                     if len(places):
                         near = contexts(tokens, places, window, outside)
                         doc = None if pd.isna(doc_id) else int(doc_id)
@@ -131,32 +161,52 @@ def hash_map(hashes: DataFrame) -> np.ndarray:
     return table
 
 
-def overlaps(ours: list[bytes], theirs: list[bytes], width: int, needed: int, window: int) -> np.ndarray:
-    """Whether some ``width`` aligned tokens around the hit agree in ``needed`` places at least."""
+def overlaps(
+    ours: list[bytes], theirs: list[bytes], width: int, needed: int, window: int, whole: bool = False
+) -> np.ndarray:
+    """Whether some ``width`` aligned tokens around the hit agree in ``needed`` places at least.
+
+    ``whole``: only tokens that lie inside both texts count as aligned.
+    """
     a, b = (np.frombuffer(b"".join(x), np.uint32).reshape(-1, 2 * window) for x in (ours, theirs))
-    same = np.cumsum(a == b, axis=1)
-    same = np.concatenate([np.zeros((len(a), 1), same.dtype), same], axis=1)
-    return (same[:, width:] - same[:, : 2 * window - width + 1]).max(axis=1) >= needed
+    enough = _in_runs(a == b, width) >= needed
+    if whole:
+        enough &= _in_runs((a > 1) & (b > 1), width) == width
+    return enough.any(axis=1)
+
+
+def _in_runs(marks: np.ndarray, width: int) -> np.ndarray:
+    """Number of marks in every run of ``width`` columns."""
+    total = np.cumsum(marks, axis=1)
+    total = np.concatenate([np.zeros((len(marks), 1), total.dtype), total], axis=1)
+    return total[:, width:] - total[:, : marks.shape[1] - width + 1]
 
 
-def benchmark_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, similarity: float = 0.8) -> DataFrame:
+def benchmark_hits(
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, similarity: float = 0.8, short_similarity: float = 1.0
+) -> DataFrame:
     """(doc_id, text_key, item_id) of documents that hold a passage of a test item.
 
-    A passage is a run of ``window`` aligned tokens (a shorter item: all of its tokens)
-    of which a share of ``similarity`` agrees, so words may be substituted but not
+    A passage is a run of ``window`` aligned tokens of which a share of ``similarity`` agrees
+    (a shorter item: all of its tokens, ``short_similarity``), so words may be substituted but not
     inserted. Hashes of masks that ignore some positions are joined between test items and
     documents, and the tokens around each joint hit are compared. Hashes of documents that
     no test item has are mostly dropped where they are made, by a bit map of fixed size;
-    the join is exact. Items of fewer than MIN_TOKENS tokens, null or empty ones, cannot be found.
+    the join is exact. Items without a token, null or empty ones, cannot be found.
     An item without an id goes by the key of its text, here and in the result.
     """
     small_batches(docs.sparkSession)
     item = F.coalesce(F.col("item_id").cast("long"), text_key())
     tests = items.select(item.alias("doc_id"), text_key().alias("text_key"), "text")
-    tests = stored(seeds(tests, None, window, None))
+    tests = stored(seeds(tests, lambda n: masks_for(n, window, short_similarity), window, None))
     short = sorted(r[0] for r in tests.where(F.col("tokens") < window).select("tokens").distinct().collect())
-    masks = (*MASKS, *("1" * n for n in short))  # fewer than ``window`` further ones
-    found = seeds(docs.select("doc_id", text_key().alias("text_key"), "text"), masks, window, hash_map(tests))
+    by_length = {n: masks_for(n, window, short_similarity) for n in short}  # fewer than ``window`` lengths
+    masks = tuple(dict.fromkeys([*MASKS, *(m for of in by_length.values() for m in of)]))
+    parts = {m for n, of in by_length.items() for m in of if len(m) < n}
+    # A hit of a mask that is only ever a whole item, every token counted, is the passage itself.
+    once = frozenset("1" * n for n in short) - parts
+    keyed = docs.select("doc_id", text_key().alias("text_key"), "text")
+    found = seeds(keyed, lambda _: masks, window, hash_map(tests), once)
     theirs = tests.select(
         "hash", F.col("doc_id").alias("item_id"), F.col("context").alias("item_context"),
         F.least("tokens", F.lit(window)).alias("width"),
@@ -167,21 +217,24 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, simi
         out = np.zeros(len(a), bool)
         for width in widths.unique():
             at = np.flatnonzero(widths == width)
-            needed = int(np.ceil(similarity * width - 1e-9)) if width == window else int(width)
-            out[at] = overlaps(list(a.iloc[at]), list(b.iloc[at]), int(width), needed, window)
+            needed = needed_tokens(int(width), similarity if width == window else short_similarity)
+            out[at] = overlaps(list(a.iloc[at]), list(b.iloc[at]), int(width), needed, window, bool(width < window))
         return pd.Series(out)
 
     hits = found.join(theirs, "hash").where(overlap("context", "item_context", "width"))
     return hits.select("doc_id", "text_key", "item_id").distinct()
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, similarity: float = 0.8) -> DataFrame:
+def contamination(
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, similarity: float = 0.8, short_similarity: float = 1.0
+) -> DataFrame:
     """One row per document: doc_id, text_key, n_items (test items it holds passages of), contaminated.
 
     Null and empty texts hold none; repeated rows are judged alike; an empty benchmark
     leaves every document clean.
     """
-    held = benchmark_hits(docs, items, window, similarity).groupBy("doc_id", "text_key").agg(F.count("*").alias("n"))
+    hits = benchmark_hits(docs, items, window, similarity, short_similarity)
+    held = hits.groupBy("doc_id", "text_key").agg(F.count("*").alias("n"))
     held = held.select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_key"), "n")
     keyed = docs.select("doc_id", text_key().alias("text_key"))
     same = keyed["doc_id"].eqNullSafe(held["_doc_id"]) & (keyed["text_key"] == held["_key"])
@@ -191,9 +244,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, simil
     )
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, similarity: float = 0.8) -> DataFrame:
+def clean_documents(
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, similarity: float = 0.8, short_similarity: float = 1.0
+) -> DataFrame:
     """The documents without passages of test items, with all their columns."""
-    held = benchmark_hits(docs, items, window, similarity).select("doc_id", "text_key").distinct()
+    hits = benchmark_hits(docs, items, window, similarity, short_similarity)
+    held = hits.select("doc_id", "text_key").distinct()
     held = held.select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_key"))
     same = docs["doc_id"].eqNullSafe(held["_doc_id"]) & (text_key(docs["text"]) == held["_key"])
     return docs.join(held, same, "left_anti")

@@ -119,7 +119,8 @@ def _simhash(spark: SparkSession, folder: str) -> DataFrame:
 @registered("op4_decontamination")
 def _decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    judged = decontamination.contamination(docs, table(spark, folder, "benchmark"))
+    items = table(spark, folder, "benchmark")
+    judged = decontamination.contamination(docs, items, short_similarity=decontamination.SHORT_SIMILARITY)
     return judged.select("doc_id", "contaminated", "n_items")
 
 

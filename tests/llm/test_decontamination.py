@@ -1,9 +1,11 @@
 import itertools
 import random
 
+import corpus_pipeline
 import numpy as np
 
 from epiweave.llm import decontamination as D
+from epiweave.llm import queries
 
 SCHEMA = "doc_id long, text string, hash string, tokens string"
 
@@ -95,3 +97,56 @@ def test_items_without_id_are_searched(spark):
     docs = spark.createDataFrame([(i, f"x y {t} z", "", "") for i, t in texts.items()], SCHEMA)
     assert {r.doc_id: r.n_items for r in D.contamination(docs, items).collect()} == {1: 1, 2: 2, 3: 1, 4: 0}
     assert [r.doc_id for r in D.clean_documents(docs, items).collect()] == [4]
+
+
+def test_short_masks_hit_every_run_with_a_fifth_substituted():
+    assert set(D.SHORT_MASKS) == set(range(5, 13))
+    for n, masks in D.SHORT_MASKS.items():
+        for wrong in itertools.combinations(range(n), n // 5):
+            assert any(
+                all(mask[k] == "0" or at + k not in wrong for k in range(len(mask)))
+                for mask in masks
+                for at in range(n - len(mask) + 1)
+            ), (n, wrong)
+
+
+def near(doc, item):
+    """Whether all aligned tokens of a short item but a fifth agree with a run of the document's."""
+    a, b = tokens(doc), tokens(item)
+    runs = (a[i : i + len(b)] for i in range(len(a) - len(b) + 1))
+    return any(sum(map(str.__eq__, run, b)) >= len(b) - len(b) // 5 for run in runs)
+
+
+def test_short_items_with_substitutions(spark):
+    rng = random.Random(5)
+    items = {n: " ".join(f"v{n}x{i}" for i in range(n)) for n in range(1, 13)}
+    docs = {}
+    for n, item in items.items():
+        for wrong in range(4):
+            for ends in range(4):
+                part = item.split()
+                for at in rng.sample(range(n), min(wrong, n)):
+                    part[at] = "wrong"
+                docs[len(docs)] = " ".join(["a"] * (ends % 2) + part + ["b"] * (ends // 2))
+        docs[len(docs)] = " ".join(item.split()[1:])  # a token short of the item
+        docs[len(docs)] = " ".join(item.split()[:-1])
+    docs[len(docs)] = f"{items[1]} {items[4]} z " * 500
+    wanted = {(i, n) for i, t in docs.items() for n, item in items.items() if near(t, item)}
+    frame = spark.createDataFrame([(i, t, "", "") for i, t in docs.items()], SCHEMA)
+    tests = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    hits = D.benchmark_hits(frame, tests, short_similarity=D.SHORT_SIMILARITY)
+    assert {(r.doc_id, r.item_id) for r in hits.collect()} == wanted
+    exact = {(r.doc_id, r.item_id) for r in D.benchmark_hits(frame, tests).collect()}
+    assert exact == {(i, n) for i, n in wanted if f" {items[n]} " in f" {docs[i]} "} and len(exact) < len(wanted)
+
+
+def test_query_and_pipeline_search_short_items_with_substitutions(spark, tmp_path):
+    item = "one two three four five six seven eight nine ten"
+    rows = [(1, item.replace("four", "x"), "", ""), (2, "one two x four x six x eight nine ten", "", ""), (3, "so yes", "", "")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    items = spark.createDataFrame([(1, item), (2, "Yes")], "item_id long, text string")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    judged = queries.QUERIES["op4_decontamination"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.n_items for r in judged} == {1: 1, 2: 0, 3: 1}
+    assert [r.doc_id for r in corpus_pipeline.without_benchmark(spark, docs, str(tmp_path)).collect()] == [2]
