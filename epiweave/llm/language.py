@@ -240,7 +240,6 @@ def identify_languages(docs: DataFrame) -> DataFrame:
     return docs.withColumn("language", language_column(train(training_windows(docs)), "text"))
 
 
-def identified_documents(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents whose language is determined with a score of ``least``, with their own columns."""
-    known = (F.col("language.lang_pred") != UNDETERMINED) & (F.col("language.score") >= least)
-    return identify_languages(docs).where(known).select(*docs.columns)
+def identified_documents(docs: DataFrame) -> DataFrame:
+    """The documents whose language is determined, whatever the score, with their own columns."""
+    return identify_languages(docs).where(F.col("language.lang_pred") != UNDETERMINED).select(*docs.columns)

@@ -64,3 +64,15 @@ def test_edge_cases(spark):
     assert {tuple(r.language) for r in judged if not r.text} == {("und", 0.0)}
     assert {tuple(r.language) for r in judged} == {("und", 0.0)}  # nothing to learn from
     assert G.identify_languages(docs.limit(0)).collect() == []
+
+
+def test_documents_of_low_score_stay(spark, monkeypatch):
+    network = G.Network.new(["a", "b", "c", "d"], 1)
+    for p in network.parameters():
+        p *= 0.01
+    monkeypatch.setattr(G, "train", lambda windows: network)
+    texts = ["Re.", "A short text.", "123 !?", "", None]
+    docs = spark.createDataFrame([(i, t, "a", "", "") for i, t in enumerate(texts)], SCHEMA)
+    judged = {r.doc_id: r.language for r in G.identify_languages(docs).collect()}
+    assert judged[0].score < 0.5 and judged[1].score < 0.5
+    assert {r.doc_id for r in G.identified_documents(docs).collect()} == {0, 1}
