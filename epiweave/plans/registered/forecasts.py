@@ -112,6 +112,23 @@ def _stored_forecasts(t):
     return stored.select("virus", "forecast_date", "target_date", "geography", "model_version")
 
 
+@query(
+    "stored_forecasts_models",
+    """SELECT virus, max(date) AS forecast_date, CAST(date + 7 * step AS DATE) AS target_date, 'All' AS geography,
+         model_version FROM indexed, (VALUES (1), (2), (3), (4)) AS s(step), (VALUES ('gbt'), ('direct')) AS m(model_version)
+       WHERE points >= 30 AND idx = points - 1 GROUP BY 1, 3, 5""",
+    "hosp",
+)
+def _stored_forecasts_models(t):
+    # Both models of the same series, each stored twice.
+    folder = work_folder(t, "forecasts_models")
+    tables.declare_tables(t.spark, folder, ("forecasts",))
+    for found in _forecasts(t, weekly_series(t)) * 2:
+        tables.append_results(t.spark, folder, "forecasts", found)
+    stored = tables.read_table(t.spark, folder, "forecasts")
+    return stored.select("virus", "forecast_date", "target_date", "geography", "model_version")
+
+
 @query("importances")
 def _importances(t):
     return forecasting.importances(_trained(t, "gbt").model, t.spark)

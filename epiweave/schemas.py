@@ -110,7 +110,7 @@ TABLES: dict[str, Table] = {
                 upper_bound=REAL,
                 model_version=TEXT,
             ),
-            ("forecast_date", "target_date", "geography", "virus"),
+            ("forecast_date", "target_date", "geography", "virus", "model_version"),
             "forecast_date",
         ),
         Table(

@@ -173,3 +173,12 @@ def test_calendar_follows_loads_and_prunes_reads(spark, tmp_path):
     plan = newest._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.splitlines() if "FileScan" in line and "geography" in line]
     assert scans and all("PartitionFilters: []" not in line for line in scans)
+
+
+def test_forecasts_of_two_models_are_kept_side_by_side(spark, root):
+    tables.declare_tables(spark, root, ("forecasts",))
+    for model, rate in (("gbt", 1.0), ("direct", 2.0), ("gbt", 3.0)):
+        row = (WEEKS[0], WEEKS[1], "All", "RSV-NET", rate, 0.5, 3.5, model)
+        tables.append_results(spark, root, "forecasts", spark.createDataFrame([row], TABLES["forecasts"].schema))
+    stored = tables.read_table(spark, root, "forecasts")
+    assert rows(stored, "model_version", "predicted_rate") == [("direct", 2.0), ("gbt", 3.0)]
