@@ -1,4 +1,8 @@
-"""Removal of long byte strings that occur more than once, by a depth-limited radix sort of suffixes."""
+"""Removal of long byte strings that occur more than once, by grouping hashes at content-chosen anchors.
+
+No suffix is sorted and no pass takes leading bytes. A most-significant-digit sort of all suffixes
+would write a row of 16 bytes for every byte of text.
+"""
 
 from __future__ import annotations
 
@@ -29,7 +33,7 @@ class Digits:
     Every suffix has an anchor in its first ``length`` bytes: the place of the least
     ``sample``-byte hash among them, taken modulo ``stride`` as a distance from the suffix. Equal
     strings have equal anchors, and the ``core`` bytes from the anchor on lie inside every
-    suffix of that anchor. They are the first digit; one row per anchor stands for all its suffixes.
+    suffix of that anchor. Their hash is grouped first; one row per anchor stands for all its suffixes.
     """
 
     def __init__(self, length: int):
@@ -217,7 +221,7 @@ def _removed(df: DataFrame, path: str) -> None:
 
 
 def _digit_pass(rows: DataFrame, more: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Suffix ranges known to be repeated, and those of which the next digit must tell.
+    """Suffix ranges known to be repeated, and those of which the next pass must tell.
 
     A core that occurs once ends all its suffixes. In a group whose full contexts are all equal,
     all suffixes are repeated. In the others, contexts held twice are repeated as well; one of
@@ -248,9 +252,10 @@ def _digit_pass(rows: DataFrame, more: list[str]) -> tuple[DataFrame, DataFrame]
 def repeated_suffixes(docs: DataFrame, length: int) -> DataFrame:
     """(doc_id, text_key, first, last): ranges of suffixes whose first ``length`` bytes start elsewhere too.
 
-    Most-significant-digit passes: the first groups anchors, one row for some 60 suffixes; the
-    second, in the groups the first leaves open, CELL suffixes at a time; the last groups what
-    is still open suffix by suffix, by all its ``length`` bytes. Groups are counted and never gathered.
+    Three passes of grouping by hashes: the first groups anchors, one row for some 60 suffixes, by
+    the hash of their core; the second, in the groups the first leaves open, CELL suffixes at a
+    time; the last groups what is still open suffix by suffix, by two 64-bit hashes of all its
+    ``length`` bytes. Bytes are not compared. Groups are counted and never gathered.
     """
     d = Digits(length)
     small_batches(docs.sparkSession)
