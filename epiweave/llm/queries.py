@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epiweave.llm import (
+    context_tree,
     decontamination,
     fingerprints,
     language,
@@ -187,3 +188,8 @@ def _mixing(spark: SparkSession, folder: str) -> DataFrame:
 @registered("op10_fingerprints")
 def _fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, folder, "documents"))
+
+
+@registered("op13_lm_scores")
+def _lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return context_tree.lm_scores(table(spark, folder, "documents").select("doc_id", "text")).drop("text_key")
