@@ -20,6 +20,7 @@ from epiweave.llm import (
     token_counts,
     toxicity,
     url_filter,
+    variants,
 )
 from epiweave.llm.common import ship_package
 from epiweave.sources.testdata import table
@@ -190,6 +191,11 @@ def _fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, folder, "documents"))
 
 
+@registered("op12_spelling_variants")
+def _spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @registered("op13_lm_scores")
 def _lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     return context_tree.lm_scores(table(spark, folder, "documents").select("doc_id", "text")).drop("text_key")
