@@ -21,6 +21,8 @@ from epiweave.session import shared_dir
 
 #: Bytes of text after which a chunk is full; a longer text is a chunk of its own.
 CHUNK_BYTES = 16 << 20
+#: Bytes of rows that are worked on at once, unless one row has more.
+PIECE_BYTES = 4 << 20
 
 
 @contextmanager
@@ -70,7 +72,9 @@ class Packer:
         of_key = [("pos", pa.int32()), ("key", self.key), ("n", pa.int64())]
         return pa.schema([("chunk", pa.int64()), *of_key, *self.fields])
 
-    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(
+        self, batches: Iterator[pa.RecordBatch], chunk_bytes: int, piece_bytes: int
+    ) -> Iterator[pa.RecordBatch]:
         task, made, filled = TaskContext.get().partitionId(), 0, 0
         schema = self.schema()
 
@@ -87,10 +91,8 @@ class Packer:
                 yield rows(len(part), {"pos": pos, "key": part, "n": n[at : at + len(part)]})
 
         self.start()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if filled and filled + self.size(batch) > CHUNK_BYTES:
+        for batch in (piece for whole in batches for piece in _pieces(whole, piece_bytes)):
+            if filled and filled + self.size(batch) > chunk_bytes:
                 yield from close()
                 self.start()
                 made, filled = made + 1, 0
@@ -100,12 +102,22 @@ class Packer:
         yield from close()
 
 
+def _pieces(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    if batch.num_rows > 1 and batch.nbytes > most:
+        half = batch.num_rows // 2
+        yield from _pieces(batch.slice(0, half), most)
+        yield from _pieces(batch.slice(half), most)
+    elif batch.num_rows:
+        yield batch
+
+
 def packed(docs: DataFrame, packer: Callable[[], Packer], schema: str) -> DataFrame:
     """Rows of documents (pos null) and of the keys their chunk needs (pos, key, n), told apart by ``pos``.
 
     Must be written before it is read twice: chunks are numbered as the rows are read.
     """
-    return docs.mapInArrow(lambda batches: packer().run(batches), f"chunk long, pos int, {schema}")
+    sizes = (CHUNK_BYTES, PIECE_BYTES)
+    return docs.mapInArrow(lambda batches: packer().run(batches, *sizes), f"chunk long, pos int, {schema}")
 
 
 def looked_up(

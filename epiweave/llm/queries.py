@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epiweave.llm import (
+    alignment,
     context_tree,
     decontamination,
     fingerprints,
@@ -43,6 +44,9 @@ LISTED_LABELS = ["spam-farm", "casino-win"]
 PLANTED_LABELS = [*LISTED_LABELS, "ads-track", "free-bets", "cheap-pills", "adult-x"]
 #: Where the vocabulary of the token counts lies on the driver.
 VOCABULARY = os.environ.get("EPIWEAVE_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
+#: Where the two tokenizers of the alignment lie on the driver.
+BYTE_TOKENIZER = os.environ.get("EPIWEAVE_BYTE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+PIECE_TOKENIZER = os.environ.get("EPIWEAVE_PIECE_TOKENIZER", "/opt/tokenizers/piece_bpe_32k.model")
 _UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
@@ -191,6 +195,13 @@ def _fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, folder, "documents"))
 
 
+@registered("op11_alignment")
+def _alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    aligned = alignment.align(docs, BYTE_TOKENIZER, PIECE_TOKENIZER, digest=True)
+    return aligned.drop("text_key").withColumnRenamed("groups", "groups_sha256")
+
+
 @registered("op12_spelling_variants")
 def _spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return variants.spelling_variants(table(spark, folder, "documents").select("doc_id", "text"))
