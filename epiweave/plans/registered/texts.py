@@ -35,9 +35,8 @@ def _route_questions(t):
 
 @query("route_questions_join", "SELECT question_id, geography, route FROM routed", "questions", "ari", "routed")
 def _route_questions_join(t):
-    # The texts are matched as a table of their own, spread over tasks beforehand.
-    asked = t.questions.repartition("question_id")
-    return questions.route_questions(asked, _places(t)).select("question_id", "geography", "route")
+    # As with more names than a pattern holds: pieces of the texts are joined with the names.
+    return questions.route_questions(t.questions, _places(t), 0).select("question_id", "geography", "route")
 
 
 @query(

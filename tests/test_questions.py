@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import time
 
 import pytest
 from conftest import rows
@@ -127,3 +128,41 @@ def test_no_rows_lost(spark):
     texts = [f"question {i}" for i in range(200)]
     got = questions.route_questions(asked(spark, *texts), places(spark, "X Y Z"))
     assert rows(got, "question_id") == [(i,) for i in range(200)]
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_both_ways_find_the_same(spark, most):
+    rng = random.Random(5)
+    names = sorted({"".join(rng.choice("abA .(+é") for _ in range(rng.randrange(1, 5))) for _ in range(60)})
+    names = [n for n in names if n.strip()][:50] + ["a" * 300, "\U0001f600 b"]
+    texts = ["".join(rng.choice("abA .(+é\n\U0001f600") for _ in range(rng.randrange(40))) for _ in range(200)]
+    texts += ["b" * 200 + "a" * 300 + "b", "", None, "\U0001f600 B"]
+    got = questions.match_geography(asked(spark, *texts), places(spark, *names), most)
+    for r in got.collect():
+        hits = [n for n in names if r.question is not None and n.lower() in r.question.lower()]
+        best = min(hits, key=lambda n: (-len(n), n.lower(), n)) if hits else None
+        assert r.geography == best, r.question
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_text_of_a_megabyte(spark, most):
+    text = "no place here " * 75_000 + "in new york"
+    start = time.monotonic()
+    row = questions.match_geography(asked(spark, text, "x"), places(spark, "York", "New York", "Iowa"), most).collect()
+    assert {r.question_id: r.geography for r in row} == {0: "New York", 1: None}
+    assert time.monotonic() - start < 30
+
+
+def test_nothing_made_from_the_texts_is_broadcast(spark):
+    texts = asked(spark, *(f"question {i} in ohio" for i in range(500)))
+    found = questions.match_geography(texts, places(spark, "Ohio", "Iowa"))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    sides = [part.split("BroadcastExchange", 1)[1] for part in plan.split("\n+- == Initial Plan")[:1] if "BroadcastExchange" in part]
+    assert all("question" not in side for side in sides)
+    assert "Generate" not in plan and "BuildLeft" not in plan
+
+
+def test_trie_shares_beginnings():
+    assert questions.trie_pattern(["iowa", "idaho", "i"]) == "i(?:owa|daho)?"
+    assert questions.trie_pattern([]) == "(?!)"
