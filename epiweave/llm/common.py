@@ -88,14 +88,21 @@ def byte_words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_decision(docs: DataFrame, decision: DataFrame, columns: list[str], how: str = "left") -> DataFrame:
     """Rows of ``docs`` with columns of a decision keyed by (doc_id, text_key), each key at most once.
 
     Ids may be null or repeat. The decision's columns replace none of the documents'.
     """
-    keyed = decision.select(
-        F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key"), *columns
-    )
-    same = docs["doc_id"].eqNullSafe(keyed["_doc_id"]) & (text_key(docs["text"]) == keyed["_text_key"])
+    names = (unused(docs, "_doc_id"), unused(docs, "_text_key"))
+    keyed = decision.select(F.col("doc_id").alias(names[0]), F.col("text_key").alias(names[1]), *columns)
+    same = docs["doc_id"].eqNullSafe(keyed[names[0]]) & (text_key(docs["text"]) == keyed[names[1]])
     joined = docs.join(keyed, same, how)
-    return joined if how == "left_semi" else joined.drop("_doc_id", "_text_key")
+    return joined if how == "left_semi" else joined.drop(*names)

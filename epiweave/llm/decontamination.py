@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,9 @@ MAP_BITS = 1 << 24
 MIN_TOKENS = 1
 _CACHE = 1 << 18
 _TOKENS = re.compile(r"\w+")
+_SEED_TYPES = {
+    "hash": pa.int64(), "doc_id": pa.int64(), "text_key": pa.int64(), "place": pa.int32(), "tokens": pa.int32(), "context": pa.binary(),
+}
 _SEEDS = "hash long, doc_id long, text_key long, place int, tokens int, context binary"
 
 
@@ -107,11 +111,12 @@ def seeds(
     outside = 1 if known is None else 0  # so that places beyond two ends never agree
     sent = None if known is None else texts.sparkSession.sparkContext.broadcast(known)
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if sent is None else sent.value
         for batch in batches:
             found: list[tuple] = []
-            for doc_id, key, text in zip(batch["doc_id"], batch["text_key"], batch["text"], strict=True):
+            columns = (batch.column(name).to_pylist() for name in ("doc_id", "text_key", "text"))
+            for doc_id, key, text in zip(*columns, strict=True):
                 tokens = token_hashes(text)
                 if len(tokens) < MIN_TOKENS:
                     continue
@@ -124,16 +129,15 @@ def seeds(
                         places = places[np.unique(hashes[places], return_index=True)[1]]
                     if len(places):
                         near = contexts(tokens, places, window, outside)
-                        doc = None if pd.isna(doc_id) else int(doc_id)
                         found += [
-                            (h, doc, key, place, len(tokens), row.tobytes())
-                            for h, place, row in zip(hashes[places].view(np.int64), places, near, strict=True)
+                            (h, doc_id, key, place, len(tokens), row.tobytes())
+                            for h, place, row in zip(hashes[places].view(np.int64).tolist(), places.tolist(), near, strict=True)
                         ]
             if found:
-                frame = pd.DataFrame(found, columns=["hash", "doc_id", "text_key", "place", "tokens", "context"])
-                yield frame.astype({"doc_id": "Int64", "place": "int32", "tokens": "int32"})
+                arrays = zip(zip(*found, strict=True), _SEED_TYPES.items(), strict=True)
+                yield pa.RecordBatch.from_pydict({name: pa.array(values, kind) for values, (name, kind) in arrays})
 
-    return texts.mapInPandas(find, _SEEDS)
+    return texts.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(find, _SEEDS)
 
 
 def in_map(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -183,7 +187,7 @@ def _in_runs(marks: np.ndarray, width: int) -> np.ndarray:
 
 
 def benchmark_hits(
-    docs: DataFrame, items: DataFrame, window: int = WINDOW, similarity: float = 0.8, short_similarity: float = 1.0
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, similarity: float = 0.8, short_similarity: float = SHORT_SIMILARITY
 ) -> DataFrame:
     """(doc_id, text_key, item_id) of documents that hold a passage of a test item.
 
@@ -226,7 +230,7 @@ def benchmark_hits(
 
 
 def contamination(
-    docs: DataFrame, items: DataFrame, window: int = WINDOW, similarity: float = 0.8, short_similarity: float = 1.0
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, similarity: float = 0.8, short_similarity: float = SHORT_SIMILARITY
 ) -> DataFrame:
     """One row per document: doc_id, text_key, n_items (test items it holds passages of), contaminated.
 
@@ -245,7 +249,7 @@ def contamination(
 
 
 def clean_documents(
-    docs: DataFrame, items: DataFrame, window: int = WINDOW, similarity: float = 0.8, short_similarity: float = 1.0
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, similarity: float = 0.8, short_similarity: float = SHORT_SIMILARITY
 ) -> DataFrame:
     """The documents without passages of test items, with all their columns."""
     hits = benchmark_hits(docs, items, window, similarity, short_similarity)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from epiweave.llm.common import small_batches, text_key
+from epiweave.llm.common import small_batches, text_key, unused
 
 UNDETERMINED = "und"
 HIDDEN = 8
@@ -228,8 +228,8 @@ def language_column(network: Network | None, text: str) -> Column:
     return predict(F.col(text))
 
 
-def identify_languages(docs: DataFrame) -> DataFrame:
-    """The documents with ``language`` (lang_pred, score) beside their own columns.
+def identify_languages(docs: DataFrame, name: str = "language") -> DataFrame:
+    """The documents with ``language`` (lang_pred, score) beside their own columns; one of that ``name`` is replaced.
 
     The network is trained from the text and lang of documents that are not held out; lang,
     source and doc_id are no inputs of a prediction. Null texts and texts without a letter are
@@ -237,9 +237,10 @@ def identify_languages(docs: DataFrame) -> DataFrame:
     rows are judged alike.
     """
     small_batches(docs.sparkSession)
-    return docs.withColumn("language", language_column(train(training_windows(docs)), "text"))
+    return docs.withColumn(name, language_column(train(training_windows(docs)), "text"))
 
 
 def identified_documents(docs: DataFrame) -> DataFrame:
     """The documents whose language is determined, whatever the score, with their own columns."""
-    return identify_languages(docs).where(F.col("language.lang_pred") != UNDETERMINED).select(*docs.columns)
+    name = unused(docs, "_language")
+    return identify_languages(docs, name).where(F.col(f"{name}.lang_pred") != UNDETERMINED).drop(name)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epiweave.llm.common import SPACE_CHARS, ascii_lower, small_batches, stored, text_key, text_or_empty, with_decision
+from epiweave.llm.common import SPACE_CHARS, ascii_lower, small_batches, stored, text_key, text_or_empty, unused, with_decision
 
 DROPPED, OPEN, EVIDENCE = 0, 1, 2
 _MARKS = "h1 long, h2 long, doc_id long, text_key long, pos int, kind int"
@@ -188,7 +188,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     ``min_docs`` documents lose all their lines except in the document with the largest
     doc_id. Documents are told apart by doc_id: repeated rows of one id hold a line
     together, rows without an id count as one document smaller than all others. A null
-    or empty text is one empty line. An empty table gives no rows.
+    or empty text is one empty line. An empty table gives no rows. A column of the documents
+    that is itself named ``deduped`` is replaced; all others stay.
     """
 
     @F.pandas_udf("text string, n_lines long, n_dropped long")
@@ -198,5 +199,6 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
 
     bitmaps = keep_bitmaps(docs, min_chars, min_docs)
     small_batches(docs.sparkSession)
-    marked = with_decision(docs, bitmaps, [F.col("bitmap").alias("_bitmap")])
-    return marked.withColumn("deduped", applied("text", "_bitmap")).drop("_bitmap")
+    bitmap = unused(docs, "_bitmap")
+    marked = with_decision(docs, bitmaps, [F.col("bitmap").alias(bitmap)])
+    return marked.withColumn("deduped", applied("text", bitmap)).drop(bitmap)

@@ -89,8 +89,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3,
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3, seed: int = 9) -> DataFrame:
-    """The documents the mix takes, with all their columns and how many ``copies`` of each."""
-    taken = mix(docs, weights, epochs, seed).where("copies > 0").select(
+    """The documents the mix takes words of, with all their columns and how many ``copies`` of each.
+
+    Documents without a word are not taken. A column of the documents that is itself named ``copies`` is replaced.
+    """
+    taken = mix(docs, weights, epochs, seed).where("taken > 0").select(
         F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key"), F.col("source").alias("_source"), "copies"
     )
     taken = taken.distinct()
@@ -99,4 +102,4 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epoch
         & (text_key(docs["text"]) == taken["_text_key"])
         & docs["source"].eqNullSafe(taken["_source"])
     )
-    return docs.join(taken, same).select(*(docs[c] for c in docs.columns), "copies")
+    return docs.join(taken, same).select(*(docs[c] for c in docs.columns if c.lower() != "copies"), taken["copies"])

@@ -39,9 +39,7 @@ URL_RULES = [
     ("net", "/fr/", "block"),
 ]
 # Host labels whose pages the url query lists as blocked.
-LISTED_LABELS = ["spam-farm", "casino-win"]
-# All host labels whose pages are planted as ones to block.
-PLANTED_LABELS = [*LISTED_LABELS, "ads-track", "free-bets", "cheap-pills", "adult-x"]
+LISTED_LABELS = ["spam-farm", "casino-win", "ads-track", "free-bets", "cheap-pills", "adult-x"]
 #: Where the vocabulary of the token counts lies on the driver.
 VOCABULARY = os.environ.get("EPIWEAVE_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
 #: Where the two tokenizers of the alignment lie on the driver.
@@ -96,22 +94,10 @@ SELECT page_id, host, path, rule,
 FROM fitting WHERE place = 1""",
 )
 def _url_filters(spark: SparkSession, folder: str) -> DataFrame:
-    return _judged_pages(spark, folder, LISTED_LABELS)
-
-
-@registered(
-    "op2_url_filters_planted",
-    ORACLE["op2_url_filters"].replace("|".join(LISTED_LABELS), "|".join(PLANTED_LABELS)),
-)
-def _url_filters_planted(spark: SparkSession, folder: str) -> DataFrame:
-    return _judged_pages(spark, folder, PLANTED_LABELS)
-
-
-def _judged_pages(spark: SparkSession, folder: str, labels: list[str]) -> DataFrame:
     """The pages by the rules and a list of the pages that have one of the labels in their host."""
     pages = table(spark, folder, "pages").select("page_id", "url")
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
-    bad = url_filter.host_of("url").rlike(rf"(^|\.)({'|'.join(labels)})\.")
+    bad = url_filter.host_of("url").rlike(rf"(^|\.)({'|'.join(LISTED_LABELS)})\.")
     judged = url_filter.judge_urls(pages, rules, pages.where(bad).select("url"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
@@ -126,7 +112,7 @@ def _simhash(spark: SparkSession, folder: str) -> DataFrame:
 def _decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     items = table(spark, folder, "benchmark")
-    judged = decontamination.contamination(docs, items, short_similarity=decontamination.SHORT_SIMILARITY)
+    judged = decontamination.contamination(docs, items)
     return judged.select("doc_id", "contaminated", "n_items")
 
 

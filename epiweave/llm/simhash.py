@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epiweave.llm.common import byte_words, small_batches, stored, text_key, with_decision
+from epiweave.llm.common import byte_words, small_batches, stored, text_key, unused, with_decision
 from epiweave.llm.components import connected_components
 
 SEED = 42
@@ -144,4 +144,5 @@ def one_of_each_group(docs: DataFrame, length: int = 3, distance: int = 3) -> Da
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     kept = grouped.groupBy("label").agg(F.min(first).alias("k")).select("k.doc_id", "k.text_key")
     staying = with_decision(docs, kept, [], "left_semi")
-    return staying.withColumn("_key", text_key()).dropDuplicates(["doc_id", "_key"]).drop("_key")
+    key = unused(docs, "_key")
+    return staying.withColumn(key, text_key()).dropDuplicates(["doc_id", key]).drop(key)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epiweave.llm.common import freeing_shuffles, small_batches, stored, text_key, with_decision
+from epiweave.llm.common import freeing_shuffles, small_batches, stored, text_key, unused, with_decision
 from epiweave.session import shared_dir
 
 #: Suffixes handled at once; bounds the memory a very long text takes.
@@ -294,11 +294,13 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     also starts anywhere else in the input, the same document included, is removed; the kept bytes
     may therefore end inside a character. Texts shorter than that lose nothing. Repeated rows
     are documents of their own, so they lose all they have in common. An empty table gives no rows.
+    A column of the documents that is itself named ``cut`` is replaced; all others stay.
     """
+    spans_of = unused(docs, "_ranges")
     ranges = (
         repeated_suffixes(docs, length)
         .groupBy("doc_id", "text_key")
-        .agg(F.collect_set(F.struct("first", "last")).alias("_ranges"))
+        .agg(F.collect_set(F.struct("first", "last")).alias(spans_of))
     )
 
     @F.pandas_udf("kept binary, n_bytes long, n_removed long, n_spans long")
@@ -315,5 +317,5 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
             out.append((kept, len(text), len(text) - len(kept), runs))
         return pd.DataFrame(out, columns=["kept", "n_bytes", "n_removed", "n_spans"])
 
-    marked = with_decision(docs, ranges, ["_ranges"])
-    return marked.withColumn("cut", cut(F.col("text").cast("binary"), "_ranges")).drop("_ranges")
+    marked = with_decision(docs, ranges, [spans_of])
+    return marked.withColumn("cut", cut(F.col("text").cast("binary"), spans_of)).drop(spans_of)

@@ -164,6 +164,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, categories: list[str], r
 def toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents with ``toxicity``, a struct of one probability per category, beside their own columns.
 
+    A column of the documents that is itself named ``toxicity`` is replaced.
+
     Every whole text is read. Null and empty texts hold no words and get what the models give
     those; with no labelled documents at all every probability is that of no information.
     Repeated rows are judged alike.

@@ -59,13 +59,13 @@ def test_equals_brute_force(spark):
     docs, items = corpus()
     frame = spark.createDataFrame([(i, t, "x", "y") for i, t in docs.items()], SCHEMA).repartition(4)
     tests = spark.createDataFrame(list(items.items()), "item_id long, text string")
-    got = {(r.doc_id, r.item_id) for r in D.benchmark_hits(frame, tests).collect()}
+    got = {(r.doc_id, r.item_id) for r in D.benchmark_hits(frame, tests, short_similarity=1.0).collect()}
     wanted = brute({i: t for i, t in docs.items() if i != 104}, items)
     assert got == wanted
     held = {i for i, _ in wanted}
-    rows = D.contamination(frame, tests).collect()
+    rows = D.contamination(frame, tests, short_similarity=1.0).collect()
     assert {r.doc_id: r.contaminated for r in rows} == {i: i in held for i in docs}
-    clean = D.clean_documents(frame, tests)
+    clean = D.clean_documents(frame, tests, short_similarity=1.0)
     assert clean.columns == frame.columns and {r.doc_id for r in clean.collect()} == set(docs) - held
 
 
@@ -76,7 +76,7 @@ def test_overfull_map_changes_nothing(spark, monkeypatch):
     tests = spark.createDataFrame(list(items.items()), "item_id long, text string")
     full = np.full(D.MAP_BITS // 64, 2**64 - 1, np.uint64)
     monkeypatch.setattr(D, "hash_map", lambda _: full)
-    assert {(r.doc_id, r.item_id) for r in D.benchmark_hits(frame, tests).collect()} == brute(docs, items)
+    assert {(r.doc_id, r.item_id) for r in D.benchmark_hits(frame, tests, short_similarity=1.0).collect()} == brute(docs, items)
 
 
 def test_null_and_repeated_ids_and_empty_tables(spark):
@@ -136,7 +136,7 @@ def test_short_items_with_substitutions(spark):
     tests = spark.createDataFrame(list(items.items()), "item_id long, text string")
     hits = D.benchmark_hits(frame, tests, short_similarity=D.SHORT_SIMILARITY)
     assert {(r.doc_id, r.item_id) for r in hits.collect()} == wanted
-    exact = {(r.doc_id, r.item_id) for r in D.benchmark_hits(frame, tests).collect()}
+    exact = {(r.doc_id, r.item_id) for r in D.benchmark_hits(frame, tests, short_similarity=1.0).collect()}
     assert exact == {(i, n) for i, n in wanted if f" {items[n]} " in f" {docs[i]} "} and len(exact) < len(wanted)
 
 
