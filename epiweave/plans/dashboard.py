@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epiweave.operators.aggregates import risk_distribution, wastewater_summary
@@ -35,10 +35,6 @@ def dashboard_summary(
     kind = "struct<sites:bigint,counties:bigint,avg_percentile:double,latest_date:date,readings:bigint>"
     wastewater = F.lit(None).cast(kind) if ww is None else wastewater_summary(ww).select(F.struct("*")).scalar()
 
-    def high_states() -> Column:
-        high = F.filter("risk_distribution", lambda e: e["label"].isin(*HIGH_LABELS))
-        return F.aggregate(high, F.lit(0).cast("long"), lambda total, e: total + e["count"])
-
     row = spark.range(1).select(
         F.coalesce(risks.scalar(), F.array()).alias("risk_distribution"),
         ari.agg(F.max("week_end")).scalar().alias("latest_ari"),
@@ -48,9 +44,15 @@ def dashboard_summary(
         (ari if history is None else history).agg(F.count_distinct("geography")).scalar().alias("total_states_tracked"),
         wastewater.alias("ww"),
     )
+    return headline(row)
+
+
+def headline(row: DataFrame) -> DataFrame:
+    """The summary's columns from its lists and dates and the struct ``ww`` of wastewater figures."""
+    high = F.filter("risk_distribution", lambda e: e["label"].isin(*HIGH_LABELS))
     return row.withColumns(
         {
-            "high_risk_states": high_states(),
+            "high_risk_states": F.aggregate(high, F.lit(0).cast("long"), lambda total, e: total + e["count"]),
             "wastewater_sites": F.col("ww.sites"),
             "wastewater_counties": F.col("ww.counties"),
             "wastewater_avg_percentile": F.col("ww.avg_percentile"),

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epiweave.plans.registered.aggregations import DASHBOARD_SQL, flat_dashboard
-from epiweave.plans import stored
+from epiweave.plans import states, stored
 from epiweave.plans.registered.ingest import raw_positivity, stage_landing
 from epiweave.plans.registry import Sources, query, work_folder
 from epiweave.sources import tables
@@ -59,6 +61,29 @@ def _stream_summary(t):
     return flat_dashboard(streaming.read_summary(t.spark, folder))
 
 
+@query("stream_states", DASHBOARD_SQL, "ari", "hosp", "streamed", "ww")
+def _stream_states(t):
+    # Three batches of records of all dates: each corrects the weeks of the ones before.
+    folder = work_folder(t, "states")
+    tables.declare_tables(t.spark, folder)
+    zero = F.lit(0).cast("long")
+    states.declare_states(t.spark, folder)
+    for name, df in (("ari_activity", t.ari), ("hospitalization_rates", t.hosp)):
+        tables.upsert(
+            t.spark, folder, name, df.withColumn("_seq", zero), after_write=partial(states.write_states, folder, name)
+        )
+    whole = partial(states.write_states, folder, "wastewater_sites", whole=True)
+    tables.replace_snapshot(t.spark, folder, "wastewater_sites", t.ww.withColumn("_seq", zero), after_write=whole)
+    events = t.table("events")
+    for i in range(3):
+        events.filter(F.col("event_id") % 3 == i).coalesce(1).write.mode("append").parquet(f"{folder}/events")
+    stream = t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
+    streaming.stream_summary(
+        raw_positivity(stream), "test_positivity", folder, f"{folder}/checkpoint"
+    ).awaitTermination()
+    return flat_dashboard(streaming.read_summary(t.spark, folder))
+
+
 @query(
     "stream_refresh",
     """SELECT 'ari_activity' AS table_name, CAST(count(*) AS BIGINT) AS row_count, max(week_end) AS newest FROM ari UNION ALL

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -104,9 +105,18 @@ def merge_latest(
     return keep_last(tagged, keys, *order).drop("_incoming")
 
 
-def upsert(spark: SparkSession, root: str, name: str, batch: DataFrame, by_sequence: bool = False) -> None:
+def upsert(
+    spark: SparkSession,
+    root: str,
+    name: str,
+    batch: DataFrame,
+    by_sequence: bool = False,
+    after_write: Callable[[DataFrame], None] | None = None,
+) -> None:
     """Merge a batch into a table, rewriting only the partitions it touches.
 
+    ``after_write`` is given all rows of the dates that were written.
+
     The merged rows go to a staging table in the shared folder first: a plan must
     not read and overwrite the same files, and a lost executor then costs a
     retry of the copy, not of the merge.
@@ -128,6 +138,8 @@ def upsert(spark: SparkSession, root: str, name: str, batch: DataFrame, by_seque
     try:
         _write_partitions(staged, table, table_path(root, name))
         _write_calendar(_count_dates(staged, table), table, root, "append")
+        if after_write is not None:
+            after_write(staged)
     finally:
         _drop_folder(spark, folder)
 
@@ -156,8 +168,14 @@ def _write_partitions(df: DataFrame, table: Table, path: str, mode: str = "dynam
     )
 
 
-def replace_snapshot(spark: SparkSession, root: str, name: str, batch: DataFrame) -> bool:
-    """Replace the whole table by the batch, last record per key.
+def replace_snapshot(
+    spark: SparkSession,
+    root: str,
+    name: str,
+    batch: DataFrame,
+    after_write: Callable[[DataFrame], None] | None = None,
+) -> bool:
+    """Replace the whole table by the batch, last record per key; ``after_write`` is given its rows.
 
     An empty batch leaves the table alone and returns False. The batch is staged
     first: a bad record must fail before the old rows are gone.
@@ -170,6 +188,8 @@ def replace_snapshot(spark: SparkSession, root: str, name: str, batch: DataFrame
             return False
         _write_partitions(rows, table, table_path(root, name), mode="static")
         _write_calendar(_count_dates(rows, table), table, root, "overwrite")
+        if after_write is not None:
+            after_write(rows)
         return True
     finally:
         _drop_folder(spark, folder)
