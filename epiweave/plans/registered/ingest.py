@@ -299,3 +299,46 @@ def _stored_recent(t):
     folder = _stored(t, "recent", "test_positivity", t.pos)
     rows = stored.newest_rows(t.spark, folder, "test_positivity", 200)
     return tidied(snapshot.positivity(rows), "percent_test_positivity")
+
+
+def _indexed(t: Sources, purpose: str, name: str, df: DataFrame, column: str, since: str, text: bool = False) -> str:
+    """Folder of a table with an indexed column: rows before a date stored first, the others by a later load."""
+    date = F.col(TABLES[name].partition)
+    folder = _stored(t, purpose, name, df.filter(date < since))
+    tables.declare_lookup(t.spark, folder, name, column, text)
+    tables.upsert(t.spark, folder, name, df.filter(date >= since).withColumn("_seq", F.lit(1).cast("long")))
+    return folder
+
+
+@query(
+    "stored_county",
+    """SELECT date_end, percentile, ptc_15d, round(detect_prop_15d, 8) + 0.0 AS detect_prop_15d, population_served,
+              county_names, wwtp_jurisdiction FROM ww WHERE county_fips = '00013'""",
+    "ww",
+)
+def _stored_county(t):
+    folder = _indexed(t, "county", "wastewater_sites", t.ww, "county_fips", "1997-01-01")
+    return tidied(stored.stored_county(t.spark, folder, "00013"), "detect_prop_15d")
+
+
+@query(
+    "stored_like",
+    """SELECT wwtp_id, date_end, county_names, percentile FROM ww WHERE county_names LIKE '%unty_1_%'""",
+    "ww",
+)
+def _stored_like(t):
+    folder = _indexed(t, "like", "wastewater_sites", t.ww, "county_names", "1997-01-01", text=True)
+    rows = stored.rows_like(t.spark, folder, "wastewater_sites", "county_names", "unty_1_")
+    return rows.select("wwtp_id", "date_end", "county_names", "percentile")
+
+
+@query(
+    "stored_history",
+    """SELECT * FROM (SELECT week_end, geography, label,
+         CAST(row_number() OVER (PARTITION BY geography ORDER BY week_end DESC) AS INTEGER) AS weeks_back FROM ari)
+       WHERE weeks_back <= 12""",
+    "ari",
+)
+def _stored_history(t):
+    folder = _indexed(t, "history", "ari_activity", t.ari, "geography", "1997-01-01")
+    return stored.stored_history(t.spark, folder, weeks=12)

@@ -7,10 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from epiweave.operators import snapshot
 from epiweave.operators.snapshot import newest_dates
 from epiweave.plans.dashboard import dashboard_summary
 from epiweave.schemas import LANDING_TABLES, TABLES
-from epiweave.sources.tables import read_calendar, read_table
+from epiweave.sources import value_index
+from epiweave.sources.tables import read_calendar, read_table, read_versions
 
 
 def newest(spark: SparkSession, root: str, name: str, days: int = 0) -> DataFrame:
@@ -30,6 +32,36 @@ def newest_rows(spark: SparkSession, root: str, name: str, rows: int) -> DataFra
     return newest_dates(read_table(spark, root, name), date, rows, read_calendar(spark, root, name))
 
 
+def rows_of_value(spark: SparkSession, root: str, name: str, column: str, value: str) -> DataFrame:
+    """Rows that hold a value in an indexed column (``declare_lookup``); only its dates are opened."""
+    days = value_index.days_of_value(spark, root, name, column, value)
+    rows = value_index.on_days(read_table(spark, root, name), TABLES[name].partition, days)
+    return rows.filter(F.col(column) == value)
+
+
+def rows_like(spark: SparkSession, root: str, name: str, column: str, part: str) -> DataFrame:
+    """Rows whose indexed column holds a LIKE fragment, wildcards kept; only the dates of such values are opened."""
+    days = value_index.days_like(spark, root, name, column, part)
+    rows = value_index.on_days(read_table(spark, root, name), TABLES[name].partition, days)
+    return rows.filter(F.col(column).like(f"%{part}%"))
+
+
+def last_rows(spark: SparkSession, root: str, name: str, column: str, rows: int) -> DataFrame:
+    """Rows of the dates that hold the newest ``rows`` rows of each value of an indexed column."""
+    days = value_index.days_of_last_rows(spark, root, name, column, rows, read_versions(spark, root, name))
+    return value_index.on_days(read_table(spark, root, name), TABLES[name].partition, days)
+
+
+def stored_county(spark: SparkSession, root: str, fips: str) -> DataFrame:
+    """Readings of one county over all dates, from its own dates only."""
+    return snapshot.wastewater_county(rows_of_value(spark, root, "wastewater_sites", "county_fips", fips), fips)
+
+
+def stored_history(spark: SparkSession, root: str, weeks: int = 52) -> DataFrame:
+    """The last ``weeks`` weeks of each place; dates on which no place needs one stay closed."""
+    return snapshot.ari_history(last_rows(spark, root, "ari_activity", "geography", weeks), weeks=weeks)
+
+
 def stored_summary(spark: SparkSession, root: str) -> DataFrame:
     """The dashboard summary from the newest date of each table; only places are read over all weeks."""
     return dashboard_summary(*(newest(spark, root, n) for n in LANDING_TABLES), read_table(spark, root, "ari_activity"))

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from epiweave.schemas import TABLES, Table
 from epiweave.session import materialise, shared_dir
+from epiweave.sources import value_index
 
 
 def table_path(root: str, name: str) -> str:
@@ -34,7 +35,7 @@ def declare_tables(spark: SparkSession, root: str, names: tuple[str, ...] = tupl
         table = TABLES[name]
         empty = spark.createDataFrame([], _stored_schema(table))
         empty.write.mode("ignore").partitionBy(table.partition).parquet(table_path(root, name))
-        _write_calendar(_count_dates(read_stored(spark, root, name), table), table, root, "ignore")
+        _write_calendar(_count_dates(read_stored(spark, root, name), table), table, root, "ignore", time.time_ns())
 
 
 def read_stored(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -57,21 +58,35 @@ def read_calendar(spark: SparkSession, root: str, name: str) -> DataFrame:
     newest dates reads no rows of the table. They are written after the rows: between
     the two the calendar is as old as the load before.
     """
+    return read_versions(spark, root, name).drop("version")
+
+
+def read_versions(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The calendar with the version of the load that last wrote each date."""
     table = TABLES[name]
     counts = spark.read.schema(_calendar_schema(table)).parquet(calendar_path(root, name))
-    return counts.groupBy(table.partition).agg(F.max_by("n", "version").alias("n"))
+    return counts.groupBy(table.partition).agg(F.max_by("n", "version").alias("n"), F.max("version").alias("version"))
 
 
 def compact_calendar(spark: SparkSession, root: str, name: str) -> None:
     """Put the calendar's files together; for tables loaded many times a day."""
     table = TABLES[name]
-    counts = materialise(read_calendar(spark, root, name))
+    counts = materialise(read_versions(spark, root, name))
     _write_calendar(counts, table, root, "overwrite")
 
 
-def _write_calendar(counts: DataFrame, table: Table, root: str, mode: str) -> None:
-    versioned = counts.select(table.partition, "n", F.lit(time.time_ns()).alias("version"))
-    versioned.coalesce(1).write.mode(mode).parquet(calendar_path(root, table.name))
+def _write_calendar(counts: DataFrame, table: Table, root: str, mode: str, version: int | None = None) -> None:
+    stamp = F.col("version") if version is None else F.lit(version).alias("version")
+    counts.select(table.partition, "n", stamp).coalesce(1).write.mode(mode).parquet(calendar_path(root, table.name))
+
+
+def declare_lookup(spark: SparkSession, root: str, name: str, column: str, text: bool = False) -> None:
+    """Index a column from now on, with the rows stored so far; ``text`` also serves LIKE look-ups.
+
+    Files of later loads are ordered by the table's indexed columns within each date.
+    """
+    rows = read_stored(spark, root, name)
+    value_index.declare_index(spark, root, name, column, rows, read_versions(spark, root, name), text)
 
 
 def _count_dates(rows: DataFrame, table: Table) -> DataFrame:
@@ -136,8 +151,10 @@ def upsert(
     finally:
         batch.unpersist()
     try:
-        _write_partitions(staged, table, table_path(root, name))
-        _write_calendar(_count_dates(staged, table), table, root, "append")
+        version = time.time_ns()
+        value_index.record_values(spark, root, name, staged, version)
+        _write_partitions(staged, table, root)
+        _write_calendar(_count_dates(staged, table), table, root, "append", version)
         if after_write is not None:
             after_write(staged)
     finally:
@@ -157,14 +174,21 @@ def _drop_folder(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def _write_partitions(df: DataFrame, table: Table, path: str, mode: str = "dynamic") -> None:
-    # Rebalancing keeps files large and splits a week that holds far more rows than others.
+def _write_partitions(df: DataFrame, table: Table, root: str, mode: str = "dynamic") -> None:
+    columns = value_index.indexed_columns(df.sparkSession, root, table.name)
+    if columns:
+        # Files of a date hold ranges of the indexed values, and row groups tell them apart; the key
+        # splits a value that holds far more rows than others.
+        order = dict.fromkeys([table.partition, *columns, *table.key])
+        laid_out = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    else:
+        # Rebalancing keeps files large and splits a week that holds far more rows than others.
+        laid_out = df.hint("rebalance", table.partition)
     (
-        df.hint("rebalance", table.partition)
-        .write.mode("overwrite")
+        laid_out.write.mode("overwrite")
         .option("partitionOverwriteMode", mode)
         .partitionBy(table.partition)
-        .parquet(path)
+        .parquet(table_path(root, table.name))
     )
 
 
@@ -186,8 +210,10 @@ def replace_snapshot(
     try:
         if rows.isEmpty():
             return False
-        _write_partitions(rows, table, table_path(root, name), mode="static")
-        _write_calendar(_count_dates(rows, table), table, root, "overwrite")
+        version = time.time_ns()
+        value_index.record_values(spark, root, name, rows, version)
+        _write_partitions(rows, table, root, mode="static")
+        _write_calendar(_count_dates(rows, table), table, root, "overwrite", version)
         if after_write is not None:
             after_write(rows)
         return True

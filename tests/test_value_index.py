@@ -1,0 +1,189 @@
+"""Look-ups on indexed columns against plain filters, the dates they open, and loads that die."""
+
+import datetime as dt
+import glob
+import os
+import random
+
+import pyarrow.parquet as pq
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+
+from epiweave.operators import snapshot
+from epiweave.plans import stored
+from epiweave.schemas import TABLES
+from epiweave.sources import tables, value_index
+
+FIRST = dt.date(2024, 1, 6)
+
+
+def day(week):
+    return FIRST + dt.timedelta(weeks=week)
+
+
+def activity(spark, *records, seq=0):
+    data = [(day(w), place, label, "1", seq) for w, place, label in records]
+    return spark.createDataFrame(data, tables._stored_schema(TABLES["ari_activity"]))
+
+
+def sites(spark, *records):
+    data = [
+        ("Ohio", plant, county, fips, 10, day(w), day(w), 1.0, 2.0, 3.0, "no", None, i)
+        for i, (w, plant, county, fips) in enumerate(records)
+    ]
+    return spark.createDataFrame(data, tables._stored_schema(TABLES["wastewater_sites"]))
+
+
+def opened(df):
+    """Dates whose files the scan of the table had to list, from its own figures."""
+    df.collect()
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        if "QueryStageExec" in node.getClass().getSimpleName():
+            todo.append(node.plan())
+            continue
+        if node.getClass().getSimpleName() == "FileSourceScanExec":
+            found.append(node.metrics().apply("numFiles").value())
+        children = node.children()
+        todo.extend(children.apply(i) for i in range(children.size()))
+    return sum(found)
+
+
+def all_files(root, name):
+    return glob.glob(f"{tables.table_path(root, name)}/*/*.parquet")
+
+
+def history(spark, root, weeks):
+    return rows(stored.stored_history(spark, root, weeks), "geography", "week_end", "label", "weeks_back")
+
+
+def whole_history(spark, root, weeks):
+    table = tables.read_table(spark, root, "ari_activity")
+    return rows(snapshot.ari_history(table, weeks=weeks), "geography", "week_end", "label", "weeks_back")
+
+
+def test_look_up_opens_the_dates_of_its_value(spark, root):
+    tables.declare_tables(spark, root, ("wastewater_sites",))
+    first = [(w, f"p{w}", "Adams", "1") for w in range(6)] + [(2, "q", "Brown", "2")]
+    tables.upsert(spark, root, "wastewater_sites", sites(spark, *first))
+    tables.declare_lookup(spark, root, "wastewater_sites", "county_fips")
+    tables.upsert(spark, root, "wastewater_sites", sites(spark, (5, "q", "Brown", "2"), (7, "r", None, None)))
+    got = stored.stored_county(spark, root, "2")
+    assert rows(got, "date_end", "county_names") == [(day(2), "Brown"), (day(5), "Brown")]
+    files = len(all_files(root, "wastewater_sites"))
+    assert files == 7
+    assert opened(stored.stored_county(spark, root, "2")) == 2
+    assert stored.stored_county(spark, root, "9").count() == 0
+    assert opened(stored.stored_county(spark, root, "9")) == 0
+    assert stored.stored_county(spark, root, "1").count() == 6
+
+
+def test_snapshot_replaced_as_a_whole(spark, root):
+    tables.declare_tables(spark, root, ("wastewater_sites",))
+    tables.declare_lookup(spark, root, "wastewater_sites", "county_fips")
+    assert stored.stored_county(spark, root, "1").count() == 0
+    assert tables.replace_snapshot(spark, root, "wastewater_sites", sites(spark, (0, "p", "A", "1"), (1, "q", "B", "2")))
+    assert tables.replace_snapshot(spark, root, "wastewater_sites", sites(spark, (1, "q", "B", "1"), (3, "q", "B", "1")))
+    assert rows(stored.stored_county(spark, root, "1"), "date_end") == [(day(1),), (day(3),)]
+    assert stored.stored_county(spark, root, "2").count() == 0
+
+
+@pytest.mark.parametrize("part", ["", "a", "an", "anders", "son", "An_er", "a%son", "%", "_", "der_on", "xyz", "Ä", "ders%x", "nan"])
+def test_like_equals_the_plain_filter(spark, tmp_path_factory, part):
+    root = str(tmp_path_factory.getbasetemp() / "like")
+    names = ["Anderson", "anders", "Sanderson", "An", "", None, "Ändern", "Banana", "banan%a", "a_b", "Anxerson"]
+    if not os.path.exists(root):
+        tables.declare_tables(spark, root, ("wastewater_sites",))
+        half = [(w, f"p{w}", names[w], "1") for w in range(6)]
+        tables.upsert(spark, root, "wastewater_sites", sites(spark, *half))
+        tables.declare_lookup(spark, root, "wastewater_sites", "county_names", text=True)
+        rest = [(w, f"p{w}", names[w], "1") for w in range(6, len(names))]
+        tables.upsert(spark, root, "wastewater_sites", sites(spark, *rest))
+    plain = tables.read_table(spark, root, "wastewater_sites").filter(F.col("county_names").like(f"%{part}%"))
+    got = stored.rows_like(spark, root, "wastewater_sites", "county_names", part)
+    assert rows(got, "wwtp_id", "county_names") == rows(plain, "wwtp_id", "county_names")
+    assert opened(got) <= len({r.date_end for r in plain.collect()})
+
+
+def test_literal_trigrams_leave_wildcards_out():
+    assert value_index.literal_grams("abcd") == ["abc", "bcd"]
+    assert value_index.literal_grams("ab%cd_ef") == []
+    assert value_index.literal_grams("abc%xabc") == ["abc", "xab"]
+    assert value_index.literal_grams("a\\%bcd") == ["bcd"]
+
+
+def test_history_of_every_key_from_few_dates(spark, root):
+    tables.declare_tables(spark, root, ("ari_activity",))
+    tables.declare_lookup(spark, root, "ari_activity", "geography")
+    current = [(w, place, "Low") for w in range(10, 30) for place in ("Ohio", "Iowa")]
+    tables.upsert(spark, root, "ari_activity", activity(spark, *current, (1, "Guam", "High"), (4, None, "Low")))
+    # A correction of an old week, and a newer one.
+    tables.upsert(spark, root, "ari_activity", activity(spark, (12, "Ohio", "High"), (30, "Iowa", "High"), seq=1))
+    assert history(spark, root, 3) == whole_history(spark, root, 3)
+    got = stored.stored_history(spark, root, 3)
+    # Weeks 27 to 30, and the only ones of Guam and of the missing place.
+    assert opened(got) == 6 < len(all_files(root, "ari_activity")) == 23
+    assert ("Guam", day(1), "High", 1) in history(spark, root, 3)
+
+
+def test_random_loads_equal_the_whole_table(spark, root):
+    rng = random.Random(5)
+    tables.declare_tables(spark, root, ("ari_activity",))
+    tables.declare_lookup(spark, root, "ari_activity", "geography")
+    for load in range(4):
+        batch = [(rng.randrange(12), rng.choice("ABCDE"), rng.choice(["Low", "High"])) for _ in range(15)]
+        tables.upsert(spark, root, "ari_activity", activity(spark, *batch, seq=load))
+        if load == 2:
+            value_index.compact_index(
+                spark, root, "ari_activity", "geography", tables.read_versions(spark, root, "ari_activity")
+            )
+            tables.compact_calendar(spark, root, "ari_activity")
+        assert history(spark, root, 2) == whole_history(spark, root, 2)
+    table = tables.read_table(spark, root, "ari_activity")
+    for place in "ABCDEF":
+        got = stored.rows_of_value(spark, root, "ari_activity", "geography", place)
+        assert rows(got) == rows(table.filter(F.col("geography") == place))
+
+
+@pytest.mark.parametrize("step", ["_write_partitions", "_write_calendar"])
+def test_a_load_that_dies_loses_no_row_of_a_look_up(spark, root, monkeypatch, step):
+    tables.declare_tables(spark, root, ("ari_activity",))
+    tables.declare_lookup(spark, root, "ari_activity", "geography")
+    tables.upsert(spark, root, "ari_activity", activity(spark, (0, "Ohio", "Low"), (1, "Ohio", "Low")))
+
+    def dies(*args, **kwargs):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(tables, step, dies)
+        with pytest.raises(RuntimeError):
+            tables.upsert(spark, root, "ari_activity", activity(spark, (1, "Iowa", "High"), (2, "Ohio", "High"), seq=1))
+    for attempt in range(2):
+        table = tables.read_table(spark, root, "ari_activity")
+        for place in ("Ohio", "Iowa"):
+            got = stored.rows_of_value(spark, root, "ari_activity", "geography", place)
+            assert rows(got) == rows(table.filter(F.col("geography") == place))
+        value_index.compact_index(
+            spark, root, "ari_activity", "geography", tables.read_versions(spark, root, "ari_activity")
+        )
+    # Loaded again, everything is seen.
+    tables.upsert(spark, root, "ari_activity", activity(spark, (1, "Iowa", "High"), (2, "Ohio", "High"), seq=1))
+    assert history(spark, root, 5) == whole_history(spark, root, 5)
+    assert len(history(spark, root, 5)) == 4
+
+
+def test_files_of_an_indexed_table_are_in_order_of_the_value(spark, root):
+    tables.declare_tables(spark, root, ("wastewater_sites",))
+    tables.declare_lookup(spark, root, "wastewater_sites", "county_fips")
+    rng = random.Random(2)
+    # A third of the rows in one county.
+    many = [(0, f"p{i}", "C", "7" if i % 3 == 0 else str(rng.randrange(20))) for i in range(600)]
+    tables.upsert(spark, root, "wastewater_sites", sites(spark, *many))
+    for file in all_files(root, "wastewater_sites"):
+        values = pq.ParquetFile(file).read(columns=["county_fips"])["county_fips"].to_pylist()
+        assert values == sorted(values)
