@@ -9,7 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epiweave.schemas import LANDING_TABLES
-from epiweave.sources.landing import CLEANERS, accepted, iso_date, read_landing, recent_only, rejected
+from epiweave.sources.landing import (
+    CLEANERS,
+    MALFORMED,
+    accepted,
+    iso_date,
+    read_landing,
+    recent_only,
+    rejected,
+    with_malformed,
+)
 from epiweave.sources.tables import read_stored, replace_snapshot, upsert
 
 log = logging.getLogger(__name__)
@@ -18,9 +27,9 @@ log = logging.getLogger(__name__)
 def load_batch(spark: SparkSession, root: str, name: str, raw: DataFrame) -> None:
     """Clean one raw batch and merge it: wastewater replaces, the others upsert.
 
-    Refused records are kept beside the tables, under ``rejected``.
+    Refused records are kept beside the tables, under ``rejected``, with their raw text.
     """
-    cleaned = CLEANERS[name](raw)
+    cleaned = CLEANERS[name](with_malformed(raw))
     quarantine(cleaned, rejected_path(root, name))
     rows = accepted(cleaned)
     if name == "wastewater_sites":
@@ -39,8 +48,9 @@ def refresh_all(spark: SparkSession, landing: str, root: str, as_of: str, wastew
         try:
             raw = read_landing(spark, landing, name)
             if name == "wastewater_sites":
-                # The date filter runs on the raw stamp, before cleaning.
-                dated = raw.withColumn("_day", iso_date(F.col("date_end")))
+                # The date filter runs on the raw stamp, before cleaning; a malformed line has none and is refused later.
+                broken = F.when(F.col(MALFORMED).isNotNull(), F.lit(as_of).cast("date"))
+                dated = raw.withColumn("_day", broken.otherwise(iso_date(F.col("date_end"))))
                 raw = recent_only(dated, as_of, wastewater_days, "_day").drop("_day")
             load_batch(spark, root, name, raw)
         except Exception:

@@ -275,6 +275,40 @@ def _quarantined(t):
     )
 
 
+_LINE = """'{"week_end":"' || strftime(ts, '%Y-%m-%d') || '","pathogen":"' || event_type
+           || '","percent_test_positivity":"n/a'"""
+
+
+@query(
+    "quarantined_records",
+    f"""SELECT CASE WHEN event_id % 2 = 0 THEN 'malformed record'
+                ELSE 'percent_test_positivity missing or unreadable' END AS reject_reason,
+         {_LINE} || CASE WHEN event_id % 2 = 0 THEN '' ELSE '"}}' END AS raw_record,
+         CASE WHEN event_id % 2 = 1 THEN CAST(event_id AS BIGINT) END AS seq FROM events WHERE value > 50""",
+)
+def _quarantined_records(t):
+    # Lines of landing files: of the large values half are unreadable, half break off within the value.
+    folder = work_folder(t, "refused-records")
+    tables.declare_tables(t.spark, folder, ("test_positivity",))
+    start = F.concat(
+        F.lit('{"week_end":"'),
+        F.date_format("ts", "yyyy-MM-dd"),
+        F.lit('","pathogen":"'),
+        "event_type",
+        F.lit('","percent_test_positivity":"'),
+    )
+    large = F.col("value") > 50
+    text = F.when(large, "n/a").otherwise(F.col("value").cast("string"))
+    end = F.when(large & (F.col("event_id") % 2 == 0), "").otherwise(F.concat(F.lit('","_seq":'), "event_id", F.lit("}")))
+    lines = t.table("events").select(F.concat(start, text, end).alias("value"))
+    lines.write.text(f"{folder}/landing/test_positivity")
+    refresh.load_batch(
+        t.spark, folder, "test_positivity", landing.read_landing(t.spark, f"{folder}/landing", "test_positivity")
+    )
+    kept = t.spark.read.parquet(refresh.rejected_path(folder, "test_positivity"))
+    return kept.select("reject_reason", "raw_record", F.col("_seq").alias("seq"))
+
+
 def _stored(t: Sources, purpose: str, name: str, df: DataFrame) -> str:
     """Folder of a table that holds the given rows."""
     folder = work_folder(t, purpose)

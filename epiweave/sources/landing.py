@@ -6,6 +6,8 @@ source, which Spark needs because files carry no row order.
 
 Each cleaning function returns every input row with a ``reject_reason`` column:
 ``accepted`` keeps the good rows as the declared table, ``rejected`` the rest.
+Records read from files, or marked by ``with_malformed``, also bring ``raw_record``:
+the record as it came, a malformed line with its own text.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from epiweave.schemas import TABLES
 
@@ -26,9 +29,32 @@ DECIMAL_TEXT = (
 DATE_TEXT = r"^\d{4}-\d{2}-\d{2}$"
 
 
+#: Text of a line that is no JSON record of the table; null for all others.
+MALFORMED = "_malformed"
+RAW_RECORD = "raw_record"
+
+
+def landing_schema(table: str) -> StructType:
+    return StructType([*TABLES[table].raw_schema.fields, StructField(MALFORMED, StringType())])
+
+
 def read_landing(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """All landing files (pages) of one table, untyped."""
-    return spark.read.schema(TABLES[table].raw_schema).json(f"{root.rstrip('/')}/{table}")
+    """All landing files (pages) of one table, untyped; a malformed line is a row of its own."""
+    reader = spark.read.schema(landing_schema(table)).option("columnNameOfCorruptRecord", MALFORMED)
+    return reader.json(f"{root.rstrip('/')}/{table}")
+
+
+def with_malformed(raw: DataFrame) -> DataFrame:
+    """Records that do not come from files, marked as well formed so that cleaning keeps their raw text."""
+    return raw if MALFORMED in raw.columns else raw.withColumn(MALFORMED, F.lit(None).cast("string"))
+
+
+def _raw_record(raw: DataFrame) -> list[Column]:
+    """The record as it came; computed for refused rows only, as ``accepted`` drops it."""
+    if MALFORMED not in raw.columns:
+        return []
+    fields = F.to_json(F.struct(*(c for c in raw.columns if c not in (MALFORMED, "_seq"))))
+    return [F.coalesce(F.col(MALFORMED), fields).alias(RAW_RECORD), F.col(MALFORMED)]
 
 
 def concat_pages(pages: list[DataFrame]) -> DataFrame:
@@ -82,12 +108,14 @@ def _judged(typed: DataFrame, *required: str) -> DataFrame:
     def lacking(name: str) -> Column:
         return blank(F.col(name)) if kinds[name] == "string" else F.col(name).isNull()
 
-    reasons = (F.when(lacking(name), F.lit(f"{name} missing or unreadable")) for name in required)
-    return typed.withColumn("reject_reason", F.coalesce(*reasons))
+    reasons = [F.when(lacking(name), F.lit(f"{name} missing or unreadable")) for name in required]
+    if MALFORMED in kinds:
+        reasons.insert(0, F.when(F.col(MALFORMED).isNotNull(), F.lit("malformed record")))
+    return typed.withColumn("reject_reason", F.coalesce(*reasons)).drop(MALFORMED)
 
 
 def clean_ari(raw: DataFrame) -> DataFrame:
-    typed = raw.select(_day("week_end"), "geography", "label", _text("buildnumber"), "_seq")
+    typed = raw.select(_day("week_end"), "geography", "label", _text("buildnumber"), "_seq", *_raw_record(raw))
     return _judged(typed, "week_end", "geography", "label")
 
 
@@ -110,13 +138,14 @@ def clean_hospitalization(raw: DataFrame) -> DataFrame:
         _decimal("cumulative_rate"),
         _text("rate_type"),
         "_seq",
+        *_raw_record(raw),
     )
     return _judged(typed, "week_ending_date", "mmwr_year", "mmwr_week", "weekly_rate", "cumulative_rate")
 
 
 def clean_positivity(raw: DataFrame) -> DataFrame:
     percent = parse_decimal(F.col("percent_test_positivity")).alias("percent_test_positivity")
-    typed = raw.select(_day("week_end"), "pathogen", percent, "_seq")
+    typed = raw.select(_day("week_end"), "pathogen", percent, "_seq", *_raw_record(raw))
     return _judged(typed, "week_end", "pathogen", "percent_test_positivity")
 
 
@@ -135,6 +164,7 @@ def clean_wastewater(raw: DataFrame) -> DataFrame:
         _text("sampling_prior"),
         _day("first_sample_date"),
         "_seq",
+        *_raw_record(raw),
     )
     return _judged(
         typed, "date_end", "wwtp_id", "population_served", "ptc_15d", "detect_prop_15d", "percentile"
@@ -150,7 +180,7 @@ CLEANERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 
 
 def accepted(cleaned: DataFrame) -> DataFrame:
-    return cleaned.filter("reject_reason IS NULL").drop("reject_reason")
+    return cleaned.filter("reject_reason IS NULL").drop("reject_reason", RAW_RECORD)
 
 
 def rejected(cleaned: DataFrame) -> DataFrame:

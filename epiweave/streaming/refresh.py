@@ -16,12 +16,12 @@ from epiweave.plans import states
 from epiweave.plans.refresh import rejected_path
 from epiweave.plans.stored import stored_summary
 from epiweave.schemas import LANDING_TABLES, TABLES
-from epiweave.sources.landing import CLEANERS, accepted, rejected
+from epiweave.sources.landing import CLEANERS, MALFORMED, accepted, landing_schema, rejected, with_malformed
 from epiweave.sources.tables import replace_snapshot, upsert
 
 
 def landing_stream(spark: SparkSession, landing: str, name: str, files_per_batch: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(TABLES[name].raw_schema)
+    reader = spark.readStream.schema(landing_schema(name)).option("columnNameOfCorruptRecord", MALFORMED)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.json(f"{landing.rstrip('/')}/{name}")
@@ -50,7 +50,7 @@ def stream_upsert(
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        cleaned = CLEANERS[name](batch)
+        cleaned = CLEANERS[name](with_malformed(batch))
         rejected(cleaned).write.mode("overwrite").parquet(f"{rejected_path(root, name)}/batch={batch_id}")
         if snapshot:
             replace_snapshot(session, root, name, accepted(cleaned), after_write=record)

@@ -1,12 +1,14 @@
 import datetime as dt
+import json
 import random
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from epiweave.plans import refresh
 from epiweave.schemas import TABLES
-from epiweave.sources import landing
+from epiweave.sources import landing, tables
 
 
 def raw(spark, table, *records):
@@ -130,6 +132,56 @@ def test_landing_reads_text_and_missing_keys(spark, tmp_path):
     ]
 
 
+BROKEN = {
+    "ari_activity": '{"week_end": "2024-01-06", "geography": "Oh',
+    "hospitalization_rates": "not json",
+    "test_positivity": '{"week_end": 2024-01-06}',
+    "wastewater_sites": '[1, {"date_end": "2024-01-06"',
+}
+
+
+@pytest.mark.parametrize("name", BROKEN)
+def test_malformed_lines_are_refused_with_their_text(spark, tmp_path, name):
+    folder = tmp_path / "landing" / name
+    folder.mkdir(parents=True)
+    good = {f.name: "1" for f in TABLES[name].schema.fields} | {TABLES[name].partition: "2024-01-06", "_seq": 4}
+    bad = {**good, TABLES[name].partition: "no date", "_seq": 5}
+    lines = [BROKEN[name], json.dumps(good), "", json.dumps(bad)]
+    (folder / "page.json").write_text("\n".join(lines))
+    cleaned = landing.CLEANERS[name](landing.read_landing(spark, str(tmp_path / "landing"), name))
+    assert landing.accepted(cleaned).columns == [*TABLES[name].schema.names, "_seq"]
+    assert [r["_seq"] for r in landing.accepted(cleaned).collect()] == [4]
+    refused = {r.reject_reason: r for r in landing.rejected(cleaned).collect()}
+    unreadable = refused.pop(f"{TABLES[name].partition} missing or unreadable")
+    del bad["_seq"]
+    assert json.loads(unreadable.raw_record) == bad
+    (broken,) = refused.values()
+    assert (broken.reject_reason, broken.raw_record) == ("malformed record", BROKEN[name])
+
+
+def test_refresh_keeps_malformed_lines_of_every_table(spark, tmp_path):
+    root = str(tmp_path / "tables")
+    tables.declare_tables(spark, root)
+    for name, line in BROKEN.items():
+        folder = tmp_path / "landing" / name
+        folder.mkdir(parents=True)
+        good = {f.name: "1" for f in TABLES[name].schema.fields} | {TABLES[name].partition: "2024-01-06", "_seq": 4}
+        (folder / "page.json").write_text(line + "\n" + json.dumps(good) + "\n")
+    assert refresh.refresh_all(spark, str(tmp_path / "landing"), root, as_of="2024-02-01")
+    assert {r.row_count for r in refresh.table_counts(spark, root).collect()} == {1}
+    for name, line in BROKEN.items():
+        kept = spark.read.parquet(refresh.rejected_path(root, name))
+        assert rows(kept, "reject_reason", "raw_record") == [("malformed record", line)]
+
+
+def test_raw_text_is_not_made_for_accepted_rows(spark, tmp_path):
+    folder = tmp_path / "landing" / "ari_activity"
+    folder.mkdir(parents=True)
+    (folder / "page.json").write_text("{}\n")
+    cleaned = landing.clean_ari(landing.read_landing(spark, str(tmp_path / "landing"), "ari_activity"))
+    assert "to_json" not in landing.accepted(cleaned)._jdf.queryExecution().executedPlan().toString()
+
+
 def _python_float(text):
     try:
         return float(text)
