@@ -7,8 +7,8 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epiweave.functions.scalars import round_to
-from epiweave.operators import features, forecasting
+from epiweave.functions.scalars import round_to, tidy
+from epiweave.operators import features, forecasting, panel
 from epiweave.plans.registry import CTES, Sources, half_up, query, tidied, weekly_series, work_folder
 from epiweave.session import materialise, shared_dir
 from epiweave.sources import tables
@@ -216,3 +216,57 @@ def _compare_given(t):
 )
 def _stacked_given(t):
     return forecasting.stacked(weekly_series(t), *_given(t))
+
+
+@query(
+    "panel_coefficients",
+    """SELECT virus, CAST(i - 1 AS INTEGER) AS term, CAST(h - 1 AS INTEGER) AS horizon, round(c[i], 6) + 0.0 AS coefficient
+       FROM coefficients, range(1, 16) AS a(i)""",
+    "hosp",
+    "norm",
+    "panel",
+)
+def _panel_coefficients(t):
+    terms = panel.fit_panel(weekly_series(t)).select("virus", F.posexplode("coefficients").alias("term", "row"))
+    cells = terms.select("virus", "term", F.posexplode("row").alias("horizon", "coefficient"))
+    return cells.withColumn("coefficient", tidy("coefficient", 6))
+
+
+@query(
+    "panel_quality",
+    """SELECT virus, round(mae, 6) + 0.0 AS mae, CAST(train_samples AS BIGINT) AS train_samples,
+         CAST(val_samples AS BIGINT) AS val_samples, lower(replace(replace(virus, '-', '_'), ' ', '_')) AS safe_name
+       FROM panel_quality""",
+    "hosp",
+    "norm",
+    "panel",
+)
+def _panel_quality(t):
+    # Stored, then only one series fitted again: all models are there as before.
+    path = work_folder(t, "panel-models")
+    series = materialise(weekly_series(t))
+    panel.fit_or_load_panel(series, path)
+    models = panel.fit_or_load_panel(series, path, retrain=["RSV-NET"])
+    kept = models.select("virus", "mae", "train_samples", "val_samples", "safe_name")
+    return kept.withColumn("mae", tidy("mae", 6))
+
+
+@query(
+    "panel_forecast",
+    f"""SELECT virus, CAST(date + CAST(7 * h AS INTEGER) AS DATE) AS target_date, date AS forecast_date, 'All' AS geography,
+         {half_up("value", 2)} AS predicted_rate,
+         {half_up("greatest(value - mae * (1 + CAST(0.3 AS DOUBLE) * (h - 1)), 0)", 2)} AS lower_bound,
+         {half_up("value + mae * (1 + CAST(0.3 AS DOUBLE) * (h - 1))", 2)} AS upper_bound, 'panel' AS model_version
+       FROM (SELECT r.virus, r.date, h, mae, greatest(list_dot_product(list_concat([CAST(1 AS DOUBLE)], w,
+               [sin(2 * pi() * points / 52), cos(2 * pi() * points / 52)]), c) * std + mean, 0) AS value
+             FROM (SELECT virus, max(date) AS date, any_value(points) AS points, any_value(mean) AS mean,
+                     any_value(std) AS std, list(norm ORDER BY date) AS w
+                   FROM norm WHERE idx >= points - 12 GROUP BY 1) r
+             JOIN coefficients k ON r.virus = k.virus JOIN panel_quality q ON r.virus = q.virus)""",
+    "hosp",
+    "norm",
+    "panel",
+)
+def _panel_forecast(t):
+    series = materialise(weekly_series(t))
+    return panel.panel_forecast(series, panel.fit_panel(series))

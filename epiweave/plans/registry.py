@@ -157,6 +157,37 @@ norm AS (
 )""",
 }
 
+# Samples, normal equations (elim: one more column eliminated per k) and coefficients of the model per series.
+CTES["panel"] = """
+terms AS (
+  SELECT *, list(norm) OVER (v ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS past,
+         list(norm) OVER (v ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS y
+  FROM norm WHERE points >= 30 WINDOW v AS (PARTITION BY virus ORDER BY date)
+), panel_samples AS (
+  SELECT virus, date, std, y, list_concat([CAST(1 AS DOUBLE)], past, [sin(2 * pi() * idx / 52), cos(2 * pi() * idx / 52)]) AS x,
+         row_number() OVER (PARTITION BY virus ORDER BY date)
+           <= floor(CAST(0.8 AS DOUBLE) * count(*) OVER (PARTITION BY virus)) AS is_train
+  FROM terms WHERE idx >= 12 AND idx < points - 4
+), entries AS (
+  SELECT virus, i, j, sum(x[i] * list_concat(x, y)[j])
+           + CASE WHEN i = j AND i > 1 THEN count(*) * CAST(0.001 AS DOUBLE) ELSE 0 END AS v
+  FROM panel_samples, range(1, 16) AS a(i), range(1, 20) AS b(j) WHERE is_train GROUP BY 1, 2, 3
+), start AS (
+  SELECT virus, list(cells ORDER BY i) AS m FROM (
+    SELECT virus, i, list(v ORDER BY j) AS cells FROM entries GROUP BY 1, 2) GROUP BY 1
+), elim AS (
+  SELECT virus, 1 AS k, m FROM start UNION ALL
+  SELECT virus, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: v / m[k][k])
+    ELSE list_transform(r, lambda v, j: v - r[k] / m[k][k] * m[k][j]) END) FROM elim WHERE k <= 15
+), coefficients AS (
+  SELECT virus, h, list(m[i][15 + h] ORDER BY i) AS c
+  FROM elim, range(1, 16) AS a(i), range(1, 5) AS b(h) WHERE k = 16 GROUP BY 1, 2
+), panel_quality AS (
+  SELECT s.virus, avg(abs(list_dot_product(x, c) - y[h])) FILTER (NOT is_train) * any_value(std) AS mae,
+         count(*) FILTER (is_train) // 4 AS train_samples, count(*) FILTER (NOT is_train) // 4 AS val_samples
+  FROM panel_samples s JOIN coefficients c ON s.virus = c.virus GROUP BY 1
+)"""
+
 CTES["streamed"] = """
 pos AS (
   SELECT CAST(ts AS DATE) AS week_end, CASE event_type WHEN 'click' THEN 'COVID-19' WHEN 'view' THEN 'Influenza'
@@ -187,7 +218,8 @@ hospitals AS (
 
 
 def _sql(body: str, *ctes: str) -> str:
-    return (f"WITH {','.join(CTES[c] for c in ctes)}\n" if ctes else "") + body
+    recursive = "RECURSIVE " if "panel" in ctes else ""
+    return (f"WITH {recursive}{','.join(CTES[c] for c in ctes)}\n" if ctes else "") + body
 
 
 def query(name: str, body: str | None = None, *ctes: str) -> Callable[[Callable], Callable]:
