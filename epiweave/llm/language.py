@@ -17,6 +17,8 @@ HIDDEN = 8
 STRETCH = 128
 #: Stretches read side by side; bounds the memory of a task.
 ROWS = 1024
+#: Input partitions whose first documents of a language are put together before those of all are.
+PARTITIONS_AT_ONCE = 256
 # Bounds of the training sample.
 DOCS_PER_LANGUAGE = 400
 WINDOWS_PER_DOC = 2
@@ -42,8 +44,11 @@ class Direction:
     def parameters(self) -> list[np.ndarray]:
         return [self.gates, self.new, self.u_gates, self.u_new]
 
-    def forward(self, steps: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
-        """States after each byte of ``steps`` (time, rows); with ``keep`` also what training needs."""
+    def forward(self, steps: np.ndarray, mask: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
+        """States after each byte of ``steps`` (time, rows), zero where ``mask`` says that there is none.
+
+        With ``keep`` also what training needs.
+        """
         h = np.zeros((steps.shape[1], HIDDEN), np.float32)
         states = np.empty((*steps.shape, HIDDEN), np.float32)
         tape = []
@@ -59,10 +64,12 @@ class Direction:
                 tape.append((h, zr, back, n.copy()))
             np.clip(n, -1, 1, out=n)
             h = n + z * (h - n)
+            if not mask[t].all():
+                h *= mask[t][:, None]
             states[t] = h
         return states, tape
 
-    def backward(self, steps: np.ndarray, tape: list, outer: np.ndarray) -> list[np.ndarray]:
+    def backward(self, steps: np.ndarray, mask: np.ndarray, tape: list, outer: np.ndarray) -> list[np.ndarray]:
         """Gradients by backpropagation through time of the gradients ``outer`` of all states."""
         grads = [np.zeros_like(p) for p in self.parameters()]
         dh = np.zeros_like(outer[0])
@@ -70,7 +77,7 @@ class Direction:
             h, zr, back, pre = tape[t]
             z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
             n = np.clip(pre, -1, 1)
-            dh = dh + outer[t]
+            dh = (dh + outer[t]) * mask[t][:, None]
             d_new = dh * (1 - z) * (np.abs(pre) < 1)
             d_zr = np.concatenate([dh * (h - n), d_new * back], axis=1) * 0.25 * ((zr > 0) & (zr < 1))
             d_back = d_new * r
@@ -102,10 +109,10 @@ class Network:
     def parameters(self) -> list[np.ndarray]:
         return [*self.ahead.parameters(), *self.back.parameters(), self.out, self.bias]
 
-    def positions(self, steps: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
-        """Language probabilities at every position of ``steps`` (time, rows)."""
-        one, tape_one = self.ahead.forward(steps, keep)
-        two, tape_two = self.back.forward(steps[::-1], keep)
+    def positions(self, steps: np.ndarray, mask: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
+        """Language probabilities at every position of ``steps`` (time, rows) that ``mask`` has."""
+        one, tape_one = self.ahead.forward(steps, mask, keep)
+        two, tape_two = self.back.forward(steps[::-1], mask[::-1], keep)
         states = np.concatenate([one, two[::-1]], axis=2)
         scores = states @ self.out
         scores += self.bias
@@ -116,7 +123,7 @@ class Network:
 
     def gradients(self, steps: np.ndarray, mask: np.ndarray, labels: np.ndarray) -> tuple[float, list[np.ndarray]]:
         """Mean cross-entropy over all positions and its gradients."""
-        probabilities, (states, tape_one, tape_two) = self.positions(steps, True)
+        probabilities, (states, tape_one, tape_two) = self.positions(steps, mask, True)
         count = max(1, mask.sum())
         chosen = np.take_along_axis(probabilities, np.broadcast_to(labels[None, :, None], (*steps.shape, 1)), 2)
         loss = -(np.log(chosen[..., 0] + 1e-9) * mask).sum() / count
@@ -125,8 +132,8 @@ class Network:
         d *= mask[..., None] / count
         flat = d.reshape(-1, d.shape[2])
         d_states = (flat @ self.out.T).reshape(states.shape)
-        grads = self.ahead.backward(steps, tape_one, d_states[..., :HIDDEN])
-        grads += self.back.backward(steps[::-1], tape_two, d_states[::-1, :, HIDDEN:])
+        grads = self.ahead.backward(steps, mask, tape_one, d_states[..., :HIDDEN])
+        grads += self.back.backward(steps[::-1], mask[::-1], tape_two, d_states[::-1, :, HIDDEN:])
         return loss, [*grads, states.reshape(-1, 2 * HIDDEN).T @ flat, flat.sum(axis=0)]
 
 
@@ -171,7 +178,7 @@ def identify(network: Network, texts: list[str | None]) -> list[tuple[str, float
     def flush() -> None:
         if pieces:
             matrix, mask = _matrix(pieces, STRETCH)
-            probabilities, _ = network.positions(matrix)
+            probabilities, _ = network.positions(matrix, mask)
             np.add.at(pooled, owners, np.einsum("trc,tr->rc", probabilities, mask, dtype=np.float64))
             pieces.clear()
             owners.clear()
@@ -202,7 +209,8 @@ def training_windows(docs: DataFrame, seed: int = 6) -> list[tuple[str, str]]:
     """Text windows at seeded places with their language, from a bounded sample of the documents to learn from.
 
     At most DOCS_PER_LANGUAGE documents of a language, the first by a hash, and WINDOWS_PER_DOC
-    windows of WINDOW_CHARS characters from anywhere in each.
+    windows of WINDOW_CHARS characters from anywhere in each. They are found among those of each task, then of
+    PARTITIONS_AT_ONCE tasks, then of all, so no task is sent the rows of one language from all tasks.
     """
     key = F.xxhash64(F.lit(seed), "doc_id", text_key())
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & (F.char_length("text") > 0)).select("lang", "text", key.alias("key"))
@@ -211,10 +219,12 @@ def training_windows(docs: DataFrame, seed: int = 6) -> list[tuple[str, str]]:
         F.substring(F.col("text"), (F.pmod(F.xxhash64("key", F.lit(i)), room) + 1).cast("int"), F.lit(WINDOW_CHARS))
         for i in range(WINDOWS_PER_DOC)
     ]
-    cut = rows.select("lang", "key", F.array(*windows).alias("windows"))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("key", F.col("windows")[0]))
-    taken = cut.withColumn("place", first).where(F.col("place") <= DOCS_PER_LANGUAGE).orderBy("lang", "place").collect()
-    return [(w, r.lang) for r in taken for w in r.windows]
+    group = F.floor(F.spark_partition_id() / PARTITIONS_AT_ONCE).alias("group")
+    taken = rows.select("lang", "key", F.array(*windows).alias("windows"), group)
+    for of in (["lang", "group"], ["lang"]):
+        first = F.row_number().over(Window.partitionBy(*of).orderBy("key", F.col("windows")[0], F.col("windows")[1]))
+        taken = taken.withColumn("place", first).where(F.col("place") <= DOCS_PER_LANGUAGE)
+    return [(w, r.lang) for r in taken.orderBy("lang", "place").collect() for w in r.windows]
 
 
 def language_column(network: Network | None, text: str) -> Column:

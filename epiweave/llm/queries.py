@@ -152,10 +152,10 @@ def _toxicity(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "toxic", "1 - quality AS poor", "toxic * (1 - quality) AS toxic_and_poor"
     )
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    judged = toxicity.toxicity(docs, labels, ["toxic", "poor", "toxic_and_poor"])
+    judged = toxicity.toxic_documents(docs, labels, ["toxic", "poor", "toxic_and_poor"])
     return judged.select(
         "doc_id",
-        (F.col("toxicity.toxic") >= 0.5).alias("toxic"),
+        F.array_contains("found", "toxic").alias("toxic"),
         F.col("toxicity.toxic").alias("p_toxic"),
         F.col("toxicity.poor").alias("p_poor"),
         F.col("toxicity.toxic_and_poor").alias("p_toxic_and_poor"),

@@ -90,6 +90,8 @@ class Chain:
     categories: list[str]
     place: dict[str, int]
     models: list[Linear]
+    #: Probability from which a text counts as of a category.
+    cutoffs: list[float]
 
     def predict(self, words: list[set[str]]) -> np.ndarray:
         rows = Rows([self._indexes(w) for w in words], len(self.place))
@@ -107,10 +109,11 @@ def train(words: list[set[str]], labels: np.ndarray, categories: list[str], seed
     """The chain learnt from word sets and 0/1 labels (rows, categories).
 
     A later model is trained with out-of-fold probabilities of the earlier categories, which are as
-    uncertain as those it will be given; at prediction they come from models of all rows.
+    uncertain as those it will be given; at prediction they come from models of all rows. The cutoffs
+    are chosen on the out-of-fold probabilities too.
     """
     place = vocabulary(words, labels)
-    chain = Chain(categories, place, [])
+    chain = Chain(categories, place, [], [])
     rows = Rows([chain._indexes(w) for w in words], len(place))
     fold = np.random.default_rng(seed).permutation(len(words)) % FOLDS
     earlier = np.empty((len(words), 0))
@@ -122,10 +125,24 @@ def train(words: list[set[str]], labels: np.ndarray, categories: list[str], seed
                 model = fit(rows.take(learn), earlier[learn], column[learn])
                 outside[judge] = model.predict(rows.take(judge), earlier[judge])
         chain.models.append(fit(rows, earlier, column))
+        chain.cutoffs.append(cutoff(outside, column))
         earlier = np.column_stack([earlier, outside])
     return chain
 
 
+def cutoff(probabilities: np.ndarray, labels: np.ndarray) -> float:
+    """The probability that parts the labels with the best F1, halfway to the next lower one; 0.5 with one kind of label."""
+    if not 0 < labels.sum() < len(labels):
+        return 0.5
+    order = np.argsort(-probabilities, kind="stable")
+    sorted_p, right = probabilities[order], np.cumsum(labels[order])
+    f1 = 2 * right / (np.arange(1, len(labels) + 1) + labels.sum())
+    # Equal probabilities cannot be parted.
+    f1[:-1][sorted_p[:-1] == sorted_p[1:]] = -1
+    best = int(f1.argmax())
+    return float((sorted_p[best] + sorted_p[min(best + 1, len(labels) - 1)]) / 2)
+
+
 def vocabulary(words: list[set[str]], labels: np.ndarray) -> dict[str, int]:
     """Words of enough texts that tell most about some category, by their chi-square."""
     held = Counter(w for s in words for w in s)
@@ -175,6 +192,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], rows: in
     return docs.withColumn("toxicity", toxicity_column(chain, "text"))
 
 
+def toxic_documents(docs: DataFrame, labels: DataFrame, categories: list[str], rows: int = SAMPLE_ROWS) -> DataFrame:
+    """As ``toxicity``, with ``found`` beside it: the categories whose probability reaches their cutoff, in order.
+
+    A column of the documents that is itself named ``found`` is replaced.
+    """
+    small_batches(docs.sparkSession)
+    chain = train(*labelled_sample(docs, labels, categories, rows), categories)
+    scored = docs.withColumn("toxicity", toxicity_column(chain, "text"))
+    reached = [
+        F.when(F.col("toxicity").getField(c) >= cut, F.lit(c)) for c, cut in zip(categories, chain.cutoffs, strict=True)
+    ]
+    return scored.withColumn("found", F.array_compact(F.array(*reached)))
+
+
 def toxicity_column(chain: Chain, text: str) -> Column:
     @F.pandas_udf(", ".join(f"`{c}` double" for c in chain.categories))
     def predict(texts: pd.Series) -> pd.DataFrame:

@@ -36,7 +36,7 @@ def test_every_byte_counts_and_stretches_are_pooled():
     data, total = text.encode(), np.zeros(2)
     for start in range(0, len(data), G.STRETCH):
         matrix, mask = G._matrix([data[start : start + G.STRETCH]], G.STRETCH)
-        total += (network.positions(matrix)[0] * mask[..., None]).sum(axis=(0, 1))
+        total += (network.positions(matrix, mask)[0] * mask[..., None]).sum(axis=(0, 1))
     assert language == network.languages[total.argmax()]
     assert score == pytest.approx(total.max() / total.sum(), rel=1e-4)
     assert total.sum() == pytest.approx(len(data), rel=1e-4)
