@@ -57,6 +57,12 @@ def stored(df: DataFrame) -> DataFrame:
         return df.checkpoint()
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of intermediate rows, wherever it lies; a missing one is no error."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Have Spark hand texts to Python at most ``rows`` at a time, in this session from now on.
 

@@ -180,8 +180,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     )
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """The documents with ``deduped`` (text, n_lines, n_dropped) beside their own columns.
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, name: str = "deduped") -> DataFrame:
+    """The documents with ``deduped`` (or ``name``; text, n_lines, n_dropped) beside their own columns.
 
     A line's key is the line without spaces and controls 9 to 13 at its ends, A-Z
     lower-cased. Keys of at least ``min_chars`` code points held by at least
@@ -189,7 +189,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     doc_id. Documents are told apart by doc_id: repeated rows of one id hold a line
     together, rows without an id count as one document smaller than all others. A null
     or empty text is one empty line. An empty table gives no rows. A column of the documents
-    that is itself named ``deduped`` is replaced; all others stay.
+    that is itself of that name is replaced; all others stay.
     """
 
     @F.pandas_udf("text string, n_lines long, n_dropped long")
@@ -201,4 +201,4 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     small_batches(docs.sparkSession)
     bitmap = unused(docs, "_bitmap")
     marked = with_decision(docs, bitmaps, [F.col("bitmap").alias(bitmap)])
-    return marked.withColumn("deduped", applied("text", bitmap)).drop(bitmap)
+    return marked.withColumn(name, applied("text", bitmap)).drop(bitmap)

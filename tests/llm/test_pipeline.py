@@ -68,3 +68,40 @@ def test_mix_and_run(spark, stages):
     assert set(after) <= set(before) and all(1 <= r.copies <= 3 for r in after.values())
     whole = rows(corpus_pipeline.run(spark, FOLDER))
     assert whole == after
+
+
+def test_odd_rows_and_no_leftovers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "shared_dir", lambda spark: f"{tmp_path}/shared")
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(60)
+    names = ["copies", "_language", "_key", "deduped", "_doc_id", "toxicity"]
+    kinds = dict(docs.dtypes)
+    text = "the word of a long text that is only itself "
+    odd = [(None, "A text without an id, by itself.", "en"), (None, None, None), (7001, None, "en"), (7002, "", "en")]
+    odd += [(7003, text * 20_000, "en"), (7004, "same words here in this row twice", "en"), (7004, "same words here in this row twice", "en")]
+    more = spark.createDataFrame(odd, "doc_id long, text string, lang string")
+    more = more.select(*(more[c].cast(kinds[c]) for c in more.columns))
+    whole = docs.unionByName(more, allowMissingColumns=True)
+    whole = whole.selectExpr("*", *(f"concat('x', '{n}') AS `{n}`" for n in names))
+    whole.write.parquet(f"{tmp_path}/in/documents.parquet")
+    whole.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    for folder in ("in", "none"):
+        spark.read.parquet(f"{FOLDER}/benchmark.parquet").write.parquet(f"{tmp_path}/{folder}/benchmark.parquet")
+    before = {(r.doc_id, r.text) for r in whole.collect()}
+    found = corpus_pipeline.run(spark, f"{tmp_path}/in")
+    rest = found.collect()
+    # The mix adds copies under a name of its own, or says how many in place of a column of that name.
+    assert set(whole.columns) - {"copies"} <= set(found.columns)
+    assert all(r[n] == f"x{n}" for r in rest for n in names if n != "copies")
+    assert {r.doc_id for r in rest} <= {i for i, _ in before}
+    assert not [r for r in rest if r.doc_id in (7001, 7002)]
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+    tables = [p.name for p in (tmp_path / "shared").glob("pipeline-*/*")]
+    assert tables == ["4-mixing", "4-mixing"]
+
+    def broken(spark, docs, folder):
+        raise ValueError("broken")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [*corpus_pipeline.STAGES[:1], ("broken", broken)])
+    with pytest.raises(ValueError, match="broken"):
+        corpus_pipeline.run(spark, f"{tmp_path}/in")
+    assert len(list((tmp_path / "shared").glob("pipeline-*"))) == 2
