@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from epiweave.llm import decontamination, language, line_dedup, mixing, simhash
-from epiweave.llm.common import freeing_shuffles, ship_package
+from epiweave.llm.common import freeing_shuffles, remove_folder, ship_package, unused
 from epiweave.session import shared_dir
 from epiweave.sources.testdata import table
 
@@ -22,8 +22,9 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the lines they keep as text, and n_chars of that."""
-    kept = line_dedup.dedup_lines(docs)
-    new = {"text": "deduped.text", "n_chars": "char_length(deduped.text)"}
+    name = unused(docs, "deduped")
+    kept = line_dedup.dedup_lines(docs, name=name)
+    new = {"text": f"{name}.text", "n_chars": f"char_length({name}.text)"}
     types = dict(docs.dtypes)
     return kept.selectExpr(*(f"CAST({new[c]} AS {types[c]}) AS `{c}`" if c in new else f"`{c}`" for c in docs.columns))
 
@@ -57,13 +58,28 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; between stages a Parquet table in the shared folder."""
+    """All stages over ``documents``; between stages a Parquet table in the shared folder.
+
+    A stage's table is removed once the next one is written, and all of them after a failure.
+    The rows returned are those of the last, which the caller may remove when done.
+
+    Rows may repeat, ids may be null or repeat, and documents may have further columns of any name, which
+    go through; null texts and texts without a letter go in the first stage. No documents give no rows.
+    """
     ship_package(spark)
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{i}-{name}"
-        with freeing_shuffles(spark):
-            stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    last = None
+    try:
+        for i, (name, stage) in enumerate(STAGES):
+            path = f"{folder}/{i}-{name}"
+            with freeing_shuffles(spark):
+                stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+            if last:
+                remove_folder(spark, last)
+            last = path
+    except BaseException:
+        remove_folder(spark, folder)
+        raise
     return docs
