@@ -376,3 +376,35 @@ def _stored_like(t):
 def _stored_history(t):
     folder = _indexed(t, "history", "ari_activity", t.ari, "geography", "1997-01-01")
     return stored.stored_history(t.spark, folder, weeks=12)
+
+
+def _counted(t: Sources, purpose: str, group: str = "") -> str:
+    """Folder of a table with kept distinct counts: old dates stored with other codes first, then all dates as they are."""
+    date, seq = F.col(TABLES["wastewater_sites"].partition), F.lit(1).cast("long")
+    wrong = t.ww.filter(date < "1996-01-01").withColumn("county_fips", F.concat(F.lit("x"), "wwtp_id"))
+    folder = _stored(t, purpose, "wastewater_sites", wrong)
+    for column in ("wwtp_id", "county_fips"):
+        tables.declare_distinct(t.spark, folder, "wastewater_sites", column, group)
+    for batch in (t.ww.filter(date < "1997-01-01"), t.ww.filter(date >= "1997-01-01")):
+        tables.upsert(t.spark, folder, "wastewater_sites", batch.withColumn("_seq", seq))
+    return folder
+
+
+@query(
+    "stored_load_stats",
+    "SELECT count(*) AS row_count, count(DISTINCT wwtp_id) AS sites, count(DISTINCT county_fips) AS counties FROM ww",
+    "ww",
+)
+def _stored_load_stats(t):
+    columns = {"sites": "wwtp_id", "counties": "county_fips"}
+    return stored.stored_load_stats(t.spark, _counted(t, "distinct"), "wastewater_sites", columns)
+
+
+@query(
+    "stored_state_counts",
+    """SELECT wwtp_jurisdiction AS state, count(DISTINCT wwtp_id) AS sites, count(DISTINCT county_fips) AS counties
+       FROM ww GROUP BY 1""",
+    "ww",
+)
+def _stored_state_counts(t):
+    return stored.stored_state_counts(t.spark, _counted(t, "by-state", "wwtp_jurisdiction"))

@@ -11,7 +11,7 @@ from epiweave.operators import snapshot
 from epiweave.operators.snapshot import newest_dates
 from epiweave.plans.dashboard import dashboard_summary
 from epiweave.schemas import LANDING_TABLES, TABLES
-from epiweave.sources import value_index
+from epiweave.sources import distinct_sets, value_index
 from epiweave.sources.tables import read_calendar, read_table, read_versions
 
 
@@ -76,3 +76,34 @@ def calendar_totals(spark: SparkSession, root: str) -> DataFrame:
         for name in LANDING_TABLES
     ]
     return reduce(DataFrame.unionByName, totals)
+
+
+def stored_distinct(spark: SparkSession, root: str, name: str, column: str, group: str = "", days: int | None = None) -> DataFrame:
+    """Distinct values (``n``) of a column, per value of ``group`` (``part``) if it was declared so, from stored bitmaps.
+
+    Over all dates, or the newest one and the ``days`` before it. No row of the table is read.
+    """
+    versions = read_versions(spark, root, name)
+    if days is not None:
+        date = TABLES[name].partition
+        versions = versions.filter(F.col(date) >= F.date_sub(versions.agg(F.max(date)).scalar(), days))
+    sets = distinct_sets.read_sets(spark, root, name, column, versions, group)
+    return distinct_sets.count_sets(sets, *(["part"] if group else []))
+
+
+def stored_load_stats(spark: SparkSession, root: str, name: str, distinct: dict[str, str]) -> DataFrame:
+    """As ``tables.load_stats``: rows from the calendar, distinct counts ({output name: column}) from bitmaps."""
+    counts = [stored_distinct(spark, root, name, column).scalar().alias(out) for out, column in distinct.items()]
+    total = read_calendar(spark, root, name).agg(F.coalesce(F.sum("n"), F.lit(0))).scalar().alias("row_count")
+    return spark.range(1).select(total, *counts)
+
+
+def stored_state_counts(spark: SparkSession, root: str, days: int | None = None) -> DataFrame:
+    """Sites and counties of each state, over all dates or the newest ones."""
+    sites, counties = (
+        stored_distinct(spark, root, "wastewater_sites", column, "wwtp_jurisdiction", days).withColumnRenamed("n", out)
+        for column, out in (("wwtp_id", "sites"), ("county_fips", "counties"))
+    )
+    return sites.join(counties.withColumnRenamed("part", "other"), F.col("part").eqNullSafe(F.col("other"))).select(
+        F.col("part").alias("state"), "sites", "counties"
+    )

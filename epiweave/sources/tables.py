@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from epiweave.schemas import TABLES, Table
 from epiweave.session import materialise, shared_dir
-from epiweave.sources import value_index
+from epiweave.sources import distinct_sets, value_index
 
 
 def table_path(root: str, name: str) -> str:
@@ -89,6 +89,12 @@ def declare_lookup(spark: SparkSession, root: str, name: str, column: str, text:
     value_index.declare_index(spark, root, name, column, rows, read_versions(spark, root, name), text)
 
 
+def declare_distinct(spark: SparkSession, root: str, name: str, column: str, group: str = "") -> None:
+    """Keep exact distinct counts of a column from now on, starting from the rows stored so far."""
+    rows = read_stored(spark, root, name)
+    distinct_sets.declare_distinct(spark, root, name, column, rows, read_versions(spark, root, name), group)
+
+
 def _count_dates(rows: DataFrame, table: Table) -> DataFrame:
     return rows.groupBy(table.partition).agg(F.count("*").alias("n"))
 
@@ -153,6 +159,7 @@ def upsert(
     try:
         version = time.time_ns()
         value_index.record_values(spark, root, name, staged, version)
+        distinct_sets.record_sets(spark, root, name, staged, version)
         _write_partitions(staged, table, root)
         _write_calendar(_count_dates(staged, table), table, root, "append", version)
         if after_write is not None:
@@ -212,6 +219,7 @@ def replace_snapshot(
             return False
         version = time.time_ns()
         value_index.record_values(spark, root, name, rows, version)
+        distinct_sets.record_sets(spark, root, name, rows, version)
         _write_partitions(rows, table, root, mode="static")
         _write_calendar(_count_dates(rows, table), table, root, "overwrite", version)
         if after_write is not None:

@@ -31,7 +31,8 @@ def _index_path(root: str, name: str, column: str, part: str = "") -> str:
     return "/".join([root.rstrip("/"), "value_index", name, *filter(None, (column, part))])
 
 
-def _children(spark: SparkSession, path: str) -> list[str]:
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names within a folder, none if it does not exist."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     return sorted(s.getPath().getName() for s in files.listStatus(folder)) if files.exists(folder) else []
@@ -39,7 +40,7 @@ def _children(spark: SparkSession, path: str) -> list[str]:
 
 def indexed_columns(spark: SparkSession, root: str, name: str) -> list[str]:
     """Columns of a table that have an index."""
-    return _children(spark, _index_path(root, name, ""))
+    return children(spark, _index_path(root, name, ""))
 
 
 def declare_index(
@@ -61,7 +62,7 @@ def record_values(spark: SparkSession, root: str, name: str, rows: DataFrame, ve
     for column in indexed_columns(spark, root, name):
         counted = _count_values(rows, name, column).withColumn("version", F.lit(version))
         _write_entries(root, name, column, counted, version)
-        if "grams" in _children(spark, _index_path(root, name, column)):
+        if "grams" in children(spark, _index_path(root, name, column)):
             _write_grams(root, name, column, rows, version)
 
 
@@ -105,7 +106,7 @@ def days_like(spark: SparkSession, root: str, name: str, column: str, part: str)
     entries = _read(spark, root, name, column, "entries", _ENTRIES)
     like = F.col("value").like(f"%{part}%")
     grams = literal_grams(part)
-    if grams and "grams" in _children(spark, _index_path(root, name, column)):
+    if grams and "grams" in children(spark, _index_path(root, name, column)):
         pieces = _read(spark, root, name, column, "grams", _GRAMS).filter(F.col("gram").isin(grams) & like)
         found = pieces.groupBy("value").agg(F.count_distinct("gram").alias("held")).filter(F.col("held") == len(grams))
         entries = entries.join(found, "value", "left_semi")
@@ -146,8 +147,8 @@ def compact_index(spark: SparkSession, root: str, name: str, column: str, calend
     old go; a reader in between sees entries twice, which changes nothing.
     """
     versions = calendar.select(F.col(TABLES[name].partition).alias("day"), F.col("version").alias("current"))
-    parts = _children(spark, _index_path(root, name, column))
-    old = {part: _children(spark, _index_path(root, name, column, part)) for part in parts}
+    parts = children(spark, _index_path(root, name, column))
+    old = {part: children(spark, _index_path(root, name, column, part)) for part in parts}
     entries = _read(spark, root, name, column, "entries", _ENTRIES).join(versions, "day", "left")
     kept = entries.filter(F.col("version") >= F.coalesce("current", F.lit(0)))
     load = time.time_ns()
