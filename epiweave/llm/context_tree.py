@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from epiweave.llm.chunks import CHUNK_BYTES, Packer, key_totals, looked_up, packed, scratch
 from epiweave.llm.common import byte_words, small_batches, stored, text_key
 
-#: Bytes of the longest context, and how many a code has room for.
+#: Bytes of a context, and how many a code has room for.
 DEPTH, MOST_DEPTH = 5, 6
+#: Bytes of forms whose codes are worked on at once.
+PART_BYTES = 2 << 20
 SPACE, END = 0x20, 0x0A
 #: The token that ends a text; no word holds its byte.
 END_TOKEN = bytes([END])
@@ -70,65 +73,118 @@ class _Tokens(Packer):
         return pa.array(list(self.place), pa.binary()), pa.array(counts, pa.int64())
 
 
-# --- contexts of tokens -------------------------------------------------------
+# --- contexts of texts --------------------------------------------------------
 
 
-def grams(tokens: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of every (context, next byte) of the tokens, in order, and how many each token has.
+def form(text: str | None) -> bytes:
+    """What the model reads of a text: its words, each followed by a space, then the end."""
+    return b"".join(word + b" " for word in byte_words(text)) + END_TOKEN
 
-    A word is followed by a space; the end token stands alone. Contexts reach back over up to
-    ``depth`` bytes, as far as the space before the token. A code is a marker bit, the context's
-    bytes from the oldest to the newest, then the next byte.
+
+def grams(forms: list[bytes], depth: int) -> np.ndarray:
+    """Codes of every (context, next byte) of the forms, in order: one for each of their bytes.
+
+    A context is the ``depth`` bytes before, whatever words they belong to; before a form's first
+    byte stand spaces. A code is the context's bytes from the oldest to the newest, then the next byte.
     """
-    texts = [t if t == END_TOKEN else t + b" " for t in tokens]
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    data = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64)
-    ends = np.cumsum(sizes)
-    into = np.arange(len(data)) - np.repeat(ends - sizes, sizes)
-    code = data.copy()
-    for back in range(1, depth + 1):
-        before = np.concatenate([np.full(back, SPACE), data])[: len(data)]
-        code += np.where(into >= back, before, np.where(into == back - 1, SPACE, 0)) << (8 * back)
-    size = np.minimum(into + 1, depth)
-    return code + (np.int64(1) << (8 * (size + 1))), sizes
+    before = bytes([SPACE]) * depth
+    data = b"".join(before + f for f in forms)
+    size = len(data) - depth
+    data += bytes(8)
+    codes = np.empty(size, np.int64)
+    for offset in range(8):
+        part = codes[offset::8]
+        eight = np.frombuffer(data, ">u8", len(part), offset)
+        part[:] = eight >> np.uint64(64 - 8 * (depth + 1))
+    # no byte of a form comes next in the codes that begin in the last bytes of the form before
+    ends = np.cumsum([depth + len(f) for f in forms])[:-1]
+    own = np.ones(size, bool)
+    own[(ends[:, None] - np.arange(1, depth + 1)).ravel()] = False
+    return codes[own]
+
+
+def _parts(forms: list[bytes], depth: int) -> Iterator[np.ndarray]:
+    """``grams`` of the forms, a bounded number of codes at a time."""
+    some, filled = [], 0
+    for f in forms:
+        if len(f) > PART_BYTES:
+            if some:
+                yield grams(some, depth)
+            some, filled = [], 0
+            yield grams([f[:PART_BYTES]], depth)
+            for at in range(PART_BYTES, len(f), PART_BYTES):
+                yield grams([f[at - depth : at + PART_BYTES]], depth)[depth:]
+            continue
+        some.append(f)
+        filled += len(f)
+        if filled >= PART_BYTES:
+            yield grams(some, depth)
+            some, filled = [], 0
+    if some:
+        yield grams(some, depth)
 
 
 class _Contexts(Packer):
-    """Codes of each token's contexts, named by their place among the distinct ones of the chunk."""
+    """Forms of documents, with the distinct codes of the chunk and how often its learnt documents hold them."""
 
     key = pa.int64()
-    fields = [("token", pa.binary()), ("c", pa.int64()), ("places", pa.binary())]
+    fields = [("doc_id", pa.int64()), ("text_key", pa.int64()), ("form", pa.binary())]
 
     def __init__(self, depth: int):
         self.depth = depth
 
     def start(self) -> None:
-        self.known = np.empty(0, np.int64)
-        self.counts = np.empty(0, np.int64)
+        self.codes: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
 
     def size(self, batch: pa.RecordBatch) -> int:
-        return CHUNK_BYTES // 128  # a chunk holds the tokens of 128 batches
+        return batch.column("text").nbytes // 2  # most codes of a chunk are in the next one too
 
     def add(self, batch: pa.RecordBatch) -> list[pa.Array]:
-        tokens, counts = batch.column("key").to_pylist(), batch.column("n").to_numpy()
-        codes, sizes = grams(tokens, self.depth)
-        distinct, inverse = np.unique(codes, return_inverse=True)
-        n = np.bincount(inverse, np.repeat(counts, sizes), len(distinct)).astype(np.int64)
-        new = np.setdiff1d(distinct, self.known, assume_unique=True)
-        self.known = np.concatenate([self.known, new])
-        order = np.argsort(self.known)
-        at = order[np.searchsorted(self.known, distinct, sorter=order)]
-        self.counts = np.concatenate([self.counts, np.zeros(len(new), np.int64)])
-        self.counts[at] += n
-        places = np.split(at[inverse].astype(np.int32), np.cumsum(sizes)[:-1])
-        return [
-            pa.array(tokens, pa.binary()),
-            pa.array(counts, pa.int64()),
-            pa.array([p.tobytes() for p in places], pa.binary()),
-        ]
+        forms = [form(t) for t in batch.column("text").to_pylist()]
+        learn = batch.column("learn").to_pylist()
+        for wanted in (True, False):
+            for codes in _parts([f for f, ok in zip(forms, learn, strict=True) if ok == wanted], self.depth):
+                distinct, n = np.unique(codes, return_counts=True)
+                self.codes.append(distinct)
+                self.counts.append(n if wanted else np.zeros(len(n), np.int64))
+        if len(self.codes) > 16:
+            self._together()
+        return [batch.column("doc_id"), batch.column("text_key"), pa.array(forms, pa.binary())]
+
+    def _together(self) -> None:
+        if self.codes:
+            codes = np.concatenate(self.codes)
+            order = np.argsort(codes, kind="stable")
+            codes = codes[order]
+            first = np.flatnonzero(np.diff(codes, prepend=codes[0] - 1))
+            self.counts = [np.add.reduceat(np.concatenate(self.counts)[order], first)]
+            self.codes = [codes[first]]
 
     def keys(self) -> tuple[pa.Array, pa.Array]:
-        return pa.array(self.known, pa.int64()), pa.array(self.counts, pa.int64())
+        self._together()
+        codes, counts = (self.codes[0], self.counts[0]) if self.codes else (np.empty(0, np.int64),) * 2
+        return pa.array(codes, pa.int64()), pa.array(counts, pa.int64())
+
+
+class _Places:
+    """Places of codes among sorted distinct ones that hold them all."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes = codes
+        self.shift = np.uint64(64 - max(len(codes), 1).bit_length() - 2)
+        self.slots = np.zeros(1 << (64 - int(self.shift)), np.int32)
+        self.slots[self._slot(codes)] = np.arange(len(codes), dtype=np.int32)
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return (codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        """A slot has the place of the last code that fell there; the others are searched for."""
+        places = self.slots[self._slot(codes)]
+        other = np.flatnonzero(self.codes[places] != codes)
+        places[other] = np.searchsorted(self.codes, codes[other])
+        return places
 
 
 # --- the tree -----------------------------------------------------------------
@@ -149,31 +205,21 @@ def _kt(zeros: Column, ones: Column) -> Column:
     return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1.0) - math.log(math.pi)
 
 
-def _at_depth(counts: DataFrame, size: int) -> DataFrame:
-    """Nodes (ctx, prefix, zeros, ones) of the contexts that have ``size`` bytes and end there."""
-    has_size = F.col("key") >= 1 << (8 * (size + 1))
-    if size < MOST_DEPTH:
-        has_size &= F.col("key") < 1 << (8 * (size + 2))
-    bits = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j")
-    byte = F.col("key").bitwiseAND(255)
-    one = F.expr("shiftright(key & 255, 7 - j) & 1")
-    return (
-        counts.where(has_size)
-        .select(F.col("key"), "n", bits, byte.alias("byte"))
-        .select(
-            F.shiftright("key", 8).alias("ctx"),
-            F.expr("CAST(shiftright(byte | 256, 8 - j) AS INT)").alias("prefix"),
-            F.when(one == 0, F.col("n")).otherwise(F.lit(0)).alias("zeros"),
-            F.when(one == 1, F.col("n")).otherwise(F.lit(0)).alias("ones"),
-        )
-        .groupBy("ctx", "prefix")
-        .agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
-    )
-
-
 def _parent(size: int) -> Column:
     """The context without its oldest byte, of one that has ``size`` bytes."""
-    return F.col("ctx").bitwiseAND((1 << (8 * (size - 1))) - 1).bitwiseOR(F.lit(1 << (8 * (size - 1))))
+    return F.col("ctx").bitwiseAND((1 << (8 * (size - 1))) - 1)
+
+
+def _decisions(codes: DataFrame, *more: Column) -> DataFrame:
+    """Codes (up, ctx, key, n), eight times each: the bits before a decision (``prefix``), and n by what it was."""
+    j = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j")
+    bit = F.expr("shiftright(key & 255, 7 - j) & 1")
+    prefix = F.expr("CAST(shiftright((key & 255) | 256, 8 - j) AS INT)").alias("prefix")
+    return codes.select("*", j).select(
+        "up", "ctx", "key", prefix, bit.alias("bit"), *more,
+        F.when(bit == 0, F.col("n")).otherwise(F.lit(0)).alias("zeros"),
+        F.when(bit == 1, F.col("n")).otherwise(F.lit(0)).alias("ones"),
+    )
 
 
 def code_lengths(counts: DataFrame, depth: int, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
@@ -184,66 +230,96 @@ def code_lengths(counts: DataFrame, depth: int, keep: Callable[[DataFrame, str],
     is the mean of its own Krichevsky-Trofimov estimate and the product of its children's weighted ones; going
     down, these weights mix the estimates of all depths. A level of the tree is one grouped sum
     or one join, whatever the number of contexts. ``keep`` writes a level and reads it back.
+
+    The longest contexts have most of the nodes. Their codes are shuffled by the context above (at most
+    65,536 codes have the same) before they become decisions, and these not again.
     """
+    codes = counts.withColumn("ctx", F.shiftright("key", 8)).withColumn("up", _parent(depth)).repartition("up")
+    sums = [F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")]
+    deepest = _decisions(codes).groupBy("up", "ctx", "prefix").agg(*sums)
+    above = (
+        deepest.withColumn("lw", _kt(F.col("zeros"), F.col("ones")))
+        .groupBy(F.col("up").alias("ctx"), "prefix")
+        .agg(*sums, F.sum("lw").alias("children"))
+    )
     levels: list[DataFrame] = []
-    above = None
-    for size in range(depth, -1, -1):
-        ends = _at_depth(counts, size).withColumn("children", F.lit(None).cast("double"))
-        nodes = ends if above is None else ends.unionByName(above)
-        kt = _kt(F.col("zeros"), F.col("ones"))
-        nodes = nodes.withColumn("kt", kt)
-        nodes = keep(nodes, f"up-{size}") if size < depth else nodes
+    for size in range(depth - 1, -1, -1):
+        nodes = keep(above.withColumn("kt", _kt(F.col("zeros"), F.col("ones"))), f"up-{size}")
         levels.insert(0, nodes)
         if size:
             top = F.greatest("kt", "children")
             mean = top + F.log(0.5 * F.exp(F.col("kt") - top) + 0.5 * F.exp(F.col("children") - top))
             above = (
-                nodes.select(
-                    _parent(size).alias("ctx"), "prefix", "zeros", "ones",
-                    F.when(F.col("children").isNull(), F.col("kt")).otherwise(mean).alias("lw"),
-                )
+                nodes.select(_parent(size).alias("ctx"), "prefix", "zeros", "ones", mean.alias("lw"))
                 .groupBy("ctx", "prefix")
-                .agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("lw").alias("children"))
-            )
-    done = []
+                .agg(*sums, F.sum("lw").alias("children"))
+            )
+    total = F.col("zeros") + F.col("ones") + 1.0
+    p0, p1 = (F.col("zeros") + 0.5) / total, (F.col("ones") + 0.5) / total
     path = None
     for size, nodes in enumerate(levels):
-        total = F.col("zeros") + F.col("ones") + 1.0
-        own = {"p0": (F.col("zeros") + 0.5) / total, "p1": (F.col("ones") + 0.5) / total}
         if path is None:
             nodes = nodes.withColumn("m0", F.lit(0.0)).withColumn("m1", F.lit(0.0)).withColumn("rest", F.lit(1.0))
         else:
             keyed = path.withColumnRenamed("ctx", "up")
             nodes = nodes.withColumn("up", _parent(size)).join(keyed, ["up", "prefix"])
-        here = F.when(F.col("children").isNull(), F.lit(1.0)).otherwise(1 / (1 + F.exp(F.col("children") - F.col("kt"))))
+        here = 1 / (1 + F.exp(F.col("children") - F.col("kt")))
         below = 1 / (1 + F.exp(F.col("kt") - F.col("children")))
         mixed = nodes.select(
-            "ctx", "prefix", F.col("children").isNull().alias("ends"),
-            (F.col("m0") + F.col("rest") * here * own["p0"]).alias("m0"),
-            (F.col("m1") + F.col("rest") * here * own["p1"]).alias("m1"),
+            "ctx", "prefix",
+            (F.col("m0") + F.col("rest") * here * p0).alias("m0"),
+            (F.col("m1") + F.col("rest") * here * p1).alias("m1"),
             (F.col("rest") * below).alias("rest"),
         )
-        mixed = keep(mixed, f"down-{size}") if size < depth else mixed
-        done.append(mixed.where("ends").select("ctx", "prefix", "m0", "m1"))
-        path = mixed.where("NOT ends").select("ctx", "prefix", "m0", "m1", "rest")
-    leaves = done[0]
-    for more in done[1:]:
-        leaves = leaves.unionByName(more)
-    steps = counts.select(
-        "key", F.shiftright("key", 8).alias("ctx"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j")
-    ).select(
-        "key", "ctx",
-        F.expr("CAST(shiftright((key & 255) | 256, 8 - j) AS INT)").alias("prefix"),
-        F.expr("shiftright(key & 255, 7 - j) & 1").alias("bit"),
-    )
-    chosen = F.log(F.when(F.col("bit") == 1, F.col("m1")).otherwise(F.col("m0")))
-    return steps.join(leaves, ["ctx", "prefix"]).groupBy("key").agg(F.sum(chosen).alias("lp"))
+        path = keep(mixed, f"down-{size}")
+    # a context's nodes as one row: at most 255
+    entry = F.struct("prefix", F.struct("m0", "m1", "rest"))
+    paths = path.groupBy(F.col("ctx").alias("up")).agg(F.map_from_entries(F.collect_list(entry)).alias("path"))
+    at = F.expr("path[CAST(shiftright((key & 255) | 256, 8 - j) AS INT)]").alias("above")
+    node = Window.partitionBy("up", "ctx", "prefix")
+    steps = _decisions(codes.join(paths, "up"), at).withColumns(
+        {"zeros": F.sum("zeros").over(node), "ones": F.sum("ones").over(node)}
+    )
+    p = F.when(F.col("bit") == 1, F.col("above.m1") + F.col("above.rest") * p1)
+    p = p.otherwise(F.col("above.m0") + F.col("above.rest") * p0)
+    return keep(steps.groupBy("key").agg(F.sum(F.log(p)).alias("lp")), "lengths")
+
 
+def _byte_scores(depth: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def score(docs: pa.Table, found: pa.Table) -> pa.Table:
+        places, lp = _Places(found["code"].to_numpy()), found["lp"].to_numpy()
+        scores = []
+        for some in docs.select(["form"]).to_batches(max_chunksize=256):
+            forms = some.column(0).to_pylist()
+            each = np.concatenate([lp[places.of(codes)] for codes in _parts(forms, depth)])
+            scores.append(np.add.reduceat(each, np.cumsum([0, *map(len, forms[:-1])])) / _LN10)
+        n_bytes = pc.cast(pc.binary_length(docs["form"]), pa.int64())
+        score = pa.array(np.concatenate(scores) if scores else [], pa.float64())
+        return pa.table({"doc_id": docs["doc_id"], "text_key": docs["text_key"], "score": score, "n_bytes": n_bytes})
 
-def _token_scores(docs: pa.Table, found: pa.Table) -> pa.Table:
-    lp = found["lp"].to_numpy()
-    scores = [lp[np.frombuffer(p, np.int32)].sum() for p in docs["places"].to_pylist()]
-    return pa.table({"key": docs["token"], "c": docs["c"], "lp": pa.array(scores, pa.float64())})
+    return score
+
+
+def byte_scores(rows: DataFrame, depth: int, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(doc_id, text_key, score, n_bytes) of the distinct rows (doc_id, text_key, learn, text), by a model of those to learn.
+
+    ``keep`` writes the result and reads it back; nothing else remains on disk.
+    """
+    with scratch(rows.sparkSession, "context-tree") as written:
+        contexts = written(
+            packed(rows, lambda: _Contexts(depth), "key long, n long, doc_id long, text_key long, form binary"), "contexts"
+        )
+        lengths = code_lengths(written(key_totals(contexts), "counts"), depth, written)
+        scored = looked_up(
+            contexts,
+            ["doc_id", "text_key", "form"],
+            lengths.withColumn("code", F.col("key")),
+            _byte_scores(depth),
+            "doc_id long, text_key long, score double, n_bytes long",
+        )
+        # rows that repeat have one form
+        of_text = [F.any_value(c).alias(c) for c in ("score", "n_bytes")]
+        return keep(scored.groupBy("doc_id", "text_key").agg(*of_text), "bytes")
 
 
 def lm_scores(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -251,10 +327,10 @@ def lm_scores(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     A text is its words, A-Z lower-cased, each followed by a space, then an end. The model is a
     context tree over the bytes of that form, learnt from all documents whose crc32 of the id is no
-    multiple of 10; a context does not reach back over the space before its word, so that a word has
-    one score wherever it stands, which is worked out once per distinct word. ``score`` is the log10
-    probability of the text, ``bits_per_byte`` its code length in bits over ``n_bytes``, the bytes of the
-    form. ``base_score`` is that of single tokens with 0.1 added to every count.
+    multiple of 10; the context of a byte is the ``depth`` bytes before it, in whatever words, with spaces
+    before the first. ``score`` is the log10 probability of the text, ``bits_per_byte`` its code length in
+    bits over ``n_bytes``, the bytes of the form. ``base_score`` is that of single tokens with 0.1 added to
+    every count.
 
     Null, empty and blank texts have the end alone. Documents without an id are held out. Repeated rows
     are learnt from and scored each. Where nothing can be learnt from, every bit has probability one half.
@@ -264,10 +340,13 @@ def lm_scores(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select("doc_id", text_key().alias("text_key"), training().alias("learn"), "text")
-    with scratch(spark, "context-tree") as written:
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
+    with scratch(spark, "tokens") as written:
+        of_bytes = byte_scores(rows, depth, written)
+        of_bytes = of_bytes.withColumnsRenamed({"doc_id": "of", "text_key": "of_key"})
         packs = written(
             packed(
-                rows.withColumn("doc_id", F.col("doc_id").cast("long")),
+                rows,
                 _Tokens,
                 "key binary, n long, doc_id long, text_key long, learn boolean, n_tokens long, places binary, times binary",
             ),
@@ -275,27 +354,17 @@ def lm_scores(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         )
         vocabulary = written(key_totals(packs), "vocabulary")
         totals = vocabulary.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
-        contexts = written(
-            packed(vocabulary, lambda: _Contexts(depth), "key long, n long, token binary, c long, places binary"), "contexts"
-        )
-        lengths = code_lengths(written(key_totals(contexts), "counts"), depth, written)
-        of_token = written(
-            looked_up(contexts, ["token", "c", "places"], lengths, _token_scores, "key binary, c long, lp double"),
-            "token_scores",
-        )
         train_tokens, distinct = totals["n"] or 0, totals["v"] or 0
 
         def score(packed_docs: pa.Table, found: pa.Table) -> pa.Table:
             c = found["c"].to_numpy()
             base = np.log10((c + SMOOTHING) / (train_tokens + SMOOTHING * (distinct + 1)))
-            lp = found["lp"].to_numpy() / _LN10
-            size = found["size"].to_numpy()
             out = []
             columns = (packed_docs["places"].to_pylist(), packed_docs["times"].to_pylist())
             for which, often in zip(*columns, strict=True):
                 at, n = np.frombuffer(which, np.int32), np.frombuffer(often, np.int32).astype(np.int64)
-                out.append((int(n[c[at] > 0].sum()), float(n @ base[at]), float(n @ lp[at]), int(n @ size[at])))
-            known, base_score, total, n_bytes = zip(*out, strict=True) if out else ([], [], [], [])
+                out.append((int(n[c[at] > 0].sum()), float(n @ base[at])))
+            known, base_score = zip(*out, strict=True) if out else ([], [])
             return pa.table(
                 {
                     "doc_id": packed_docs["doc_id"],
@@ -304,19 +373,17 @@ def lm_scores(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                     "n_tokens": packed_docs["n_tokens"],
                     "n_known": pa.array(known, pa.int64()),
                     "base_score": pa.array(base_score, pa.float64()),
-                    "score": pa.array(total, pa.float64()),
-                    "n_bytes": pa.array(n_bytes, pa.int64()),
                 }
             )
 
-        size = F.when(F.col("key") == F.lit(END_TOKEN), F.lit(1)).otherwise(F.octet_length("key") + 1).cast("long")
         scored = looked_up(
             packs,
             ["doc_id", "text_key", "learn", "n_tokens", "places", "times"],
-            of_token.withColumn("size", size),
+            vocabulary.withColumnRenamed("n", "c"),
             score,
-            "doc_id long, text_key long, held_out boolean, n_tokens long, n_known long, "
-            "base_score double, score double, n_bytes long",
+            "doc_id long, text_key long, held_out boolean, n_tokens long, n_known long, base_score double",
         )
+        same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("of_key"))
+        scored = scored.join(of_bytes, same).drop("of", "of_key")
         bits = -F.col("score") * math.log2(10) / F.col("n_bytes")
         return stored(scored.withColumn("train_tokens", F.lit(train_tokens).cast("long")).withColumn("bits_per_byte", bits))

@@ -1,0 +1,115 @@
+"""Contexts that reach over the words before, against context-tree weighting in plain loops."""
+
+import math
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from epiweave.llm import context_tree as C
+
+SCHEMA = "doc_id long, text string"
+
+
+def form(text):
+    return b"".join(w + b" " for w in (text or "").encode().lower().split()) + b"\n"
+
+
+def learnt(doc_id):
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 10 != 0
+
+
+def kt(a, b):
+    return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+
+def steps(text, depth):
+    """(longest context, bits so far, bit) of every decision."""
+    padded = b" " * depth + text
+    for i, byte in enumerate(text):
+        bits = format(byte, "08b")
+        for j in range(8):
+            yield padded[i : i + depth], bits[:j], int(bits[j])
+
+
+def brute(docs, depth=C.DEPTH):
+    counts, children = defaultdict(lambda: [0, 0]), defaultdict(set)
+    for doc_id, text in docs:
+        if learnt(doc_id):
+            for context, bits, bit in steps(form(text), depth):
+                for k in range(depth + 1):
+                    counts[context[depth - k :], bits][bit] += 1
+                    if k:
+                        children[context[depth - k + 1 :], bits].add(context[depth - k :])
+    known = {}
+
+    def lw(context, bits):
+        if (context, bits) not in known:
+            own = kt(*counts[context, bits])
+            if len(context) == depth:
+                known[context, bits] = own
+            else:
+                known[context, bits] = np.logaddexp(own, sum(lw(c, bits) for c in children[context, bits])) - math.log(2)
+        return known[context, bits]
+
+    def p(context, bits, bit, k=0):
+        here = context[depth - k :]
+        a, b = counts[here, bits]
+        own = ((b if bit else a) + 0.5) / (a + b + 1)
+        if k == depth:
+            return own
+        below = sum(lw(c, bits) for c in children[here, bits])
+        share = 1 / (1 + math.exp(min(below - kt(a, b), 700)))
+        return share * own + (1 - share) * p(context, bits, bit, k + 1)
+
+    return [(i, sum(math.log10(p(*step)) for step in steps(form(text), depth))) for i, text in docs]
+
+
+def compare(spark, docs, **options):
+    rows = C.lm_scores(spark.createDataFrame(docs, SCHEMA), **options).collect()
+    got = sorted(((r.doc_id, r.score, r.n_bytes) for r in rows), key=repr)
+    wanted = sorted(brute(docs, **options), key=repr)
+    assert [g[0] for g in got] == [w[0] for w in wanted]
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in wanted], rel=1e-7)
+    return {r.doc_id: r for r in rows}
+
+
+def test_a_word_is_scored_by_the_word_before(spark):
+    docs = [(i, "ab cd ef gh" if i % 2 else "ef cd ab gh") for i in range(1, 40)] + [(100, "ab cd"), (101, "gh cd")]
+    got = compare(spark, docs)
+    assert got[100].score > got[101].score + 1
+    # The same words in another order are another text.
+    docs += [(200, "ab cd ef"), (201, "cd ab ef")]
+    got = compare(spark, docs)
+    assert got[200].score != pytest.approx(got[201].score, rel=1e-3)
+
+
+def test_odd_and_repeated_texts(spark):
+    odd = ["", None, " \t\n", "A b\x0bA", "caf\xe9 \U0001f600", "\x00 \x00\x00", "x" * 3000]
+    compare(spark, [*enumerate(odd), (None, "A b"), (None, None), (3, "A b\x0bA"), (3, "other")])
+
+
+@pytest.mark.parametrize("depth", [1, 6])
+def test_other_depths(spark, depth):
+    compare(spark, [(i, f"one two {i % 5} three") for i in range(12)], depth=depth)
+
+
+def test_parts_of_texts_do_not_matter(monkeypatch):
+    docs = [b"some words in a row \n", b"\n", b"others \n", b"a longer form of many words \n"]
+    whole = C.grams(docs, 5)
+    assert len(whole) == sum(map(len, docs))
+    for size in (5, 7, 20):
+        monkeypatch.setattr(C, "PART_BYTES", size)
+        assert np.concatenate(list(C._parts(docs, 5))).tolist() == whole.tolist()
+
+
+def test_codes_whose_slots_clash_are_found():
+    codes = np.arange(0, 5_000_000, 7, dtype=np.int64)
+    at = np.random.default_rng(0).integers(0, len(codes), 100_000)
+    assert (C._Places(codes).of(codes[at]) == at).all()
+
+
+def test_real_texts_equal_plain_loops(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(6)
+    compare(spark, [(r.doc_id, r.text) for r in rows.collect()])
