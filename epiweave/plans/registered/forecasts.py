@@ -14,33 +14,37 @@ from epiweave.session import materialise, shared_dir
 from epiweave.sources import tables
 
 
-def _trained(t: Sources, kind: str) -> forecasting.Trained:
-    """A model of this folder's series, trained once per application and stored."""
+def _trained(t: Sources, kind: str, series: DataFrame | None = None) -> forecasting.Trained:
+    """A model of this folder's series, trained once per application and stored; ``series`` where it is at hand."""
+    series = weekly_series(t) if series is None else series
     name = hashlib.sha256(t.folder.encode()).hexdigest()[:16]
     path = f"{shared_dir(t.spark)}/epiweave/{t.spark.sparkContext.applicationId}/models/{kind}-{name}"
     if kind == "gbt":
-        return forecasting.fit_or_load(weekly_series(t), path)
-    return forecasting.fit_or_load(weekly_series(t), path, forecasting.train_direct)
+        return forecasting.fit_or_load(series, path)
+    return forecasting.fit_or_load(series, path, forecasting.train_direct)
 
 
 def _forecasts(t: Sources, series: DataFrame) -> tuple[DataFrame, DataFrame]:
-    gbt, direct = _trained(t, "gbt"), _trained(t, "direct")
+    """Both forecasts; ``series`` is read four times, so it should be materialised."""
+    gbt, direct = _trained(t, "gbt", series), _trained(t, "direct", series)
     return forecasting.gbt_forecast(series, gbt), forecasting.direct_forecast(series, direct)
 
 
 @query("forecast_gbt")
 def _forecast_gbt(t):
-    return forecasting.gbt_forecast(weekly_series(t), _trained(t, "gbt"))
+    series = materialise(weekly_series(t))
+    return forecasting.gbt_forecast(series, _trained(t, "gbt", series))
 
 
 @query("forecast_direct")
 def _forecast_direct(t):
-    return forecasting.direct_forecast(weekly_series(t), _trained(t, "direct"))
+    series = materialise(weekly_series(t))
+    return forecasting.direct_forecast(series, _trained(t, "direct", series))
 
 
 @query("forecast_compare")
 def _forecast_compare(t):
-    return forecasting.compare_forecasts(*_forecasts(t, weekly_series(t)))
+    return forecasting.compare_forecasts(*_forecasts(t, materialise(weekly_series(t))))
 
 
 @query("forecast_stacked")
@@ -63,7 +67,7 @@ def _forecast_eval(t):
 )
 def _forecast_checks(t):
     # What must hold for any model: horizon, dates, bounds around the value and never below zero.
-    gbt, direct = _forecasts(t, weekly_series(t))
+    gbt, direct = _forecasts(t, materialise(weekly_series(t)))
     inside = (F.col("lower_bound") >= 0) & F.col("predicted_rate").between(F.col("lower_bound"), F.col("upper_bound"))
     width = F.round(F.col("upper_bound") - F.col("predicted_rate"), 2)
     widths = F.transform(F.sort_array(F.collect_list(F.struct("target_date", width.alias("w")))), lambda e: e["w"])
@@ -105,7 +109,8 @@ def _stored_forecasts(t):
     # Only the keys: the values come out of a trained model.
     folder = work_folder(t, "forecasts")
     tables.declare_tables(t.spark, folder, ("forecasts",))
-    found = forecasting.direct_forecast(weekly_series(t), _trained(t, "direct"))
+    series = materialise(weekly_series(t))
+    found = forecasting.direct_forecast(series, _trained(t, "direct", series))
     for _ in range(2):
         tables.append_results(t.spark, folder, "forecasts", found)
     stored = tables.read_table(t.spark, folder, "forecasts")
@@ -123,7 +128,7 @@ def _stored_forecasts_models(t):
     # Both models of the same series, each stored twice.
     folder = work_folder(t, "forecasts_models")
     tables.declare_tables(t.spark, folder, ("forecasts",))
-    for found in _forecasts(t, weekly_series(t)) * 2:
+    for found in _forecasts(t, materialise(weekly_series(t))) * 2:
         tables.append_results(t.spark, folder, "forecasts", found)
     stored = tables.read_table(t.spark, folder, "forecasts")
     return stored.select("virus", "forecast_date", "target_date", "geography", "model_version")
