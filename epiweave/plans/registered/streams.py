@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
 
 from pyspark.sql import DataFrame
@@ -61,6 +62,13 @@ def _stream_summary(t):
     return flat_dashboard(streaming.read_summary(t.spark, folder))
 
 
+def _loads(events: DataFrame, path: str, loads: int = 3) -> Iterator[None]:
+    """Append the records in ``loads`` parts of all dates, each written by all tasks; yields after each."""
+    for i in range(loads):
+        events.filter(F.col("event_id") % loads == i).write.mode("append").parquet(path)
+        yield
+
+
 @query("stream_states", DASHBOARD_SQL, "ari", "hosp", "streamed", "ww")
 def _stream_states(t):
     # Three batches of records of all dates: each corrects the weeks of the ones before.
@@ -75,12 +83,12 @@ def _stream_states(t):
     whole = partial(states.write_states, folder, "wastewater_sites", whole=True)
     tables.replace_snapshot(t.spark, folder, "wastewater_sites", t.ww.withColumn("_seq", zero), after_write=whole)
     events = t.table("events")
-    for i in range(3):
-        events.filter(F.col("event_id") % 3 == i).coalesce(1).write.mode("append").parquet(f"{folder}/events")
-    stream = t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
-    streaming.stream_summary(
-        raw_positivity(stream), "test_positivity", folder, f"{folder}/checkpoint"
-    ).awaitTermination()
+    for _ in _loads(events, f"{folder}/events"):
+        # The files of a load, however many, are one batch.
+        stream = t.spark.readStream.schema(events.schema).parquet(f"{folder}/events")
+        streaming.stream_summary(
+            raw_positivity(stream), "test_positivity", folder, f"{folder}/checkpoint"
+        ).awaitTermination()
     return flat_dashboard(streaming.read_summary(t.spark, folder))
 
 
